@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenlake.llm import simhash, toxicity
+from lumenlake.llm import decontaminate, langid, packing, quality, simhash, toxicity
 from lumenlake.llm.common import read
 
 QUERIES: dict = {}
@@ -22,3 +22,23 @@ def op5_toxicity(spark, sf_dir):
 @query
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    return langid.languages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_rules(spark, sf_dir):
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_packing(spark, sf_dir):
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

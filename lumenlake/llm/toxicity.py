@@ -37,13 +37,13 @@ class Settings:
 
     bits: int = 22
     factors: int = 4
-    max_rows: int = 8000
+    max_rows: int = 20_000
     max_terms: int = 4096
     min_documents: int = 4
-    chi_square: float = 20.0
+    chi_square: float = 30.0
     epochs: int = 60
     rate: float = 0.1
-    decay: float = 1e-3
+    decay: float = 1e-4
     seed: int = 7
 
 
@@ -116,11 +116,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     # repeated rows of one id would break the bound: one text for each
     rows = mapped(texts.select("label", "text", "doc_id"), partial(_terms, settings.bits, settings.max_terms), "label int, terms array<int>")
     seen = rows.orderBy(F.xxhash64("terms"), "label").limit(settings.max_rows).toArrow()
-    y = np.array(seen.column("label").to_pylist(), dtype=np.float64)
-    y = (y > 0).astype(np.float64)
-    lists = seen.column("terms").to_pylist()
-    counts = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.array([i for x in lists for i in x], dtype=np.int64)
+    y = (seen.column("label").to_numpy() > 0).astype(np.float64)
+    lists = seen.column("terms").combine_chunks()
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat = lists.flatten().to_numpy().astype(np.int64)
     return train(y, flat, counts, settings)
 
 
