@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenlake.llm import decontaminate, langid, packing, quality, simhash, toxicity
+from lumenlake.llm import decontaminate, langid, licences, packing, pii, quality, simhash, toxicity, urls
 from lumenlake.llm.common import read
 
 QUERIES: dict = {}
@@ -42,3 +42,18 @@ def op1_packing(spark, sf_dir):
 @query
 def op3_decontamination(spark, sf_dir):
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_pii(spark, sf_dir):
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    return urls.verdicts(read(spark, sf_dir, "pages"))
+
+
+@query
+def op2_licences(spark, sf_dir):
+    return licences.licences(licences.document_paths(read(spark, sf_dir, "documents")), named=False)
