@@ -10,8 +10,9 @@ sequences (the last place of each by the longest piece that still fits), and pac
 greedily, longest first. Only pieces (a few numbers each) are shuffled, never token ids, and the
 shards are even by construction, so no document, length or source makes a large task.
 
-A white-space-separated chunk is tokenized alone and cached, which is exact for a tokenizer whose
-pre-tokenizer drops white space and never reaches over it, as this one's.
+A chunk between spaces is tokenized alone and cached, which is exact for a tokenizer whose
+pre-tokenizer drops white space and never reaches over it, as this one's; array("I") is
+little-endian wherever Spark runs on x86 or ARM.
 
 Edge cases: a null or empty text is its end id only; null and repeated ids are packed as rows of
 their own; a text of any length is cut; an empty table gives an empty result.
@@ -20,7 +21,9 @@ their own; a text of any length is cut; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -36,7 +39,7 @@ BIN = 32
 DEPTH = 3
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Cached chunks are at most this long, and this many.
-CHUNK, CACHE = 64, 300_000
+CHUNK, CACHE = 64, 500_000
 
 
 @dataclass(frozen=True)
@@ -53,33 +56,71 @@ class Settings:
         return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed values of the tokenizer: letters, numbers and white space up to U+024F, and its contractions.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \x85\xa0"
+_PRE = re.compile(rf"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: What the short way leaves to the tokenizer: other scripts and marks, a letter that lowers to two
+#: characters, and special tokens.
+_OTHER = re.compile("[^\\x00-\u024f]|\u0130|<\\|(?:start|end)oftext\\|>")
+
+
+def byte_letters() -> list[str]:
+    """The character for each byte in byte-level vocabularies: printable ones stand for themselves,
+    the others for the characters from U+0100 on, in order."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b if b in kept else spare))
+        spare += b not in kept
+    return out
+
+
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit bytes. Chunks between spaces, and
+    within them the pre-tokenizer's parts, are looked up in caches; parts not seen yet go to the
+    tokenizer's merge model, and texts beyond Latin letters to the whole tokenizer by chunk."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found)}
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        low = part.lower()
+        found = self.parts.get(low)
+        if found is None:
+            spelled = low if low.isascii() and low.isalnum() else "".join([self.letters[b] for b in low.encode()])
+            found = array("I", [t.id for t in self.merge(spelled)]).tobytes()
+            if len(low) <= CHUNK:
+                self.parts[low] = found
+        return found
+
+    def _whole(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        if missing := [c for c in set(chunks) if c not in cache]:
-            if len(cache) > CACHE:
-                cache.clear()
-                cache[""] = b""
-                missing = [c for c in set(chunks) if c]
-            new = self._new(missing)
-            cache.update((c, b) for c, b in new.items() if len(c) <= CHUNK)
-            if any(len(c) > CHUNK for c in missing):
-                return b"".join([new[c] if c in new else cache[c] for c in chunks])
-        return b"".join([cache[c] for c in chunks])
+        if len(self.chunks) > CACHE:
+            self.chunks = {"": b""}
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        chunks, known = text.replace("\n", " ").split(" "), self.chunks
+        fresh = [c for c in set(chunks) if c not in known]
+        if not fresh:
+            return b"".join([known[c] for c in chunks])
+        if _OTHER.search(text):
+            new = {c: self._whole(c) if _OTHER.search(c) else b"".join(map(self._part, _PRE.findall(c))) for c in fresh}
+        else:
+            new = {c: b"".join(map(self._part, _PRE.findall(c))) for c in fresh}
+        if max(map(len, fresh)) <= CHUNK:
+            known |= new
+            return b"".join([known[c] for c in chunks])
+        known.update((c, b) for c, b in new.items() if len(c) <= CHUNK)
+        return b"".join([new[c] if c in new else known[c] for c in chunks])
 
 
 @lru_cache(maxsize=2)
