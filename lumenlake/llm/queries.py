@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenlake.llm import decontaminate, langid, licences, packing, pii, quality, simhash, toxicity, urls
+from lumenlake.llm import decontaminate, langid, licences, packing, pii, quality, repeats, simhash, toxicity, urls
 from lumenlake.llm.common import read
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op6_url_filter(spark, sf_dir):
 @query
 def op2_licences(spark, sf_dir):
     return licences.licences(licences.document_paths(read(spark, sf_dir, "documents")), named=False)
+
+
+@query
+def op7_repeats(spark, sf_dir):
+    return repeats.without_repeats(read(spark, sf_dir, "documents"))
