@@ -8,8 +8,10 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 2. Runs of one key that cover identical bytes are repeats as they stand, however many there
    are: they are counted, never paired. A key with one run is no repeat (a run that repeats
    within itself is seen on the spot).
-3. For keys whose runs differ, one run of each kind is fetched. Whole keys are put together to
-   about CHUNK bytes, and a run-length index is built of them: suffix array, Burrows-Wheeler
+3. For keys whose runs differ, one run of each kind is asked for. A window holds the SIDE bytes
+   before the key's string or the SIDE bytes after it, so each run is two parts, keyed by the
+   string with either side, and a part that is alone with its key asks for nothing. Whole keys
+   are put together to about CHUNK bytes, and a run-length index is built of them: suffix array, Burrows-Wheeler
    transform, its runs, and samples at the run ends only: the text place and the longest common
    prefix with the neighbour across the run's border. Elsewhere the prefix of a place is that of
    the place before it less one, so a single stream over the text gives each place's longest
@@ -17,7 +19,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
    LENGTH are starts of repeated strings.
 4. Starts are gathered by text and the bytes they cover removed.
 
-Shuffled are runs (some forty bytes each), the bytes of runs that differ, and texts twice, by row.
+Shuffled are runs (some forty bytes each), the bytes of runs that differ, and texts twice, by row
+and compressed.
 A key with more than Settings.largest bytes of differing runs is not put into one task: the
 hashes of its windows are counted instead, combined before the shuffle.
 
@@ -32,11 +35,11 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +48,10 @@ from lumenlake.llm.common import mapped, stored
 LENGTH = 400
 KMER = 32
 SPAN = LENGTH - KMER + 1
+#: Every window holds this many bytes before its smallest string, or after it.
+SIDE = (LENGTH - KMER) // 2
 #: Windows hashed at a time; bytes in an index.
-BLOCK, CHUNK = 1 << 19, 1 << 21
+BLOCK, CHUNK = 1 << 18, 1 << 19
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -102,7 +107,7 @@ def sliding(x: np.ndarray, span: int, f, pad) -> np.ndarray:
 
 
 def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first window, windows and whether the key's string occurs in it more than once, of each run."""
+    """Key, first window, windows, and the place of the key's string (-1 if it occurs more than once) of each run."""
     with np.errstate(over="ignore"):
         h = mix(rolling(data, KMER))
     low = sliding(h, SPAN, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -116,8 +121,12 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     size = b - a
     owner = np.repeat(np.arange(len(start)), size)
     place = chosen[np.arange(len(owner)) + np.repeat(a - np.cumsum(size) + size, size)]
-    often = np.bincount(owner[h[place] == key[owner]], minlength=len(start))
-    return key, start, n, often > 1
+    hit = h[place] == key[owner]
+    owner, place = owner[hit], place[hit]
+    only = np.full(len(start), -1)
+    only[owner] = place
+    only[np.bincount(owner, minlength=len(start)) > 1] = -1
+    return key, start, n, only
 
 
 def within(data: np.ndarray) -> np.ndarray:
@@ -140,42 +149,61 @@ def ranges(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[start], np.diff(np.r_[start, len(places)])
 
 
-RUNS = "rid long, h long, at long, n long, c long"
+RUNS = "rid long, h long, at long, n long, c long, p long, l int, r int"
 
 
-def _runs(batches):
-    """Rows with a null c are windows that the text itself repeats."""
-    digest = xxhash.xxh3_64_intdigest
+def _packed(batches):
+    """Texts as compressed UTF-8, for what is stored and shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        yield [batch.column(0), batch.column(1), [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]]
+
 
-        def flush():
-            return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[:4]] + [pa.array([v for x in out[4] for v in x], pa.int64())]
+def _unpack(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
 
-        for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            raw = text.encode("utf-8", "surrogatepass") if text else b""
-            view = memoryview(raw)
+
+def _rows(batch: pa.RecordBatch):
+    return (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows))
+
+
+def _part(raw: bytes, low: int, out: list[list]) -> None:
+    """Adds the runs of the windows from low on, at most BLOCK of them, to the columns of RUNS."""
+    digest = xxhash.xxh3_64_intdigest
+    part = np.frombuffer(raw, np.uint8, min(BLOCK + LENGTH - 1, len(raw) - low), low)
+    view = memoryview(part)
+    key, start, n, only = runs(part)
+    first, last = start.tolist(), (start + n - 1).tolist()
+    for h, i, j, p in zip(key.view(np.int64).tolist(), first, last, only.tolist()):
+        c = digest(view[i : j + LENGTH])
+        out[0].append(h)
+        out[1].append(i + low)
+        out[2].append(j - i + 1)
+        out[3].append(c - (1 << 64) if c >> 63 else c)
+        single = p >= 0
+        out[4].append(p + low if single else None)
+        out[5].append(digest(view[p - SIDE : p + KMER]) & 0x7FFFFFFF if single and i <= p - SIDE else None)
+        out[6].append(digest(view[p : p + KMER + SIDE], 1) & 0x7FFFFFFF if single and j > p - SIDE else None)
+        if not single:  # it may repeat itself
+            for a, m in zip(*map(np.ndarray.tolist, ranges(within(part[i : j + LENGTH])))):
+                for column, x in zip(out, (0, a + i + low, m, None, None, None, None)):
+                    column.append(x)
+
+
+def _runs(batches):
+    """Rows with a null c are windows that the text itself repeats."""
+    for batch in batches:
+        rids: list[int] = []
+        out: list[list] = [[] for _ in range(7)]
+        for rid, body in _rows(batch):
+            raw = _unpack(body)
             for low in range(0, len(raw) - LENGTH + 1, BLOCK):
-                part = np.frombuffer(raw, np.uint8, min(BLOCK + LENGTH - 1, len(raw) - low), low)
-                key, start, n, often = runs(part)
-                covered = [digest(view[low + s : low + s + m + LENGTH - 1]) for s, m in zip(start.tolist(), n.tolist())]
-                out[0].append(np.full(len(key), rid, np.int64))
-                out[1].append(key.view(np.int64))
-                out[2].append(start + low)
-                out[3].append(n)
-                out[4].append(np.array(covered, np.uint64).view(np.int64).tolist())
-                for i in np.flatnonzero(often).tolist():
-                    first, number = ranges(within(part[start[i] : start[i] + n[i] + LENGTH - 1]))
-                    out[0].append(np.full(len(first), rid, np.int64))
-                    out[1].append(np.zeros(len(first), np.int64))
-                    out[2].append(first + start[i] + low)
-                    out[3].append(number)
-                    out[4].append([None] * len(first))
-            if len(out[0]) > 2000:
-                yield flush()
-                out = [[], [], [], [], []]
-        if out[0]:
-            yield flush()
+                _part(raw, low, out)
+                rids += [rid] * (len(out[0]) - len(rids))
+            if len(rids) > 50_000:
+                yield [rids, *out]
+                rids, out = [], [[] for _ in range(7)]
+        yield [rids, *out]
 
 
 @dataclass(frozen=True)
@@ -194,20 +222,19 @@ class RunLengthIndex:
     def build(cls, text: np.ndarray) -> RunLengthIndex:
         """text: numbers from 0; separators should be larger and each its own."""
         n = len(text)
-        levels = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
+        levels = [np.unique(text, return_inverse=True)[1].astype(np.int32)]
         width = 1
         order = np.argsort(levels[0], kind="stable")
         while True:
             rank = levels[-1]
             if len(rank) and rank.max() == n - 1:
                 break
-            second = np.zeros(n, np.int64)
-            second[: n - width] = rank[width:] + 1
-            pair = rank * (n + 1) + second
+            pair = rank.astype(np.int64) * (n + 1)
+            pair[: n - width] += rank[width:] + 1
             order = np.argsort(pair, kind="stable")
-            sorted_ = pair[order]
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
+            pair = pair[order]
+            new = np.empty(n, np.int32)
+            new[order] = np.cumsum(np.r_[0, pair[1:] != pair[:-1]])
             levels.append(new)
             width *= 2
             if width >= 2 * n:
@@ -252,18 +279,21 @@ def marks(bodies: list[bytes]) -> list[np.ndarray]:
 
 
 def _bodies(batches):
-    """Cuts the asked runs out of the texts: rid, text, asks -> h, alone, rid, at, body."""
+    """Cuts the asked windows out of the texts: rid, body, asks -> key, alone, rid, at, bytes."""
     for batch in batches:
         out: list[tuple] = []
-        for rid, text, asks in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode("utf-8", "surrogatepass")
-            out += [(x["h"], x["alone"], rid, x["at"], raw[x["at"] : x["at"] + x["n"] + LENGTH - 1]) for x in asks]
-        for at in range(0, len(out), 20_000):
-            yield [list(x) for x in zip(*out[at : at + 20_000])]
+        for rid, body, asks in _rows(batch):
+            raw = _unpack(body)
+            out += [(x["key"], x["alone"], rid, x["at"], raw[x["at"] : x["at"] + x["n"] + LENGTH - 1]) for x in asks]
+            if len(out) > 5000:
+                yield [list(x) for x in zip(*out)]
+                out = []
+        if out:
+            yield [list(x) for x in zip(*out)]
 
 
 def _indexed(batches):
-    """Rows sorted by h, in whole keys a partition -> marks of those that stand alone."""
+    """Rows sorted by key, in whole keys a partition -> marks of those that stand alone."""
     rows: list[tuple] = []
     size, key = 0, None
 
@@ -278,7 +308,7 @@ def _indexed(batches):
         return out
 
     for batch in batches:
-        for h, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        for h, *row in _rows(batch):
             if h != key and size >= CHUNK:
                 yield found()
                 rows, size = [], 0
@@ -290,9 +320,9 @@ def _indexed(batches):
 
 
 def _hashed(batches):
-    """Windows of the runs of very large keys, as two hashes: h, rid, at, body -> rid, at, w1, w2."""
+    """Windows of the runs of very large keys, as two hashes: key, alone, rid, at, bytes -> rid, at, w1, w2, alone."""
     for batch in batches:
-        for _, alone, rid, at, body in zip(*(c.to_pylist() for c in batch.columns)):
+        for _, alone, rid, at, body in _rows(batch):
             data = np.frombuffer(body, np.uint8)
             with np.errstate(over="ignore"):
                 one = mix(rolling(data, LENGTH))
@@ -304,8 +334,8 @@ def _hashed(batches):
 def _removed(batches):
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, text, first, n in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = (text or "").encode("utf-8", "surrogatepass")
+        for doc_id, body, first, n in _rows(batch):
+            raw = _unpack(body)
             spans: list[list[int]] = []
             for a, b in sorted((s, s + m - 1 + LENGTH) for s, m in zip(first or (), n or ())):
                 if spans and a <= spans[-1][1]:
@@ -321,33 +351,51 @@ def _removed(batches):
         yield [list(x) for x in zip(*out)] if out else [[]] * 5
 
 
+def asked(found: DataFrame) -> DataFrame:
+    """key, alone, rid, at, n: the windows to compare, of runs whose key has different runs. found: RUNS
+    with often, whether any run of the key has its string more than once (then the key is not split)."""
+    one = F.min(F.struct("rid", "at", "n", "p", "l", "r")).alias("one")
+    kinds = found.groupBy("h", "c").agg(F.count("*").alias("k"), F.max("often").alias("often"), one)
+    kinds = kinds.select("h", (F.col("k") == 1).alias("alone"), "often", "one.*")
+    end, cut = F.col("at") + F.col("n"), F.col("p") - (SIDE - 1)
+    whole = F.struct(F.col("h").alias("key"), F.col("at"), F.col("n"))
+    low = F.struct(F.xxhash64("h", F.lit(0), "l").alias("key"), F.col("at"), (F.least(end, cut) - F.col("at")).alias("n"))
+    high = F.struct(F.xxhash64("h", F.lit(1), "r").alias("key"), F.greatest("at", cut).alias("at"), (end - F.greatest("at", cut)).alias("n"))
+    parts = F.when(F.col("often"), F.array(whole)).otherwise(F.filter(F.array(F.when(F.col("l").isNotNull(), low), F.when(F.col("r").isNotNull(), high)), lambda x: x.isNotNull()))
+    return kinds.select("alone", "rid", F.explode(parts).alias("x")).select("x.key", "alone", "rid", "x.at", "x.n")
+
+
 def starts(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """rid, at, n: the windows that are found elsewhere, as ranges. rows: rid and text."""
-    found = stored(mapped(rows.where(F.length("text") * 4 >= LENGTH).select("rid", "text"), _runs, RUNS), "runs")
+    """rid, at, n: the windows that are found elsewhere, as ranges. rows: rid and body."""
+    found = stored(mapped(rows.select("rid", "body"), _runs, RUNS), "runs")
     keyed, own = found.where("c IS NOT NULL"), found.where("c IS NULL").select("rid", "at", "n")
-    kinds = keyed.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("rid", "at", "n")).alias("one"))
-    kinds = stored(kinds, "kinds")
-    copies = keyed.join(kinds.where("k > 1").select("h", "c"), ["h", "c"], "left_semi").select("rid", "at", "n")
-    many = kinds.groupBy("h").agg(F.count("*").alias("variants"), F.sum(F.col("one.n") + LENGTH - 1).alias("bytes")).where("variants > 1")
-    asked = kinds.join(many, "h").select("h", (F.col("k") == 1).alias("alone"), "one.rid", "one.at", "one.n", (F.col("bytes") > settings.largest).alias("large"))
-    asks = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "alone", "at", "n", "large")).alias("asks"))  # at most the runs of one text
-    texts = rows.join(asks, "rid").select("rid", "text", "asks")
-    bodies = "h long, alone boolean, rid long, at long, body binary"
-    cut = texts.select("rid", "text", F.filter("asks", lambda x: ~x["large"]).alias("asks"))
-    dealt = mapped(cut, _bodies, bodies).repartition("h").sortWithinPartitions("h")
-    indexed = mapped(dealt, _indexed, "rid long, at long, n long")
-    out = own.unionByName(copies).unionByName(indexed)
-    if many.where(F.col("bytes") > settings.largest).limit(1).count():
-        cut = texts.select("rid", "text", F.filter("asks", lambda x: x["large"]).alias("asks"))
+    often = F.max(F.col("p").isNull()).alias("often")
+    again = keyed.groupBy("h").agg(F.count("*").alias("k"), (F.min("c") != F.max("c")).alias("differ"), often).where("k > 1").drop("k")
+    shared = stored(keyed.join(stored(again, "again"), "h"), "shared")
+    alike, other = shared.where("NOT differ"), shared.where("differ")
+    twice = stored(other.groupBy("h", "c").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "twice")
+    out = own.unionByName(alike.select("rid", "at", "n")).unionByName(other.join(twice, ["h", "c"], "left_semi").select("rid", "at", "n"))
+    asks = stored(asked(other), "asked")
+    met = asks.groupBy("key").agg(F.count("*").alias("k"), F.max("alone").alias("any"), F.sum(F.col("n") + LENGTH - 1).alias("bytes")).where("k > 1 AND any")
+    met = stored(met.select("key", (F.col("bytes") > settings.largest).alias("large")), "met")
+    wanted = asks.join(met, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "alone", "at", "n", "large")).alias("asks"))  # of one text
+    texts = rows.select("rid", "body").join(wanted, "rid")
+    bodies = "key long, alone boolean, rid long, at long, body binary"
+    cut = texts.select("rid", "body", F.filter("asks", lambda x: ~x["large"]).alias("asks"))
+    dealt = mapped(cut, _bodies, bodies).repartition("key").sortWithinPartitions("key")
+    out = out.unionByName(mapped(dealt, _indexed, "rid long, at long, n long"))
+    if met.where("large").limit(1).count():
+        cut = texts.select("rid", "body", F.filter("asks", lambda x: x["large"]).alias("asks"))
         windows = stored(mapped(mapped(cut, _bodies, bodies), _hashed, "rid long, at long, w1 long, w2 long, alone boolean"), "windows")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1")
-        out = out.unionByName(windows.where("alone").join(twice, ["w1", "w2"], "left_semi").select("rid", "at", F.lit(1).cast("long").alias("n")))
+        same = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "same")
+        out = out.unionByName(windows.where("alone").join(same, ["w1", "w2"], "left_semi").select("rid", "at", F.lit(1).cast("long").alias("n")))
     return out
 
 
 def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "rows")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    rows = stored(mapped(rows, _packed, "rid long, doc_id long, body binary"), "rows")
     gone = starts(rows, settings).groupBy("rid").agg(F.collect_list("at").alias("first"), F.collect_list("n").alias("n"))  # of one text
-    whole = rows.join(gone, "rid", "left").select("doc_id", "text", "first", "n")
+    whole = rows.join(gone, "rid", "left").select("doc_id", "body", "first", "n")
     return mapped(whole, _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
