@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenlake.functions import boxes, fuzzy, text
+from lumenlake.functions.schedule import Schedule
+from lumenlake.operators import edits, facets, fulltext, grouping, jobs, places, vectors
+from lumenlake.plans import fixtures, search
+from lumenlake.plans.fixtures import ctes
+from lumenlake.plans.query import Catalog, Order, Query, filtered, order_columns, run
 from lumenlake.session import table
+from lumenlake.sources import ingest, store
+from datetime import time as clock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,12 +35,362 @@ def query(sql: str | None = None):
     return add
 
 
+def placed(df: DataFrame, order: list) -> DataFrame:
+    """id and position of a page."""
+    return df.select("id", F.row_number().over(W.orderBy(*order)).cast("long").alias("position"))
+
+
+# predicates, orders, pages
+
+
 @query("""
 SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position, doc_id, lang, source, n_chars
 FROM (SELECT * FROM documents WHERE lang = 'en' AND n_chars >= 500 AND source >= 'src1'
       ORDER BY n_chars DESC, doc_id LIMIT 100 OFFSET 20)
 """)
-def browse_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def browse_filters(spark, sf_dir):
     kept = table(spark, sf_dir, "documents").where("lang = 'en' AND n_chars >= 500 AND source >= 'src1'")
     page = kept.orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(100)
     return page.select(F.row_number().over(W.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("position"), "doc_id", "lang", "source", "n_chars")
+
+
+def browse(name: str, q: Query, where: str, order: str = "captured_utc DESC, id DESC", tables: tuple = ("photos",)):
+    def f(spark, sf_dir):
+        return placed(run(fixtures.catalog(spark, sf_dir), q), order_columns(q.order))
+
+    f.__name__ = name
+    query(f"{ctes(*tables)}SELECT id, row_number() OVER (ORDER BY {order}) AS position FROM (SELECT * FROM photos WHERE {where} ORDER BY {order} LIMIT {q.limit} OFFSET {q.offset})")(f)
+
+
+browse("browse_dates", Query(from_utc=datetime(1996, 3, 1), to_utc=datetime(1997, 6, 15, 12), limit=5000), "captured_utc >= TIMESTAMP '1996-03-01' AND captured_utc <= TIMESTAMP '1997-06-15 12:00:00'")
+browse("browse_rating_state", Query(min_rating=3, state=2, favourites_only=True, limit=5000), "rating >= 3 AND state = 2 AND is_favourite")
+browse("browse_camera", Query(camera=" nik", limit=5000), "lower(camera_model) LIKE '%nik%' OR lower(camera_make) LIKE '%nik%'")
+browse("browse_bounds", Query(bounds=(-20.0, 10.0, 35.5, 120.0), limit=5000), "latitude BETWEEN -20 AND 35.5 AND longitude BETWEEN 10 AND 120")
+browse("browse_place", Query(city=" city 7 ", country="country 4", limit=5000), "place_city = 'city 7' AND place_country = 'country 4'")
+browse("browse_folder_prefix", Query(source_folder="/photos/1-/", limit=5000), "source_folder >= '/photos/1-' AND source_folder < '/photos/1-' || chr(65535)")
+browse("browse_object", Query(object=" Boat ", limit=5000), "EXISTS (SELECT 1 FROM segments s WHERE s.photo_id = photos.id AND coalesce(s.user_label, s.label) = 'boat')", tables=("photos", "segments"))
+browse("browse_collection", Query(collection_id=3, limit=5000), "EXISTS (SELECT 1 FROM members m WHERE m.photo_id = photos.id AND m.collection_id = 3)", tables=("photos", "members"))
+browse("browse_tags_all", Query(tags=("view", "Click "), limit=5000), "EXISTS (SELECT 1 FROM tags t WHERE t.photo_id = photos.id AND t.tag = 'view') AND EXISTS (SELECT 1 FROM tags t WHERE t.photo_id = photos.id AND t.tag = 'click')", tables=("photos", "tags"))
+browse("browse_text", Query(text="red BOAT, numero 1", limit=5000), "id % 3 = 0 AND regexp_matches(concat_ws(' ', ai_caption, ai_description, file_name, camera_make, camera_model, place_city, place_country), '(^|[^a-z0-9A-Z])1')")
+browse("browse_nothing", Query(text="boat &", limit=5000), "false")
+browse("browse_page", Query(limit=70, offset=35), "true")
+
+SORTS = {
+    Order.CAPTURED_DESCENDING: "captured_utc DESC, id DESC", Order.CAPTURED_ASCENDING: "captured_utc, id", Order.INDEXED_DESCENDING: "indexed_utc DESC, id DESC",
+    Order.SIZE: "file_size DESC, id DESC", Order.FILE_NAME: "lower(file_name), id", Order.FOLDER: "lower(source_folder), id", Order.RATING: "rating DESC, captured_utc DESC, id DESC",
+    Order.CAMERA: "lower(coalesce(camera_model, '~')), captured_utc DESC, id DESC", Order.SHUFFLE: "substr(content_hash, 7, 8), id",
+}
+for _order, _sql in SORTS.items():
+    browse(f"sort_{_order.value}", Query(order=_order, limit=500, offset=10), "true", _sql)
+
+
+@query(ctes("photos") + """SELECT id, coalesce(nullif(trim(user_title), ''), nullif(trim(ai_caption), ''), file_name) AS title,
+  CASE WHEN trim(user_title) <> '' THEN 2 WHEN trim(ai_caption) <> '' THEN 1 ELSE 0 END AS source FROM photos""")
+def display_titles(spark, sf_dir):
+    title, source = text.display_title(F.col("user_title"), F.col("ai_caption"), F.col("file_name"))
+    return fixtures.table(spark, sf_dir, "photos").select("id", title.alias("title"), source.cast("long").alias("source"))
+
+
+@query(ctes("photos") + "SELECT id FROM photos WHERE ai_description IS NULL OR trim(ai_description) = '' ORDER BY id LIMIT 100")
+def undescribed(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "photos").where("ai_description IS NULL OR trim(ai_description) = ''").orderBy("id").limit(100).select("id")
+
+
+@query(ctes("photos") + "SELECT id FROM photos WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = photos.id AND e.label <> 3)")
+def pending_vectors(spark, sf_dir):
+    have = table(spark, sf_dir, "embeddings").where("label <> 3").select(F.col("vec_id").alias("id"))
+    return fixtures.table(spark, sf_dir, "photos").join(have, "id", "left_anti").select("id")
+
+
+@query(ctes("tags") + "SELECT tag, CAST(source AS BIGINT) AS source, row_number() OVER (ORDER BY source DESC, confidence DESC, tag) AS position FROM tags WHERE photo_id = 14")
+def tags_of_photo(spark, sf_dir):
+    own = fixtures.table(spark, sf_dir, "tags").where("photo_id = 14")
+    return own.select("tag", F.col("source").cast("long").alias("source"), F.row_number().over(W.orderBy(F.desc("source"), F.desc("confidence"), "tag")).cast("long").alias("position"))
+
+
+@query(ctes("faces", "people") + """SELECT f.id, p.name, row_number() OVER (PARTITION BY photo_id ORDER BY area DESC, f.id) AS k, count(*) OVER (PARTITION BY photo_id) AS n
+FROM faces f LEFT JOIN people p ON f.person_id = p.id""")
+def faces_with_names(spark, sf_dir):
+    people = fixtures.table(spark, sf_dir, "people").select(F.col("id").alias("person_id"), "name")
+    out = fixtures.table(spark, sf_dir, "faces").join(people, "person_id", "left")
+    return facets.siblings(out, [F.desc("area"), F.asc("id")]).select("id", "name", F.col("k").cast("long").alias("k"), "n")
+
+
+@query(ctes("faces") + """SELECT id, row_number() OVER (ORDER BY sqrt(area) * 0.7 + confidence * 0.3 DESC, id) AS position
+FROM (SELECT * FROM faces WHERE confidence >= 0.5 ORDER BY sqrt(area) * 0.7 + confidence * 0.3 DESC, id LIMIT 300)""")
+def faces_by_prominence(spark, sf_dir):
+    order = [boxes.prominence(F.col("area"), F.col("confidence")).desc(), F.asc("id")]
+    return placed(fixtures.table(spark, sf_dir, "faces").where("confidence >= 0.5").orderBy(*order).limit(300), order)
+
+
+@query(ctes("faces") + "SELECT DISTINCT photo_id FROM faces WHERE crop_key IS NOT NULL")
+def photos_with_faces(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "faces").where("crop_key IS NOT NULL").select("photo_id").distinct()
+
+
+# counts
+
+FACETS = ctes("photos", "tags", "segments") + """
+SELECT * FROM (SELECT 'folder' AS facet, source_folder AS value, count(*) AS n FROM photos WHERE source_folder <> '' GROUP BY 2)
+UNION ALL SELECT * FROM (SELECT 'camera', camera_model, count(*) FROM photos WHERE camera_model IS NOT NULL GROUP BY 2)
+UNION ALL SELECT * FROM (SELECT 'year', strftime(captured_utc, '%Y'), count(*) FROM photos GROUP BY 2)
+UNION ALL SELECT * FROM (SELECT 'tag', tag, count(*) AS n FROM tags GROUP BY 2 ORDER BY n DESC, tag LIMIT 60)
+UNION ALL SELECT * FROM (SELECT 'city', place_city, count(*) AS n FROM photos WHERE place_city <> '' GROUP BY 2 ORDER BY n DESC, 2 LIMIT 40)
+UNION ALL SELECT * FROM (SELECT 'country', place_country, count(*) AS n FROM photos WHERE place_country IS NOT NULL GROUP BY 2 ORDER BY n DESC, 2 LIMIT 40)
+UNION ALL SELECT * FROM (SELECT 'object', coalesce(user_label, label), count(DISTINCT photo_id) AS n FROM segments GROUP BY 2 ORDER BY n DESC, 2 LIMIT 40)
+"""
+
+
+@query(FACETS)
+def facets_all(spark, sf_dir):
+    c = fixtures.catalog(spark, sf_dir)
+    return facets.all_facets(c.photos, c.tags, c.segments)
+
+
+@query(ctes("photos") + "SELECT strftime(captured_utc, '%Y-%m') AS month, count(*) AS n FROM photos GROUP BY 1")
+def time_buckets(spark, sf_dir):
+    return facets.months(fixtures.table(spark, sf_dir, "photos"))
+
+
+@query(ctes("photos") + """, chosen AS (SELECT * FROM photos WHERE id % 211 = 0 OR captured_utc < TIMESTAMP '1995-03-01'),
+counts AS (SELECT date_trunc('month', captured_utc) AS m, count(*) AS n, bool_or(state = 0) AS pending FROM chosen GROUP BY 1),
+every AS (SELECT g.m AS m, year(g.m) AS y, month(g.m) AS k, coalesce(n, 0) AS n, coalesce(pending, false) AS pending, (SELECT max(n) FROM counts) AS top
+  FROM (SELECT unnest(generate_series((SELECT min(m) FROM counts), (SELECT max(m) FROM counts), INTERVAL 1 MONTH)) AS m) g LEFT JOIN counts USING (m)),
+gaps AS (SELECT y, min(m) AS a, max(m) AS b, count(*) AS months FROM (SELECT *, k - row_number() OVER (PARTITION BY y ORDER BY m) AS run FROM every WHERE n = 0) GROUP BY y, run HAVING count(*) >= 4),
+rail AS (SELECT 'year' AS kind, y, strftime(make_date(y, 1, 1), '%Y-%m-%d') AS first, strftime(make_date(y, 12, 31), '%Y-%m-%d') AS last, sum(n) AS n, 0.0 AS share, bool_or(pending) AS pending, 0 AS months FROM every GROUP BY y
+  UNION ALL SELECT 'month', y, strftime(m, '%Y-%m-%d'), strftime(m, '%Y-%m-%d'), n, sqrt(n / top), pending, 0 FROM every WHERE n > 0
+  UNION ALL SELECT 'gap', y, strftime(a, '%Y-%m-%d'), strftime(b, '%Y-%m-%d'), 0, 0.0, false, months FROM gaps)
+SELECT kind, CAST(y AS BIGINT) AS y, first, last, CAST(n AS BIGINT) AS n, round(CAST(share AS DOUBLE), 6) AS share, pending, CAST(months AS BIGINT) AS months,
+  row_number() OVER (ORDER BY y DESC, CASE WHEN kind = 'year' THEN 0 ELSE 1 END, last DESC) AS position FROM rail""")
+def time_rail(spark, sf_dir):
+    some = fixtures.table(spark, sf_dir, "photos").where("id % 211 = 0 OR captured_utc < TIMESTAMP '1995-03-01'")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return facets.time_rail(some).select("kind", F.col("y").cast("long").alias("y"), day("first"), day("last"), "n", F.round("share", 6).alias("share"), "pending", F.col("months").cast("long").alias("months"), "position")
+
+
+@query(ctes("photos") + "SELECT CAST(state AS BIGINT) AS state, count(*) AS n FROM photos GROUP BY 1")
+def state_counts(spark, sf_dir):
+    return facets.state_counts(fixtures.table(spark, sf_dir, "photos")).select(F.col("state").cast("long").alias("state"), "n")
+
+
+@query(ctes("photos") + "SELECT count(*) AS total, count(*) FILTER (state = 0) AS pending, count(*) FILTER (state = 1) AS processing, count(*) FILTER (state = 4) AS unreadable, count(*) FILTER (state = 1) > 0 AS working FROM photos")
+def library_status(spark, sf_dir):
+    return facets.library_status(fixtures.table(spark, sf_dir, "photos"))
+
+
+@query(ctes("photos") + "SELECT count(*) FILTER (trim(ai_description) <> '') AS described, count(*) AS total FROM photos")
+def description_coverage(spark, sf_dir):
+    return facets.description_coverage(fixtures.table(spark, sf_dir, "photos"))
+
+
+@query(ctes("faces") + "SELECT count(*) AS faces, count(DISTINCT photo_id) AS photos, count(crop_key) AS embedded FROM faces")
+def face_counts(spark, sf_dir):
+    return facets.face_counts(fixtures.table(spark, sf_dir, "faces").withColumn("embedding", F.col("crop_key")))
+
+
+@query(ctes("faces", "people") + """SELECT p.id, p.name, count(f.id) AS faces, count(DISTINCT f.photo_id) AS photos,
+  (SELECT crop_key FROM faces b WHERE b.person_id = p.id AND crop_key IS NOT NULL ORDER BY area DESC, b.id LIMIT 1) AS crop_key
+FROM people p LEFT JOIN faces f ON f.person_id = p.id GROUP BY p.id, p.name""")
+def named_people(spark, sf_dir):
+    return facets.named_people(fixtures.table(spark, sf_dir, "people"), fixtures.table(spark, sf_dir, "faces"))
+
+
+@query("SELECT count(*) AS entries, coalesce(sum(length(text)), 0) AS characters FROM documents")
+def cache_size(spark, sf_dir):
+    return facets.cache_size(table(spark, sf_dir, "documents").withColumnRenamed("text", "payload"))
+
+
+@query(ctes("photos") + """SELECT strftime(min(captured_utc), '%Y-%m-%d') AS first, strftime(max(captured_utc), '%Y-%m-%d') AS last,
+  (SELECT strftime(captured_utc, '%Y-%m') AS m FROM photos GROUP BY 1 ORDER BY count(*) DESC, m LIMIT 1) AS month,
+  (SELECT count(*) AS n FROM photos GROUP BY strftime(captured_utc, '%Y-%m') ORDER BY n DESC LIMIT 1) AS n FROM photos""")
+def span_and_busiest(spark, sf_dir):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return facets.span_and_busiest(fixtures.table(spark, sf_dir, "photos")).select(day("first"), day("last"), "month", "n")
+
+
+# words
+
+
+VOCABULARY = """WITH words AS (SELECT p_name AS t FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region),
+terms AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_split_to_array(t, '[-_ .,/\()]+')) AS w FROM words) WHERE length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+'))
+"""
+TYPED = ("wigdet", "gaget", "EUORPE", "natoin", "ameriac", "asia", "widget", "spocket", "middel", "red")
+
+
+def terms(spark, sf_dir) -> DataFrame:
+    return fuzzy.vocabulary([(table(spark, sf_dir, "part"), "p_name"), (table(spark, sf_dir, "nation"), "n_name"), (table(spark, sf_dir, "region"), "r_name")])
+
+
+@query(VOCABULARY + "SELECT term FROM terms")
+def vocabulary(spark, sf_dir):
+    return terms(spark, sf_dir)
+
+
+GRAMS = "list_distinct(list_transform(range(1, length('  ' || lower({0}) || ' ') - 1), lambda i: substr('  ' || lower({0}) || ' ', i, 3)))"
+LIKE = f"len(list_intersect({GRAMS.format('query')}, {GRAMS.format('term')})) / CAST(len(list_distinct(list_concat({GRAMS.format('query')}, {GRAMS.format('term')}))) AS DOUBLE)"
+NEAR = "damerau_levenshtein(lower(query), lower(term)) <= CASE WHEN length(query) <= 3 THEN 0 WHEN length(query) <= 7 THEN 1 ELSE 2 END AND length(query) > 3"
+
+
+@query(VOCABULARY + f""", asked AS (SELECT unnest({list(TYPED)}) AS query),
+scored AS (SELECT query, term, {LIKE} AS score FROM asked, terms WHERE length(query) >= 4 AND lower(term) <> lower(query) AND {NEAR})
+SELECT query, term, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, term) AS rank FROM scored) WHERE rank <= 3""")
+def fuzzy_correct(spark, sf_dir):
+    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, TYPED))).alias("query"))
+    return fuzzy.correct(asked, terms(spark, sf_dir)).select("query", "term", F.round("score", 6).alias("score"), "rank")
+
+
+def suggestion(name: str, typed: str):
+    def f(spark, sf_dir):
+        return fuzzy.suggest(typed, terms(spark, sf_dir)).select("term", F.round("score", 6).alias("score"))
+
+    f.__name__ = name
+    query(VOCABULARY + f""", scored AS (SELECT term, CASE WHEN starts_with(term, query) THEN 1 - 0.001 * least(length(term), 100) WHEN contains(term, query) THEN 0.8
+      WHEN {NEAR} THEN 0.7 WHEN {LIKE} >= 0.42 THEN {LIKE} * 0.65 END AS score FROM terms, (SELECT '{typed}' AS query))
+    SELECT term, round(CAST(score AS DOUBLE), 6) AS score FROM scored WHERE score IS NOT NULL ORDER BY scored.score DESC, term LIMIT 8""")(f)
+
+
+suggestion("suggest_prefix", "wi")
+suggestion("suggest_close", "wigdet")
+suggestion("suggest_contained", "ation")
+
+
+@query("SELECT name FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)")
+def vocabulary_union(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf_dir, "region").select("r_name")).distinct()
+
+
+@query(VOCABULARY + ctes("segments").replace("WITH", ",") + """SELECT DISTINCT term FROM (SELECT lower(term) AS term FROM terms UNION ALL SELECT lower(coalesce(user_label, label)) FROM segments) ORDER BY term LIMIT 400""")
+def label_vocabulary(spark, sf_dir):
+    return fuzzy.label_vocabulary(facets.objects(fixtures.table(spark, sf_dir, "segments")), terms(spark, sf_dir)).select(F.lower("term").alias("term"))
+
+
+def found_text(name: str, typed: str, where: str, inverted: bool = False):
+    """Full text over documents.text, by scan or by the inverted index."""
+
+    def f(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+        return fulltext.lookup(fulltext.index(docs, ("text",)), typed) if inverted else fulltext.matches(docs, typed, ("text",))
+
+    f.__name__ = name
+    query(f"WITH d AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM documents) SELECT id FROM d WHERE {where}")(f)
+
+
+found_text("fts_words", "the LICENSED apac", "contains(t, ' the ') AND contains(t, ' licensed ') AND contains(t, ' apac')")
+found_text("fts_phrase", '"and(thea)" tion*', "contains(t, ' and thea ') AND contains(t, ' tion')")
+found_text("fts_accents", "los ENTRÉ", "contains(t, ' los ') AND contains(t, ' entre')")
+found_text("fts_index", "the LICENSED apac", "contains(t, ' the ') AND contains(t, ' licensed ') AND contains(t, ' apac')", inverted=True)
+found_text("fts_index_phrase", "license,version.2", "contains(t, ' license ') AND contains(t, ' version 2')", inverted=True)
+
+
+# vectors
+
+UNIT = """WITH u AS (SELECT vec_id, label, [CAST(CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS FLOAT) FOR x IN embedding] AS v FROM embeddings),
+e AS (SELECT vec_id, label, CAST(v AS DOUBLE[]) AS v FROM u)
+"""
+
+
+def units(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo_id"), vectors.unit(F.col("embedding")).alias("vector"), "label")
+
+
+def vector_of(rows: DataFrame, photo_id: int) -> list[float]:
+    return [float(x) for x in rows.where(F.col("photo_id") == photo_id).first()["vector"]]
+
+
+@query(UNIT + """, s AS (SELECT e.vec_id AS photo_id, list_dot_product(e.v, q.v) AS s FROM e, (SELECT v FROM e WHERE vec_id = 0) q)
+SELECT photo_id, round(s, 5) AS score, round((s - (SELECT avg(s) FROM s)) / (SELECT stddev_pop(s) FROM s), 4) AS z FROM s WHERE s >= 0.18 ORDER BY s.s DESC, photo_id LIMIT 40""")
+def vector_topk(spark, sf_dir):
+    rows = units(spark, sf_dir)
+    return vectors.search(rows, vector_of(rows, 0), 40).select("photo_id", F.round("score", 5).alias("score"), F.round("z", 4).alias("z"))
+
+
+HUB = UNIT + """, hub AS (SELECT e.vec_id, avg(list_dot_product(e.v, b.v)) AS hub FROM e, (SELECT v FROM e WHERE vec_id < 32) b GROUP BY 1),
+s AS (SELECT e.vec_id AS photo_id, list_dot_product(e.v, q.v) - hub AS s FROM e JOIN hub USING (vec_id), (SELECT v FROM e WHERE vec_id = 40) q)
+"""
+
+
+@query(HUB + "SELECT photo_id, round(s, 5) AS score, round((s - (SELECT avg(s) FROM s)) / (SELECT stddev_pop(s) FROM s), 4) AS z FROM s ORDER BY s.s DESC, photo_id LIMIT 40")
+def vector_hub(spark, sf_dir):
+    rows = units(spark, sf_dir)
+    bank = [[float(x) for x in r["vector"]] for r in rows.where("photo_id < 32").orderBy("photo_id").collect()]  # 32 phrases
+    calibrated = vectors.with_hub(rows, vectors.bank_mean(bank, 64))
+    return vectors.search(calibrated, vector_of(rows, 40), 40).select("photo_id", F.round("score", 5).alias("score"), F.round("z", 4).alias("z"))
+
+
+@query(UNIT + "SELECT e.vec_id AS photo_id, round(list_dot_product(e.v, q.v), 5) AS score FROM e, (SELECT v FROM e WHERE vec_id = 7) q WHERE e.vec_id <> 7 AND list_dot_product(e.v, q.v) >= 0 ORDER BY list_dot_product(e.v, q.v) DESC, photo_id LIMIT 24")
+def similar_to(spark, sf_dir):
+    return vectors.similar_to(units(spark, sf_dir), 7).select("photo_id", F.round("score", 5).alias("score"))
+
+
+@query(UNIT + "SELECT e.vec_id AS id, round(CASE WHEN e.vec_id = 5 THEN 1 ELSE list_dot_product(e.v, q.v) END, 5) AS score FROM e, (SELECT v, label % 2 AS m FROM e WHERE vec_id = 5) q WHERE e.label % 2 = q.m AND (e.vec_id = 5 OR list_dot_product(e.v, q.v) >= 0.2)")
+def similar_faces(spark, sf_dir):
+    faces = units(spark, sf_dir).select(F.col("photo_id").alias("id"), F.col("vector").alias("embedding"), (F.col("label") % 2).cast("string").alias("embed_model"))
+    return vectors.similar_faces(faces, 5, 0.2).select("id", F.round("score", 5).alias("score"))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) AS embedded, (SELECT count(*) FROM documents) AS photos")
+def vector_coverage(spark, sf_dir):
+    return vectors.coverage(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents"))
+
+
+@query(UNIT + """, q AS (SELECT vec_id AS query_id, v, label FROM e WHERE vec_id < 20),
+w AS (SELECT unnest([0.0, 0.5, 0.8]) AS weight),
+b AS (SELECT e.vec_id, e.label, w.weight, [CAST(w.weight AS DOUBLE) * a.x + (1 - CAST(w.weight AS DOUBLE)) * a.y FOR a IN list_transform(range(1, 65), lambda i: {'x': e.v[i], 'y': c.v[i]})] AS m FROM e JOIN e c ON c.vec_id = (e.vec_id + 1) % 400, w WHERE e.vec_id < 400),
+n AS (SELECT vec_id, label, weight, CAST([CAST(x / sqrt(list_dot_product(m, m)) AS FLOAT) FOR x IN m] AS DOUBLE[]) AS v FROM b),
+r AS (SELECT weight, query_id, n.label = q.label AS relevant, row_number() OVER (PARTITION BY weight, query_id ORDER BY list_dot_product(n.v, q.v) DESC, n.vec_id) AS k FROM n, q)
+SELECT CAST(weight AS DOUBLE) AS weight, round(avg(p), 6) AS precision FROM (SELECT weight, query_id, count(*) FILTER (relevant) / 5.0 AS p FROM r WHERE k <= 5 GROUP BY ALL) GROUP BY 1""")
+def blend_precision(spark, sf_dir):
+    rows = units(spark, sf_dir)
+    some = rows.where("photo_id < 400")
+    captions = some.select(((F.col("photo_id") + 399) % 400).alias("photo_id"), F.col("vector").alias("caption"))
+    both = some.join(captions, "photo_id")
+    out = None
+    for w in (0.0, 0.5, 0.8):
+        own = both.select("photo_id", "label", F.lit(w).alias("weight"), vectors.blend(F.col("vector"), F.col("caption"), w).alias("v"))
+        out = own if out is None else out.unionByName(own)
+    asked = rows.where("photo_id < 20").select(F.col("photo_id").alias("query_id"), F.col("vector").alias("q"), F.col("label").alias("want"))
+    scored = out.join(F.broadcast(asked), how="cross")  # twenty queries
+    return vectors.precision_at(scored.select("weight", "query_id", "photo_id", vectors.dot(F.col("v"), F.col("q")).alias("score"), (F.col("label") == F.col("want")).alias("relevant"))).select("weight", F.round("precision", 6).alias("precision"))
+
+
+@query(UNIT + "SELECT a.vec_id AS query_id, b.vec_id AS photo_id, round(list_dot_product(a.v, b.v), 5) AS score FROM e a, e b WHERE a.vec_id < 10 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) <= 5")
+def search_many(spark, sf_dir):
+    rows = units(spark, sf_dir)
+    asked = [(r["photo_id"], [float(x) for x in r["vector"]]) for r in rows.where("photo_id < 10").collect()]  # ten queries
+    return vectors.search_many(rows, asked, 5).select("query_id", "photo_id", F.round("score", 5).alias("score"))
+
+
+# hybrid search
+
+MERGED = """, d AS (SELECT doc_id AS id, n_chars, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE lang = 'en'),
+x AS (SELECT id, row_number() OVER (ORDER BY n_chars DESC, id DESC) - 1 AS i FROM d WHERE contains(t, ' worthless') LIMIT 200),
+zs AS (SELECT photo_id, (s - (SELECT avg(s) FROM s)) / (SELECT stddev_pop(s) FROM s) AS z FROM (SELECT * FROM s)),
+near AS (SELECT z.photo_id AS id, z.z, row_number() OVER (ORDER BY z DESC, photo_id) AS k FROM (SELECT * FROM zs ORDER BY z DESC, photo_id LIMIT 120) z WHERE z.z >= 2),
+parts AS (SELECT id, 1.0 / (1 + 0.06 * i) AS score, 1 AS reason, i AS seen FROM x UNION ALL
+  SELECT id, 0.8 * least(greatest((z - 2) / 3, 0), 1), 2, 1000000 + k FROM near WHERE id IN (SELECT doc_id FROM documents)),
+m AS (SELECT id, sum(CAST(score AS DOUBLE)) AS score, bit_or(reason) AS reasons, min(seen) AS seen FROM parts GROUP BY id)
+SELECT m.id, round(m.score, 4) AS score, CAST(reasons AS BIGINT) AS reasons FROM m JOIN documents ON doc_id = m.id ORDER BY m.score DESC, n_chars DESC, seen, m.id LIMIT 50"""
+
+
+def document_catalog(spark, sf_dir) -> Catalog:
+    """documents as photos: text as description, size and time from n_chars."""
+    docs = table(spark, sf_dir, "documents")
+    return Catalog(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("ai_description"), F.col("lang").alias("place_country"), F.timestamp_seconds("n_chars").alias("captured_utc"), F.col("n_chars").alias("file_size")))
+
+
+@query(HUB + MERGED)
+def hybrid_search(spark, sf_dir):
+    rows = units(spark, sf_dir)
+    bank = [[float(x) for x in r["vector"]] for r in rows.where("photo_id < 32").orderBy("photo_id").collect()]  # 32 phrases
+    calibrated = vectors.with_hub(rows, vectors.bank_mean(bank, 64))
+    q = Query(text="worthless", country="en", limit=50)
+    return search.search(document_catalog(spark, sf_dir), q, calibrated, vector_of(rows, 40)).hits.select("id", F.round("score", 4).alias("score"), F.col("reasons").cast("long").alias("reasons"))
+
+
+@query("""WITH d AS (SELECT doc_id AS id, n_chars, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents),
+x AS (SELECT id, row_number() OVER (ORDER BY n_chars DESC, id DESC) - 1 AS i FROM d WHERE contains(t, ' pathetic') ORDER BY i LIMIT 100)
+SELECT id, round(0.55 * (5.0 / 13) / (1 + 0.06 * i), 4) AS score, CAST(4 AS BIGINT) AS reasons, '“pahtetic” → pathetic' AS explanation FROM x ORDER BY i LIMIT 60""")
+def fuzzy_search(spark, sf_dir):
+    words = spark.range(1).select(F.explode(F.array(*map(F.lit, ("pathetic", "sympathetic", "path", "arithmetic")))).alias("term"))
+    found = search.search(document_catalog(spark, sf_dir), Query(text="pahtetic", limit=60), vocabulary=words)
+    return found.hits.select("id", F.round("score", 4).alias("score"), F.col("reasons").cast("long").alias("reasons"), "explanation")
