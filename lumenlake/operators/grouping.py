@@ -4,14 +4,13 @@ First-claim grouping in order: an item is an anchor if no earlier anchor is link
 other item belongs to its earliest linked anchor. anchors() does this for any number of items in
 rounds over a table of links: an item whose earlier linked items are all decided and no anchors
 becomes one; an item linked to an earlier anchor becomes a member. Each round is written to the
-checkpoint folder. Where groups are bounded by what they lie in (the boxes of one image), claim() does
-the same inside one task for each.
+checkpoint folder. Where groups are bounded by what they lie in (the boxes of one image), they are
+short arrays and a fold over each does it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -150,35 +149,20 @@ def people_groups(faces: DataFrame, threshold: float, most: int | None = 4000, l
     return members.select("anchor", F.col("id").alias("face_id")).join(placed.select("anchor", "anchor_id", "n_faces", "n_photos", "place"), "anchor").drop("anchor")
 
 
-def claim(order_first: pd.DataFrame, threshold: float) -> list[bool]:
-    """Whether each box (x, y, w, h, in claiming order) is kept: none kept before overlaps it by more."""
-    b = order_first[["x", "y", "w", "h"]].to_numpy(float)
-    out: list[bool] = []
-    for i in range(len(b)):
-        good = True
-        for j in (k for k in range(i) if out[k]):
-            w = min(b[i, 0] + b[i, 2], b[j, 0] + b[j, 2]) - max(b[i, 0], b[j, 0])
-            h = min(b[i, 1] + b[i, 3], b[j, 1] + b[j, 3]) - max(b[i, 1], b[j, 1])
-            both = w * h if w > 0 and h > 0 else 0.0
-            union = b[i, 2] * b[i, 3] + b[j, 2] * b[j, 3] - both
-            if union > 0 and both / union > threshold:
-                good = False
-                break
-        out.append(good)
-    return out
-
-
 def suppress(boxes: DataFrame, keys: list[str], least: float, threshold: float) -> DataFrame:
     """Non-maximum suppression: boxes (id, score, x, y, w, h and keys) above the least score, best
     first, those kept that overlap no better one of their keys by more than the threshold. The boxes
-    of one image and class are one small group."""
+    of one image and class are one short array."""
+    good = boxes.where(F.col("score") > least)
+    box = F.struct("x", "y", "w", "h").alias("b")
+    listed = good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", box, F.struct(*good.columns).alias("row")))).alias("all"))
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True])
-        return rows[claim(rows, threshold)]
+    def step(kept_, item):
+        over = F.exists(kept_, lambda k: iou(k["b"], item["b"]) > threshold)
+        return F.when(over, kept_).otherwise(F.array_append(kept_, item))
 
-    good = boxes.where(F.col("score") > least)
-    return good.groupBy(*keys).applyInPandas(keep, good.schema)
+    kind = listed.schema["all"].dataType.simpleString()
+    return listed.select(F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("k")).select("k.row.*")
 
 
 def suppress_faces(boxes: DataFrame) -> DataFrame:
@@ -190,23 +174,27 @@ def suppress_faces(boxes: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(W.partitionBy("photo_id").orderBy((F.col("w") * F.col("h")).desc(), "id")))
 
 
+def take_greedily(pairs: DataFrame, key: str, order: list[Column], left: str, right: str) -> DataFrame:
+    """key, left, right: for each key the pairs in order, those whose left and right are both untaken.
+    The pairs of a key (one photo's boxes) are one short array."""
+    item = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
+    listed = pairs.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("all"))
+    none = F.array().cast("array<struct<l:bigint,r:bigint>>")
+
+    def step(taken, p):
+        used = F.exists(taken, lambda t: (t["l"] == p["l"]) | (t["r"] == p["r"]))
+        return F.when(used, taken).otherwise(F.array_append(taken, F.struct(p["l"].alias("l"), p["r"].alias("r"))))
+
+    out = listed.select(key, F.explode(F.aggregate("all", none, step)).alias("t"))
+    return out.select(key, F.col("t.l").alias(left), F.col("t.r").alias(right))
+
+
 def match_in_turn(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
     """photo_id, old_id, new_id: for each old box in order of id, the best new box of its photo not yet
     taken whose overlap is over the least."""
     pairs = old.select("photo_id", F.col("id").alias("old_id"), F.col("box").alias("ob")).join(new.select("photo_id", F.col("id").alias("new_id"), F.col("box").alias("nb")), "photo_id")
     near = pairs.select("photo_id", "old_id", "new_id", iou(F.col("ob"), F.col("nb")).alias("s")).where(F.col("s") > least)
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for old_id, own in rows.sort_values(["old_id", "s", "new_id"], ascending=[True, False, True]).groupby("old_id", sort=True):
-            for r in own.itertuples():
-                if r.new_id not in used:
-                    used.add(r.new_id)
-                    out.append((r.photo_id, old_id, r.new_id))
-                    break
-        return pd.DataFrame(out, columns=["photo_id", "old_id", "new_id"])
-
-    return near.groupBy("photo_id").applyInPandas(take, "photo_id long, old_id long, new_id long")
+    return take_greedily(near, "photo_id", [F.col("old_id"), -F.col("s"), F.col("new_id")], "old_id", "new_id")
 
 
 def person_segments(faces: DataFrame, segments: DataFrame, least: float = 0.75) -> DataFrame:
@@ -216,14 +204,4 @@ def person_segments(faces: DataFrame, segments: DataFrame, least: float = 0.75)
     named = faces.where("person_id IS NOT NULL")
     pairs = named.select("photo_id", F.col("id").alias("face_id"), F.col("box").alias("fb")).join(people.select("photo_id", F.col("id").alias("segment_id"), F.col("box").alias("sb"), F.col("area").alias("sa")), "photo_id")
     near = pairs.select("photo_id", "face_id", "segment_id", "sa", containment(F.col("fb"), F.col("sb")).alias("s")).where(F.col("s") >= least)
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        faces_, segments_, out = set(), set(), []
-        for r in rows.sort_values(["s", "sa", "face_id", "segment_id"], ascending=[False, True, True, True]).itertuples():
-            if r.face_id not in faces_ and r.segment_id not in segments_:
-                faces_.add(r.face_id)
-                segments_.add(r.segment_id)
-                out.append((r.photo_id, r.face_id, r.segment_id))
-        return pd.DataFrame(out, columns=["photo_id", "face_id", "segment_id"])
-
-    return near.groupBy("photo_id").applyInPandas(take, "photo_id long, face_id long, segment_id long")
+    return take_greedily(near, "photo_id", [-F.col("s"), F.col("sa"), F.col("face_id"), F.col("segment_id")], "face_id", "segment_id")

@@ -394,3 +394,373 @@ def fuzzy_search(spark, sf_dir):
     words = spark.range(1).select(F.explode(F.array(*map(F.lit, ("pathetic", "sympathetic", "path", "arithmetic")))).alias("term"))
     found = search.search(document_catalog(spark, sf_dir), Query(text="pahtetic", limit=60), vocabulary=words)
     return found.hits.select("id", F.round("score", 4).alias("score"), F.col("reasons").cast("long").alias("reasons"), "explanation")
+
+
+# grouping
+
+PAIRS = UNIT + ", near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4)\n"
+
+
+@query(PAIRS + "SELECT a, b FROM near")
+def vector_pairs(spark, sf_dir):
+    return grouping.vector_pairs(units(spark, sf_dir).withColumnRenamed("photo_id", "seq"), 0.4).select("a", "b")
+
+
+@query(PAIRS.replace("WITH u AS", "WITH RECURSIVE u AS") + """, walk(i, anchors) AS (SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE b = i + 1 AND list_contains(anchors, a)) THEN anchors ELSE list_append(anchors, i + 1) END FROM walk WHERE i + 1 < (SELECT count(*) FROM e)),
+k AS (SELECT unnest(anchors) AS a FROM walk WHERE i = (SELECT max(i) FROM walk))
+SELECT vec_id AS id, coalesce((SELECT vec_id FROM k WHERE k.a = e.vec_id), (SELECT min(near.a) FROM near JOIN k ON k.a = near.a WHERE near.b = e.vec_id)) AS anchor FROM e""")
+def group_first_claim(spark, sf_dir):
+    rows = units(spark, sf_dir).select(F.col("photo_id").alias("seq"), "vector")
+    return grouping.anchors(rows, grouping.vector_pairs(rows, 0.4)).select(F.col("seq").alias("id"), "anchor")
+
+
+HASHED = "WITH h AS (SELECT o_orderkey AS id, o_orderdate AS t, substr('0123456789abcdef', CAST(o_custkey % 3 AS INT) + 1, 1) || '00' || right('000000000000' || CAST(o_custkey % 50 AS VARCHAR), 12) || substr('0123456789abcdef', CAST(o_orderkey % 4 AS INT) + 1, 1) AS x FROM orders WHERE o_orderkey % 10 = 0)\n"
+BITS = "bit_count(xor(CAST('0x' || substr(a.x, 1, 8) AS BIGINT), CAST('0x' || substr(b.x, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr(a.x, 9, 8) AS BIGINT), CAST('0x' || substr(b.x, 9, 8) AS BIGINT)))"
+
+
+def hashed(spark, sf_dir) -> DataFrame:
+    digit = lambda c: F.substring(F.lit("0123456789abcdef"), (c + 1).cast("int"), F.lit(1))
+    x = F.concat(digit(F.col("o_custkey") % 3), F.lit("00"), F.lpad((F.col("o_custkey") % 50).cast("string"), 12, "0"), digit(F.col("o_orderkey") % 4))
+    return table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("captured_utc"), x.alias("perceptual_hash"))
+
+
+@query(HASHED + f", k AS (SELECT DISTINCT x FROM h) SELECT a.x AS a, b.x AS b, CAST({BITS} AS BIGINT) AS bits FROM k a JOIN k b ON a.x < b.x WHERE {BITS} <= 6")
+def hash_pairs(spark, sf_dir):
+    kinds = hashed(spark, sf_dir).select(F.col("perceptual_hash").alias("hash")).distinct()
+    rows = kinds.withColumn("seq", F.row_number().over(W.orderBy("hash")).cast("long"))  # distinct hashes of the fixture
+    named = rows.select("seq", "hash")
+    out = grouping.hash_pairs(rows).join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+    return out.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("bits").cast("long").alias("bits"))
+
+
+@query(HASHED.replace("WITH h", "WITH RECURSIVE h").replace("% 10 = 0)", "% 100 = 0)") + f""", o AS (SELECT id, x, row_number() OVER (ORDER BY t, id) AS n FROM h),
+near AS (SELECT a.n AS a, b.n AS b FROM o a JOIN o b ON a.n < b.n WHERE {BITS} <= 6),
+walk(i, anchors) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE b = i + 1 AND list_contains(anchors, a)) THEN anchors ELSE list_append(anchors, i + 1) END FROM walk WHERE i < (SELECT count(*) FROM o)),
+k AS (SELECT unnest(anchors) AS a FROM walk WHERE i = (SELECT max(i) FROM walk)),
+g AS (SELECT id, coalesce((SELECT a FROM k WHERE k.a = o.n), (SELECT min(near.a) FROM near JOIN k ON k.a = near.a WHERE near.b = o.n)) AS a FROM o)
+SELECT g.id, o.id AS anchor_id, count(*) OVER (PARTITION BY g.a) AS size FROM g JOIN o ON o.n = g.a QUALIFY count(*) OVER (PARTITION BY g.a) > 1""")
+def near_duplicate_groups(spark, sf_dir):
+    return grouping.near_duplicate_groups(hashed(spark, sf_dir).where("id % 100 = 0"))
+
+
+@query(UNIT.replace("WITH u", "WITH RECURSIVE u") + """, o AS (SELECT vec_id, v, row_number() OVER (ORDER BY sqrt(vec_id % 37 / 37.0) * 0.7 + (vec_id % 11) / 11.0 * 0.3 DESC, vec_id) AS n FROM e WHERE (vec_id % 11) / 11.0 >= 0.2),
+near AS (SELECT a.n AS a, b.n AS b FROM o a JOIN o b ON a.n < b.n WHERE list_dot_product(a.v, b.v) >= 0.35),
+walk(i, anchors) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE b = i + 1 AND list_contains(anchors, a)) THEN anchors ELSE list_append(anchors, i + 1) END FROM walk WHERE i < (SELECT count(*) FROM o)),
+k AS (SELECT unnest(anchors) AS a FROM walk WHERE i = (SELECT max(i) FROM walk)),
+g AS (SELECT vec_id, coalesce((SELECT a FROM k WHERE k.a = o.n), (SELECT min(near.a) FROM near JOIN k ON k.a = near.a WHERE near.b = o.n)) AS a FROM o)
+SELECT g.vec_id AS face_id, o.vec_id AS anchor_id, c.n_faces, c.n_photos FROM g JOIN o ON o.n = g.a JOIN (SELECT a, count(*) AS n_faces, count(DISTINCT vec_id % 100) AS n_photos FROM g GROUP BY a) c ON c.a = g.a""")
+def people_groups(spark, sf_dir):
+    faces = units(spark, sf_dir).select(
+        F.col("photo_id").alias("id"), (F.col("photo_id") % 100).alias("photo_id"), ((F.col("photo_id") % 37) / 37.0).alias("area"),
+        ((F.col("photo_id") % 11) / 11.0).alias("confidence"), F.col("vector").alias("embedding"), F.lit("m").alias("embed_model"),
+    )
+    return grouping.people_groups(faces, 0.35, None, 0.2).select("face_id", "anchor_id", "n_faces", "n_photos")
+
+
+# boxes
+
+IOU = """greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"""
+
+
+@query(ctes("segments") + f"""SELECT a.id AS a, b.id AS b, round(i / (a_area + b_area - i), 6) AS iou FROM (SELECT a.id, b.id AS id_1, a.w * a.h AS a_area, b.w * b.h AS b_area, {IOU} AS i FROM segments a JOIN segments b ON a.photo_id = b.photo_id AND a.id < b.id WHERE a.photo_id % 5 = 0) AS t(id_a, id_b, a_area, b_area, i)
+JOIN segments a ON a.id = id_a JOIN segments b ON b.id = id_b WHERE i / (a_area + b_area - i) > 0.2""".replace("SELECT a.id, b.id AS id_1", "SELECT a.id, b.id"))
+def iou_pairs(spark, sf_dir):
+    s = fixtures.table(spark, sf_dir, "segments").where("photo_id % 5 = 0").select("photo_id", "id", "box")
+    both = s.select("photo_id", F.col("id").alias("a"), F.col("box").alias("p")).join(s.select("photo_id", F.col("id").alias("b"), F.col("box").alias("q")), "photo_id").where("a < b")
+    return both.select("a", "b", boxes.iou(F.col("p"), F.col("q")).alias("v")).where("v > 0.2").select("a", "b", F.round("v", 6).alias("iou"))
+
+
+@query(ctes("segments").replace("WITH segments", "WITH RECURSIVE segments") + f""", s AS (SELECT *, row_number() OVER (PARTITION BY photo_id, label ORDER BY confidence DESC, id) AS n FROM segments WHERE confidence > 0.35),
+near AS (SELECT a.photo_id, a.label, a.n AS a, b.n AS b FROM s a JOIN s b ON a.photo_id = b.photo_id AND a.label = b.label AND a.n < b.n WHERE {IOU} / (a.w * a.h + b.w * b.h - {IOU}) > 0.45),
+m AS (SELECT photo_id, label, max(n) AS most FROM s GROUP BY ALL),
+walk(photo_id, label, i, kept) AS (SELECT photo_id, label, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM m UNION ALL
+  SELECT w.photo_id, w.label, i + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.photo_id = w.photo_id AND near.label = w.label AND b = i + 1 AND list_contains(kept, a)) THEN kept ELSE list_append(kept, i + 1) END
+  FROM walk w JOIN m ON m.photo_id = w.photo_id AND m.label = w.label WHERE i < most)
+SELECT s.id FROM s JOIN m USING (photo_id, label) JOIN walk w ON w.photo_id = s.photo_id AND w.label = s.label AND w.i = m.most WHERE list_contains(w.kept, s.n)""")
+def suppress_boxes(spark, sf_dir):
+    rows = fixtures.table(spark, sf_dir, "segments").withColumnRenamed("confidence", "score")
+    return grouping.suppress(rows.select("id", "photo_id", "label", "score", "x", "y", "w", "h"), ["photo_id", "label"], 0.35, 0.45).select("id")
+
+
+@query(ctes("segments").replace("WITH segments", "WITH RECURSIVE segments") + f""", old AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY id) AS n FROM segments WHERE user_label IS NOT NULL),
+new AS (SELECT id + 7 AS id, photo_id, x + 0.01 AS x, y, w, h FROM segments WHERE l_keep),
+near AS (SELECT a.photo_id, a.n, a.id AS old_id, b.id AS new_id, {IOU} / (a.w * a.h + b.w * b.h - {IOU}) AS s FROM old a JOIN new b ON a.photo_id = b.photo_id WHERE {IOU} / (a.w * a.h + b.w * b.h - {IOU}) > 0.5),
+walk(photo_id, n, taken, pairs) AS (SELECT DISTINCT photo_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM near UNION ALL
+  SELECT photo_id, n + 1, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, CASE WHEN pick IS NULL THEN pairs ELSE list_append(pairs, n + 1) END
+  FROM (SELECT w.*, (SELECT new_id FROM near WHERE near.photo_id = w.photo_id AND near.n = w.n + 1 AND NOT list_contains(w.taken, new_id) ORDER BY s DESC, new_id LIMIT 1) AS pick FROM walk w) WHERE n < (SELECT max(n) FROM near))
+SELECT w.photo_id, old.id AS old_id, w.taken[i] AS new_id FROM (SELECT photo_id, taken, pairs, unnest(range(1, len(pairs) + 1)) AS i FROM walk WHERE n = (SELECT max(n) FROM near)) w JOIN old ON old.photo_id = w.photo_id AND old.n = w.pairs[i]""".replace("l_keep", "id % 3 > 0"))
+def reapply_labels(spark, sf_dir):
+    rows = fixtures.table(spark, sf_dir, "segments")
+    moved = rows.where("id % 3 > 0").selectExpr("id + 7 AS id", "photo_id", "struct(x + 0.01D AS x, y, w, h) AS box")
+    return grouping.match_in_turn(rows.where("user_label IS NOT NULL"), moved, edits.KEEP_LABEL)
+
+
+@query(ctes("faces", "segments") + f"""SELECT b.id AS face_id, a.id AS segment_id, round({IOU} / (b.w * b.h), 6) AS covered FROM segments a JOIN faces b USING (photo_id)
+WHERE lower(a.label) = 'person' AND {IOU} / (b.w * b.h) >= 0.75""")
+def face_containment(spark, sf_dir):
+    s = fixtures.table(spark, sf_dir, "segments").where("lower(label) = 'person'").select("photo_id", F.col("id").alias("segment_id"), F.col("box").alias("s"))
+    both = fixtures.table(spark, sf_dir, "faces").select("photo_id", F.col("id").alias("face_id"), F.col("box").alias("f")).join(s, "photo_id")
+    return both.select("face_id", "segment_id", boxes.containment(F.col("f"), F.col("s")).alias("c")).where("c >= 0.75").select("face_id", "segment_id", F.round("c", 6).alias("covered"))
+
+
+@query("SELECT s_suppkey AS id, CAST(s_suppkey % 360 AS BIGINT) AS d, round(degrees(atan2(s_suppkey % 7 - 3.0, s_suppkey % 5 - 2.0)), 6) AS roll FROM supplier")
+def face_roll(spark, sf_dir):
+    k = F.col("s_suppkey")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    marks = F.array(point(F.lit(3), F.lit(4)), point(k % 5 + 1, k % 7 + 1))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), (k % 360).alias("d"), F.round(boxes.roll(marks), 6).alias("roll"))
+
+
+# places
+
+POINTS = "p AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 18001 AS DOUBLE) / 100 - 90 AS lat, CAST(c_custkey * 104729 % 36001 AS DOUBLE) / 100 - 180 AS lon FROM customer)"
+SPOTS = "s AS (SELECT s_suppkey AS place_id, CAST(s_suppkey * 4421 % 17001 AS DOUBLE) / 100 - 85 AS lat, CAST(s_suppkey * 98893 % 36001 AS DOUBLE) / 100 - 180 AS lon, s_name AS city, 'country ' || CAST(s_nationkey AS VARCHAR) AS country FROM supplier)"
+KM = "2 * 6371 * atan2(sqrt(a), sqrt(greatest(1 - a, 0)))"
+HAV = "pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)"
+
+
+def globe(spark, sf_dir):
+    k, j = F.col("c_custkey"), F.col("s_suppkey")
+    points = table(spark, sf_dir, "customer").select(k.alias("id"), ((k * 7919 % 18001).cast("double") / 100 - 90).alias("lat"), ((k * 104729 % 36001).cast("double") / 100 - 180).alias("lon"))
+    spots = table(spark, sf_dir, "supplier").select(j.alias("place_id"), ((j * 4421 % 17001).cast("double") / 100 - 85).alias("lat"), ((j * 98893 % 36001).cast("double") / 100 - 180).alias("lon"), F.col("s_name").alias("city"), F.concat(F.lit("country "), F.col("s_nationkey").cast("string")).alias("country"))
+    return points, spots
+
+
+@query(f"""WITH {POINTS}, {SPOTS}, d AS (SELECT p.id, s.place_id, s.city, s.country, {KM} AS km FROM (SELECT p.id, s.place_id, s.city, s.country, {HAV} AS a FROM p, s) AS t(id, place_id, city, country, a), LATERAL (SELECT 1) AS p1(id1), LATERAL (SELECT 1) AS s1(id2))
+SELECT id, place_id, round(km, 3) AS km, CASE WHEN km <= 20 THEN city || ', ' || country WHEN km <= 150 THEN 'near ' || city || ', ' || country ELSE country END AS label
+FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place_id) = 1""".replace(", LATERAL (SELECT 1) AS p1(id1), LATERAL (SELECT 1) AS s1(id2)", "").replace("SELECT p.id, s.place_id, s.city, s.country, 2 *", "SELECT id, place_id, city, country, 2 *"))
+def nearest_place(spark, sf_dir):
+    points, spots = globe(spark, sf_dir)
+    out = places.nearest(points, spots).join(spots.select("place_id", "city", "country"), "place_id")
+    return out.select("id", "place_id", F.round("km", 3).alias("km"), places.label(F.col("city"), F.col("country"), F.col("km")).alias("label"))
+
+
+@query(f"WITH {POINTS} SELECT id, printf('%.3f', abs(lat)) || '°' || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || ' ' || printf('%.3f', abs(lon)) || '°' || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END AS place FROM p")
+def coordinates(spark, sf_dir):
+    points, _ = globe(spark, sf_dir)
+    return points.select("id", places.coordinates(F.col("lat"), F.col("lon")).alias("place"))
+
+
+# the queue
+
+NOW = "TIMESTAMP '2024-01-20 00:00:00'"
+WAITS = "(state = 'pending' OR state = 'failed' AND attempts < 3)"
+
+
+def queue(spark, sf_dir) -> tuple[DataFrame, object]:
+    return fixtures.table(spark, sf_dir, "jobs"), F.expr(NOW)
+
+
+def jobs_out(df: DataFrame) -> DataFrame:
+    return df.select("photo_id", "stage", F.col("ord").cast("long").alias("ord"), "state", "model", F.col("attempts").cast("long").alias("attempts"), "error")
+
+
+JOBS_OUT = "photo_id, stage, CAST(ord AS BIGINT) AS ord, state, model, CAST(attempts AS BIGINT) AS attempts, error"
+
+
+@query(ctes("jobs") + f""", people AS (SELECT c_custkey AS id FROM customer), st AS (SELECT * FROM (VALUES (0, 'describe'), (1, 'segment'), (2, 'faces'), (3, 'embed')) AS s(ord, stage))
+SELECT {JOBS_OUT} FROM jobs UNION ALL SELECT id, st.stage, CAST(st.ord AS BIGINT), 'pending', NULL, 0, NULL FROM people, st WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.photo_id = id AND j.stage = st.stage)""")
+def queue_reconcile(spark, sf_dir):
+    all_, now = queue(spark, sf_dir)
+    return jobs_out(jobs.reconcile(all_, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), now))
+
+
+@query(ctes("jobs", "photos", "segments") + f""", m AS (SELECT photo_id, max(model) AS m FROM segments GROUP BY 1),
+d AS (SELECT id FROM photos WHERE trim(ai_description) <> '')
+SELECT j.photo_id, j.stage, CAST(ord AS BIGINT) AS ord, CASE WHEN hit THEN 'done' ELSE state END AS state, CASE WHEN hit THEN found ELSE model END AS model, CAST(attempts AS BIGINT) AS attempts, error
+FROM (SELECT j.*, CASE j.stage WHEN 'describe' THEN CASE WHEN d.id IS NOT NULL THEN 'legacy' END WHEN 'segment' THEN m.m WHEN 'faces' THEN CASE WHEN j.photo_id % 2 = 0 THEN 'sweep' END END AS found,
+  state = 'pending' AND attempts = 0 AND found IS NOT NULL AS hit FROM jobs j LEFT JOIN d ON d.id = j.photo_id LEFT JOIN m ON m.photo_id = j.photo_id) j""")
+def queue_adopt(spark, sf_dir):
+    all_, _ = queue(spark, sf_dir)
+    c = fixtures.catalog(spark, sf_dir)
+    sweeps = all_.where("photo_id % 2 = 0").select("photo_id", F.lit("sweep").alias("model"))
+    return jobs_out(jobs.adopt(all_, c.photos, c.segments, sweeps))
+
+
+@query(ctes("jobs") + f"SELECT photo_id, stage FROM jobs j WHERE {WAITS} AND NOT EXISTS (SELECT 1 FROM jobs e WHERE e.photo_id = j.photo_id AND e.ord < j.ord AND (e.state = 'running' OR e.state = 'pending' OR e.state = 'failed' AND e.attempts < 3))")
+def queue_runnable(spark, sf_dir):
+    return jobs.runnable(queue(spark, sf_dir)[0]).select("photo_id", "stage")
+
+
+@query(ctes("jobs") + f""", first AS (SELECT photo_id, stage FROM jobs j WHERE {WAITS} AND NOT EXISTS (SELECT 1 FROM jobs e WHERE e.photo_id = j.photo_id AND e.ord < j.ord AND (e.state = 'running' OR e.state = 'pending' OR e.state = 'failed' AND e.attempts < 3)) ORDER BY ord, attempts, photo_id LIMIT 12)
+SELECT photo_id, stage, CAST(ord AS BIGINT) AS ord, CASE WHEN (photo_id, stage) IN (SELECT (photo_id, stage) FROM first) THEN 'running' ELSE state END AS state, model, CAST(attempts AS BIGINT) AS attempts, error FROM jobs""")
+def queue_claim(spark, sf_dir):
+    all_, now = queue(spark, sf_dir)
+    return jobs_out(jobs.claim(all_, now, 12))
+
+
+@query(ctes("jobs") + """SELECT photo_id, stage, CAST(ord AS BIGINT) AS ord, CASE photo_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE state END AS state,
+  CASE photo_id % 4 WHEN 0 THEN 'new' ELSE model END AS model, CAST(CASE photo_id % 4 WHEN 0 THEN 0 WHEN 1 THEN attempts + 1 ELSE attempts END AS BIGINT) AS attempts,
+  CASE photo_id % 4 WHEN 0 THEN NULL WHEN 3 THEN error ELSE repeat('x', 500) END AS error FROM jobs""")
+def queue_outcomes(spark, sf_dir):
+    all_, now = queue(spark, sf_dir)
+    k = F.col("photo_id") % 4
+    done = all_.where(k < 3).select("photo_id", "stage", F.when(k == 0, "done").when(k == 1, "failed").otherwise("skipped").alias("outcome"), F.when(k == 0, "new").alias("model"), F.when(k > 0, F.repeat(F.lit("x"), 600)).alias("error"))
+    return jobs_out(jobs.apply_outcomes(all_, done, now))
+
+
+@query(ctes("jobs") + f"SELECT photo_id, stage, CAST(ord AS BIGINT) AS ord, CASE WHEN state = 'running' AND updated_at < {NOW} - INTERVAL 15 MINUTE THEN 'pending' ELSE state END AS state, model, CAST(attempts AS BIGINT) AS attempts, error FROM jobs")
+def queue_release(spark, sf_dir):
+    return jobs_out(jobs.release_stale(*queue(spark, sf_dir)))
+
+
+@query(ctes("jobs") + """SELECT photo_id, stage, CAST(ord AS BIGINT) AS ord, CASE WHEN r THEN 'pending' ELSE state END AS state, model, CAST(CASE WHEN r THEN 0 ELSE attempts END AS BIGINT) AS attempts, CASE WHEN r THEN NULL ELSE error END AS error
+FROM (SELECT *, stage = 'faces' AND model IS DISTINCT FROM 'm1' AS r FROM jobs)""")
+def queue_requeue(spark, sf_dir):
+    all_, now = queue(spark, sf_dir)
+    return jobs_out(jobs.requeue(all_, now, "faces", "m1"))
+
+
+@query(ctes("jobs") + """SELECT photo_id, stage, CAST(ord AS BIGINT) AS ord, CASE WHEN r THEN 'pending' ELSE state END AS state, model, CAST(CASE WHEN r THEN 0 ELSE attempts END AS BIGINT) AS attempts, CASE WHEN r THEN NULL ELSE error END AS error
+FROM (SELECT *, state = 'failed' AND attempts >= 3 AS r FROM jobs)""")
+def queue_retry(spark, sf_dir):
+    return jobs_out(jobs.retry_stuck(*queue(spark, sf_dir)))
+
+
+@query(ctes("jobs") + """SELECT s.stage, CAST(s.ord AS BIGINT) AS ord, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state IN ('pending', 'running')) AS pending, count(*) FILTER (state = 'failed' AND attempts < 3) AS failed,
+  count(*) FILTER (state = 'failed' AND attempts >= 3) AS stuck, count(*) FILTER (state = 'skipped') AS skipped, count(j.stage) AS total, round(CASE WHEN count(j.stage) = 0 THEN 1 ELSE count(*) FILTER (state IN ('done', 'skipped')) / CAST(count(j.stage) AS DOUBLE) END, 6) AS fraction
+FROM (VALUES (0, 'describe'), (1, 'segment'), (2, 'faces'), (3, 'embed')) AS s(ord, stage) LEFT JOIN (SELECT * FROM jobs WHERE stage <> 'embed') j ON j.stage = s.stage GROUP BY s.stage, s.ord""")
+def queue_status(spark, sf_dir):
+    out = jobs.status(queue(spark, sf_dir)[0].where("stage <> 'embed'"))
+    return out.withColumns({"ord": F.col("ord").cast("long"), "fraction": F.round("fraction", 6)})
+
+
+@query(ctes("jobs") + "SELECT stage, CASE WHEN state = 'failed' AND attempts >= 3 THEN 'skipped' ELSE state END AS state FROM jobs WHERE photo_id = 7")
+def queue_explain(spark, sf_dir):
+    return jobs.explain(queue(spark, sf_dir)[0], 7).select("stage", "state")
+
+
+@query("SELECT event_id, CAST(hour(ts) * 60 + minute(ts) >= 1350 OR hour(ts) * 60 + minute(ts) < 375 AS BOOLEAN) AS night, hour(ts) >= 9 AND hour(ts) < 17 AS office FROM events")
+def schedule_window(spark, sf_dir):
+    night, office = Schedule("window", clock(22, 30), clock(6, 15)), Schedule("window", clock(9), clock(17))
+    return table(spark, sf_dir, "events").select("event_id", night.open_at(F.col("ts")).alias("night"), office.open_at(F.col("ts")).alias("office"))
+
+
+@query(ctes("photos") + "SELECT content_hash FROM photos WHERE id % 3 = 0 AND content_hash IN (SELECT content_hash FROM photos WHERE id % 2 = 0)")
+def cache_prune(spark, sf_dir):
+    photos = fixtures.table(spark, sf_dir, "photos")
+    return store.cache_prune(photos.where("id % 3 = 0").select("content_hash"), photos.where("id % 2 = 0")).select("content_hash")
+
+
+@query(ctes("photos") + "SELECT content_hash, CASE WHEN id % 3 = 0 THEN file_name END AS payload FROM photos WHERE id % 2 = 0")
+def cache_lookup(spark, sf_dir):
+    photos = fixtures.table(spark, sf_dir, "photos")
+    keyed = lambda df: df.withColumns({"stage": F.lit("embed"), "model": F.lit("m")})
+    cache = keyed(photos.where("id % 3 = 0").select("content_hash", F.col("file_name").alias("payload")))
+    return store.cache_get(keyed(photos.where("id % 2 = 0").select("content_hash")), cache).select("content_hash", "payload")
+
+
+# writes
+
+TAG_BASE = ctes("tags") + ", incoming AS (SELECT photo_id, CASE WHEN photo_id % 2 = 0 THEN 'Sunset ' ELSE upper(tag) END AS tag, CAST(photo_id % 3 AS INT) AS source, photo_id % 10 / 10.0 AS confidence FROM tags WHERE photo_id % 4 < 2)\n"
+TAG_NEW = ", clean AS (SELECT DISTINCT photo_id, lower(trim(tag)) AS tag, source, confidence FROM incoming)\n"
+
+
+def incoming_tags(tags: DataFrame) -> DataFrame:
+    tag = F.when(F.col("photo_id") % 2 == 0, "Sunset ").otherwise(F.upper("tag"))
+    return tags.where("photo_id % 4 < 2").select("photo_id", tag.alias("tag"), ((F.col("photo_id") % 10) / 10.0).alias("confidence"), (F.col("photo_id") % 3).cast("int").alias("source"), F.lit(0).alias("seq"))
+
+
+def tags_out(df: DataFrame) -> DataFrame:
+    return df.select("photo_id", "tag", F.col("source").cast("long").alias("source"), F.col("confidence").cast("double").alias("confidence"))
+
+
+TAGS_OUT = "photo_id, tag, CAST(source AS BIGINT) AS source, CAST(confidence AS DOUBLE) AS confidence"
+
+
+def tag_table(spark, sf_dir) -> DataFrame:
+    return fixtures.table(spark, sf_dir, "tags").withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query(TAG_BASE + TAG_NEW + f"SELECT {TAGS_OUT} FROM tags t WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.photo_id = t.photo_id AND c.tag = t.tag AND c.source = t.source) UNION ALL SELECT {TAGS_OUT} FROM clean")
+def upsert_tags(spark, sf_dir):
+    tags = tag_table(spark, sf_dir)
+    return tags_out(edits.upsert_tags(tags, incoming_tags(tags)))
+
+
+@query(TAG_BASE + TAG_NEW + f"""SELECT {TAGS_OUT} FROM tags t WHERE NOT (t.source = 1 AND t.photo_id IN (SELECT photo_id FROM clean WHERE source = 1))
+AND NOT EXISTS (SELECT 1 FROM clean c WHERE c.photo_id = t.photo_id AND c.tag = t.tag AND c.source = t.source) UNION ALL SELECT {TAGS_OUT} FROM clean""")
+def replace_ai_tags(spark, sf_dir):
+    tags = tag_table(spark, sf_dir)
+    return tags_out(edits.replace_ai_tags(tags, incoming_tags(tags)))
+
+
+@query(ctes("tags") + f"SELECT {TAGS_OUT} FROM tags WHERE NOT (source = 2 AND tag = 'view')")
+def remove_user_tags(spark, sf_dir):
+    tags = tag_table(spark, sf_dir)
+    return tags_out(edits.remove_user_tags(tags, tags.select("photo_id").distinct().withColumn("tag", F.lit(" View"))))
+
+
+@query(ctes("segments") + "SELECT photo_id, lower(label) AS tag, max(confidence) AS confidence FROM segments GROUP BY ALL")
+def segment_tags(spark, sf_dir):
+    return edits.segment_tags(fixtures.table(spark, sf_dir, "segments")).select("photo_id", "tag", "confidence")
+
+
+@query("""WITH known AS (SELECT sha256(text) AS h FROM documents WHERE doc_id < 100), new AS (SELECT sha256(text) AS h, doc_id FROM documents WHERE doc_id >= 50),
+first AS (SELECT h, min(doc_id) AS doc_id FROM new WHERE h NOT IN (SELECT h FROM known) GROUP BY h)
+SELECT h AS content_hash, 99 + row_number() OVER (ORDER BY doc_id) AS id FROM first UNION ALL SELECT sha256(text), doc_id FROM documents WHERE doc_id < 100""")
+def upsert_photos(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("id"))
+    incoming = docs.where("id >= 50").select("content_hash", F.col("id").alias("seq"))
+    return edits.upsert_photos(docs.where("id < 100").select("id", "content_hash"), incoming).select("content_hash", "id")
+
+
+@query(ctes("photos") + "SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE state END AS BIGINT) AS state, CASE WHEN id % 6 = 0 THEN 'm2' END AS model, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS revision FROM photos")
+def set_state(spark, sf_dir):
+    photos = fixtures.table(spark, sf_dir, "photos")
+    changes = photos.where("id % 3 = 0").select("id", F.lit(2).alias("state"), F.lit("ok").alias("detail"), F.when(F.col("id") % 6 == 0, "m2").alias("model"))
+    return edits.set_state(photos, changes).select("id", F.col("state").cast("long").alias("state"), F.col("model_version").alias("model"), "revision")
+
+
+@query(ctes("segments") + "SELECT id, CASE WHEN id % 10 = 3 THEN 'Big Car' WHEN id % 10 = 4 THEN NULL ELSE user_label END AS user_label FROM segments")
+def correct_labels(spark, sf_dir):
+    rows = fixtures.table(spark, sf_dir, "segments")
+    fixes = rows.where("id % 10 IN (3, 4)").select("id", F.when(F.col("id") % 10 == 3, "  Big Car ").otherwise("  ").alias("label"))
+    return edits.correct_labels(rows, fixes).select("id", "user_label")
+
+
+@query(ctes("members", "collections") + """SELECT c.id, c.name, CAST(kind AS BIGINT) AS kind, CASE WHEN kind = 1 THEN -1 ELSE count(m.photo_id) END AS n
+FROM collections c LEFT JOIN members m ON m.collection_id = c.id GROUP BY c.id, c.name, kind""")
+def list_collections(spark, sf_dir):
+    out = edits.list_collections(fixtures.table(spark, sf_dir, "collections"), fixtures.table(spark, sf_dir, "members"))
+    return out.select("id", "name", F.col("kind").cast("long").alias("kind"), "n")
+
+
+@query(ctes("members") + """, incoming AS (SELECT CAST(2 AS BIGINT) AS collection_id, o_orderkey AS photo_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderkey % 8 < 5 AND o_orderkey < 3000)
+SELECT collection_id, photo_id, CAST(position AS BIGINT) AS position FROM members UNION ALL
+SELECT collection_id, photo_id, n + (SELECT max(position) + 1 FROM members WHERE collection_id = 2) FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.collection_id = 2 AND m.photo_id = i.photo_id)""")
+def album_add(spark, sf_dir):
+    new = table(spark, sf_dir, "orders").where("o_orderkey % 8 < 5 AND o_orderkey < 3000").select(F.lit(2).cast("long").alias("collection_id"), F.col("o_orderkey").alias("photo_id"), F.col("o_orderkey").alias("seq"))
+    return edits.add_to_collection(fixtures.table(spark, sf_dir, "members"), new).withColumn("position", F.col("position").cast("long"))
+
+
+@query(ctes("members") + """, moved AS (SELECT photo_id, row_number() OVER (ORDER BY photo_id) - 1 AS n FROM members WHERE collection_id = 1 AND photo_id % 3 = 0)
+SELECT collection_id, photo_id FROM members WHERE NOT (collection_id = 1 AND photo_id IN (SELECT photo_id FROM moved))
+UNION SELECT CAST(5 AS BIGINT), photo_id FROM moved""")
+def album_move(spark, sf_dir):
+    members = fixtures.table(spark, sf_dir, "members")
+    chosen = members.where("collection_id = 1 AND photo_id % 3 = 0").select("photo_id", F.col("photo_id").alias("seq"))
+    return edits.move_between(members, 1, 5, chosen)[0].select("collection_id", "photo_id")
+
+
+# ingest
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 'application/octet-stream' ELSE 'image/jpeg' END AS mime, 'thumb/' || substr(sha256(html), 1, 2) || '/' || sha256(html) || '.jpg' AS key FROM pages")
+def mime_and_keys(spark, sf_dir):
+    path = F.when(F.col("url").contains(".html"), F.lit("a/b.html")).otherwise(F.concat(F.lit("x/"), F.col("page_id").cast("string"), F.lit(".JPEG")))
+    return table(spark, sf_dir, "pages").select("page_id", ingest.mime_type(path).alias("mime"), store.derivative_key("thumb", F.sha2("html", 256)).alias("key"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size >= 25 THEN CASE WHEN p_size % 10 = 0 THEN CAST(p_size // 10 AS VARCHAR) ELSE printf('%.1f', p_size / 10.0) END || 's' WHEN p_size < 10 THEN '1/' || CAST(p_size * 50 AS VARCHAR) END AS shown FROM part WHERE p_size >= 25 OR p_size < 10")
+def shutter_format(spark, sf_dir):
+    seconds = F.when(F.col("p_size") >= 25, F.col("p_size") / 10.0).otherwise(1 / (F.col("p_size") * 50.0))
+    return table(spark, sf_dir, "part").where("p_size >= 25 OR p_size < 10").select("p_partkey", text.shutter(seconds.cast("double")).alias("shown"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_records(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", store.read_json(F.col("props"), "k long")["k"].alias("k"))
