@@ -52,6 +52,8 @@ SPAN = LENGTH - KMER + 1
 SIDE = (LENGTH - KMER) // 2
 #: Windows hashed at a time; bytes in an index.
 BLOCK, CHUNK = 1 << 18, 1 << 19
+#: Most symbols packed for the first sort of an index.
+FIRST = 5
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -222,38 +224,58 @@ class RunLengthIndex:
     def build(cls, text: np.ndarray) -> RunLengthIndex:
         """text: numbers from 0; separators should be larger and each its own."""
         n = len(text)
-        levels = [np.unique(text, return_inverse=True)[1].astype(np.int32)]
-        width = 1
-        order = np.argsort(levels[0], kind="stable")
+        # ranks of the first symbols, packed; a rank is the place of the first of its equals
+        bits = int(text.max() + 1).bit_length()
+        packed = min(FIRST, 62 // bits)
+        code = np.zeros(n, np.int64)
+        for k in range(packed):
+            code <<= bits
+            code[: max(n - k, 0)] += text[k:] + 1
+        order = np.argsort(code)
+        levels, width = [], packed
+        rank = np.zeros(n, np.int64)
+        rank, open_ = cls._ranked(code[order], order, np.zeros(n, np.int64), rank)
         while True:
-            rank = levels[-1]
-            if len(rank) and rank.max() == n - 1:
+            levels.append(rank.astype(np.int32))
+            if not len(open_):
                 break
-            pair = rank.astype(np.int64) * (n + 1)
-            pair[: n - width] += rank[width:] + 1
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            new = np.empty(n, np.int32)
-            new[order] = np.cumsum(np.r_[0, pair[1:] != pair[:-1]])
-            levels.append(new)
+            # only suffixes that have equals so far are sorted on
+            pair = rank[open_] * (n + 1)
+            inside = open_ + width < n
+            pair[inside] += rank[open_[inside] + width] + 1
+            by = np.argsort(pair)
+            rank, open_ = cls._ranked(pair[by], open_[by], rank[open_[by]], rank)
             width *= 2
-            if width >= 2 * n:
-                break
         order = np.empty(n, np.int64)
-        order[levels[-1]] = np.arange(n)
+        order[rank] = np.arange(n)
         bwt = text[order - 1]
         head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         border = head[1:]
         a, b = order[border - 1], order[border]
         i, j, common = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-        for k in reversed(range(len(levels))):
+        for level, step in [(x, packed << k) for k, x in reversed(list(enumerate(levels)))] + [(text, 1)] * (packed - 1):
             inside = np.flatnonzero((i < n) & (j < n))
-            same = inside[levels[k][i[inside]] == levels[k][j[inside]]]
-            i[same] += 1 << k
-            j[same] += 1 << k
-            common[same] += 1 << k
+            same = inside[level[i[inside]] == level[j[inside]]]
+            i[same] += step
+            j[same] += step
+            common[same] += step
         return cls(bwt[head], head, a, b, common, n)
 
+    @staticmethod
+    def _ranked(key: np.ndarray, place: np.ndarray, group: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks after sorting by key the suffixes at the places, all of whole groups of equals that begin
+        at the ranks in group; and the places that still have equals."""
+        n = len(key)
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new)
+        own = np.repeat(first, np.diff(np.r_[first, n]))
+        of_group = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        start = np.repeat(of_group, np.diff(np.r_[of_group, n]))
+        rank = rank.copy()
+        rank[place] = group + own - start
+        alone = new & np.r_[new[1:], True]
+        return rank, place[~alone]
+
     def statistics(self) -> np.ndarray:
         """For each place, the length of the longest string from there that also starts elsewhere."""
         best = np.zeros(self.size, np.int64)
