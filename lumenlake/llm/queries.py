@@ -62,3 +62,64 @@ def op2_licences(spark, sf_dir):
 @query
 def op7_repeats(spark, sf_dir):
     return repeats.without_repeats(read(spark, sf_dir, "documents"))
+
+
+#: The rules of the query, as SQL: longest first.
+ORACLES["op6_url_filter"] = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h),
+r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS t(action, rhost, rpath)),
+f AS (SELECT page_id, rhost || rpath AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS k
+  FROM p JOIN r ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON f.page_id = p.page_id AND k = 1
+"""
+
+#: The counts, sketches and fences of the quality rules with their production parameters.
+ORACLES["op4_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+  coalesce(covered.n, 0) AS n_repeat_words, length(regexp_replace(array_to_string(ws, ''), '[\p{L}\p{Nl}\p{No}]', '', 'g')) AS n_other, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper
+  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
+v AS (SELECT doc_id, lang, source, rule, CASE WHEN den > 0 THEN num * 1000000 // den ELSE 0 END AS v, slack FROM (
+  SELECT doc_id, lang, source, unnest([{'rule': 'symbols', 'num': n_symbols, 'den': word_chars, 'slack': 30000}, {'rule': 'other', 'num': n_other, 'den': word_chars, 'slack': 60000},
+    {'rule': 'upper', 'num': n_upper, 'den': word_chars, 'slack': 120000}, {'rule': 'repeats', 'num': n_repeat_words, 'den': n_words, 'slack': 250000}, {'rule': 'length', 'num': word_chars, 'den': n_words, 'slack': 3000000}], recursive := true) FROM c)),
+k AS (SELECT *, v - v % CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS low FROM v),
+s AS (SELECT 0 AS level, lang, source, rule, low, slack, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 1, lang, NULL, rule, low, slack, count(*) FROM k GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, rule, low, slack, count(*) FROM k GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM s),
+q AS (SELECT level, lang, source, rule, max(total) AS total, min(low) FILTER (upto >= 0.25 * total) AS q25, min(low) FILTER (upto >= 0.75 * total) AS q75, max(slack) AS slack FROM r GROUP BY level, lang, source, rule),
+f AS (SELECT level, lang, source, rule, q75 + 3 * (q75 - q25) + slack AS fence FROM q WHERE level = 2 OR total >= 200),
+j AS (SELECT v.doc_id, bool_and(v.v <= coalesce(a.fence, b.fence, o.fence)) AS good FROM v
+  LEFT JOIN f a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM v.lang AND a.source IS NOT DISTINCT FROM v.source AND a.rule = v.rule
+  LEFT JOIN f b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM v.lang AND b.rule = v.rule LEFT JOIN f o ON o.level = 2 AND o.rule = v.rule GROUP BY v.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND good AS kept FROM c JOIN j USING (doc_id)
+"""
+
+#: Templates, weights, cosines and inheritance of the licence query.
+ORACLES["op2_licences"] = r"""
+WITH templates AS (SELECT * FROM (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0'), ('BSD-2-Clause', 'Licensed under the 2-clause BSD License'), ('BSD-3-Clause', 'Licensed under the 3-clause BSD License'),
+  ('CC-BY-4.0', 'Licensed under CC BY 4.0'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0'), ('CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0'), ('CC0-1.0', 'Licensed under CC0 1.0 public domain dedication'),
+  ('GPL-2.0', 'This work is licensed under the GNU General Public License, version 2'), ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3'),
+  ('LGPL-3.0', 'This work is licensed under the GNU Lesser General Public License, version 3'), ('MIT', 'Released under the MIT License'),
+  ('MPL-2.0', 'This file is subject to the terms of the Mozilla Public License, version 2.0'), ('Unlicense', 'Released under the Unlicense into the public domain')) AS t(name, t)),
+tt AS (SELECT DISTINCT name, unnest(regexp_extract_all(lower(t), '[a-z0-9+-]+(?:[.][0-9]+)*')) AS term FROM templates),
+idf AS (SELECT term, pow(1 + ln(14.0 / (1 + count(*))), 2) AS s FROM tt GROUP BY term),
+size AS (SELECT name, sum(s) AS size FROM tt JOIN idf USING (term) GROUP BY name),
+files AS (SELECT doc_id, text, CASE WHEN doc_id % 100 = 0 THEN source || '/' || doc_id ELSE source || '/' || lang || '/' || doc_id END AS path, CASE WHEN doc_id % 100 = 0 THEN source ELSE source || '/' || lang END AS dir FROM documents),
+lines AS (SELECT doc_id, row_number() OVER () AS line, l FROM (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS l FROM files) WHERE regexp_matches(l, 'licen[cs]|copyright|spdx')),
+lt AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(l, '[a-z0-9+-]+(?:[.][0-9]+)*')) AS term FROM lines),
+norm AS (SELECT line, sum(coalesce(s, pow(1 + ln(14.0 / 2), 2))) AS norm FROM lt LEFT JOIN idf USING (term) GROUP BY line),
+dots AS (SELECT doc_id, line, name, sum(s) AS dot FROM lt JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
+best AS (SELECT doc_id, name, round(dot / sqrt(norm * size), 9) AS score FROM dots JOIN norm USING (line) JOIN size USING (name) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / sqrt(norm * size), 9) DESC, name) = 1),
+own AS (SELECT f.*, coalesce(score, 0) AS score, CASE WHEN score >= 0.6 THEN name END AS own FROM files f LEFT JOIN best USING (doc_id)),
+dirs AS (SELECT dir, own AS given FROM own WHERE score >= 0.8 GROUP BY dir, own QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, own) = 1),
+up AS (SELECT dir, 0 AS far, dir AS at_dir FROM own UNION SELECT dir, 1, CASE WHEN contains(dir, '/') THEN string_split(dir, '/')[1] ELSE '' END FROM own UNION SELECT dir, 2, '' FROM own WHERE contains(dir, '/')),
+near AS (SELECT up.dir, at_dir, given FROM up JOIN dirs ON dirs.dir = at_dir QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY far) = 1)
+SELECT doc_id, path, coalesce(own, given) AS licence, score, CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN own IS NULL THEN at_dir END AS licence_dir FROM own LEFT JOIN near USING (dir)
+"""
