@@ -211,7 +211,7 @@ def span_and_busiest(spark, sf_dir):
 # words
 
 
-VOCABULARY = """WITH words AS (SELECT p_name AS t FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region),
+VOCABULARY = r"""WITH words AS (SELECT p_name AS t FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region),
 terms AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_split_to_array(t, '[-_ .,/\()]+')) AS w FROM words) WHERE length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+'))
 """
 TYPED = ("wigdet", "gaget", "EUORPE", "natoin", "ameriac", "asia", "widget", "spocket", "middel", "red")
@@ -272,7 +272,7 @@ def found_text(name: str, typed: str, where: str, inverted: bool = False):
         return fulltext.lookup(fulltext.index(docs, ("text",)), typed) if inverted else fulltext.matches(docs, typed, ("text",))
 
     f.__name__ = name
-    query(f"WITH d AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM documents) SELECT id FROM d WHERE {where}")(f)
+    query(rf"WITH d AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM documents) SELECT id FROM d WHERE {where}")(f)
 
 
 found_text("fts_words", "the LICENSED apac", "contains(t, ' the ') AND contains(t, ' licensed ') AND contains(t, ' apac')")
@@ -362,7 +362,7 @@ def search_many(spark, sf_dir):
 
 # hybrid search
 
-MERGED = """, d AS (SELECT doc_id AS id, n_chars, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE lang = 'en'),
+MERGED = r""", d AS (SELECT doc_id AS id, n_chars, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE lang = 'en'),
 x AS (SELECT id, row_number() OVER (ORDER BY n_chars DESC, id DESC) - 1 AS i FROM d WHERE contains(t, ' worthless') LIMIT 200),
 zs AS (SELECT photo_id, (s - (SELECT avg(s) FROM s)) / (SELECT stddev_pop(s) FROM s) AS z FROM (SELECT * FROM s)),
 near AS (SELECT z.photo_id AS id, z.z, row_number() OVER (ORDER BY z DESC, photo_id) AS k FROM (SELECT * FROM zs ORDER BY z DESC, photo_id LIMIT 120) z WHERE z.z >= 2),
@@ -387,7 +387,7 @@ def hybrid_search(spark, sf_dir):
     return search.search(document_catalog(spark, sf_dir), q, calibrated, vector_of(rows, 40)).hits.select("id", F.round("score", 4).alias("score"), F.col("reasons").cast("long").alias("reasons"))
 
 
-@query("""WITH d AS (SELECT doc_id AS id, n_chars, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents),
+@query(r"""WITH d AS (SELECT doc_id AS id, n_chars, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents),
 x AS (SELECT id, row_number() OVER (ORDER BY n_chars DESC, id DESC) - 1 AS i FROM d WHERE contains(t, ' pathetic') ORDER BY i LIMIT 100)
 SELECT id, round(0.55 * (5.0 / 13) / (1 + 0.06 * i), 4) AS score, CAST(4 AS BIGINT) AS reasons, '“pahtetic” → pathetic' AS explanation FROM x ORDER BY i LIMIT 60""")
 def fuzzy_search(spark, sf_dir):

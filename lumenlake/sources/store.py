@@ -90,7 +90,8 @@ class ObjectStore:
         return found.getLen(), found.getModificationTime()
 
     def listing(self, prefix: str = "", content: bool = False) -> DataFrame:
-        """key, length, modified (and content) of the objects whose key starts with a string prefix."""
+        """key, length, modified (and content) of the objects whose key starts with a string prefix. Spark's
+        scan passes over empty files."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
         root = self._fs.makeQualified(self._path("")).toUri().getPath().rstrip("/")
         key = F.regexp_replace(F.col("path"), rf"^[a-z0-9]+:(?://[^/]*)?{root}/", "")
