@@ -70,13 +70,19 @@ def matches(docs: DataFrame, text: str, columns: tuple[str, ...] = COLUMNS) -> D
     terms = compile_query(text)
     if terms is None:
         return docs.select("id").limit(0)
-    out = docs.select("id", *[tokens(F.col(c)).alias(c) for c in columns])
-    for term in terms:
-        either = F.lit(False)
-        for c in columns:
-            either = either | holds(term, F.col(c))
-        out = out.where(either)
-    return out.select("id")
+
+    def passes(found):
+        out = F.lit(True)
+        for term in terms:
+            either = F.lit(False)
+            for c in columns:
+                either = either | holds(term, found[c])
+            out = out & either
+        return out
+
+    # a lambda's argument is evaluated once for a row, however many terms look at it
+    once = F.array(F.struct(*[tokens(F.col(c)).alias(c) for c in columns]))
+    return docs.where(F.exists(once, passes)).select("id")
 
 
 def index(docs: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

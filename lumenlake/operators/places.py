@@ -56,9 +56,15 @@ def nearest(points: DataFrame, places: DataFrame) -> DataFrame:
     spots = places.select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     km = haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     best = lambda rows: rows.groupBy("id").agg(F.min(F.struct(km.alias("km"), "place_id")).alias("b")).select("id", "b.place_id", "b.km")
-    few = spots.limit(SMALL + 1).count() <= SMALL
-    if few:
-        found = best(good.join(F.broadcast(spots), how="cross"))  # at most SMALL places
+    if spots.limit(SMALL + 1).count() <= SMALL:
+        # the nearest has the largest dot product of unit vectors; the distance is worked out once
+        axes = lambda lat, lon, to: F.struct(*[c.alias(k) for k, c in zip(to, (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))))])
+        p = good.select("*", axes("lat", "lon", "abc").alias("u"))
+        s = spots.select((-F.col("place_id")).alias("n"), "plat", "plon", axes("plat", "plon", "abc").alias("w"))
+        pairs = p.join(F.broadcast(s), how="cross")  # at most SMALL places
+        near = F.round(sum((F.col(f"u.{k}") * F.col(f"w.{k}") for k in "bc"), F.col("u.a") * F.col("w.a")), 14)
+        top = pairs.select("id", "lat", "lon", near.alias("near"), "n", "plat", "plon").groupBy("id", "lat", "lon").agg(F.max(F.struct("near", "n", "plat", "plon")).alias("b"))
+        found = top.select("id", (-F.col("b.n")).alias("place_id"), F.col("b.plat").alias("plat"), F.col("b.plon").alias("plon"), "lat", "lon").select("id", "place_id", km.alias("km"))
         return points.select("id").join(found, "id", "left")
     row, column = cell(F.col("lat"), F.col("lon"))
     prow, pcolumn = cell(F.col("plat"), F.col("plon"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import fuzzy
 from lumenlake.operators import vectors
 from lumenlake.plans.query import Catalog, Query, filtered, order_columns, page, row_predicates
+from lumenlake.sources.store import kept
 
 #: Reasons as bits, weights, and what counts as a hit.
 FACET, EXACT, SEMANTIC, FUZZY = 0, 1, 2, 4
@@ -83,11 +84,12 @@ def search(catalog: Catalog, q: Query, embeddings: DataFrame | None = None, vect
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    merged = merged.groupBy("id").agg(F.sum("score").alias("score"), F.bit_or("reasons").alias("reasons"), F.min("seen").alias("seen"))
+    # a few hundred rows, counted and ranked below: kept, so that the text is not searched again
+    merged = kept(merged.groupBy("id").agg(F.sum("score").alias("score"), F.bit_or("reasons").alias("reasons"), F.min("seen").alias("seen")), "merged")
     said = f"“{corrections[0][0]}” → {corrections[0][1]}" if corrections else None
     why = F.when(F.col("reasons").bitwiseAND(EXACT) != 0, F.lit(None)).when((F.col("reasons").bitwiseAND(FUZZY) != 0) & F.lit(said is not None), F.lit(said)).otherwise("similar meaning")
     whole = merged.join(catalog.photos.select("id", "captured_utc"), "id")
     order_by = [F.desc("score"), F.desc("captured_utc"), F.asc("seen"), F.asc("id")]
     top = whole.orderBy(*order_by).limit(max(q.limit, 1))
     hits = top.select("id", "score", "reasons", why.alias("explanation"), F.row_number().over(W.orderBy(*order_by)).cast("long").alias("position"))  # over one page
-    return Result(hits, whole.count(), list(dict.fromkeys(corrections)), some)
+    return Result(hits, merged.count(), list(dict.fromkeys(corrections)), some)
