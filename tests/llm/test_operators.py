@@ -521,3 +521,19 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert ids[3] == {d for d, t in texts(seen[2]) if not any(x in t for x in items)}
     assert ids[4] == ids[3] and not any(brute_pii(t) for _, t in texts(seen[4]))
     check_pieces(seen[4], seen[5])
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_pipeline_on_awkward_rows(spark, sf_dir, request, which):
+    """Every stage takes null, empty, long and repeated rows, other columns, and no rows at all."""
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(which)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows = out.count()
+        assert (rows > 0) == (which == "odd")
+        if out.columns == docs.columns:
+            docs = out
+    kept = {r.doc_id for r in docs.collect()}
+    assert which == "empty" or (5 in kept and 6 not in kept and None in kept)  # 5 and 6 are copies
