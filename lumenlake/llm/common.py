@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,7 +25,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
+    try:
+        named = spark.conf.get("spark.checkpoint.dir")
+    except PySparkException:  # unset
+        named = None
+    if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
