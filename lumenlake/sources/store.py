@@ -6,6 +6,7 @@ import posixpath
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,11 @@ _OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
+    try:
+        named = spark.conf.get("spark.checkpoint.dir")
+    except PySparkException:  # unset
+        named = None
+    if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
