@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlake.functions.text import nocase
-from lumenlake.operators.grouping import match_in_turn
+from lumenlake.operators.grouping import match_in_turn, numbered
 from lumenlake.schema import AI, COMPLETE, USER
 
 MAX_LABEL = 60
@@ -23,9 +23,8 @@ def upsert_photos(photos: DataFrame, incoming: DataFrame) -> DataFrame:
     first = F.row_number().over(W.partitionBy("content_hash").orderBy("seq"))
     new = incoming.withColumn("_r", first).where("_r = 1").drop("_r").join(photos.select("content_hash"), "content_hash", "left_anti")
     largest = photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
-    # one batch of an import is numbered at once; its size is that of the batch
-    numbered = new.withColumn("id", F.row_number().over(W.orderBy("seq")).cast("long")).join(F.broadcast(largest), how="cross")
-    return photos.unionByName(numbered.withColumn("id", F.col("id") + F.col("m")).select(*photos.columns))
+    counted = numbered(new.withColumn("o", F.struct("seq", "content_hash")), "_n").drop("o").join(F.broadcast(largest), how="cross")  # one row
+    return photos.unionByName(counted.withColumn("id", (F.col("_n") + F.col("m") + 1).cast("long")).select(*photos.columns))
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -106,22 +106,23 @@ def near_duplicate_groups(photos: DataFrame, bits: int = SAME_PHOTO_BITS) -> Dat
     """id, anchor_id, size of photos in groups of two or more; the earliest captured claims first, ties
     by id."""
     ranked = kept(photos.where("perceptual_hash IS NOT NULL").select("id", F.struct("captured_utc", "id").alias("o"), F.col("perceptual_hash").alias("hash")), "ranked")
-    numbered = _numbered(ranked)
-    groups = anchors(numbered, hash_pairs(numbered.select("seq", "hash"), bits))
+    rows = numbered(ranked)
+    groups = anchors(rows, hash_pairs(rows.select("seq", "hash"), bits))
     size = groups.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1")
-    named = numbered.select("seq", "id")
+    named = rows.select("seq", "id")
     first = named.select(F.col("seq").alias("anchor"), F.col("id").alias("anchor_id"))
     return groups.join(size, "anchor").join(first, "anchor").join(named, "seq").select("id", "anchor_id", "size")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds seq, a number in the order of column o: by range partitions, whose counts are added up,
+def numbered(rows: DataFrame, name: str = "seq") -> DataFrame:
+    """Adds a number from 0 in the order of column o: by range partitions, whose counts are added up,
     so that no task sees all rows."""
-    dealt = kept(rows.repartitionByRange("o").withColumn("part", F.spark_partition_id()), "dealt")
-    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    base = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))  # a row a partition
-    own = F.row_number().over(W.partitionBy("part").orderBy("o"))
-    return kept(dealt.withColumn("own", own).join(F.broadcast(base), "part").withColumn("seq", F.col("base") + F.col("own") - 1).drop("part", "own", "base"), "numbered")
+    dealt = kept(rows.repartitionByRange("o").withColumn("_part", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    base = counts.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_base"))  # a row a partition
+    own = F.row_number().over(W.partitionBy("_part").orderBy("o"))
+    out = dealt.withColumn("_own", own).join(F.broadcast(base), "_part")
+    return kept(out.withColumn(name, F.col("_base") + F.col("_own") - 1).drop("_part", "_base", "_own"), "numbered")
 
 
 def people_groups(faces: DataFrame, threshold: float, most: int | None = 4000, least_confidence: float = 0.0, order: str = "photos") -> DataFrame:
@@ -132,7 +133,7 @@ def people_groups(faces: DataFrame, threshold: float, most: int | None = 4000, l
     rows = faces.where(F.col("confidence") >= least_confidence).withColumn("rank", rank)
     if most:
         rows = rows.orderBy(F.desc("rank"), "id").limit(most)
-    rows = _numbered(rows.withColumn("o", F.struct((-F.col("rank")).alias("r"), "id")))
+    rows = numbered(rows.withColumn("o", F.struct((-F.col("rank")).alias("r"), "id")))
     links = None
     models = [r[0] for r in rows.where("embedding IS NOT NULL").select("embed_model").distinct().collect()]  # a few model names
     for m in models:
