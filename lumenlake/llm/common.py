@@ -62,6 +62,11 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[li
     return df.mapInArrow(run, schema)
 
 
+def values(column: pa.Array) -> Iterator:
+    """A column's values one at a time, so that a batch of long texts is not held twice."""
+    return (x.as_py() for x in column)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import mapped, stored
+from lumenlake.llm.common import mapped, stored, values
 
 LENGTH = 400
 KMER = 32
@@ -59,7 +59,7 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 @dataclass(frozen=True)
 class Settings:
-    largest: int = 24 << 20
+    largest: int = 3 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ def _packed(batches):
     """Texts as compressed UTF-8, for what is stored and shuffled."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield [batch.column(0), batch.column(1), [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]]
+        yield [batch.column(0), batch.column(1), [pack((t or "").encode("utf-8", "surrogatepass")) for t in values(batch.column(2))]]
 
 
 def _unpack(body: bytes) -> bytes:
@@ -230,29 +230,32 @@ class RunLengthIndex:
         code = np.zeros(n, np.int64)
         for k in range(packed):
             code <<= bits
-            code[: max(n - k, 0)] += text[k:] + 1
-        order = np.argsort(code)
+            code[: max(n - k, 0)] += text[k:]
+            code[: max(n - k, 0)] += 1
+        order = np.argsort(code).astype(np.int32)
+        code = code[order]
         levels, width = [], packed
-        rank = np.zeros(n, np.int64)
-        rank, open_ = cls._ranked(code[order], order, np.zeros(n, np.int64), rank)
+        rank, open_ = cls._ranked(code, order, np.zeros(n, np.int32), np.zeros(n, np.int32))
+        del code, order
         while True:
-            levels.append(rank.astype(np.int32))
+            levels.append(rank)
             if not len(open_):
                 break
             # only suffixes that have equals so far are sorted on
-            pair = rank[open_] * (n + 1)
+            pair = rank[open_].astype(np.int64) * (n + 1)
             inside = open_ + width < n
             pair[inside] += rank[open_[inside] + width] + 1
             by = np.argsort(pair)
-            rank, open_ = cls._ranked(pair[by], open_[by], rank[open_[by]], rank)
+            place = open_[by]
+            rank, open_ = cls._ranked(pair[by], place, rank[place], rank)
             width *= 2
-        order = np.empty(n, np.int64)
-        order[rank] = np.arange(n)
+        order = np.empty(n, np.int32)
+        order[rank] = np.arange(n, dtype=np.int32)
         bwt = text[order - 1]
         head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         border = head[1:]
         a, b = order[border - 1], order[border]
-        i, j, common = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        i, j, common = a.astype(np.int64), b.astype(np.int64), np.zeros(len(a), np.int64)
         for level, step in [(x, packed << k) for k, x in reversed(list(enumerate(levels)))] + [(text, 1)] * (packed - 1):
             inside = np.flatnonzero((i < n) & (j < n))
             same = inside[level[i[inside]] == level[j[inside]]]
@@ -268,11 +271,11 @@ class RunLengthIndex:
         n = len(key)
         new = np.r_[True, key[1:] != key[:-1]]
         first = np.flatnonzero(new)
-        own = np.repeat(first, np.diff(np.r_[first, n]))
         of_group = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        start = np.repeat(of_group, np.diff(np.r_[of_group, n]))
+        own = np.repeat(first.astype(np.int32), np.diff(np.r_[first, n]))
+        own -= np.repeat(of_group.astype(np.int32), np.diff(np.r_[of_group, n]))
         rank = rank.copy()
-        rank[place] = group + own - start
+        rank[place] = own + group
         alone = new & np.r_[new[1:], True]
         return rank, place[~alone]
 
@@ -290,11 +293,11 @@ def marks(bodies: list[bytes]) -> list[np.ndarray]:
     """The windows of each body that start a string of LENGTH bytes found elsewhere in the bodies."""
     sizes = np.array([len(b) for b in bodies])
     ends = np.cumsum(sizes + 1) - 1
-    text = np.empty(int(sizes.sum() + len(bodies)), np.int64)
+    text = np.empty(int(sizes.sum() + len(bodies)), np.int32)
     mask = np.ones(len(text), bool)
     mask[ends] = False
     text[mask] = np.frombuffer(b"".join(bodies), np.uint8)
-    text[ends] = 256 + np.arange(len(bodies))
+    text[ends] = 256 + np.arange(len(bodies), dtype=np.int32)
     long = np.flatnonzero(RunLengthIndex.build(text).statistics() >= LENGTH)
     cut = np.searchsorted(long, np.r_[ends - sizes, len(text)])
     return [long[cut[i] : cut[i + 1]] - (ends[i] - sizes[i]) for i in range(len(bodies))]
