@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from datetime import time as clock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,13 +12,12 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import boxes, fuzzy, text
 from lumenlake.functions.schedule import Schedule
-from lumenlake.operators import edits, facets, fulltext, grouping, jobs, places, vectors
+from lumenlake.operators import edits, facets, faces, fulltext, grouping, jobs, places, vectors
 from lumenlake.plans import fixtures, search
 from lumenlake.plans.fixtures import ctes
 from lumenlake.plans.query import Catalog, Order, Query, filtered, order_columns, run
 from lumenlake.session import table
 from lumenlake.sources import ingest, store
-from datetime import time as clock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,6 +123,31 @@ def faces_by_prominence(spark, sf_dir):
     return placed(fixtures.table(spark, sf_dir, "faces").where("confidence >= 0.5").orderBy(*order).limit(300), order)
 
 
+def face_listing(order: faces.FaceOrder, by: str):
+    def f(spark, sf_dir):
+        t = lambda n: fixtures.table(spark, sf_dir, n)
+        some = t("photos").where("id % 3 = 1").select(F.col("id").alias("photo_id"))
+        out = faces.listing(t("faces"), t("photos"), t("people"), order, 0.3, some, 150, 20)
+        return out.select("id", "person", F.row_number().over(W.orderBy(*faces.order_columns(order))).cast("long").alias("position"))
+
+    f.__name__ = f"faces_{order.value}"
+    query(f"""{ctes("faces", "photos", "people")}SELECT id, person, row_number() OVER (ORDER BY {by}) AS position FROM (
+    SELECT f.id, p.name AS person, captured_utc, area, confidence FROM faces f JOIN photos ph ON ph.id = f.photo_id LEFT JOIN people p ON p.id = f.person_id
+    WHERE confidence >= 0.3 AND f.photo_id % 3 = 1 ORDER BY {by.replace(" id", " f.id")} LIMIT 150 OFFSET 20)""")(f)
+
+
+face_listing(faces.FaceOrder.PROMINENCE, "sqrt(area) * 0.7 + confidence * 0.3 DESC, id")
+face_listing(faces.FaceOrder.NEWEST, "captured_utc DESC, id DESC")
+face_listing(faces.FaceOrder.OLDEST, "captured_utc, id")
+face_listing(faces.FaceOrder.CONFIDENCE, "confidence DESC, id")
+
+
+@query("SELECT l_linenumber, l_orderkey, l_partkey, round(CASE WHEN l_quantity % 7 = 0 THEN 1 ELSE l_partkey / (l_quantity % 7) END, 6) AS ratio FROM lineitem WHERE l_orderkey % 50 = 0")
+def aspect_ratios(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    return rows.select("l_linenumber", "l_orderkey", "l_partkey", F.round(faces.aspect_ratio(F.col("l_partkey").cast("double"), F.col("l_quantity") % 7), 6).alias("ratio"))
+
+
 @query(ctes("faces") + "SELECT DISTINCT photo_id FROM faces WHERE crop_key IS NOT NULL")
 def photos_with_faces(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "faces").where("crop_key IS NOT NULL").select("photo_id").distinct()
