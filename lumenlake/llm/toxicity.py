@@ -1,10 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its terms (runs of letters, lower-cased), hashed. The score is
+A document is the set of its terms, hashed: runs of letters, lower-cased, and the first PREFIX letters
+of longer ones, so that inflected and coined forms share a term with their stem. The score is
 sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the selected terms that it holds, so that a
 pair of terms can weigh more, or less, than its two parts. Terms are selected by a chi-square
 test on the labelled sample; all others weigh nothing, which keeps very long texts from
-collecting noise.
+collecting noise. In training, each term of a document is left out now and then, so that a term
+learns to stand alone and not just beside its usual company.
 
 Edge cases: a null or empty text has no terms and gets sigmoid(b); a null doc_id is scored and
 never trained on; repeated rows are scored each; labels with a null are ignored, and of several
@@ -24,10 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import fold, mapped
+from lumenlake.llm.common import fold, mapped, values
 
 TERM = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
+PREFIX = 4
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,8 @@ class Settings:
     max_terms: int = 4096
     min_documents: int = 4
     chi_square: float = 30.0
-    epochs: int = 60
+    epochs: int = 80
+    left_out: float = 0.2
     rate: float = 0.1
     decay: float = 1e-4
     seed: int = 7
@@ -78,28 +82,31 @@ def _forward(bias, w, v, where, counts):
 
 def hashes_of(text: str | None, bits: int, cache: dict) -> list[int]:
     """The distinct hashed terms of a whole text."""
-    if len(cache) > 400_000:
+    if len(cache) > 150_000:
         cache.clear()
-    out = set()
+    out: set[int] = set()
     for term in set(TERM.findall((text or "").lower())):
         h = cache.get(term)
         if h is None:
-            h = cache[term] = xxhash.xxh64_intdigest(term.encode(), 17) & ((1 << bits) - 1)
-        out.add(h)
+            h = (xxhash.xxh64_intdigest(term.encode(), 17) & ((1 << bits) - 1),)
+            if len(term) > PREFIX:
+                h += (xxhash.xxh64_intdigest(term[:PREFIX].encode(), 18) & ((1 << bits) - 1),)
+            cache[term] = h
+        out.update(h)
     return list(out)
 
 
 def _terms(bits: int, most: int, batches):
     cache: dict = {}
     for batch in batches:
-        yield [batch.column(0), [sorted(hashes_of(t, bits, cache))[:most] for t in batch.column(1).to_pylist()]]
+        yield [batch.column(0), [sorted(hashes_of(t, bits, cache))[:most] for t in values(batch.column(1))]]
 
 
 def _scores(model: Machine, batches):
     cache: dict = {}
     known = {h: i for i, h in enumerate(model.terms.tolist())}
     for batch in batches:
-        found = [sorted(known[h] for h in hashes_of(t, model.bits, cache) if h in known) for t in batch.column(1).to_pylist()]
+        found = [sorted(known[h] for h in hashes_of(t, model.bits, cache) if h in known) for t in values(batch.column(1))]
         counts = np.array([len(x) for x in found], dtype=np.int64)
         where = np.array([i for x in found for i in x], dtype=np.int64)
         score = 1 / (1 + np.exp(-np.clip(model.logits(where, counts), -30, 30)))
@@ -119,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     y = (seen.column("label").to_numpy() > 0).astype(np.float64)
     lists = seen.column("terms").combine_chunks()
     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    flat = lists.flatten().to_numpy().astype(np.int64)
+    flat = lists.flatten().to_numpy()
     return train(y, flat, counts, settings)
 
 
@@ -131,18 +138,21 @@ def train(y: np.ndarray, flat: np.ndarray, counts: np.ndarray, settings: Setting
     if not 0 < positive < n:
         return Machine(settings.bits, bias, none.astype(np.int64), none, np.zeros((0, settings.factors)))
     # selection: chi-square of holding the term against the label
-    terms, inverse = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(n), counts)
-    held = np.bincount(inverse, minlength=len(terms)).astype(float)
-    hit = np.bincount(inverse, weights=y[row], minlength=len(terms))
+    row = np.repeat(np.arange(n, dtype=np.int32), counts)
+    size = int(flat.max(initial=0)) + 1
+    held = np.bincount(flat, minlength=size).astype(float)
+    hit = np.bincount(flat, weights=y[row], minlength=size)
     expected = held * rate
     chi = (hit - expected) ** 2 / np.maximum(expected * (1 - rate) * (1 - held / n), 1e-9)
     chosen = (held >= settings.min_documents) & (chi >= settings.chi_square)
+    del held, hit, expected, chi
     place = np.cumsum(chosen) - 1
-    keep = chosen[inverse]
-    where, owner = place[inverse[keep]], row[keep]
+    keep = chosen[flat]
+    where, owner = place[flat[keep]], row[keep]
+    terms = np.flatnonzero(chosen)
+    del place, keep, row
     counts = np.bincount(owner, minlength=n)
-    k = int(chosen.sum())
+    k = len(terms)
     draw = np.random.default_rng(settings.seed)
     w, v = np.zeros(k), draw.normal(0, 0.05, (k, settings.factors))
     gb, gw, gv = 1e-8, np.full(k, 1e-8), np.full(v.shape, 1e-8)
@@ -152,8 +162,10 @@ def train(y: np.ndarray, flat: np.ndarray, counts: np.ndarray, settings: Setting
         for at in range(0, n, 1000):
             part = order[at : at + 1000]
             own = counts[part]
-            take = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in part]) if own.sum() else np.zeros(0, np.int64)
-            idx = where[take]
+            first = np.repeat(ends[part] - own - (np.cumsum(own) - own), own)
+            stays = draw.random(len(first)) >= settings.left_out
+            idx = where[(first + np.arange(len(first)))[stays]]
+            own = np.bincount(np.repeat(np.arange(len(part)), own)[stays], minlength=len(part))
             logit, s = _forward(bias, w, v, idx, own)
             g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[part]) / len(part)
             each = np.repeat(g, own)
@@ -167,7 +179,7 @@ def train(y: np.ndarray, flat: np.ndarray, counts: np.ndarray, settings: Setting
             w -= settings.rate * 5 * dw / np.sqrt(gw)
             v -= settings.rate * dv / np.sqrt(gv)
             bias -= settings.rate * 5 * g.sum() / np.sqrt(gb)
-    return Machine(settings.bits, float(bias), terms[chosen], w, v)
+    return Machine(settings.bits, float(bias), terms, w, v)
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
@@ -185,7 +197,7 @@ def _kept(model: Machine, batches):
     cache: dict = {}
     known = {h: i for i, h in enumerate(model.terms.tolist())}
     for batch in batches:
-        found = [sorted(known[h] for h in hashes_of(t, model.bits, cache) if h in known) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        found = [sorted(known[h] for h in hashes_of(t, model.bits, cache) if h in known) for t in values(batch.column(batch.schema.get_field_index("text")))]
         counts = np.array([len(x) for x in found], dtype=np.int64)
         logit = model.logits(np.array([i for x in found for i in x], dtype=np.int64), counts)
         keep = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))) < THRESHOLD)
