@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenlake.llm.common import mapped, stored
+from lumenlake.llm.common import mapped, stored, values
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -49,9 +49,9 @@ class Rule:
 #: The adaptive rules. slack keeps a fence off a distribution that is all but constant.
 RULES = {
     "symbols": Rule("n_symbols", "word_chars", 30_000),
-    "other": Rule("n_other", "word_chars", 60_000),
+    "other": Rule("n_other", "word_chars", 100_000),
     "upper": Rule("n_upper", "word_chars", 120_000),
-    "repeats": Rule("n_repeat_words", "n_words", 250_000),
+    "repeats": Rule("n_repeat_words", "n_words", 400_000),
     "length": Rule("word_chars", "n_words", 3_000_000),
 }
 
@@ -121,7 +121,7 @@ def repeat_words(words: list[bytes]) -> int:
 
 def _counted(batches):
     for batch in batches:
-        found = np.array([counts(t) for t in batch.column(3).to_pylist()], np.int64).reshape(-1, 7)
+        found = np.array([counts(t) for t in values(batch.column(3))], np.int64).reshape(-1, 7)
         yield [batch.column(0), batch.column(1), batch.column(2), *found.T]
 
 

@@ -87,8 +87,8 @@ c AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws
   coalesce(covered.n, 0) AS n_repeat_words, length(regexp_replace(array_to_string(ws, ''), '[\p{L}\p{Nl}\p{No}]', '', 'g')) AS n_other, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper
   FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
 v AS (SELECT doc_id, lang, source, rule, CASE WHEN den > 0 THEN num * 1000000 // den ELSE 0 END AS v, slack FROM (
-  SELECT doc_id, lang, source, unnest([{'rule': 'symbols', 'num': n_symbols, 'den': word_chars, 'slack': 30000}, {'rule': 'other', 'num': n_other, 'den': word_chars, 'slack': 60000},
-    {'rule': 'upper', 'num': n_upper, 'den': word_chars, 'slack': 120000}, {'rule': 'repeats', 'num': n_repeat_words, 'den': n_words, 'slack': 250000}, {'rule': 'length', 'num': word_chars, 'den': n_words, 'slack': 3000000}], recursive := true) FROM c)),
+  SELECT doc_id, lang, source, unnest([{'rule': 'symbols', 'num': n_symbols, 'den': word_chars, 'slack': 30000}, {'rule': 'other', 'num': n_other, 'den': word_chars, 'slack': 100000},
+    {'rule': 'upper', 'num': n_upper, 'den': word_chars, 'slack': 120000}, {'rule': 'repeats', 'num': n_repeat_words, 'den': n_words, 'slack': 400000}, {'rule': 'length', 'num': word_chars, 'den': n_words, 'slack': 3000000}], recursive := true) FROM c)),
 k AS (SELECT *, v - v % CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS low FROM v),
 s AS (SELECT 0 AS level, lang, source, rule, low, slack, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 1, lang, NULL, rule, low, slack, count(*) FROM k GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, rule, low, slack, count(*) FROM k GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM s),
