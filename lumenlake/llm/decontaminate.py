@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import mapped
+from lumenlake.llm.common import mapped, values
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -203,14 +203,14 @@ def matches(index: Index, text: str | None) -> dict[int, tuple[float, float, flo
 def _matched(shared, batches):
     index = shared.value
     for batch in batches:
-        out = [(d, index.ids[i], *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, x in sorted(matches(index, t).items())]
+        out = [(d, index.ids[i], *x) for d, t in zip(values(batch.column(0)), values(batch.column(1))) for i, x in sorted(matches(index, t).items())]
         yield [list(x) for x in zip(*out)] if out else [[]] * 6
 
 
 def _clean(shared, batches):
     index = shared.value
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        texts = values(batch.column(batch.schema.get_field_index("text")))
         yield batch.filter(pa.array([not matches(index, t) for t in texts], pa.bool_())).columns
 
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import fold, mapped
+from lumenlake.llm.common import fold, mapped, values
 
 ORDER = 3
 UNIT = 256
@@ -109,7 +109,7 @@ def _grams(batches):
     """Counts of the four-byte strings of each language: (lang, gram, n)."""
     for batch in batches:
         by: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, text in zip(values(batch.column(0)), values(batch.column(1))):
             by.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass"))
         for lang, texts in by.items():
             parts = [np.zeros(0, np.uint32)]
@@ -183,7 +183,9 @@ def predict(model: Trees, texts: list[str | None]) -> tuple[list[str], list[floa
 def _predictions(shared, batches):
     model = shared.value
     for batch in batches:
-        yield [batch.column(0), *predict(model, batch.column(1).to_pylist())]
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield [part.column(0), *predict(model, part.column(1).to_pylist())]
 
 
 def languages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

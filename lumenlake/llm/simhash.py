@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import mapped, stored
+from lumenlake.llm.common import mapped, stored, values
 
 SHINGLE = 4
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+        values = np.array([fingerprint(t) for t in values(batch.column(1))], dtype=np.uint64)
         yield [batch.column(0), values.view(np.int64)]
 
 
