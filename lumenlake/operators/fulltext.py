@@ -34,19 +34,34 @@ def compile_query(text: str) -> list[Term] | None:
     return terms if terms and all(t.tokens for t in terms) else None
 
 
-def documents(photos: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """id and the six text columns of each photo. Columns that photos lacks count as empty."""
+def _joined(photos: DataFrame, tags: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
+    """photos with their tags in one string, and the expression of each text column. Columns that photos
+    lacks count as empty."""
     have = set(photos.columns)
     part = lambda c: F.coalesce(c, F.lit("")) if c in have else F.lit("")
-    out = photos
     if tags is not None:
-        joined = tags.groupBy(F.col("photo_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("tag")), " ").alias("_tags"))
-        out = out.join(joined, "id", "left")
+        own = tags.groupBy(F.col("photo_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("tag")), " ").alias("_tags"))
+        photos = photos.join(own, "id", "left")
     camera = [part(c) for c in ("camera_make", "camera_model", "lens", "place_city", "place_country")]
-    return out.select(
-        "id", part("user_title").alias("title"), part("ai_caption").alias("caption"), F.concat(part("ai_description"), F.lit(" "), part("user_notes")).alias("description"),
-        F.coalesce("_tags", F.lit("")).alias("tags") if tags is not None else F.lit("").alias("tags"), part("file_name").alias("file_name"), F.trim(F.concat_ws(" ", *camera)).alias("camera"),
-    )
+    return photos, {
+        "title": part("user_title"), "caption": part("ai_caption"), "description": F.concat(part("ai_description"), F.lit(" "), part("user_notes")),
+        "tags": F.coalesce("_tags", F.lit("")) if tags is not None else F.lit(""), "file_name": part("file_name"), "camera": F.trim(F.concat_ws(" ", *camera)),
+    }
+
+
+def documents(photos: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """id and the six text columns of each photo."""
+    rows, columns = _joined(photos, tags)
+    return rows.select("id", *[c.alias(n) for n, c in columns.items()])
+
+
+def matching(photos: DataFrame, tags: DataFrame | None, text: str) -> DataFrame:
+    """The photos whose document holds every term: a filter; only tags, if any, are joined."""
+    terms = compile_query(text)
+    if terms is None:
+        return photos.limit(0)
+    rows, columns = _joined(photos, tags)
+    return rows.where(_passes(terms, columns)).select(*photos.columns)
 
 
 def holds(term: Term, found: Column) -> Column:
@@ -65,13 +80,10 @@ def holds(term: Term, found: Column) -> Column:
     return F.when(F.size(found) >= n, F.exists(F.sequence(F.lit(0), F.size(found) - n), at)).otherwise(False)
 
 
-def matches(docs: DataFrame, text: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """ids of the documents that hold every term, each within one column."""
-    terms = compile_query(text)
-    if terms is None:
-        return docs.select("id").limit(0)
+def _passes(terms: list[Term], columns: dict[str, Column]) -> Column:
+    """Whether every term is held by some column."""
 
-    def passes(found):
+    def all_of(found):
         out = F.lit(True)
         for term in terms:
             either = F.lit(False)
@@ -81,8 +93,15 @@ def matches(docs: DataFrame, text: str, columns: tuple[str, ...] = COLUMNS) -> D
         return out
 
     # a lambda's argument is evaluated once for a row, however many terms look at it
-    once = F.array(F.struct(*[tokens(F.col(c)).alias(c) for c in columns]))
-    return docs.where(F.exists(once, passes)).select("id")
+    return F.exists(F.array(F.struct(*[tokens(c).alias(n) for n, c in columns.items()])), all_of)
+
+
+def matches(docs: DataFrame, text: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """ids of the documents that hold every term, each within one column."""
+    terms = compile_query(text)
+    if terms is None:
+        return docs.select("id").limit(0)
+    return docs.where(_passes(terms, {c: F.col(c) for c in columns})).select("id")
 
 
 def index(docs: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

@@ -126,7 +126,7 @@ def filtered(catalog: Catalog, q: Query) -> DataFrame:
     for p in row_predicates(q):
         out = out.where(p)
     if q.text and q.text.strip():
-        out = out.join(fulltext.matches(fulltext.documents(out, catalog.tags), q.text), "id", "left_semi")
+        out = fulltext.matching(out, catalog.tags, q.text)
     if q.object and q.object.strip():
         wanted = q.object.strip().lower()
         hits = catalog.segments.where(F.coalesce("user_label", "label") == wanted).select(F.col("photo_id").alias("id"))
