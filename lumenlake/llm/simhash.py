@@ -63,8 +63,8 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        values = np.array([fingerprint(t) for t in values(batch.column(1))], dtype=np.uint64)
-        yield [batch.column(0), values.view(np.int64)]
+        prints = np.array([fingerprint(t) for t in values(batch.column(1))], dtype=np.uint64)
+        yield [batch.column(0), prints.view(np.int64)]
 
 
 @lru_cache(maxsize=1)
