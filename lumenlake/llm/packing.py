@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import mapped, stored
+from lumenlake.llm.common import mapped, stored, values
 
 END = 2
 BIN = 32
 DEPTH = 3
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Cached chunks are at most this long, and this many.
-CHUNK, CACHE = 64, 500_000
+#: Cached chunks are at most this long; this many chunks, and parts of them, are kept.
+CHUNK, CACHE, PARTS = 64, 250_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if len(self.chunks) > CACHE:
             self.chunks = {"": b""}
-        if len(self.parts) > CACHE:
+        if len(self.parts) > PARTS:
             self.parts = {}
         chunks, known = text.replace("\n", " ").split(" "), self.chunks
         fresh = [c for c in set(chunks) if c not in known]
@@ -134,7 +134,7 @@ def _pieces(path: str, window: int, batches):
     step = 4 * window
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc_id, text in zip(values(batch.column(0)), values(batch.column(1))):
             data = (encode(text) if text else b"") + end
             n = len(data) // 4
             for at in range(0, len(data), step):
