@@ -104,10 +104,13 @@ def anchors(items: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(photos: DataFrame, bits: int = SAME_PHOTO_BITS) -> DataFrame:
     """id, anchor_id, size of photos in groups of two or more; the earliest captured claims first, ties
-    by id."""
+    by id. Only the first photo of each distinct hash takes part in the claiming: later copies see the
+    same anchors before it, so they join the same one, or it if it is one."""
     ranked = kept(photos.where("perceptual_hash IS NOT NULL").select("id", F.struct("captured_utc", "id").alias("o"), F.col("perceptual_hash").alias("hash")), "ranked")
     rows = numbered(ranked)
-    groups = anchors(rows, hash_pairs(rows.select("seq", "hash"), bits))
+    kinds = kept(rows.groupBy("hash").agg(F.min("seq").alias("seq")), "kinds")
+    claimed = anchors(kinds, hash_pairs(kinds.select("seq", "hash"), bits)).join(kinds, "seq").select("hash", "anchor")
+    groups = rows.select("seq", "hash").join(claimed, "hash").select("seq", "anchor")
     size = groups.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1")
     named = rows.select("seq", "id")
     first = named.select(F.col("seq").alias("anchor"), F.col("id").alias("anchor_id"))

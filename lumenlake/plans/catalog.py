@@ -444,15 +444,32 @@ HASHED = "WITH h AS (SELECT o_orderkey AS id, o_orderdate AS t, substr('01234567
 BITS = "bit_count(xor(CAST('0x' || substr(a.x, 1, 8) AS BIGINT), CAST('0x' || substr(b.x, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr(a.x, 9, 8) AS BIGINT), CAST('0x' || substr(b.x, 9, 8) AS BIGINT)))"
 
 
-def hashed(spark, sf_dir) -> DataFrame:
+def hashes(spark, sf_dir) -> DataFrame:
     digit = lambda c: F.substring(F.lit("0123456789abcdef"), (c + 1).cast("int"), F.lit(1))
     x = F.concat(digit(F.col("o_custkey") % 3), F.lit("00"), F.lpad((F.col("o_custkey") % 50).cast("string"), 12, "0"), digit(F.col("o_orderkey") % 4))
-    return table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("captured_utc"), x.alias("perceptual_hash"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("captured_utc"), x.alias("perceptual_hash"))
+
+
+def hashed(spark, sf_dir) -> DataFrame:
+    return hashes(spark, sf_dir).where("id % 10 = 0")
 
 
 @query(HASHED + f", k AS (SELECT DISTINCT x FROM h) SELECT a.x AS a, b.x AS b, CAST({BITS} AS BIGINT) AS bits FROM k a JOIN k b ON a.x < b.x WHERE {BITS} <= 6")
 def hash_pairs(spark, sf_dir):
-    kinds = hashed(spark, sf_dir).select(F.col("perceptual_hash").alias("hash")).distinct()
+    return kind_pairs(hashed(spark, sf_dir))
+
+
+#: The sampled queries of this module keep their SQL; those named _all are the same over whole tables.
+HASHED_ALL = HASHED.replace(" WHERE o_orderkey % 10 = 0", "")
+
+
+@query(ORACLES["hash_pairs"].replace(HASHED, HASHED_ALL))
+def hash_pairs_all(spark, sf_dir):
+    return kind_pairs(hashes(spark, sf_dir))
+
+
+def kind_pairs(photos: DataFrame) -> DataFrame:
+    kinds = photos.select(F.col("perceptual_hash").alias("hash")).distinct()
     rows = kinds.withColumn("seq", F.row_number().over(W.orderBy("hash")).cast("long"))  # distinct hashes of the fixture
     named = rows.select("seq", "hash")
     out = grouping.hash_pairs(rows).join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
@@ -470,6 +487,18 @@ def near_duplicate_groups(spark, sf_dir):
     return grouping.near_duplicate_groups(hashed(spark, sf_dir).where("id % 100 = 0"))
 
 
+@query(HASHED_ALL.replace("WITH h", "WITH RECURSIVE h") + f""", r AS (SELECT id, x, row_number() OVER (ORDER BY t, id) AS i FROM h),
+o AS (SELECT x, min_by(id, i) AS id, row_number() OVER (ORDER BY min(i)) AS n FROM r GROUP BY x),
+near AS (SELECT a.n AS a, b.n AS b FROM o a JOIN o b ON a.n < b.n WHERE {BITS} <= 6),
+walk(i, anchors) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE b = i + 1 AND list_contains(anchors, a)) THEN anchors ELSE list_append(anchors, i + 1) END FROM walk WHERE i < (SELECT count(*) FROM o)),
+k AS (SELECT unnest(anchors) AS a FROM walk WHERE i = (SELECT max(i) FROM walk)),
+g AS (SELECT x, coalesce((SELECT a FROM k WHERE k.a = o.n), (SELECT min(near.a) FROM near JOIN k ON k.a = near.a WHERE near.b = o.n)) AS a FROM o)
+SELECT r.id, o.id AS anchor_id, count(*) OVER (PARTITION BY g.a) AS size FROM r JOIN g USING (x) JOIN o ON o.n = g.a QUALIFY count(*) OVER (PARTITION BY g.a) > 1""")
+def near_duplicate_groups_all(spark, sf_dir):
+    return grouping.near_duplicate_groups(hashes(spark, sf_dir))
+
+
 @query(UNIT.replace("WITH u", "WITH RECURSIVE u") + """, o AS (SELECT vec_id, v, row_number() OVER (ORDER BY sqrt(vec_id % 37 / 37.0) * 0.7 + (vec_id % 11) / 11.0 * 0.3 DESC, vec_id) AS n FROM e WHERE (vec_id % 11) / 11.0 >= 0.2),
 near AS (SELECT a.n AS a, b.n AS b FROM o a JOIN o b ON a.n < b.n WHERE list_dot_product(a.v, b.v) >= 0.35),
 walk(i, anchors) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
