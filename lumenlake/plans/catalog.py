@@ -144,7 +144,15 @@ face_listing(faces.FaceOrder.CONFIDENCE, "confidence DESC, id")
 
 @query("SELECT l_linenumber, l_orderkey, l_partkey, round(CASE WHEN l_quantity % 7 = 0 THEN 1 ELSE l_partkey / (l_quantity % 7) END, 6) AS ratio FROM lineitem WHERE l_orderkey % 50 = 0")
 def aspect_ratios(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    return ratios(table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query(ORACLES["aspect_ratios"].replace(" WHERE l_orderkey % 50 = 0", ""))
+def aspect_ratios_all(spark, sf_dir):
+    return ratios(table(spark, sf_dir, "lineitem"))
+
+
+def ratios(rows: DataFrame) -> DataFrame:
     return rows.select("l_linenumber", "l_orderkey", "l_partkey", F.round(faces.aspect_ratio(F.col("l_partkey").cast("double"), F.col("l_quantity") % 7), 6).alias("ratio"))
 
 
@@ -188,9 +196,17 @@ rail AS (SELECT 'year' AS kind, y, strftime(make_date(y, 1, 1), '%Y-%m-%d') AS f
 SELECT kind, CAST(y AS BIGINT) AS y, first, last, CAST(n AS BIGINT) AS n, round(CAST(share AS DOUBLE), 6) AS share, pending, CAST(months AS BIGINT) AS months,
   row_number() OVER (ORDER BY y DESC, CASE WHEN kind = 'year' THEN 0 ELSE 1 END, last DESC) AS position FROM rail""")
 def time_rail(spark, sf_dir):
-    some = fixtures.table(spark, sf_dir, "photos").where("id % 211 = 0 OR captured_utc < TIMESTAMP '1995-03-01'")
+    return rail(fixtures.table(spark, sf_dir, "photos").where("id % 211 = 0 OR captured_utc < TIMESTAMP '1995-03-01'"))
+
+
+@query(ORACLES["time_rail"].replace(" WHERE id % 211 = 0 OR captured_utc < TIMESTAMP '1995-03-01'", ""))
+def time_rail_all(spark, sf_dir):
+    return rail(fixtures.table(spark, sf_dir, "photos"))
+
+
+def rail(photos: DataFrame) -> DataFrame:
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    return facets.time_rail(some).select("kind", F.col("y").cast("long").alias("y"), day("first"), day("last"), "n", F.round("share", 6).alias("share"), "pending", F.col("months").cast("long").alias("months"), "position")
+    return facets.time_rail(photos).select("kind", F.col("y").cast("long").alias("y"), day("first"), day("last"), "n", F.round("share", 6).alias("share"), "pending", F.col("months").cast("long").alias("months"), "position")
 
 
 @query(ctes("photos") + "SELECT CAST(state AS BIGINT) AS state, count(*) AS n FROM photos GROUP BY 1")
@@ -365,9 +381,18 @@ n AS (SELECT vec_id, label, weight, CAST([CAST(x / sqrt(list_dot_product(m, m))
 r AS (SELECT weight, query_id, n.label = q.label AS relevant, row_number() OVER (PARTITION BY weight, query_id ORDER BY list_dot_product(n.v, q.v) DESC, n.vec_id) AS k FROM n, q)
 SELECT CAST(weight AS DOUBLE) AS weight, round(avg(p), 6) AS precision FROM (SELECT weight, query_id, count(*) FILTER (relevant) / 5.0 AS p FROM r WHERE k <= 5 GROUP BY ALL) GROUP BY 1""")
 def blend_precision(spark, sf_dir):
+    return blended(units(spark, sf_dir), 400)
+
+
+@query(ORACLES["blend_precision"].replace("% 400, w WHERE e.vec_id < 400", "% (SELECT count(*) FROM embeddings), w"))
+def blend_precision_all(spark, sf_dir):
     rows = units(spark, sf_dir)
-    some = rows.where("photo_id < 400")
-    captions = some.select(((F.col("photo_id") + 399) % 400).alias("photo_id"), F.col("vector").alias("caption"))
+    return blended(rows, rows.count())  # ids run from 0
+
+
+def blended(rows: DataFrame, n: int) -> DataFrame:
+    some = rows.where(F.col("photo_id") < n)
+    captions = some.select(((F.col("photo_id") + (n - 1)) % n).alias("photo_id"), F.col("vector").alias("caption"))
     both = some.join(captions, "photo_id")
     out = None
     for w in (0.0, 0.5, 0.8):
@@ -522,7 +547,16 @@ IOU = """greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greates
 @query(ctes("segments") + f"""SELECT a.id AS a, b.id AS b, round(i / (a_area + b_area - i), 6) AS iou FROM (SELECT a.id, b.id AS id_1, a.w * a.h AS a_area, b.w * b.h AS b_area, {IOU} AS i FROM segments a JOIN segments b ON a.photo_id = b.photo_id AND a.id < b.id WHERE a.photo_id % 5 = 0) AS t(id_a, id_b, a_area, b_area, i)
 JOIN segments a ON a.id = id_a JOIN segments b ON b.id = id_b WHERE i / (a_area + b_area - i) > 0.2""".replace("SELECT a.id, b.id AS id_1", "SELECT a.id, b.id"))
 def iou_pairs(spark, sf_dir):
-    s = fixtures.table(spark, sf_dir, "segments").where("photo_id % 5 = 0").select("photo_id", "id", "box")
+    return overlaps(fixtures.table(spark, sf_dir, "segments").where("photo_id % 5 = 0"))
+
+
+@query(ORACLES["iou_pairs"].replace(" WHERE a.photo_id % 5 = 0", ""))
+def iou_pairs_all(spark, sf_dir):
+    return overlaps(fixtures.table(spark, sf_dir, "segments"))
+
+
+def overlaps(segments: DataFrame) -> DataFrame:
+    s = segments.select("photo_id", "id", "box")
     both = s.select("photo_id", F.col("id").alias("a"), F.col("box").alias("p")).join(s.select("photo_id", F.col("id").alias("b"), F.col("box").alias("q")), "photo_id").where("a < b")
     return both.select("a", "b", boxes.iou(F.col("p"), F.col("q")).alias("v")).where("v > 0.2").select("a", "b", F.round("v", 6).alias("iou"))
 
