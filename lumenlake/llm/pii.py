@@ -6,15 +6,23 @@ Strict spans (they always stay), leftmost and non-overlapping for each kind:
 email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (+, 10 to 15 digits).
 
 The method adds spans. Generators of high recall propose candidates that may overlap: addresses
-without a top-level domain, dotted quads of any size, runs of digits with separators, and
+up to the first dot of their domain, dotted quads of any size, runs of digits with separators, and
 unbroken letter-and-digit strings. Each has features of format (length, share of digits, digit
 groups, character classes, Luhn) and of context (an assignment sign or a cue word before it).
 Features are small integers, so the training set is a table of counts for each combination, at
 most some thousand rows however large the corpus, and all of the corpus counts. Labels are weak:
 a candidate is positive if a strict span of its kind overlaps it, or, for the kind `secret`, if
-an explicit `token =` or the like stands before it. Trees are fitted on four fifths of the
-documents; on the other fifth each kind's threshold is set to the lowest score from which at
-least Settings.precision of the candidates are positive (no such score: none is added).
+an explicit `token =` or the like stands before it. What makes a span strict is masked in its
+features, in training as in use: the dotted domain of an address, the plus of a phone, the
+separators of a card, all that stands before a secret. So the trees learn how such spans look without it
+and add `user@localhost`, phones without a plus, cards with odd separators and secrets without a cue.
+Quads with a part over 255 are no addresses; nothing of an ip is masked.
+
+Trees are fitted on four fifths of the documents; on the other fifth each kind's threshold is set to
+the lowest score from which at least Settings.precision of the candidates, masked like the rest, are
+positive (no such score: none is added). Candidates outside the strict rules have no labels and count
+as negatives there, so a look that is common without the rule's mark is not added. Secrets with a cue
+are always added.
 
 Positions count code points. A match is found by splitting the text at the pattern, so that
 gaps and matches alternate and lengths give offsets. The patterns are equal to the plain ones in
@@ -51,7 +59,7 @@ CARD = r"[0-9][0-9\x20-]*[0-9]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: The generators: (kind, pattern, what the text must hold).
 GENERATORS = (
-    (0, rf"(?<!{LOCAL}){LOCAL}++@[A-Za-z0-9-]++(?!{DOT})", "@"),
+    (0, rf"(?<!{LOCAL}){LOCAL}++@[A-Za-z0-9-]++", "@"),
     (1, r"(?<![0-9.])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
     (2, r"(?<![0-9A-Za-z])[0-9][0-9\x20-]{11,40}[0-9](?![0-9A-Za-z])", ""),
     (3, r"(?<![0-9A-Za-z])[+(]?[0-9][0-9\x20().-]{7,24}[0-9](?![0-9A-Za-z])", ""),
@@ -145,7 +153,8 @@ def candidates(text: Column, base: list[Column]) -> Column:
     def shaper(kind: int):
         def shaped(x):
             m = x["m"]
-            n, d = F.char_length(m), F.length(digits(m))
+            shown = digits(m) if kind == 2 else F.ltrim(m, F.lit("+")) if kind == 3 else m  # the rest is masked
+            n, d = F.char_length(shown), F.length(digits(m))
             before = F.substring(text, F.greatest(x["s"] - 23, F.lit(1)).cast("int"), F.least(x["s"], F.lit(24)).cast("int"))
             after = F.substring(text, (x["e"] + 1).cast("int"), F.lit(1))
             if kind == 4:
@@ -156,11 +165,11 @@ def candidates(text: Column, base: list[Column]) -> Column:
                 F.lit(kind),
                 _bin(n, (10, 13, 15, 17, 20, 24, 32, 41)),
                 _bin(d * 100 / n, (10, 35, 60, 85, 100)),
-                _bin(F.length(F.regexp_replace(m, "[0-9]++", "")), (1, 2, 4, 7, 12)),
+                _bin(F.length(F.regexp_replace(shown, "[0-9]++", "")), (1, 2, 4, 7, 12)),
                 m.rlike("[a-z]").cast("int") + m.rlike("[A-Z]").cast("int") + m.rlike("[g-zG-Z]").cast("int"),
                 F.when(d.between(14, 19), luhn(m)).otherwise(False).cast("int"),
-                F.when(before.rlike(CUE), 2).when(before.rlike(SIGN), 1).otherwise(0),
-                after.rlike("[\"'\\s.,;)|]").cast("int"),
+                F.lit(0) if kind == 4 else F.when(before.rlike(CUE), 2).when(before.rlike(SIGN), 1).otherwise(0),
+                F.lit(0) if kind == 0 else after.rlike("[\"'\\s.,;)|]").cast("int"),
             )
             return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k"), label.cast("int").alias("label"), f.alias("f"))
 
@@ -260,17 +269,22 @@ def _logit(model: Model, f: Column) -> Column:
 
 
 def added(model: Model, base: list[Column]) -> Column:
-    """The candidates that the trees select and that overlap no strict span of their kind."""
+    """The candidates that the trees select and that overlap no strict span of their kind, and the
+    secrets with a cue."""
+    cued = len(KINDS) - 1
 
-    def selected(k: int, least: float):
-        return lambda c: (c["k"] == k) & (_logit(model, c["f"]) >= least - 1e-9)
+    def selected(k: int, least: float | None):
+        if least is None:
+            return lambda c: (c["k"] == k) & (c["label"] == 1)
+        good = lambda c: _logit(model, c["f"]) >= least - 1e-9
+        return lambda c: (c["k"] == k) & (((c["label"] == 1) | good(c)) if k == cued else good(c))
 
     def apart(k: int):
         return lambda c: ~F.exists(base[k], lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
 
     out = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
     for k, least in enumerate(model.thresholds):
-        if least is not None:
+        if least is not None or k == cued:
             chosen = F.filter("_candidates", selected(k, least))
             chosen = F.filter(chosen, apart(k)) if k < len(base) else chosen
             out = F.concat(out, F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
