@@ -4,7 +4,10 @@ Everything is Spark SQL expressions. Each sentence of a whole text that has a li
 compared with every template: terms are runs of [a-z0-9.+-] in lower case, a term's presence
 weighs its inverse frequency among the templates, and a term of no template weighs as much as
 the rarest, so that prose about licences stays far from all templates. A file's own licence is
-the template of its best sentence, if the cosine reaches Settings.own.
+the template of its best sentence, if the cosine reaches Settings.own. Before that come exact forms, which
+score 1: an SPDX line (the first identifier of its expression, also one without a template), then the
+standard headers and licence-file texts of MARKS, looked for in the whole text without line breaks,
+comment signs and punctuation.
 
 A directory has a licence if a licence file lies in it (by name, or, where the caller has no
 names, a file whose licence sentence reaches Settings.file); the commonest of several, ties to the
@@ -42,6 +45,42 @@ TEMPLATES = (
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0"),
     ("Unlicense", "Released under the Unlicense into the public domain"),
 )
+#: Words of standard headers and licence files, by SPDX identifier: all of a row must occur, the first such row counts.
+_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+_BSD = "redistributions of source code must retain the above copyright notice"
+_GNU = "public license as published by the free software foundation either version"
+MARKS = (
+    ("Apache-2.0", ("you may not use this file except in compliance with the license", "apache org licenses license 2 0")),
+    ("Apache-2.0", ("apache license version 2 0 january 2004",)),
+    ("MIT", (_GRANT, "the above copyright notice and this permission notice shall be included in all")),
+    ("MIT-0", (_GRANT,)),
+    ("BSD-4-Clause", (_BSD, "all advertising materials mentioning features or use of this software")),
+    ("BSD-3-Clause", (_BSD, "to endorse or promote products derived from this software")),
+    ("BSD-2-Clause", (_BSD,)),
+    ("BSD-3-Clause", ("use of this source code is governed by a bsd style license",)),
+    ("AGPL-3.0", (f"gnu affero general {_GNU} 3",)),
+    ("AGPL-3.0", ("gnu affero general public license version 3 19 november 2007",)),
+    ("LGPL-3.0", (f"gnu lesser general {_GNU} 3",)),
+    ("LGPL-3.0", ("gnu lesser general public license version 3 29 june 2007",)),
+    ("LGPL-2.1", (f"gnu lesser general {_GNU} 2 1",)),
+    ("LGPL-2.1", ("gnu lesser general public license version 2 1 february 1999",)),
+    ("GPL-3.0", (f"gnu general {_GNU} 3",)),
+    ("GPL-3.0", ("gnu general public license version 3 29 june 2007",)),
+    ("GPL-2.0", (f"gnu general {_GNU} 2",)),
+    ("GPL-2.0", ("gnu general public license version 2 as published by the free software foundation",)),
+    ("GPL-2.0", ("gnu general public license version 2 june 1991",)),
+    ("MPL-2.0", ("subject to the terms of the mozilla public license v 2 0",)),
+    ("MPL-2.0", ("mozilla public license version 2 0 1 definitions",)),
+    ("CC-BY-4.0", ("creative commons attribution 4 0 international",)),
+    ("CC-BY-SA-4.0", ("creative commons attribution sharealike 4 0 international",)),
+    ("CC-BY-ND-4.0", ("creative commons attribution noderivatives 4 0 international",)),
+    ("CC-BY-NC-4.0", ("creative commons attribution noncommercial 4 0 international",)),
+    ("CC-BY-NC-SA-4.0", ("creative commons attribution noncommercial sharealike 4 0 international",)),
+    ("CC-BY-NC-ND-4.0", ("creative commons attribution noncommercial noderivatives 4 0 international",)),
+    ("CC0-1.0", ("cc0 1 0 universal",)),
+    ("Unlicense", ("this is free and unencumbered software released into the public domain",)),
+)
+SPDX = r"(?i)spdx-license-identifier:\s*\(*\s*([a-z0-9.+-]*[a-z0-9+])"
 CUE = "licen[cs]|copyright|spdx"
 TERM = "[a-z0-9+-]+(?:[.][0-9]+)*"
 NAMES = "(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
@@ -66,8 +105,22 @@ def weights() -> tuple[dict[str, float], float]:
     return {w: idf(sum(w in h for h in held)) for w in sorted(set().union(*held))}, idf(1)
 
 
+def exact(text: Column) -> Column:
+    """The identifier of a text's SPDX line, else of the first of MARKS that it holds; null if there is none."""
+    told = F.regexp_extract(text, SPDX, 1)
+    plain = F.regexp_replace(told, r"(?i)(-only|-or-later|\+)$", "")
+    known = {n.lower(): n for n in [n for n, _ in TEMPLATES] + [n for n, _ in MARKS]}
+    names = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    spdx = F.when(~F.lower(told).isin("", "none", "noassertion"), F.coalesce(F.element_at(names, F.lower(plain)), plain))
+    flat = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    # one array, so that the text is made flat once
+    held = F.filter(F.transform(F.array(flat), lambda t: F.coalesce(*[F.when(F.forall(F.array(*map(F.lit, words)), lambda w: t.contains(w)), F.lit(name)) for name, words in MARKS])), lambda n: n.isNotNull())
+    return F.when(F.lower(text).rlike(f"{CUE}|creative commons|cc0|unencumbered"), F.coalesce(spdx, F.get(held, F.lit(0))))
+
+
 def best(text: Column) -> Column:
-    """struct<score, name> of the best template over all sentences of a text; null if none has a licence word."""
+    """struct<score, name> of an exact form, else of the best template over all sentences of a text; null if none
+    has a licence word."""
     square, other = weights()
     table = F.create_map(*[x for w, s in square.items() for x in (F.lit(w), F.lit(s))])
     weight = lambda t: F.coalesce(F.element_at(table, t), F.lit(other))
@@ -86,7 +139,8 @@ def best(text: Column) -> Column:
     # a dot ends a sentence only before white space, so version numbers stay whole
     sentences = F.filter(F.split(F.lower(text), r"\n|(?<=[.!?])\s+", -1), lambda s: s.rlike(CUE))
     low = F.array_min(F.transform(sentences, scored))
-    return F.when(F.lower(text).rlike(CUE), F.struct((-low["score"]).alias("score"), low["name"].alias("name")))
+    near = F.when(F.lower(text).rlike(CUE), F.struct((-low["score"]).alias("score"), low["name"].alias("name")))
+    return F.coalesce(F.transform(F.array(exact(text)), lambda n: F.when(n.isNotNull(), F.struct(F.lit(1.0).alias("score"), n.alias("name"))))[0], near)
 
 
 def directory(path: Column) -> Column:
