@@ -12,8 +12,8 @@ comment signs and punctuation.
 A directory has a licence if a licence file lies in it (by name, or, where the caller has no
 names, a file whose licence sentence reaches Settings.file); the commonest of several, ties to the
 first by name. Files without a licence of their own take that of the nearest ancestor directory
-that has one. Directories, not files, are joined: each distinct directory is expanded to its
-ancestors, at most Settings.depth of them, so a directory with a third of all files costs one row.
+that has one. Directories, not files, are joined: each distinct directory is expanded to all of its
+ancestors, so a directory with a third of all files costs a row an ancestor.
 
 Edge cases: null texts have no licence of their own; null paths are the root; repeated rows are
 each answered; equal scores go to the first template by name; an empty table gives an empty result.
@@ -90,7 +90,6 @@ NAMES = "(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 class Settings:
     own: float = 0.6
     file: float = 0.8
-    depth: int = 32
 
 
 def terms(text: str) -> set[str]:
@@ -147,11 +146,11 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(F.coalesce(path, F.lit("")), "/?[^/]*$", "")
 
 
-def ancestors(dir_: Column, depth: int) -> Column:
+def ancestors(dir_: Column) -> Column:
     """The directory and those above it, nearest first, the root last."""
     parts = F.filter(F.split(dir_, "/"), lambda p: p != "")
     n = F.size(parts)
-    return F.transform(F.sequence(F.lit(0), F.least(n, F.lit(depth))), lambda i: F.array_join(F.slice(parts, 1, n - i), "/"))
+    return F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(parts, 1, n - i), "/"))
 
 
 def licences(files: DataFrame, named: bool = True, settings: Settings = Settings()) -> DataFrame:
@@ -165,7 +164,7 @@ def licences(files: DataFrame, named: bool = True, settings: Settings = Settings
     first = F.row_number().over(W.partitionBy("_dir").orderBy(F.desc("n"), "_own"))  # at most one row a template
     licensed = votes.withColumn("r", first).where("r = 1").select(F.col("_dir").alias("_at"), F.col("_own").alias("_given"))
     dirs = rows.select("_dir").distinct()
-    up = dirs.select("_dir", F.posexplode(ancestors(F.col("_dir"), settings.depth)).alias("_far", "_at"))
+    up = dirs.select("_dir", F.posexplode(ancestors(F.col("_dir"))).alias("_far", "_at"))
     near = up.join(licensed, "_at").groupBy("_dir").agg(F.min(F.struct("_far", "_at", "_given")).alias("_near"))
     out = rows.join(near, "_dir", "left")
     origin = F.when(F.col("_own").isNotNull(), "own").when(F.col("_near").isNotNull(), "inherited").otherwise("none")

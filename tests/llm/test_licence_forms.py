@@ -43,3 +43,10 @@ def own(spark):
 
 def test_exact_forms(own):
     assert [own[i] for i in range(len(CASES))] == [name for _, name in CASES]
+
+
+def test_inherits_from_any_depth(spark):
+    deep = "/".join(f"d{i}" for i in range(60))
+    rows = [(1, "LICENSE", "Released under the MIT License"), (2, f"{deep}/x.py", "code"), (3, f"d0/{'e/' * 50}y.py", None)]
+    out = licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {r.doc_id: (r.licence, r.origin) for r in out} == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("MIT", "inherited")}
