@@ -23,12 +23,13 @@ come back as often as they came; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumenlake.llm.common import mapped, stored, values
 
@@ -67,6 +68,11 @@ def _fingerprints(batches):
         yield [batch.column(0), prints.view(np.int64)]
 
 
+def _with_fingerprints(text: int, batches):
+    for batch in batches:
+        yield [*batch.columns, np.array([fingerprint(t) for t in values(batch.column(text))], dtype=np.uint64).view(np.int64)]
+
+
 @lru_cache(maxsize=1)
 def _golay() -> tuple[np.ndarray, list[np.ndarray]]:
     """The error pattern of each syndrome, and for each byte of a word its part of the syndrome."""
@@ -216,21 +222,35 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id and fp, and of each distinct fp its smallest doc_id (low) and its component (root)."""
     prints = stored(mapped(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long"), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = components(links(distinct))
-    nodes = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return prints, distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    prints, nodes = _nodes(docs)
     lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = nodes.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one for each id (of repeated
-    rows of an id the smallest). Rows with a null doc_id have no place in that order and all stay."""
-    chosen = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One row of docs of each component: that of the smallest doc_id; where rows repeat that id within
+    the component, that of the smallest fingerprint, then the smallest row. So a row of a repeated id counts for its own
+    component only. Rows with a null doc_id have no place in that order and all stay."""
+    prints, nodes = _nodes(docs)
+    first = nodes.where("low IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("low").alias("doc_id"), "fp")).alias("c"))
+    often = prints.groupBy("doc_id").agg((F.count("*") > 1).alias("often"))
+    chosen = stored(first.select("c.*").join(often, "doc_id"), "chosen")
+    single = docs.join(chosen.where("NOT often"), "doc_id", "left_semi").select(*docs.columns)
+    # fingerprints again, but of repeated ids only
+    some = docs.join(chosen.where("often"), "doc_id", "left_semi").select(*docs.columns)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r"))
-    return rows.select("doc_id", "r.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    told = mapped(some, partial(_with_fingerprints, docs.columns.index("text")), StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    own = chosen.where("often").select("doc_id", F.col("fp").alias("_fp"))
+    rows = told.join(own, ["doc_id", "_fp"], "left_semi").groupBy("doc_id", "_fp").agg(F.min(F.struct("text", *rest)).alias("r"))
+    return single.unionByName(rows.select("doc_id", "r.*").select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
