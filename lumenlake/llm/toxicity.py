@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import fold, mapped, values
+from lumenlake.llm.common import fold, mapped, stored, values
 
 TERM = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
@@ -35,13 +35,11 @@ PREFIX = 4
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows bounds the labelled sample in documents; max_terms the terms of one document
-    that training sees, taken by smallest hash; both are bounds on the driver's memory only."""
+    """max_rows bounds the labelled sample in documents, for the driver's memory only."""
 
     bits: int = 22
     factors: int = 4
     max_rows: int = 20_000
-    max_terms: int = 4096
     min_documents: int = 4
     chi_square: float = 30.0
     epochs: int = 80
@@ -96,10 +94,17 @@ def hashes_of(text: str | None, bits: int, cache: dict) -> list[int]:
     return list(out)
 
 
-def _terms(bits: int, most: int, batches):
+def _terms(bits: int, batches):
     cache: dict = {}
     for batch in batches:
-        yield [batch.column(0), [sorted(hashes_of(t, bits, cache))[:most] for t in values(batch.column(1))]]
+        yield [batch.column(0), [sorted(hashes_of(t, bits, cache)) for t in values(batch.column(1))]]
+
+
+def _selected(chosen: np.ndarray, batches):
+    """The rows with the chosen terms only; chosen is sorted."""
+    for batch in batches:
+        rows = [np.asarray(x.values) for x in batch.column(1)]
+        yield [batch.column(0), [r[np.isin(r, chosen, assume_unique=True)] for r in rows], *batch.columns[2:]]
 
 
 def _scores(model: Machine, batches):
@@ -120,9 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
     texts = docs.select("doc_id", "text").where(fold(F.col("doc_id"), 3) != 1).join(F.broadcast(sample), "doc_id")
-    # repeated rows of one id would break the bound: one text for each
-    rows = mapped(texts.select("label", "text", "doc_id"), partial(_terms, settings.bits, settings.max_terms), "label int, terms array<int>")
-    seen = rows.orderBy(F.xxhash64("terms"), "label").limit(settings.max_rows).toArrow()
+    found = mapped(texts.select("label", "text", "doc_id"), partial(_terms, settings.bits), "label int, terms array<int>")
+    rows = stored(found.select("label", "terms", F.xxhash64("terms").alias("h"), F.monotonically_increasing_id().alias("i")), "labelled")
+    # repeated rows of one id would break the bound: the rows are numbered, the smallest term hashes stay
+    few = rows.select("h", "label", "i").orderBy("h", "label", "i").limit(settings.max_rows).select("i")
+    rows = rows.join(F.broadcast(few), "i", "left_semi").select("label", "terms", "h", "i")
+    n, positive = rows.agg(F.count("*"), F.count_if(F.col("label") > 0)).first()
+    chosen = np.array(selection(rows, n, positive, settings) if 0 < positive < n else [], np.int32)
+    seen = mapped(rows, partial(_selected, chosen), "label int, terms array<int>, h long, i long").orderBy("h", "label", "i").toArrow()
     y = (seen.column("label").to_numpy() > 0).astype(np.float64)
     lists = seen.column("terms").combine_chunks()
     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
@@ -130,6 +140,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return train(y, flat, counts, settings)
 
 
+def selection(rows: DataFrame, n: int, positive: int, settings: Settings) -> list[int]:
+    """The terms that train() selects, in order, counted on the executors over all terms of the rows."""
+    each = rows.select((F.col("label") > 0).cast("double").alias("y"), F.explode("terms").alias("t"))
+    held = each.groupBy("t").agg(F.count("*").cast("double").alias("held"), F.sum("y").alias("hit")).where(F.col("held") >= settings.min_documents)
+    rate = positive / n
+    expected = F.col("held") * rate
+    off = F.col("hit") - expected
+    chi = off * off / F.greatest(expected * (1 - rate) * (1 - F.col("held") / n), F.lit(1e-9))
+    return sorted(r[0] for r in held.where(chi >= settings.chi_square * (1 - 1e-9)).select("t").collect())  # train() has the last word
+
+
 def train(y: np.ndarray, flat: np.ndarray, counts: np.ndarray, settings: Settings = Settings()) -> Machine:
     n, positive = len(y), y.sum()
     rate = positive / n if n else 0.0
