@@ -24,27 +24,77 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, whose executors are
+    its driver, may leave it unset and then has a temporary one."""
     try:
         named = spark.conf.get("spark.checkpoint.dir")
     except PySparkException:  # unset
         named = None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lumenlake-")
     return _OWN[app]
 
 
+def _place(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that what follows
     depends on files and not on the tasks or executors that made them. The files lie under
-    the application's id and may be deleted when it has ended."""
+    the application's id; discard() deletes what is used up, the rest may go when it has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = _place(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lies_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lies_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if name := getattr(df, "_named", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def part_of(rid: Column) -> Column:
+    """The task that numbered a row, from its monotonically_increasing_id."""
+    return F.shiftright(rid, 33).cast("int")
+
+
+def stored_in_parts(df: DataFrame, label: str) -> DataFrame:
+    """Like stored(), for rows with a monotonically_increasing_id `rid`: adds part_of(rid) as `part` and
+    keeps the table bucketed by it, one file a task, without a shuffle. beside() joins it in place."""
+    spark = df.sparkSession
+    path, name = _place(spark, label), f"lumenlake_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.withColumn("part", part_of(F.col("rid"))).write.bucketBy(n, "part").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._lies_at, out._named, out._parts = path, name, n
+    return out
+
+
+def beside(rows: DataFrame, found: DataFrame, how: str, label: str, then: Callable[[DataFrame], DataFrame], **gathered: Column) -> DataFrame:
+    """then(rows of stored_in_parts joined by rid with aggregates of found), stored. Only found is shuffled, to
+    where the rows lie."""
+    spark = rows.sparkSession
+    dealt = found.withColumn("part", part_of(F.col("rid"))).repartition(rows._parts, "part")
+    each = dealt.groupBy("part", "rid").agg(*[c.alias(k) for k, c in gathered.items()])
+    flag = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(flag)
+    spark.conf.set(flag, "false")  # both sides lie by part, which is part of the join's key
+    try:
+        return stored(then(rows.join(each.hint("merge"), ["part", "rid"], how)), label)
+    finally:
+        spark.conf.set(flag, before)
 
 
 def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: StructType | str) -> DataFrame:

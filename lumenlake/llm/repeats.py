@@ -16,16 +16,22 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
    prefix with the neighbour across the run's border. Elsewhere the prefix of a place is that of
    the place before it less one, so a single stream over the text gives each place's longest
    match elsewhere (its matching statistic), towards both neighbours. Places where it reaches
-   LENGTH are starts of repeated strings.
-4. Starts are gathered by text and the bytes they cover removed.
-
-Shuffled are runs (some forty bytes each), the bytes of runs that differ, and texts twice, by row
-and compressed.
-A key with more than Settings.largest bytes of differing runs is not put into one task: the
-hashes of its windows are counted instead, combined before the shuffle.
+   LENGTH are starts of repeated strings. The texts that are streamed are those that the index is
+   of; there is no backward search of other texts.
+4. A key whose kinds have more than Settings.largest bytes, as those around a very common passage,
+   is split before it is indexed: its windows by where they lie about the key's string, STEP places
+   together, each part keyed by the bytes that all of its windows share. Within the passage the parts are
+   identical and are counted (2.), outside they are alone; those across its ends are
+   indexed, or, if they are too many again, split into single windows, which are either identical or
+   different. So no index is larger than about Settings.largest bytes, and no key is one task's.
+5. Starts are gathered by text and the bytes they cover removed.
+
+Shuffled are runs (some forty bytes each) and the bytes of runs that differ. Texts stay where they
+were first written, compressed, and what is asked of them, or removed, is brought to them. All
+joins are planned as sort-merge joins, as every side grows with the corpus.
 
 Hashes decide which strings are compared: 64 bits for a key with 64 of the bytes covered (128 bits
-in all for identical runs); where runs differ, bytes are compared.
+in all for identical runs and windows); where runs differ, bytes are compared.
 
 Edge cases: null texts are empty; texts shorter than LENGTH lose nothing; a text that repeats
 itself loses the repeats; repeated rows are each other's copies; null ids come back as null.
@@ -35,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +50,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import mapped, stored, values
+from lumenlake.llm.common import beside, discard, mapped, stored, stored_in_parts, values
 
 LENGTH = 400
 KMER = 32
@@ -52,6 +59,8 @@ SPAN = LENGTH - KMER + 1
 SIDE = (LENGTH - KMER) // 2
 #: Windows hashed at a time; bytes in an index.
 BLOCK, CHUNK = 1 << 18, 1 << 19
+#: Places of windows that are taken together where a large key is split.
+STEP = 24
 #: Most symbols packed for the first sort of an index.
 FIRST = 5
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -59,7 +68,9 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 @dataclass(frozen=True)
 class Settings:
-    largest: int = 3 << 20
+    """largest: bytes of one key that go into an index together."""
+
+    largest: int = CHUNK
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -317,6 +328,34 @@ def _bodies(batches):
             yield [list(x) for x in zip(*out)]
 
 
+def _pieces(step: int, batches):
+    """The asked windows in pieces of step places: rid, body, asks -> key, c, alone, rid, at, n, p. A piece's
+    key is of the bytes that its windows share; one window's is of its bytes, and so are windows
+    of runs whose string has no one place."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        out: list[list] = [[] for _ in range(7)]
+
+        def add(key, c, ask, rid, at, n, p):
+            for column, x in zip(out, (key - (1 << 64) if key >> 63 else key, c - (1 << 64) if c >> 63 else c, ask["alone"], rid, at, n, p)):
+                column.append(x)
+
+        for rid, body, asks in _rows(batch):
+            view = memoryview(_unpack(body))
+            for x in asks:
+                at, end, p = x["at"], x["at"] + x["n"], x["p"]
+                wide = 1 if p is None else step
+                first = at if p is None else p - (SPAN - 1)
+                for low in range(first + (at - first) // wide * wide, end, wide):
+                    a, b = max(at, low), min(end, low + wide)
+                    key = digest(view[low + wide - 1 : low + LENGTH], low - first if wide > 1 else 0)
+                    add(key, digest(view[a : b - 1 + LENGTH], 1), x, rid, a, b - a, p)
+                if len(out[0]) > 20_000:
+                    yield out
+                    out = [[] for _ in range(7)]
+        yield out
+
+
 def _indexed(batches):
     """Rows sorted by key, in whole keys a partition -> marks of those that stand alone."""
     rows: list[tuple] = []
@@ -344,18 +383,6 @@ def _indexed(batches):
         yield found()
 
 
-def _hashed(batches):
-    """Windows of the runs of very large keys, as two hashes: key, alone, rid, at, bytes -> rid, at, w1, w2, alone."""
-    for batch in batches:
-        for _, alone, rid, at, body in _rows(batch):
-            data = np.frombuffer(body, np.uint8)
-            with np.errstate(over="ignore"):
-                one = mix(rolling(data, LENGTH))
-                two = mix(rolling(data[::-1], LENGTH))[::-1].copy()
-            n = len(one)
-            yield [np.full(n, rid), np.arange(n) + at, one.view(np.int64), two.view(np.int64), [alone] * n]
-
-
 def _removed(batches):
     for batch in batches:
         out: list[tuple] = []
@@ -376,51 +403,91 @@ def _removed(batches):
         yield [list(x) for x in zip(*out)] if out else [[]] * 5
 
 
-def asked(found: DataFrame) -> DataFrame:
-    """key, alone, rid, at, n: the windows to compare, of runs whose key has different runs. found: RUNS
-    with often, whether any run of the key has its string more than once (then the key is not split)."""
-    one = F.min(F.struct("rid", "at", "n", "p", "l", "r")).alias("one")
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("k"), F.max("often").alias("often"), one)
-    kinds = kinds.select("h", (F.col("k") == 1).alias("alone"), "often", "one.*")
-    end, cut = F.col("at") + F.col("n"), F.col("p") - (SIDE - 1)
-    whole = F.struct(F.col("h").alias("key"), F.col("at"), F.col("n"))
-    low = F.struct(F.xxhash64("h", F.lit(0), "l").alias("key"), F.col("at"), (F.least(end, cut) - F.col("at")).alias("n"))
-    high = F.struct(F.xxhash64("h", F.lit(1), "r").alias("key"), F.greatest("at", cut).alias("at"), (end - F.greatest("at", cut)).alias("n"))
-    parts = F.when(F.col("often"), F.array(whole)).otherwise(F.filter(F.array(F.when(F.col("l").isNotNull(), low), F.when(F.col("r").isNotNull(), high)), lambda x: x.isNotNull()))
-    return kinds.select("alone", "rid", F.explode(parts).alias("x")).select("x.key", "alone", "rid", "x.at", "x.n")
+ASK = ("key", "alone", "at", "n", "p")
+BODIES = "key long, alone boolean, rid long, at long, body binary"
+PIECES = "key long, c long, alone boolean, rid long, at long, n long, p long"
 
 
-def starts(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """rid, at, n: the windows that are found elsewhere, as ranges. rows: rid and body."""
+def asked(kinds: DataFrame) -> DataFrame:
+    """rid and ASK: the windows to compare, of runs whose key has different runs. kinds: a row for each h and
+    c with their number k, one of them, and often, whether any run of the key has its string more than
+    once (then the key is not split by sides)."""
+    end, cut = F.col("at") + F.col("n"), F.col("p") - (SIDE - 1)
+    no = F.lit(None).cast("long")
+    whole = F.struct(F.col("h").alias("key"), F.col("at"), F.col("n"), no.alias("p"))
+    low = F.struct(F.xxhash64("h", F.lit(0), "l").alias("key"), F.col("at"), (F.least(end, cut) - F.col("at")).alias("n"), F.col("p"))
+    high = F.struct(F.xxhash64("h", F.lit(1), "r").alias("key"), F.greatest("at", cut).alias("at"), (end - F.greatest("at", cut)).alias("n"), F.col("p"))
+    parts = F.when(F.col("often"), F.array(whole)).otherwise(F.filter(F.array(F.when(F.col("l").isNotNull(), low), F.when(F.col("r").isNotNull(), high)), lambda x: x.isNotNull()))
+    flat = kinds.select("k", "often", "one.*", "h")
+    return flat.select((F.col("k") == 1).alias("alone"), "rid", F.explode(parts).alias("x")).select("rid", "x.key", "alone", "x.at", "x.n", "x.p")
+
+
+def _wanted(asks: DataFrame, met: DataFrame) -> DataFrame:
+    return asks.join(met.hint("merge"), "key", "left_semi")
+
+
+def _dealt(texts: DataFrame) -> DataFrame:
+    """The repeats among the asked windows of texts, by one index after the other for each partition of keys."""
+    bodies = mapped(texts.select("rid", "body", "asks"), _bodies, BODIES)
+    return mapped(bodies.repartition("key").sortWithinPartitions("key"), _indexed, "rid long, at long, n long")
+
+
+def compared(asks: DataFrame, rows: DataFrame, settings: Settings) -> list[DataFrame]:
+    """rid, at, n of the asked windows that are alone but repeat, in stored tables. asks is used up."""
+    out, step = [], STEP
+    gather = F.collect_list(F.struct(*ASK))  # of one text
+    while True:
+        of_key = asks.groupBy("key").agg(F.count("*").alias("k"), F.max("alone").alias("any"), F.sum(F.col("n") + LENGTH - 1).alias("bytes"))
+        met = stored(of_key.where("k > 1 AND any").select("key", (F.col("bytes") > settings.largest).alias("large")), "met")
+        out.append(beside(rows, _wanted(asks, met.where("NOT large")), "inner", "repeats", _dealt, asks=gather))
+        if not met.where("large").limit(1).count():
+            discard(met, asks)
+            return out
+        cut = partial(_pieces, step)
+        pieces = beside(rows, _wanted(asks, met.where("large")), "inner", "pieces", lambda j: mapped(j.select("rid", "body", "asks"), cut, PIECES), asks=gather)  # noqa: B023
+        discard(met, asks)
+        kinds = stored(pieces.groupBy("key", "c").agg(F.count("*").alias("k"), F.max("alone").alias("any"), F.min(F.struct("rid", "at", "n", "p")).alias("one")), "kinds")
+        same = kinds.where("k > 1 AND any").select("key", "c")
+        out.append(stored(pieces.where("alone").join(same.hint("merge"), ["key", "c"], "left_semi").select("rid", "at", "n"), "repeats"))
+        if step == 1:
+            discard(pieces, kinds)
+            return out
+        # windows taken singly, as those without a place of the string, differ from all others of another c
+        left = kinds.select("key", ((F.col("k") == 1) & F.col("any")).alias("alone"), "one.*").where("p IS NOT NULL").select("rid", *ASK)
+        asks, step = stored(left, "asked"), 1
+        discard(pieces, kinds)
+
+
+def starts(rows: DataFrame, settings: Settings = Settings()) -> list[DataFrame]:
+    """rid, at, n: the windows that are found elsewhere, as ranges, in stored tables. rows: rid and body."""
     found = stored(mapped(rows.select("rid", "body"), _runs, RUNS), "runs")
-    keyed, own = found.where("c IS NOT NULL"), found.where("c IS NULL").select("rid", "at", "n")
+    keyed = found.where("c IS NOT NULL")
+    out = [stored(found.where("c IS NULL").select("rid", "at", "n"), "repeats")]
     often = F.max(F.col("p").isNull()).alias("often")
-    again = keyed.groupBy("h").agg(F.count("*").alias("k"), (F.min("c") != F.max("c")).alias("differ"), often).where("k > 1").drop("k")
-    shared = stored(keyed.join(stored(again, "again"), "h"), "shared")
+    of_key = keyed.groupBy("h").agg(F.count("*").alias("k"), (F.min("c") != F.max("c")).alias("differ"), often)
+    again = stored(of_key.where("k > 1").drop("k"), "again")
+    shared = stored(keyed.join(again.hint("merge"), "h"), "shared")
+    discard(found, again)
     alike, other = shared.where("NOT differ"), shared.where("differ")
-    twice = stored(other.groupBy("h", "c").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "twice")
-    out = own.unionByName(alike.select("rid", "at", "n")).unionByName(other.join(twice, ["h", "c"], "left_semi").select("rid", "at", "n"))
-    asks = stored(asked(other), "asked")
-    met = asks.groupBy("key").agg(F.count("*").alias("k"), F.max("alone").alias("any"), F.sum(F.col("n") + LENGTH - 1).alias("bytes")).where("k > 1 AND any")
-    met = stored(met.select("key", (F.col("bytes") > settings.largest).alias("large")), "met")
-    wanted = asks.join(met, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "alone", "at", "n", "large")).alias("asks"))  # of one text
-    texts = rows.select("rid", "body").join(wanted, "rid")
-    bodies = "key long, alone boolean, rid long, at long, body binary"
-    cut = texts.select("rid", "body", F.filter("asks", lambda x: ~x["large"]).alias("asks"))
-    dealt = mapped(cut, _bodies, bodies).repartition("key").sortWithinPartitions("key")
-    out = out.unionByName(mapped(dealt, _indexed, "rid long, at long, n long"))
-    if met.where("large").limit(1).count():
-        cut = texts.select("rid", "body", F.filter("asks", lambda x: x["large"]).alias("asks"))
-        windows = stored(mapped(mapped(cut, _bodies, bodies), _hashed, "rid long, at long, w1 long, w2 long, alone boolean"), "windows")
-        same = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "same")
-        out = out.unionByName(windows.where("alone").join(same, ["w1", "w2"], "left_semi").select("rid", "at", F.lit(1).cast("long").alias("n")))
-    return out
+    one = F.min(F.struct("rid", "at", "n", "p", "l", "r")).alias("one")
+    kinds = stored(other.groupBy("h", "c").agg(F.count("*").alias("k"), F.max("often").alias("often"), one), "kinds")
+    twice = kinds.where("k > 1").select("h", "c")
+    out.append(stored(alike.select("rid", "at", "n").unionByName(other.join(twice.hint("merge"), ["h", "c"], "left_semi").select("rid", "at", "n")), "repeats"))
+    asks = stored(asked(kinds).select("rid", *ASK), "asked")
+    discard(shared, kinds)
+    return out + compared(asks, rows, settings)
 
 
 def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    rows = stored(mapped(rows, _packed, "rid long, doc_id long, body binary"), "rows")
-    gone = starts(rows, settings).groupBy("rid").agg(F.collect_list("at").alias("first"), F.collect_list("n").alias("n"))  # of one text
-    whole = rows.join(gone, "rid", "left").select("doc_id", "body", "first", "n")
-    return mapped(whole, _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = stored_in_parts(mapped(rows, _packed, "rid long, doc_id long, body binary"), "rows")
+    tables = starts(rows, settings)
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    lists = {"first": F.collect_list("at"), "n": F.collect_list("n")}  # of one text
+    out = beside(rows, every, "left", "result", lambda j: mapped(j.select("doc_id", "body", "first", "n"), _removed, columns), **lists)
+    discard(rows, *tables)
+    return out

@@ -38,7 +38,9 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
-    return read(spark, sf_dir, "documents").cache()
+    rows = read(spark, sf_dir, "documents").cache()
+    yield rows
+    rows.unpersist()  # or later plans over documents would read the cached rows
 
 
 def texts(df):
@@ -297,6 +299,18 @@ def test_repeats(spark, odd, empty, largest):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_common_passage_is_split(spark):
+    """A passage in many different surroundings: its key is split by place, and by window, and stays exact."""
+    draw = random.Random(3)
+    word = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage, twice = word(900), word(450)
+    rows = [(i, word(draw.randrange(40)) + passage[draw.randrange(9) :] + word(draw.randrange(60))) for i in range(60)]
+    rows += [(100 + i, (twice[:60] * 12) + word(i) + twice) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = repeats.without_repeats(df, repeats.Settings(largest=3000))
+    assert key(tuple(r) for r in out.collect()) == brute_repeats(rows)
+
+
 def test_run_length_index():
     draw = random.Random(4)
     for n in (1, 2, 50, 300):
@@ -521,6 +535,8 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert ids[3] == {d for d, t in texts(seen[2]) if not any(x in t for x in items)}
     assert ids[4] == ids[3] and not any(brute_pii(t) for _, t in texts(seen[4]))
     check_pieces(seen[4], seen[5])
+    for x in seen[1:]:
+        x.unpersist()
 
 
 @pytest.mark.parametrize("which", ["odd", "empty"])
