@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 #: Where this library lies, for Python workers that start elsewhere.
 _ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: dict[str, str] = {}
+#: The tables stored by each settled() that is at work.
+_USED: list[list[DataFrame]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lies_at = path
+    if _USED:
+        _USED[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """stored(make()), then without the tables that were stored on the way."""
+    _USED.append([])
+    try:
+        out = make()
+    finally:
+        used = _USED.pop()
+    out = stored(out, label)
+    discard(*used)
     return out
 
 
@@ -79,6 +95,8 @@ def stored_in_parts(df: DataFrame, label: str) -> DataFrame:
     df.withColumn("part", part_of(F.col("rid"))).write.bucketBy(n, "part").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._lies_at, out._named, out._parts = path, name, n
+    if _USED:
+        _USED[-1].append(out)
     return out
 
 

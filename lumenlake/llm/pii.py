@@ -25,12 +25,15 @@ as negatives there, so a look that is common without the rule's mark is not adde
 are always added.
 
 Positions count code points. A match is found by splitting the text at the pattern, so that
-gaps and matches alternate and lengths give offsets. The patterns are equal to the plain ones in
+gaps and matches alternate and running sums of lengths give offsets. The patterns are equal to the plain ones in
 the comments but have no repeated groups, which overflow the regex engine's stack in long texts,
-and no start inside a run that has failed, which would take quadratic time.
+and no start inside a run that has failed, which would take quadratic time. Running sums are made in
+as many passes as the number of matches has bits, overlaps are found by binary search, and texts are
+read in pieces of CHUNK code points, so the time for a text of n matches grows as n log n.
 
 Edge cases: null texts are empty; rows with null ids are treated like others, in the fitted part;
-repeated rows count each time; no candidates at all gives no trees and adds nothing.
+repeated rows count each time; no candidates at all gives no trees and adds nothing; other columns,
+whatever their names and types, come back from redacted() as they were.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ from lumenlake.llm.common import fold, stored
 
 #: In the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
-SPAN = "struct<s:bigint,e:bigint,m:string>"
+SPAN = "struct<s:bigint,e:bigint,m:string,b:string,a:string>"
 CANDIDATE = "struct<s:bigint,e:bigint,k:int,label:int,f:array<int>>"
 #: Stands for a dot between two label characters; the text's own is replaced by the next one.
 DOT, OWN_DOT = "\ue000", "\ue001"
@@ -67,6 +70,8 @@ GENERATORS = (
 )
 CUE = r"(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|credential)[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"
 SIGN = r"[=:]\s{0,3}[\"']?$"
+#: Code points before a candidate that are looked at; code points of a text that are read together.
+BEFORE, CHUNK = 24, 4096
 FEATURES = ("kind", "length", "digits", "groups", "classes", "luhn", "context", "closed")
 
 
@@ -87,20 +92,52 @@ class Model:
     thresholds: tuple
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value made once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def bits_of(n: Column) -> Column:
+    return F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int")
+
+
+def running(numbers: Column, f) -> Column:
+    """f over each element and all before it, by doubling."""
+    steps = F.transform(F.sequence(F.lit(0), bits_of(F.size(numbers))), lambda k: F.pow(F.lit(2), k).cast("int"))
+    joined = lambda a, far: F.transform(a, lambda x, i: F.when(i >= far, f(x, F.get(a, i - far))).otherwise(x)).cast("array<bigint>")
+    return F.aggregate(steps, numbers.cast("array<bigint>"), joined)
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as array<struct<s, e, m>>, s and e in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).cast("long").alias("g"), m.alias("m")))
-    empty = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    """All matches of a pattern as array<struct<s, e, m, b, a>>: start and end in code points, the match,
+    what stands before it and the character after it."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+
+    def placed(x):
+        ends = running(F.transform(x["m"], lambda m, i: F.char_length(m) + F.char_length(F.get(x["g"], i))), lambda p, q: p + q)
+
+        def span(end):
+            def one(m, i):
+                near = F.right(F.concat(F.coalesce(F.get(x["m"], i - 1), F.lit("")), F.get(x["g"], i)), F.lit(BEFORE))
+                e = F.get(end, i)
+                return F.struct((e - F.char_length(m)).alias("s"), e.alias("e"), m.alias("m"), near.alias("b"), F.left(F.get(x["g"], i + 1), F.lit(1)).alias("a"))
+
+            return F.transform(x["m"], one).cast(f"array<{SPAN}>")
+
+        return F.when(F.size(x["m"]) > 0, let(ends, span)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    def add(a, x):
-        s = a["at"] + x["g"]
-        e = s + F.char_length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(a["out"], F.struct(s.alias("s"), e.cast("long").alias("e"), x["m"].alias("m"))).cast(f"array<{SPAN}>").alias("out"))
+    return let(both, placed)
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda a: a["out"])).otherwise(empty)
+
+def overlapped(base: Column, x: Column) -> Column:
+    """Whether a span of base, which are in order and apart, overlaps x."""
+
+    def last(at, step):
+        return F.when((at + step <= F.size(base)) & (F.get(base, at + step - 1)["s"] < x["e"]), at + step).otherwise(at)
+
+    steps = F.transform(F.sequence(bits_of(F.size(base)), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    found = F.aggregate(steps, F.lit(0), last, lambda at: F.coalesce((at > 0) & (F.get(base, at - 1)["e"] > x["s"]), F.lit(False)))
+    return F.when(F.size(base) > 0, found).otherwise(False)
 
 
 def digits(s: Column) -> Column:
@@ -155,12 +192,8 @@ def candidates(text: Column, base: list[Column]) -> Column:
             m = x["m"]
             shown = digits(m) if kind == 2 else F.ltrim(m, F.lit("+")) if kind == 3 else m  # the rest is masked
             n, d = F.char_length(shown), F.length(digits(m))
-            before = F.substring(text, F.greatest(x["s"] - 23, F.lit(1)).cast("int"), F.least(x["s"], F.lit(24)).cast("int"))
-            after = F.substring(text, (x["e"] + 1).cast("int"), F.lit(1))
-            if kind == 4:
-                label = before.rlike(CUE)
-            else:
-                label = F.exists(base[kind], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            before, after = x["b"], x["a"]
+            label = before.rlike(CUE) if kind == 4 else overlapped(base[kind], x)
             f = F.array(
                 F.lit(kind),
                 _bin(n, (10, 13, 15, 17, 20, 24, 32, 41)),
@@ -185,17 +218,17 @@ def candidates(text: Column, base: list[Column]) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """docs with the columns _email, _ip, _card, _phone (strict spans) and _candidates."""
-    out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    named = {f"_{k}": c for k, c in zip(KINDS, strict(F.col("_text")))}
-    out = out.withColumns(named)
-    return out.withColumn("_candidates", candidates(F.col("_text"), [F.col(n) for n in named]))
+    """The rows of docs as a struct `row`, their texts, the strict spans (email, ip, card, phone) and the candidates."""
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    bare = lambda spans_: F.transform(spans_, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    out = out.withColumns({k: bare(c) for k, c in zip(KINDS, strict(F.col("text")))})
+    return out.withColumn("candidates", candidates(F.col("text"), [F.col(k) for k in KINDS[:4]]))
 
 
 def cells(rows: DataFrame) -> DataFrame:
     """The training table: label, held (held-out document), features, n."""
-    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
-    one = rows.where(F.size("_candidates") > 0).select(held.alias("held"), F.explode("_candidates").alias("c"))
+    held = F.coalesce(fold(F.col("row.doc_id"), 5) == 0, F.lit(False))
+    one = rows.where(F.size("candidates") > 0).select(held.alias("held"), F.explode("candidates").alias("c"))
     return one.groupBy("held", F.col("c.label").alias("label"), F.col("c.f").alias("f")).agg(F.count("*").alias("n"))
 
 
@@ -252,8 +285,9 @@ def fit(table: list, settings: Settings = Settings()) -> Model:
     return Model(bias, tuple(trees), tuple(thresholds))
 
 
-def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    return fit([tuple(r) for r in cells(found(docs)).collect()], settings)  # at most the combinations of features
+def train(rows: DataFrame, settings: Settings = Settings()) -> Model:
+    """rows: of found()."""
+    return fit([tuple(r) for r in cells(rows).collect()], settings)  # at most the combinations of features
 
 
 def _logit(model: Model, f: Column) -> Column:
@@ -280,27 +314,27 @@ def added(model: Model, base: list[Column]) -> Column:
         return lambda c: (c["k"] == k) & (((c["label"] == 1) | good(c)) if k == cued else good(c))
 
     def apart(k: int):
-        return lambda c: ~F.exists(base[k], lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+        return lambda c: ~overlapped(base[k], c)
 
     out = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
     for k, least in enumerate(model.thresholds):
         if least is not None or k == cued:
-            chosen = F.filter("_candidates", selected(k, least))
+            chosen = F.filter("candidates", selected(k, least))
             chosen = F.filter(chosen, apart(k)) if k < len(base) else chosen
             out = F.concat(out, F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
     return out
 
 
 def marked(rows: DataFrame, model: Model) -> DataFrame:
-    """Adds _base and _all, sorted arrays of struct<s, k, e>."""
-    base = [F.col(f"_{k}") for k in KINDS[:4]]
+    """Adds base and all, sorted arrays of struct<s, k, e>; those added are apart from the strict ones of their kind."""
+    base = [F.col(k) for k in KINDS[:4]]
 
     def tagged(k: int):
         return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
 
     flat = F.concat(*[F.transform(b, tagged(k)) for k, b in enumerate(base)])
-    out = rows.withColumn("_base", F.sort_array(flat))
-    return out.withColumn("_all", F.sort_array(F.array_union(F.col("_base"), added(model, base))))
+    out = rows.withColumn("base", F.sort_array(flat))
+    return out.withColumn("all", F.sort_array(F.concat(F.col("base"), added(model, base))))
 
 
 def listed(array: Column) -> Column:
@@ -310,24 +344,37 @@ def listed(array: Column) -> Column:
 
 def personal_data(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Counts of strict spans, their digest, and all spans, for every row of docs."""
-    rows = stored(found(docs.select("doc_id", "text")).drop("text", "_text"), "pii")
-    model = fit([tuple(r) for r in cells(rows).collect()], settings)
-    out = marked(rows, model)
-    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"))
+    ids = found(docs.select("doc_id", "text")).withColumn("row", F.struct("row.doc_id"))
+    rows = stored(ids.drop("text"), "pii")
+    out = marked(rows, train(rows, settings))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    return out.select("row.doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
 
 
-def redacted(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans by the first of them."""
-    out = marked(found(docs), train(docs, settings))
+def replaced(text: Column, all_: Column) -> Column:
+    """The text with every span's kind in brackets for it; overlapping spans by the first of them."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("c"), running(F.transform(all_, lambda x: x["e"]), F.greatest).alias("e"))
+
+    def cut(chunks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / CHUNK).cast("int")
+        few = F.array_join(F.slice(chunks, first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "")
+        return F.substring(few, (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
 
-    def add(a, x):
-        gap = F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.greatest(x["s"] - a["at"], F.lit(0)).cast("int"))
-        mark = F.when(x["s"] >= a["at"], F.get(names, x["k"])).otherwise("")
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], gap, mark).alias("out"))
+    def joined(x):
+        def part(span, i):
+            return let(F.coalesce(F.get(x["e"], i - 1), F.lit(0).cast("long")), lambda at: F.when(span["s"] >= at, F.concat(cut(x["c"], at, span["s"]), F.get(names, span["k"]))).otherwise(""))
 
-    whole = F.aggregate("_all", start, add, lambda a: F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.char_length("_text"))))
-    text = F.when(F.size("_all") > 0, whole).otherwise(F.col("text"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+        last = F.get(x["e"], F.size(x["e"]) - 1)
+        return F.concat(F.array_join(F.transform(all_, part), ""), cut(x["c"], last, F.greatest(F.char_length(text).cast("long"), last)))
+
+    return F.when(F.size(all_) > 0, let(both, joined)).otherwise(text)
+
+
+def redacted(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """docs with every span replaced by its kind in brackets. The texts are matched once; rows and spans are kept
+    in the shared folder."""
+    rows = stored(found(docs), "pii")
+    out = marked(rows, train(rows, settings))
+    text = F.when(F.size("all") > 0, replaced(F.col("text"), F.col("all"))).otherwise(F.col("row.text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Spans that only the trees can add: they look like strict ones but lack what makes those strict."""
 
 import random
+import time
 
 from lumenlake.llm import pii
 
@@ -20,3 +21,17 @@ def test_spans_without_the_mark_of_their_rule(spark):
     # a cue is enough where there is too little to learn from
     few = spark.createDataFrame([(1, 'password: "correcthorse7battery" end')], "doc_id long, text string")
     assert [r.spans for r in pii.personal_data(few).collect()] == ["secret:11:31"]
+
+
+def test_long_lists_and_other_columns(spark):
+    """Texts of a megabyte with a hundred thousand matches; columns of any name and type come back."""
+    phones = "; ".join(f"+1 (555) {i % 1000:03d}-{i % 9973:04d}" for i in range(50_000))
+    rows = [(1, phones, {"a": 1}, "mine", "his"), (2, "12 x" * 300_000, None, None, None), (3, None, {}, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, _text string, `all` string")
+    began = time.perf_counter()
+    found = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert (found[1].n_phone, found[2].n_phone, found[3].spans) == (50_000, 0, "")
+    back = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
+    assert back[1]["text"] == "; ".join(["[PHONE]"] * 50_000) and back[2]["text"] == rows[1][1] and back[3]["text"] is None
+    assert [(back[i]["m"], back[i]["_text"], back[i]["all"]) for i in (1, 2, 3)] == [r[2:] for r in rows]
+    assert time.perf_counter() - began < 240
