@@ -255,6 +255,12 @@ def test_urls(spark, sf_dir):
         want.append((r.page_id, host, path, *(max(fits)[1:] if fits else (None, "allow"))))
     assert key(tuple(r) for r in urls.verdicts(pages).collect()) == key(want)
     assert urls.verdicts(pages, rules=()).where("rule IS NOT NULL").count() == 0
+    # rules from a table, with a list that is cut into parts
+    hosts = pages.where("url IS NOT NULL").select("url").limit(30).collect()
+    rules = [("block", re.sub("[/?#].*", "", r.url.split("://")[-1]).upper(), "/") for r in hosts] + list(urls.RULES) + [("allow", None, "/")]
+    given = spark.createDataFrame(rules, "action string, host string, path string")
+    whole, cut = urls.verdicts(pages, given), urls.verdicts(pages, given, urls.Settings(max_bits=128))
+    assert key(map(tuple, whole.collect())) == key(map(tuple, cut.collect())) and whole.where("verdict = 'block'").count() >= 20
     assert urls.verdicts(pages.limit(0)).count() == 0
 
 
