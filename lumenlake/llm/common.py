@@ -92,7 +92,7 @@ def stored_in_parts(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path, name = _place(spark, label), f"lumenlake_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.withColumn("part", part_of(F.col("rid"))).write.bucketBy(n, "part").option("path", path).saveAsTable(name)
+    df.withColumn("part", part_of(F.col("rid"))).write.option("compression", "zstd").bucketBy(n, "part").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._lies_at, out._named, out._parts = path, name, n
     if _USED:

@@ -14,30 +14,33 @@ copies of a text count once.
 
 Within a key, links are followed by a breadth-first search that compares each reached
 fingerprint with those not yet reached, and one edge is kept for each fingerprint reached: a
-spanning forest, never all pairs. Large-star and small-star rounds then join the forests.
+spanning forest, never all pairs. A key with more than HOT distinct fingerprints is not one task's work:
+it is cut into blocks of HOT, and each pair of blocks becomes a row that any task can take. Large-star and
+small-star rounds then join the forests.
 
 Edge cases: null or blank texts have fingerprint zero and link like any other; a null doc_id
 gets a component_id from the others of its component (null if there is none); repeated rows
-come back as often as they came; an empty table gives an empty result.
+come back as often as they came, but of copies one_of_each() keeps one row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from lumenlake.llm.common import mapped, stored, values
+from lumenlake.llm.common import beside, discard, mapped, stored, stored_in_parts, values
 
 SHINGLE = 4
 SEED = 42
 LINK = 4
 BLOCKS = (13, 13, 13, 13, 12)
 SEGMENT = 23
+#: Distinct fingerprints of one key that are searched together.
+HOT = 1 << 14
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
@@ -68,9 +71,10 @@ def _fingerprints(batches):
         yield [batch.column(0), prints.view(np.int64)]
 
 
-def _with_fingerprints(text: int, batches):
+def _numbered(batches):
     for batch in batches:
-        yield [*batch.columns, np.array([fingerprint(t) for t in values(batch.column(text))], dtype=np.uint64).view(np.int64)]
+        prints = np.array([fingerprint(t) for t in values(batch.column(2))], dtype=np.uint64)
+        yield [batch.column(0), batch.column(1), batch.column(3), prints.view(np.int64)]
 
 
 @lru_cache(maxsize=1)
@@ -166,12 +170,18 @@ def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(batches):
-    """Batches come sorted by key; a key may go on in the next one."""
-    key, value = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Batches come sorted by key; a key may go on in the next one. Yields links (a, b), and the pairs of blocks
+    (left, right) of keys that are too large."""
+    keys_, values_ = [], []
+
+    def cut(all_):
+        """A large key's work: each block with itself and with each later one."""
+        blocks = [all_[i : i + HOT].tobytes() for i in range(0, len(all_), HOT)]
+        for i, left in enumerate(blocks):
+            for right in blocks[i:]:
+                yield [[None], [None], [left], [right]]
 
     def within(key, value):
-        if not len(key):
-            return None
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         two = start[size == 2]
@@ -179,29 +189,52 @@ def _links(batches):
         near = np.bitwise_count((x ^ y).view(np.uint64)) <= LINK
         a, b = [x[near]], [y[near]]
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            if n > HOT:
+                yield from cut(value[s : s + n])
+                continue
             p, c = forest(value[s : s + n].view(np.uint64))
             a.append(p.view(np.int64))
             b.append(c.view(np.int64))
-        return [np.concatenate(a), np.concatenate(b)]
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield [a, b, [None] * len(a), [None] * len(a)]
 
     for batch in batches:
-        key, value = np.r_[key, np.asarray(batch.column(0))], np.r_[value, np.asarray(batch.column(1))]
+        key, value = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         if not len(key):
             continue
         last = int(np.searchsorted(key, key[-1]))
-        if (out := within(key[:last], value[:last])) is not None and len(out[0]):
-            yield out
-        key, value = key[last:], value[last:]
-    if (out := within(key, value)) is not None and len(out[0]):
-        yield out
+        if last or (keys_ and keys_[-1][-1] != key[-1]):
+            yield from within(np.concatenate([*keys_, key[:last]]), np.concatenate([*values_, value[:last]]))
+            keys_, values_ = [], []
+        keys_.append(key[last:])
+        values_.append(value[last:])
+    if keys_:
+        yield from within(np.concatenate(keys_), np.concatenate(values_))
+
+
+def _pairs(batches):
+    """The links within and between two blocks of a large key."""
+    for batch in batches:
+        for left, right in zip(values(batch.column(0)), values(batch.column(1))):
+            all_ = np.frombuffer(left if left == right else left + right, np.int64)
+            p, c = forest(all_.view(np.uint64))
+            yield [p.view(np.int64), c.view(np.int64)]
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """A spanning set of links (a, b) among the distinct fingerprints in column fp."""
+    """A spanning set of links (a, b) among the distinct fingerprints in column fp, stored."""
     keyed = mapped(distinct.select("fp"), _keyed, "key long, fp long")
     # the partitioning is by key, and a key holds distinct fingerprints only
     dealt = keyed.repartition("key").sortWithinPartitions("key")
-    return mapped(dealt, _links, "a long, b long")
+    first = stored(mapped(dealt, _links, "a long, b long, left binary, right binary"), "links")
+    large = first.where("left IS NOT NULL").select("left", "right")
+    found = first.where("left IS NULL").select("a", "b")
+    if large.limit(1).count():
+        found = found.unionByName(mapped(large.repartition(F.xxhash64("left", "right")), _pairs, "a long, b long"))
+    out = stored(found, "links")
+    discard(first)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,42 +248,47 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = stored(small, "edges")
+        used, edges = edges, stored(small, "edges")
+        discard(used)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
 
 
-def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows' doc_id and fp, and of each distinct fp its smallest doc_id (low) and its component (root)."""
-    prints = stored(mapped(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long"), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    found = components(links(distinct))
-    return prints, distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+def rooted(prints: DataFrame) -> DataFrame:
+    """fp and root of each distinct fingerprint in prints; root is the smallest of its component."""
+    distinct = prints.select("fp").distinct()
+    pairs = links(distinct)
+    found = components(pairs)
+    discard(pairs)
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    prints, nodes = _nodes(docs)
+    prints = stored(mapped(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long"), "fingerprints")
+    nodes = rooted(prints).join(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp")
     lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = nodes.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs of each component: that of the smallest doc_id; where rows repeat that id within
-    the component, that of the smallest fingerprint, then the smallest row. So a row of a repeated id counts for its own
-    component only. Rows with a null doc_id have no place in that order and all stay."""
-    prints, nodes = _nodes(docs)
-    first = nodes.where("low IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("low").alias("doc_id"), "fp")).alias("c"))
-    often = prints.groupBy("doc_id").agg((F.count("*") > 1).alias("often"))
-    chosen = stored(first.select("c.*").join(often, "doc_id"), "chosen")
-    single = docs.join(chosen.where("NOT often"), "doc_id", "left_semi").select(*docs.columns)
-    # fingerprints again, but of repeated ids only
-    some = docs.join(chosen.where("often"), "doc_id", "left_semi").select(*docs.columns)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    told = mapped(some, partial(_with_fingerprints, docs.columns.index("text")), StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    own = chosen.where("often").select("doc_id", F.col("fp").alias("_fp"))
-    rows = told.join(own, ["doc_id", "_fp"], "left_semi").groupBy("doc_id", "_fp").agg(F.min(F.struct("text", *rest)).alias("r"))
-    return single.unionByName(rows.select("doc_id", "r.*").select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    """One row of docs of each component: that of the smallest doc_id, then of the smallest fingerprint, then
+    of the other columns as JSON, then the first in place. Rows are decided one by one, so different
+    texts of one repeated id each count for their own component. Rows with a null doc_id have no place in that
+    order and all stay. Texts are written once and not shuffled: the numbers of the chosen rows are brought to
+    where they lie. All columns, of any type and name, come back."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = stored_in_parts(rows, "rows")
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    told = rows.select("rid", "row.doc_id", "row.text", F.to_json(F.struct(*rest)).alias("rest") if rest else F.lit("").alias("rest"))
+    prints = stored(mapped(told, _numbered, "rid long, doc_id long, rest string, fp long"), "fingerprints")
+    of_fp = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "rest", "rid")).alias("c"))  # copies meet before their roots do
+    chosen = of_fp.join(rooted(prints), "fp").groupBy("root").agg(F.min("c").alias("c")).select("c.rid")
+    chosen = chosen.unionByName(prints.where("doc_id IS NULL").select("rid"))
+    back = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    out = beside(rows, chosen, "inner", "chosen", lambda j: j.select(*back), n=F.count("*"))
+    discard(rows, prints)
+    return out
