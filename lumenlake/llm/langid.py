@@ -12,7 +12,11 @@ whatever the partitioning. The shortest code names the language.
 Bytes that no training text holds share one class: they cost the same everywhere.
 
 Training uses a bounded sample: about Settings.per_language documents of each language, chosen
-by a hash of id and text; their n-grams are counted on the executors.
+by a hash of id and text; their n-grams are counted on the executors. The table, which is broadcast, has at
+most Settings.table_bytes: where many languages with many different bytes need more, the trees are pruned,
+that is, the contexts of two and of three bytes that were seen least get the code lengths of the next shorter context.
+More than Settings.grams counted n-grams are refused (lower per_language): they grow with the sample, not
+with the corpus.
 
 Edge cases: a null or empty text, or one without a letter, is `und` with score 0; rows with a
 null lang or id are scored and never trained on; nothing to learn from makes every row `und`;
@@ -28,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import fold, mapped, values
+from lumenlake.llm.common import discard, fold, mapped, stored, values
 
 ORDER = 3
 UNIT = 256
@@ -41,6 +45,8 @@ CHUNK = 1 << 20
 class Settings:
     per_language: int = 1500
     seed: int = 11
+    table_bytes: int = 256 << 20
+    grams: int = 40_000_000
 
 
 @dataclass(frozen=True)
@@ -129,11 +135,23 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Trees:
     for lang, n in sorted(counts.items()):
         limit = F.when(F.col("lang") == lang, int(min(1.0, settings.per_language / n) * 1_000_000)).otherwise(limit)
     grams = mapped(known.select("lang", "text", "doc_id").where(share < limit).select("lang", "text"), _grams, "lang string, gram long, n long")
-    seen = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    return build(sorted(counts), np.array(seen.column(0).to_pylist(), dtype=object), seen.column(1).to_numpy(), seen.column(2).to_numpy())
+    summed = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    if summed.count() > settings.grams:
+        raise ValueError(f"more than {settings.grams} n-grams in the sample; lower per_language")
+    seen = summed.toArrow()
+    discard(summed)
+    return build(sorted(counts), np.array(seen.column(0).to_pylist(), dtype=object), seen.column(1).to_numpy(), seen.column(2).to_numpy(), settings.table_bytes)
 
 
-def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Trees:
+def _most(code: np.ndarray, n: np.ndarray, few: int) -> np.ndarray:
+    """The distinct codes in order, or, if there are more than few, those seen most."""
+    codes, at = np.unique(code, return_inverse=True)
+    if len(codes) > few:
+        codes = np.sort(codes[np.argsort(-np.bincount(at, weights=n), kind="stable")[:few]])
+    return codes
+
+
+def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, table_bytes: int = Settings.table_bytes) -> Trees:
     """Tabulates the code lengths. The counts of shorter contexts are sums over the longer ones."""
     digits = np.stack([gram >> s & 255 for s in (24, 16, 8, 0)]).astype(np.int64) if len(gram) else np.zeros((4, 0), np.int64)
     used = np.unique(digits)
@@ -141,21 +159,28 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     classes[used] = np.arange(1, len(used) + 1)
     size = len(used) + 1
     a, b, c, d = classes[digits].astype(np.int64)
-    context = (a * size + b) * size + c
-    seen = np.unique(context)
-    contexts = np.arange(size**3, dtype=np.int32) % (size * size) + len(seen)  # rows of the order-2 contexts
+    pair, context = b * size + c, (a * size + b) * size + c
+    room = max(table_bytes // (2 * size * max(len(languages), 1)) - size, 0)
+    pairs = np.arange(size * size) if size * size <= room // 2 else _most(pair, n, room // 2)
+    seen = _most(context, n, room - len(pairs))
+    # rows of the table: contexts of three bytes, of two, of one
+    of_pair = np.arange(size * size, dtype=np.int32) % size + len(seen) + len(pairs)
+    of_pair[pairs] = len(seen) + np.arange(len(pairs))
+    contexts = np.tile(of_pair, size)
     contexts[seen] = np.arange(len(seen))
-    table = np.zeros((len(seen) + size * size, size, len(languages)), np.uint16)
+    table = np.zeros((len(seen) + len(pairs) + size, size, len(languages)), np.uint16)
     for k, name in enumerate(languages):
         own = lang == name
         w = n[own].astype(np.float64)
-        lower = np.full((1, size), 1 / 256)
-        for key, rows in ((np.zeros(own.sum(), np.int64), 1), (c[own], size), (b[own] * size + c[own], size * size)):
-            lower = _blend(np.bincount(key * size + d[own], weights=w, minlength=rows * size).reshape(rows, size), np.tile(lower, (rows // len(lower), 1)))
-        row = np.searchsorted(seen, context[own])
-        counts = np.bincount(row * size + d[own], weights=w, minlength=len(seen) * size).reshape(len(seen), size)
-        full = _blend(counts, lower[seen % (size * size)])
-        table[:, :, k] = np.minimum(np.rint(-np.log2(np.concatenate([full, lower])) * UNIT), 65535)
+        orders = [np.full((1, size), 1 / 256)]
+        for key, rows in ((np.zeros(own.sum(), np.int64), 1), (c[own], size), (pair[own], size * size)):
+            lower = orders[-1]
+            orders.append(_blend(np.bincount(key * size + d[own], weights=w, minlength=rows * size).reshape(rows, size), np.tile(lower, (rows // len(lower), 1))))
+        long = np.flatnonzero(np.isin(context[own], seen))
+        row = np.searchsorted(seen, context[own][long])
+        counts = np.bincount(row * size + d[own][long], weights=w[long], minlength=len(seen) * size).reshape(len(seen), size)
+        full = _blend(counts, orders[3][seen % (size * size)])
+        table[:, :, k] = np.minimum(np.rint(-np.log2(np.concatenate([full, orders[3][pairs], orders[2]])) * UNIT), 65535)
     return Trees(languages, classes, contexts, table)
 
 

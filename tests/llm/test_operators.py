@@ -374,6 +374,23 @@ def test_language_code_lengths():
     assert (model.lengths([probes[4]] * 3) == got[4]).all() and (model._long(probes[4]) == got[4]).all()
 
 
+def test_pruned_trees_fit_their_bound():
+    """Many languages with many bytes: the table stays within its bound and still tells them apart."""
+    draw = np.random.default_rng(2)
+    names = [f"l{i:02d}" for i in range(12)]
+    letters = {x: draw.permutation(np.arange(33, 250))[:60] for x in names}
+    make = lambda x, k: bytes(letters[x][(draw.integers(0, 60, k) * draw.random(k)).astype(int)].astype(np.uint8))
+    lang, gram, n = [], [], []
+    for x in names:
+        b = np.frombuffer(make(x, 20_000), np.uint8).astype(np.int64)
+        g, k = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_counts=True)
+        lang, gram, n = lang + [x] * len(g), np.r_[gram, g], np.r_[n, k]
+    for bound in (4 << 20, 64 << 20):
+        model = langid.build(names, np.array(lang, object), np.asarray(gram, np.int64), np.asarray(n, np.int64), bound)
+        assert model.table.nbytes <= bound
+        assert [names[i] for i in model.lengths([make(x, 400) for x in names]).argmin(axis=1)] == names
+
+
 def test_languages(docs, odd, empty):
     out = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if r.held_out]
