@@ -5,15 +5,18 @@ Index.window words of a training text is a query. An item's score is divided by
 own words give, so 1 is a whole item and one threshold serves all. Items lie in blocks of BLOCK,
 ordered by length, and each posting list keeps its largest impact in each block (block-max).
 
-WAND, a batch of passages at a time: words in many items are never enough to reach the threshold
-by themselves, so only the lists of the other (essential) words propose blocks; a block whose
-maxima, with the most that its items get from the remaining words, stay below the threshold is
-skipped; the items of the others are scored in full. Everything at or above the threshold is
-retrieved, then verified: four fifths of the item's five-word shingles stand in the passage, and
-half of the answer's words.
-
-The index grows with the test items only, and build() refuses more than MAX_WORDS words of them:
-beyond that, run it for each part of the items. Nothing is shuffled.
+WAND, a batch of passages at a time. Words in many items are never enough to reach the threshold by
+themselves; the lists of the others (essential words) propose blocks. Of a passage's essential lists, the
+longest are set aside for as long as all their largest impacts together, and the most that any item gets from
+the frequent words, stay below the threshold: no item can reach it without one of the remaining lists, so
+those before this pivot are not read. A block that the remaining lists propose is skipped if their maxima in
+it, those of the lists set aside, and the most that its items get from the frequent words stay below
+the threshold; the items of the others are scored in full. Only the postings read take memory, at most
+about POSTINGS at a time. Everything at or above the threshold is retrieved, then verified: four fifths of the
+item's five-word shingles stand in the passage, half of the question's, and half of the answer's words.
+
+An index holds at most MAX_WORDS words, counted on the executors; more items than that are dealt by a hash to
+several indexes, each with its own frequencies, and the corpus is read once for each. Nothing is shuffled.
 
 Edge cases: null or empty texts match nothing; items without words are ignored, shorter ones than
 a shingle must occur whole; null ids come back as null; repeated rows and items are each matched.
@@ -22,6 +25,7 @@ a shingle must occur whole; null ids come back as null; repeated rows and items
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -36,12 +40,12 @@ WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
-ANSWER = 0.5
+QUESTION, ANSWER = 0.5, 0.5
 SHINGLE = 5
 BLOCK = 8
 MAX_WORDS = 20_000_000
-#: Passages scored at a time.
-BATCH = 512
+#: Passages and postings scored at a time.
+BATCH, POSTINGS = 512, 4_000_000
 MATCHES = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
 
 
@@ -71,6 +75,7 @@ class Index:
     item_id: np.ndarray
     impact: np.ndarray
     rest: np.ndarray
+    most: np.ndarray
     window: int
 
 
@@ -78,8 +83,6 @@ def build(items: list[tuple]) -> Index:
     """Index of (item_id, question, answer) rows."""
     rows = [(i, q, a) for i, q, a in ((i, words(q), words(a)) for i, q, a in items) if q or a]
     rows.sort(key=lambda r: (len(r[1]) + len(r[2]), str(r[0])))
-    if sum(len(q) + len(a) for _, q, a in rows) > MAX_WORDS:
-        raise ValueError(f"the items have more than {MAX_WORDS} words; index them in parts")
     n = len(rows)
     vocabulary: dict[str, int] = {}
     term, item, tf = [], [], []
@@ -119,7 +122,9 @@ def build(items: list[tuple]) -> Index:
     np.maximum.at(most_rest, np.arange(n) // BLOCK, rest)
     at = lambda t: np.searchsorted(t, np.arange(len(vocabulary) + 1))
     longest = int(sizes.max()) if n else 1
-    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], vocabulary, essential, at(term[starts]), block[starts], best, at(term), item, impact, most_rest, max(128, 2 * longest))
+    most = np.zeros(len(vocabulary))
+    np.maximum.at(most, term, impact)
+    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], vocabulary, essential, at(term[starts]), block[starts], best, at(term), item, impact, most_rest, most, max(128, 2 * longest))
 
 
 def _expand(at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +138,14 @@ def retrieve(index: Index, ids: np.ndarray, step: int) -> list[tuple[int, int, f
     """(passage, item, score) of all at the threshold or above. ids: term of each word, -1 for none;
     passage p has the words from p * step to p * step + 2 * step."""
     passages = max(1, -(-len(ids) // step) - 1)
-    blocks = len(index.rest)
+    blocks, least = len(index.rest), THRESHOLD - 1e-9
     out: list[tuple[int, int, float]] = []
     place = np.flatnonzero(ids >= 0)
     place = place[index.essential[ids[place]]]
     if not len(place) or not blocks:
         return out
+    spare = float(index.rest.max())
+    size = np.diff(index.block_at)
     for low in range(0, passages, BATCH):
         high = min(passages, low + BATCH)
         a, b = np.searchsorted(place, [low * step, (high + 1) * step])
@@ -151,17 +158,31 @@ def retrieve(index: Index, ids: np.ndarray, step: int) -> list[tuple[int, int, f
         inside = (pair >= low) & (pair < high)
         code = np.unique((pair[inside] - low) * len(index.vocabulary) + term[inside])
         passage, term = code // len(index.vocabulary), code % len(index.vocabulary)
-        entry, owner = _expand(index.block_at, term)
-        cell = passage[owner] * blocks + index.block_id[entry]
-        bound = np.bincount(cell, weights=index.block_max[entry], minlength=(high - low) * blocks)
-        bound = bound.reshape(-1, blocks)
-        for p, k in zip(*np.nonzero((bound > 0) & (bound + index.rest >= THRESHOLD - 1e-9))):
-            own = ids[(low + p) * step : (low + p + 2) * step]
-            terms = np.unique(own[own >= 0])
-            entry, _ = _expand(index.item_at, terms)
-            entry = entry[index.item_id[entry] // BLOCK == k]
-            score = np.bincount(index.item_id[entry] - k * BLOCK, weights=index.impact[entry], minlength=BLOCK)
-            out += [(int(low + p), int(k * BLOCK + i), float(score[i])) for i in np.flatnonzero(score >= THRESHOLD - 1e-9)]
+        # the pivot of each passage: its longest lists that cannot reach the threshold together
+        order = np.lexsort([-size[term], passage])
+        passage, term = passage[order], term[order]
+        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        upto = np.cumsum(index.most[term])
+        upto -= np.repeat(upto[first] - index.most[term[first]], np.diff(np.r_[first, len(passage)]))
+        aside = upto + spare < least
+        set_aside = np.zeros(high - low)
+        np.maximum.at(set_aside, passage[aside], upto[aside])
+        passage, term = passage[~aside], term[~aside]
+        # as many whole passages at a time as POSTINGS allows
+        group = np.cumsum(size[term]) // POSTINGS
+        edges = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) & (passage[1:] != passage[:-1])]) if len(term) else []
+        for i, j in zip(edges, [*edges[1:], len(term)]):
+            entry, owner = _expand(index.block_at, term[i:j])
+            cell, at = np.unique(passage[i:j][owner] * blocks + index.block_id[entry], return_inverse=True)
+            bound = np.bincount(at, weights=index.block_max[entry], minlength=len(cell))
+            p_of, k_of = cell // blocks, cell % blocks
+            for c in np.flatnonzero(bound + set_aside[p_of] + index.rest[k_of] >= least):
+                p, k = int(p_of[c]), int(k_of[c])
+                own = ids[(low + p) * step : (low + p + 2) * step]
+                entry, _ = _expand(index.item_at, np.unique(own[own >= 0]))
+                entry = entry[index.item_id[entry] // BLOCK == k]
+                score = np.bincount(index.item_id[entry] - k * BLOCK, weights=index.impact[entry], minlength=BLOCK)
+                out += [(low + p, int(k * BLOCK + x), float(score[x])) for x in np.flatnonzero(score >= least)]
     return out
 
 
@@ -180,7 +201,7 @@ def verify(index: Index, item: int, passage: list[str]) -> tuple[bool, float, fl
     question = len(shingles(q) & there) / len(shingles(q)) if q else 1.0
     held = set(passage)
     answer = sum(w in held for w in a) / len(a) if a else 1.0
-    return both >= OVERLAP and answer >= ANSWER, question, answer
+    return both >= OVERLAP and question >= QUESTION and answer >= ANSWER, question, answer
 
 
 def matches(index: Index, text: str | None) -> dict[int, tuple[float, float, float, int]]:
@@ -214,23 +235,30 @@ def _clean(shared, batches):
         yield batch.filter(pa.array([not matches(index, t) for t in texts], pa.bool_())).columns
 
 
-def index_of(items: DataFrame) -> Index:
-    """items: item_id and text, or item_id, question and answer. At most MAX_WORDS words."""
-    size = items.agg(F.sum(F.length(items.columns[1] if "text" not in items.columns else "text"))).first()[0] or 0
-    if size > 20 * MAX_WORDS:
-        raise ValueError(f"the items have more than {MAX_WORDS} words; index them in parts")
-    if "question" in items.columns:
-        return build([tuple(r) for r in items.select("item_id", "question", "answer").collect()])
-    return build([(r[0], *split_item(r[1])) for r in items.select("item_id", "text").collect()])
+def indexes(items: DataFrame, most: int = MAX_WORDS) -> Iterator[Index]:
+    """Indexes of at most about `most` words each. items: item_id and text, or item_id, question and answer."""
+    columns = ["question", "answer"] if "question" in items.columns else ["text"]
+    count = sum((F.coalesce(F.size(F.regexp_extract_all(F.col(c), F.lit(r"(?U)\w+"), F.lit(0))), F.lit(0)) for c in columns), F.lit(0))
+    n = items.agg(F.sum(count.cast("long"))).first()[0] or 0
+    parts = -(-n // most) if n <= most else -(-5 * n // (4 * most))
+    part = F.pmod(F.xxhash64(*columns), F.lit(max(parts, 1)))
+    for p in range(max(parts, 1)):
+        rows = [tuple(r) for r in items.where(part == p).select("item_id", *columns).collect()]
+        yield build(rows if len(columns) == 2 else [(i, *split_item(t)) for i, t in rows])
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     """A row for each document and item found in it."""
-    index = docs.sparkSession.sparkContext.broadcast(index_of(items))
-    return mapped(docs.select("doc_id", "text"), partial(_matched, index), MATCHES)
+    out = None
+    for index in indexes(items, most):
+        found = mapped(docs.select("doc_id", "text"), partial(_matched, docs.sparkSession.sparkContext.broadcast(index)), MATCHES)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    index = docs.sparkSession.sparkContext.broadcast(index_of(items))
-    return mapped(docs, partial(_clean, index), docs.schema)
+    out = docs
+    for index in indexes(items, most):
+        out = mapped(out, partial(_clean, docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return out

@@ -146,6 +146,25 @@ def test_decontamination(spark, sf_dir, docs, odd, empty):
     assert decontaminate.contaminated(odd, items).count() == 0 and decontaminate.contaminated(empty, items).count() == 0
     kept = decontaminate.without_contaminated(docs, items)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in texts(docs)} - {d for d, _ in got}
+    # several indexes find the same
+    few = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] // 3
+    assert len(list(decontaminate.indexes(items, few))) > 2
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, few).collect()} == got
+    assert decontaminate.without_contaminated(docs, items, few).count() == kept.count()
+
+
+def test_overlaps_decide():
+    """A passage must hold most of the item, half of its question and half of its answer's words."""
+    question, answer = "which river runs through the old town of the northern province where the copper bridge stands", "the winding green water"
+    index = decontaminate.build([(1, question, answer), (2, "other words entirely for another item of the index", "none of them")])
+    found = lambda t: set(decontaminate.matches(index, t))
+    assert found(f"before that {question}? {answer}. and after") == {1}
+    assert found(f"before that {question}? nobody could tell") == set()  # no answer
+    assert found(f"so it was {answer} and nothing else") == set()  # no question
+    words = question.split()
+    assert found(" ".join(words[::-1]) + " " + answer) == set()  # the words, but no shingles
+    index = decontaminate.build([(1, "who won", "the long list of people who came first in every race that the town has held")])
+    assert set(decontaminate.matches(index, "the long list of people who came first in every race that the town has held")) == set()
 
 
 def test_retrieval_is_exhaustive():
