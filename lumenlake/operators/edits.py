@@ -104,7 +104,7 @@ def purge_other_models(rows: DataFrame, model: str) -> DataFrame:
 def name_faces(people: DataFrame, faces: DataFrame, face_ids: DataFrame, name: str | None, now: Column) -> tuple[DataFrame, DataFrame]:
     """(people, faces): the faces (id) get the person of that name, ignoring case, who is made if new;
     a blank name clears them."""
-    chosen = face_ids.select("id", F.lit(True).alias("_set"))
+    chosen = face_ids.select("id").distinct().withColumn("_set", F.lit(True))
     clean = (name or "").strip()
     own = None
     if clean:

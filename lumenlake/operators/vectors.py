@@ -8,6 +8,7 @@ vectors with the broadcast queries (their number is checked).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,22 @@ REFERENCE_PHRASES = (
     "a photo taken at night", "a photo taken in the snow", "a photo of a sign with writing on it", "a photo of a machine",
     "a photo of clothing", "a photo of a celebration", "a blurry photograph", "a black and white photograph",
 )
+#: What a query is put into before it is embedded; the vectors are averaged.
+QUERY_TEMPLATES = ("{0}", "a photo of {0}", "a photo of a {0}", "a photograph of {0}", "a close-up photo of {0}")
 MAX_QUERIES = 4096
 
 
+def prompts(query: str) -> list[str]:
+    """The texts whose vectors, by mean_unit, stand for a query; none for a blank one."""
+    clean = query.strip()
+    return [t.format(clean) for t in QUERY_TEMPLATES] if clean else []
+
+
+def reference_bank(embed: Callable[[list[str]], list[list[float]]]) -> list[list[float]]:
+    """The vectors of the reference phrases by a text embedder, for bank_mean; one without length drops out."""
+    return [v for v in embed(list(REFERENCE_PHRASES)) if any(v)]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Null where the widths differ."""
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = 11
@@ -35,6 +37,16 @@ def schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(_DDL[table])
 
 
+#: What a column that an older table lacks is filled with; null for all others.
+_FILLED = {"photos": {"state": 0, "rating": 0, "is_favourite": False, "revision": 1, "orientation": 1, "capture_exact": False}, "jobs": {"attempts": 0, "state": "pending"}, "members": {"position": 0}}
+
+
+def upgraded(df: DataFrame, table: str) -> DataFrame:
+    """A table of any earlier version with the columns, types and order of the present one. Columns that it
+    lacks are filled, those that are no longer known are dropped; doing it again changes nothing."""
+    have, filled = set(df.columns), _FILLED.get(table, {})
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(filled.get(f.name))).cast(f.dataType).alias(f.name) for f in schema(table).fields])
+
 
 #: Where a tag comes from, and the states of a photo.
 FILE, AI, USER = 0, 1, 2

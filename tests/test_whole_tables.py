@@ -1,4 +1,4 @@
-"""Queries whose registered form takes a sample, over their whole tables."""
+"""Queries see every row of their tables."""
 
 from datetime import datetime
 
@@ -20,30 +20,30 @@ def test_every_order_is_grouped(spark, sf_dir):
         if of[id_] == id_:
             anchors.append((id_, x))
     size = {a: list(of.values()).count(a) for a in set(of.values())}
-    got = {(r.id, r.anchor_id, r["size"]) for r in queries.QUERIES["near_duplicate_groups_all"](spark, sf_dir).collect()}
+    got = {(r.id, r.anchor_id, r["size"]) for r in queries.QUERIES["near_duplicate_groups"](spark, sf_dir).collect()}
     assert got == {(i, a, size[a]) for i, a in of.items() if size[a] > 1}
     kinds = sorted({f"{x:016x}" for _, _, x in rows})
     near = {(a, b) for a in kinds for b in kinds if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 6}
-    assert {(r.a, r.b) for r in queries.QUERIES["hash_pairs_all"](spark, sf_dir).collect()} == near
+    assert {(r.a, r.b) for r in queries.QUERIES["hash_pairs"](spark, sf_dir).collect()} == near
 
 
 def test_operators_see_every_row(spark, sf_dir):
     at = lambda name: queries.QUERIES[name](spark, sf_dir)
-    assert at("aspect_ratios_all").count() == table(spark, sf_dir, "lineitem").count()
-    months = at("time_rail_all").where("kind = 'month'").agg(F.sum("n")).first()[0]
+    assert at("aspect_ratios").count() == table(spark, sf_dir, "lineitem").count()
+    months = at("time_rail").where("kind = 'month'").agg(F.sum("n")).first()[0]
     assert months == table(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL").count()
     by_photo = {}
     for r in fixtures.table(spark, sf_dir, "segments").collect():
         by_photo.setdefault(r.photo_id, []).append(r)
     want = {(p.id, q.id) for rows in by_photo.values() for p in rows for q in rows if p.id < q.id and overlap(p, q) > 0.2}
-    assert {(r.a, r.b) for r in at("iou_pairs_all").collect()} == want
+    assert {(r.a, r.b) for r in at("iou_pairs").collect()} == want
     units = queries.units(spark, sf_dir).collect()
     by_id = {r.photo_id: r for r in units}
     v = np.array([by_id[i].vector for i in range(len(units))], float)
     label = np.array([by_id[i].label for i in range(len(units))])
     mixed = np.roll(v, -1, axis=0)
     top = np.argsort(-(mixed @ v[:20].T), axis=0, kind="stable")[:5]
-    got = {r.weight: r.precision for r in at("blend_precision_all").collect()}
+    got = {r.weight: r.precision for r in at("blend_precision").collect()}
     assert got[0.0] == pytest.approx((label[top] == label[:20]).mean(), abs=1e-6)
 
 
