@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,30 +14,40 @@ CONTAINS, CLOSE, TRIGRAM_FLOOR, TRIGRAM_WEIGHT = 0.80, 0.70, 0.42, 0.65
 SEPARATORS = r"[-_ .,/\\()]+"
 
 
+def distances(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray:
+    """Edits between the words of each pair (insert, delete, replace, swap of neighbours; no part edited
+    twice), ignoring case, for all pairs at once: cell (i, j) of the table is a vector over the pairs.
+    most + 1 where the lengths differ by more than most, or where every cell of some row exceeds it. A last
+    cell beyond most in a row that does not is returned as it is."""
+    a, b = [x.lower() for x in left], [x.lower() for x in right]
+    m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    if not len(a):
+        return m
+    letters = lambda words, size: np.array([x.ljust(size, "\0") for x in words], f"<U{size}").view(np.uint32).reshape(len(words), size)
+    rows, columns = max(int(m.max()), 1), max(int(n.max()), 1)
+    x, y = letters(a, rows), letters(b, columns)
+    place = np.arange(columns + 1)
+    outside = place > n[:, None]  # columns that a pair's shorter word does not have
+    table = np.zeros((rows + 1, columns + 1, len(a)), np.int64)
+    table[:, 0], table[0] = np.arange(rows + 1)[:, None], place[:, None]
+    beyond = np.zeros(len(a), bool)
+    for i in range(1, rows + 1):
+        for j in range(1, columns + 1):
+            differ = x[:, i - 1] != y[:, j - 1]
+            best = np.minimum(table[i - 1, j - 1] + differ, 1 + np.minimum(table[i - 1, j], table[i, j - 1]))
+            if i > 1 and j > 1:
+                swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                best = np.where(swapped, np.minimum(best, table[i - 2, j - 2] + 1), best)
+            table[i, j] = best
+        beyond |= (i <= m) & (np.where(outside, np.iinfo(np.int64).max, table[i].T).min(axis=1) > most)
+    whole = table[m, n, np.arange(len(a))]
+    cut = ((m > 0) & (n > 0) & beyond) | (np.abs(m - n) > most)
+    return np.where(np.array([p == q for p, q in zip(a, b)]), 0, np.where(cut, most + 1, whole))
+
+
 def distance(a: str, b: str, most: int = 3) -> int:
-    """Edits between two words (insert, delete, replace, swap of neighbours; no part edited twice),
-    ignoring case. most + 1 once it must exceed most: by length alone, or when a whole row of the
-    table does. A last cell beyond most in a row that is not is returned as it is."""
-    a, b = a.lower(), b.lower()
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    if not a or not b:
-        return len(a) or len(b)
-    older: list[int] = []
-    above = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        row = [i + 1]
-        for j, y in enumerate(b):
-            best = min(row[j] + 1, above[j + 1] + 1, above[j] + (x != y))
-            if i and j and x == b[j - 1] and a[i - 1] == y:
-                best = min(best, older[j - 1] + 1)
-            row.append(best)
-        if min(row) > most:
-            return most + 1
-        older, above = above, row
-    return above[-1]
+    """distances() of one pair."""
+    return int(distances([a], [b], np.array([most]))[0])
 
 
 def budget_of(query: Column) -> Column:
@@ -47,7 +58,8 @@ def budget_of(query: Column) -> Column:
 
 @F.pandas_udf(IntegerType())
 def _distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y, m) for x, y, m in zip(a, b, most)])
+    step = 2048  # pairs whose tables are held together
+    return pd.Series(np.concatenate([distances(a[i : i + step].tolist(), b[i : i + step].tolist(), most[i : i + step].to_numpy()) for i in range(0, max(len(a), 1), step)]))
 
 
 def is_close(query: Column, candidate: Column) -> Column:

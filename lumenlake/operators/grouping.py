@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlake.functions.boxes import containment, iou
-from lumenlake.sources.store import kept
+from lumenlake.sources.store import kept, released
 
 SAME_PHOTO_BITS = 6
 
@@ -57,12 +57,17 @@ def hash_pairs(rows: DataFrame, bits: int = SAME_PHOTO_BITS) -> DataFrame:
     return a.join(linked, "x").join(b, "y").where("a < b").select("a", "b", hamming(F.col("x"), F.col("y")).alias("bits"))
 
 
+#: Vectors of a block, and rows of a block that are multiplied at a time.
+VECTORS, STRIP = 8192, 1024
+
+
 def vector_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """a, b, score: pairs of rows (seq, vector) of at least the threshold, a before b, by blocks of
-    matrix products. Rows are dealt to blocks; each pair of blocks is one task's work, so the
-    work is quadratic and the memory is not. Scores are of double precision."""
+    matrix products. Rows are dealt to blocks of
+    about VECTORS; each pair of blocks is one task's work, in strips, so the work is quadratic, each vector is
+    copied once for each block, and the memory is bounded. Scores are of double precision."""
     n = rows.count()
-    blocks = max(1, -(-n // 1024))
+    blocks = max(1, -(-n // VECTORS))
     dealt = rows.select("seq", "vector", F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int").alias("block"))
     left = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     tagged = left.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "seq", "vector")
@@ -70,15 +75,19 @@ def vector_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     def pairs(table: pa.Table) -> pa.Table:
         seq = table.column("seq").to_numpy()
         block = table.column("block").to_numpy()
-        vectors = np.array(table.column("vector").to_pylist(), np.float64)
+        vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(seq), -1)
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        scores = vectors[x] @ vectors[y].T
-        i, j = np.nonzero(scores >= threshold)
-        a, b, s = seq[x[i]], seq[y[j]], scores[i, j]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        keep = (a < b) if p == q else low < high
-        return pa.table({"a": low[keep], "b": high[keep], "score": s[keep]})
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(x), STRIP):
+            part = x[at : at + STRIP]
+            scores = vectors[part] @ vectors[y].T
+            i, j = np.nonzero(scores >= threshold)
+            a, b, s = seq[part[i]], seq[y[j]], scores[i, j]
+            keep = a < b if p == q else a != b
+            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[keep]))
+        low, high, s = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"a": low, "b": high, "score": s})
 
     return tagged.groupBy("p", "q").applyInArrow(pairs, "a long, b long, score double")
 
@@ -90,6 +99,7 @@ def anchors(items: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         open_ = state.where("anchor IS NULL").select(F.col("seq").alias("b"))
         if not open_.limit(1).count():
+            released(edges)
             return state
         before = edges.join(open_, "b", "left_semi").join(state.select(F.col("seq").alias("a"), F.col("anchor").alias("of_a")), "a")
         seen = before.groupBy("b").agg(
@@ -99,7 +109,8 @@ def anchors(items: DataFrame, links: DataFrame) -> DataFrame:
         joined = state.join(seen, state.seq == seen.b, "left")
         # an earlier item still undecided might claim first
         decided = F.when(F.col("undecided").isNull(), F.coalesce("claim", "seq")).when(F.col("claim") < F.col("undecided"), F.col("claim"))
-        state = kept(joined.select("seq", F.coalesce("anchor", decided).alias("anchor")), "state")
+        used, state = state, kept(joined.select("seq", F.coalesce("anchor", decided).alias("anchor")), "state")
+        released(used)
 
 
 def near_duplicate_groups(photos: DataFrame, bits: int = SAME_PHOTO_BITS) -> DataFrame:
@@ -125,12 +136,14 @@ def numbered(rows: DataFrame, name: str = "seq") -> DataFrame:
     base = counts.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_base"))  # a row a partition
     own = F.row_number().over(W.partitionBy("_part").orderBy("o"))
     out = dealt.withColumn("_own", own).join(F.broadcast(base), "_part")
-    return kept(out.withColumn(name, F.col("_base") + F.col("_own") - 1).drop("_part", "_base", "_own"), "numbered")
+    out = kept(out.withColumn(name, F.col("_base") + F.col("_own") - 1).drop("_part", "_base", "_own"), "numbered")
+    released(dealt)
+    return out
 
 
-def people_groups(faces: DataFrame, threshold: float, most: int | None = 4000, least_confidence: float = 0.0, order: str = "photos") -> DataFrame:
-    """face_id, anchor_id, n_faces, n_photos, place. Faces in order of prominence (the first `most`
-    only, None for all); an anchor absorbs later faces of the same embedding model; faces without
+def people_groups(faces: DataFrame, threshold: float, most: int | None = None, least_confidence: float = 0.0, order: str = "photos") -> DataFrame:
+    """face_id, anchor_id, n_faces, n_photos, place. Faces in order of prominence (all, or the first `most`
+    only); an anchor absorbs later faces of the same embedding model; faces without
     a vector stand alone. Groups in order of photos, prominence and id, or newest, oldest, confidence."""
     rank = F.sqrt("area") * 0.7 + F.col("confidence") * 0.3
     rows = faces.where(F.col("confidence") >= least_confidence).withColumn("rank", rank)

@@ -1,21 +1,26 @@
 """Nearest places, labels and coordinates.
 
-nearest() is exact: photos are joined with the places of the cells around them, ring by ring, and
-a photo is done when no cell outside the rings it has seen can hold a nearer place. Cells are one
-degree; the bound is the distance to the nearest meridian not seen, so high latitudes are right too.
+nearest() is exact: each point's one-degree cell has a list of the places that can be nearest to some
+point in it. With r the distance from the cell's middle to its farthest corner and d that to the place nearest
+to the middle, no such place is farther from the middle than d + 2 r. Lists are made for the cells that hold
+points, at most 64,800, by blocks of matrix products with parts of at most PART places; the points are joined
+with their cell's list and each takes its minimum, row by row. It is the same at every size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.sources.store import kept
-
 RADIUS = 6371.0
 NEAR_KM, FAR_KM = 20, 150
-#: A place table this small is broadcast and compared with every photo.
-SMALL = 2000
+#: Places held at a time, and distances worked out at a time.
+PART, BLOCK = 1_000_000, 4_000_000
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -41,51 +46,51 @@ def cell(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.least(F.floor(lat + 90), F.lit(179)).cast("int"), F.pmod(F.floor(lon + 180), F.lit(360)).cast("int")
 
 
-def ring(row: Column, column: Column, inner: int, outer: int) -> Column:
-    """The cells over inner and up to outer cells away, clipped at the poles, wrapped at the date line."""
-    steps = F.sequence(F.lit(-outer), F.lit(outer))
-    square = F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    edge = F.filter(square, lambda c: (F.greatest(F.abs(c["a"]), F.abs(c["b"])) > inner) & (row + c["a"]).between(0, 179))
-    return F.array_distinct(F.transform(edge, lambda c: F.struct((row + c["a"]).cast("int").alias("row"), F.pmod(column + c["b"], F.lit(360)).cast("int").alias("column"))))
+def axes(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Unit vectors, a row each."""
+    lat, lon = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=-1)
+
+
+def angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _lists(places: tuple[np.ndarray, np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, lat, lon = places
+    spots = axes(lat, lon)
+    for batch in batches:
+        row, column = (np.asarray(c).astype(float) for c in batch.columns)
+        middle = axes(row - 89.5, column - 179.5)
+        corners = axes(row[:, None] - 90 + np.array([0, 0, 1, 1]), column[:, None] - 180 + np.array([0, 1, 0, 1]))
+        radius = angle((corners * middle[:, None, :]).sum(axis=2)).max(axis=1)
+        step = max(1, BLOCK // max(len(ids), 1))
+        for at in range(0, len(row), step):
+            far = angle(middle[at : at + step] @ spots.T)
+            reach = far.min(axis=1) + 2 * radius[at : at + step] + 1e-6  # arc cosines are good to about 1e-8
+            cell_of, place = np.nonzero(far <= reach[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(row[at + cell_of].astype(np.int32)), pa.array(column[at + cell_of].astype(np.int32)), pa.array(ids[place]), pa.array(lat[place]), pa.array(lon[place])], ["row", "column", "place_id", "plat", "plon"])
 
 
-def nearest(points: DataFrame, places: DataFrame) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, most: int = PART) -> DataFrame:
     """id, place_id, km of the nearest place to each point (id, lat, lon); ties to the smaller place id;
     points off the globe have none."""
-    good = points.where(valid(F.col("lat"), F.col("lon"))).select("id", "lat", "lon")
-    spots = places.select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    km = haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    best = lambda rows: rows.groupBy("id").agg(F.min(F.struct(km.alias("km"), "place_id")).alias("b")).select("id", "b.place_id", "b.km")
-    if spots.limit(SMALL + 1).count() <= SMALL:
-        # the nearest has the largest dot product of unit vectors; the distance is worked out once
-        axes = lambda lat, lon, to: F.struct(*[c.alias(k) for k, c in zip(to, (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))))])
-        p = good.select("*", axes("lat", "lon", "abc").alias("u"))
-        s = spots.select((-F.col("place_id")).alias("n"), "plat", "plon", axes("plat", "plon", "abc").alias("w"))
-        pairs = p.join(F.broadcast(s), how="cross")  # at most SMALL places
-        near = F.round(sum((F.col(f"u.{k}") * F.col(f"w.{k}") for k in "bc"), F.col("u.a") * F.col("w.a")), 14)
-        top = pairs.select("id", "lat", "lon", near.alias("near"), "n", "plat", "plon").groupBy("id", "lat", "lon").agg(F.max(F.struct("near", "n", "plat", "plon")).alias("b"))
-        found = top.select("id", (-F.col("b.n")).alias("place_id"), F.col("b.plat").alias("plat"), F.col("b.plon").alias("plon"), "lat", "lon").select("id", "place_id", km.alias("km"))
-        return points.select("id").join(found, "id", "left")
+    spots = places.where(valid(F.col("lat"), F.col("lon"))).select(F.col("place_id").cast("long").alias("place_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    on = valid(F.col("lat"), F.col("lon"))
     row, column = cell(F.col("lat"), F.col("lon"))
-    prow, pcolumn = cell(F.col("plat"), F.col("plon"))
-    spots = spots.select("*", prow.alias("row"), pcolumn.alias("column"))
-    left = good.select("*", row.alias("r"), column.alias("c"))
-    done = None
-    seen = left.select("id", F.lit(None).cast("long").alias("place_id"), F.lit(None).cast("double").alias("km"))
-    inner = -1
-    for r in (0, 1, 2, 4, 8, 16, 32, 64, 180):
-        if inner >= 1 and not left.limit(1).count():
-            break
-        near = left.select("id", "lat", "lon", F.explode(ring(F.col("r"), F.col("c"), inner, r)).alias("x")).select("id", "lat", "lon", "x.*").join(spots, ["row", "column"])
-        both = seen.where("km IS NOT NULL").unionByName(best(near))
-        seen = both.groupBy("id").agg(F.min(F.struct("km", "place_id")).alias("b")).select("id", "b.place_id", "b.km")
-        # what is not seen yet lies r degrees of latitude away, or beyond the meridian r degrees off
-        across = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(min(r, 90)))))
-        bound = RADIUS * F.least(F.radians(F.lit(r)), across) if r < 180 else F.lit(1e9)
-        judged = kept(left.join(seen, "id", "left"), "judged")
-        over = judged.where(F.col("km") < bound).select("id", "place_id", "km")
-        done = over if done is None else done.unionByName(over)
-        rest = judged.where(~F.coalesce(F.col("km") < bound, F.lit(False)))
-        left, seen = rest.select("id", "lat", "lon", "r", "c"), rest.select("id", "place_id", "km")
-        inner = r
-    return points.select("id").join(done, "id", "left")
+    rows = points.select("id", "lat", "lon", F.when(on, row).alias("row"), F.when(on, column).alias("column"))
+    cells = rows.where("row IS NOT NULL").select("row", "column").distinct().repartition(points.sparkSession.sparkContext.defaultParallelism, "row", "column")
+    parts = max(1, -(-spots.count() // most))
+    each = None
+    for p in range(parts):
+        held = spots.where(F.pmod(F.xxhash64("place_id"), F.lit(parts)) == p).toArrow()
+        if held.num_rows:
+            work = partial(_lists, tuple(held.column(c).to_numpy() for c in ("place_id", "lat", "lon")))
+            found = cells.mapInArrow(work, "row int, column int, place_id long, plat double, plon double")
+            each = found if each is None else each.unionByName(found)
+    if each is None:
+        return points.select("id", F.lit(None).cast("long").alias("place_id"), F.lit(None).cast("double").alias("km"))
+    near = each.groupBy("row", "column").agg(F.collect_list(F.struct("place_id", "plat", "plon")).alias("near"))  # of one cell
+    km = lambda x: haversine(F.col("lat"), F.col("lon"), x["plat"], x["plon"])
+    best = F.array_min(F.transform("near", lambda x: F.struct(km(x).alias("km"), x["place_id"].alias("place_id"))))
+    return rows.join(near, ["row", "column"], "left").select("id", best.alias("b")).select("id", "b.place_id", "b.km")

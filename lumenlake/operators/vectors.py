@@ -1,8 +1,8 @@
 """Vector search: unit vectors, hub-corrected scores, z-scores, blends and codecs.
 
-Scores are dot products in double precision, as built-in array expressions for one query at a
-time. Many queries against all rows go through search_many, which multiplies blocks of
-vectors with the broadcast queries (their number is checked).
+Scores are dot products in double precision, of blocks of vectors with the query or the queries, an
+Arrow batch at a time. A search reads the vectors once: the scores, a number a row, are kept in
+the shared folder for their mean and deviation and for the ranking.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from lumenlake.sources.store import kept
 
 FLOOR, DEVIATION = 0.18, 1e-6
 #: Thresholds of face similarity, and the phrases that describe no photo in particular.
@@ -51,10 +54,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
-def literal(vector: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
-
-
 def magnitude(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
@@ -66,6 +65,49 @@ def unit(v: Column) -> Column:
     return F.when(size < 1e-9, bad).otherwise(F.transform(v, lambda x: (x.cast("double") / size).cast("float")))
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """The vectors of a batch, all of one width, as rows in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def normalised(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """vector, the unit of the vectors in a column, and more columns; those of each width by themselves. A vector
+    without length is an error."""
+
+    def units(batches):
+        for batch in batches:
+            widths = pa.compute.list_value_length(batch.column(0))
+            for w in pa.compute.unique(widths).to_pylist():
+                part = batch.filter(pa.compute.equal(widths, w)) if w is not None else batch.slice(0, 0)
+                if not part.num_rows:
+                    continue
+                v = matrix_of(part.column(0))
+                size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                if not w or (size < 1e-9).any():
+                    raise ValueError("a vector without length cannot be normalised")
+                flat = pa.array((v / size).astype(np.float32).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (part.num_rows + 1) * w, w, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([lists, *part.columns[1:]], ["vector", *more])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in more)
+    return rows.select(name, *more).mapInArrow(units, f"vector array<float>{', ' if kinds else ''}{kinds}")
+
+
+def dots(rows: DataFrame, vector: list[float], name: str) -> DataFrame:
+    """rows with a column of the dot products of column vector with a given one; null where the widths differ."""
+    wanted = np.array(vector, np.float64)
+
+    def products(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("vector"))
+            same = np.asarray(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(column), len(wanted)), False).to_numpy(zero_copy_only=False), bool)
+            out = np.full(batch.num_rows, np.nan)
+            out[same] = matrix_of(column.filter(pa.array(same))) @ wanted if same.any() else 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, mask=~same)], [*batch.schema.names, name])
+
+    return rows.mapInArrow(products, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+
+
 def unit_of(vector: list[float]) -> list[float]:
     size = math.sqrt(sum(x * x for x in vector))
     if size < 1e-9:
@@ -86,14 +128,14 @@ def bank_mean(bank: list[list[float]], width: int) -> list[float] | None:
 
 def with_hub(embeddings: DataFrame, mean: list[float] | None) -> DataFrame:
     """Adds hub, the mean similarity to the reference bank: a dot with the bank's mean, dot being linear."""
-    return embeddings.withColumn("hub", dot(F.col("vector"), literal(mean)) if mean else F.lit(None).cast("double"))
+    return dots(embeddings, mean, "hub") if mean else embeddings.withColumn("hub", F.lit(None).cast("double"))
 
 
 def scored(embeddings: DataFrame, query: list[float]) -> DataFrame:
     """photo_id, score (dot, less hub if calibrated), z over all rows; rows of another width drop out."""
-    raw = dot(F.col("vector"), literal(query))
     hub = F.coalesce("hub", F.lit(0.0)) if "hub" in embeddings.columns else F.lit(0.0)
-    rows = embeddings.select("photo_id", (raw - hub).alias("score")).where("score IS NOT NULL")
+    needed = embeddings.select("photo_id", "vector", *[c for c in ("hub",) if c in embeddings.columns])
+    rows = kept(dots(needed, query, "raw").where("raw IS NOT NULL").select("photo_id", (F.col("raw") - hub).alias("score")), "scores")
     both = rows.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev"))
     z = F.when(F.col("dev") > DEVIATION, (F.col("score") - F.col("mean")) / F.col("dev")).otherwise(0.0)
     return rows.join(F.broadcast(both), how="cross").select("photo_id", "score", z.alias("z"))  # one row
@@ -117,10 +159,11 @@ def similar_to(embeddings: DataFrame, photo_id: int, limit: int = 24) -> DataFra
 
 
 def search_many(embeddings: DataFrame, queries: list[tuple[int, list[float]]], limit: int) -> DataFrame:
-    """query_id, photo_id, score: the best rows for each of up to MAX_QUERIES queries. Each batch of
+    """query_id, photo_id, score: the best rows for each query, MAX_QUERIES at a time. Each batch of
     rows keeps its own best, so what is shuffled is limit rows for a query and batch."""
     if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at a time")
+        first = search_many(embeddings, queries[:MAX_QUERIES], limit)
+        return first.unionByName(search_many(embeddings, queries[MAX_QUERIES:], limit))
     ids, matrix = [q for q, _ in queries], np.array([v for _, v in queries], np.float64).T
 
     def best(batches):
@@ -150,8 +193,9 @@ def similar_faces(faces: DataFrame, face_id: int, threshold: float = FACE_DEFAUL
     own = faces.where((F.col("id") == face_id) & F.col("embedding").isNotNull()).select("embedding", "embed_model").first()
     if own is None:
         return faces.select("id", F.lit(0.0).alias("score")).limit(0)
-    score = F.when(F.col("id") == face_id, 1.0).otherwise(F.coalesce(dot(F.col("embedding"), literal(own[0])), F.lit(0.0)))
-    rows = faces.where((F.col("embed_model") == own[1]) & F.col("embedding").isNotNull()).select("id", score.alias("score"))
+    same = faces.where((F.col("embed_model") == own[1]) & F.col("embedding").isNotNull()).select("id", F.col("embedding").alias("vector"))
+    score = F.when(F.col("id") == face_id, 1.0).otherwise(F.coalesce("dot", F.lit(0.0)))
+    rows = dots(same, [float(x) for x in own[0]], "dot").select("id", score.alias("score"))
     return rows.where(F.col("score") >= threshold).orderBy(F.desc("score"), "id")
 
 

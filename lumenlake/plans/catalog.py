@@ -318,7 +318,8 @@ e AS (SELECT vec_id, label, CAST(v AS DOUBLE[]) AS v FROM u)
 
 
 def units(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo_id"), vectors.unit(F.col("embedding")).alias("vector"), "label")
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "photo_id")
+    return vectors.normalised(rows, "embedding", "photo_id", "label")
 
 
 def vector_of(rows: DataFrame, photo_id: int) -> list[float]:

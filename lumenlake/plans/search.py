@@ -70,6 +70,8 @@ def search(catalog: Catalog, q: Query, embeddings: DataFrame | None = None, vect
     parts = [_ranked(catalog, replace(q, limit=max(q.limit, EXACT_LIMIT)), EXACT_WEIGHT, EXACT, 0)]
     semantic = semantic_hits(catalog, q, embeddings, vector, strict) if vector and embeddings is not None else None
     corrections: list[tuple[str, str]] = []
+    if semantic is not None:  # at most NEAREST rows, counted here and merged below
+        semantic = kept(semantic, "semantic")
     some = bool(semantic is not None and semantic.limit(1).count())
     if some:
         parts.append(semantic)

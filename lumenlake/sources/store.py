@@ -14,13 +14,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Only a local session, whose executors are its driver, may leave that
+    unset, as in tests."""
     try:
         named = spark.conf.get("spark.checkpoint.dir")
     except PySparkException:  # unset
         named = None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lumenlake-")
@@ -28,10 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut in lineage that survives lost executors."""
+    """Writes df to the shared folder and reads it back: a cut in lineage that survives lost executors. Files
+    lie under the application's id; released() deletes what is used up."""
     path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lies_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of kept tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lies_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def safe_key(key: str) -> str:

@@ -4,6 +4,7 @@ import random
 import struct
 from datetime import datetime, time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,14 +215,20 @@ def test_corrections_survive_new_segments(spark):
 # places
 
 
-def test_nearest_by_rings_equals_all_pairs(spark, monkeypatch):
+def test_nearest_equals_all_pairs(spark):
     draw = random.Random(6)
-    spots = [(i, draw.uniform(-89, 89), draw.uniform(-180, 180)) for i in range(300)]
-    points = [(i, draw.uniform(-90, 90), draw.uniform(-180, 180)) for i in range(120)] + [(500, 90.0, 0.0), (501, 0.0, 180.0), (502, 91.0, 0.0), (503, float("nan"), 0.0), (504, None, 1.0), (505, -89.9, -179.9)]
+    spots = [(i, draw.uniform(-89, 89), draw.uniform(-180, 180)) for i in range(300)] + [(400, 10.0, 20.0), (399, 10.0, 20.0)]
+    points = [(i, draw.uniform(-90, 90), draw.uniform(-180, 180)) for i in range(400)] + [(500, 90.0, 0.0), (501, 0.0, 180.0), (502, 91.0, 0.0), (503, float("nan"), 0.0), (504, None, 1.0), (505, -89.9, -179.9), (506, 10.0, 20.0), (507, 89.99, 1.0), (508, -90.0, 0.0)]
     s, p = spark.createDataFrame(spots, "place_id long, lat double, lon double"), spark.createDataFrame(points, "id long, lat double, lon double")
-    want = {r.id: r.place_id for r in places.nearest(p, s).collect()}
-    monkeypatch.setattr(places, "SMALL", 10)
-    assert {r.id: r.place_id for r in places.nearest(p, s).collect()} == want
+    got = {r.id: (r.place_id, r.km) for r in places.nearest(p, s).collect()}
+    want = {i: found[0] for i, found in got.items()}
+    assert got == {r.id: (r.place_id, r.km) for r in places.nearest(p, s, 40).collect()}  # places in parts
+    for i, lat, lon in points:
+        if i not in (502, 503, 504):
+            a = places.axes(np.array(lat), np.array(lon)) - places.axes(np.array([x[1] for x in spots]), np.array([x[2] for x in spots]))
+            far = 2 * places.RADIUS * np.arcsin(np.sqrt((a * a).sum(axis=1)) / 2)
+            assert got[i][1] == pytest.approx(far.min(), abs=1e-6) and got[i][0] == min(s_[0] for s_, d in zip(spots, far) if d <= far.min() + 1e-9)
+    assert places.nearest(p, s.limit(0)).where("place_id IS NULL").count() == len(points)
     assert want[502] is None and want[503] is None and want[504] is None and want[500] is not None
     assert value(spark, places.haversine(*map(F.lit, (52.0, 0.0, 52.0, 1.0)))) == pytest.approx(68.46, abs=0.05)
     assert [value(spark, places.label(F.lit("Ely"), F.lit("UK"), F.lit(km))) for km in (20, 150, 151)] == ["Ely, UK", "near Ely, UK", "UK"]
