@@ -9,10 +9,11 @@ WAND, a batch of passages at a time. Words in many items are never enough to rea
 themselves; the lists of the others (essential words) propose blocks. Of a passage's essential lists, the
 longest are set aside for as long as all their largest impacts together, and the most that any item gets from
 the frequent words, stay below the threshold: no item can reach it without one of the remaining lists, so
-those before this pivot are not read. A block that the remaining lists propose is skipped if their maxima in
-it, those of the lists set aside, and the most that its items get from the frequent words stay below
-the threshold; the items of the others are scored in full. Only the postings read take memory, at most
-about POSTINGS at a time. Everything at or above the threshold is retrieved, then verified: four fifths of the
+those before this pivot propose nothing. A block that the remaining lists propose is skipped if their maxima in
+it, all that the lists set aside can give, and the most that its items get from the frequent words stay below
+the threshold; in the blocks that are left, and only there, the lists set aside are looked up and the bound is taken
+again with their maxima in the block. The items of what then remains are scored in full. Only the postings read take
+memory, at most about POSTINGS at a time. Everything at or above the threshold is retrieved, then verified: four fifths of the
 item's five-word shingles stand in the passage, half of the question's, and half of the answer's words.
 
 An index holds at most MAX_WORDS words, counted on the executors; more items than that are dealt by a hash to
@@ -45,7 +46,7 @@ SHINGLE = 5
 BLOCK = 8
 MAX_WORDS = 20_000_000
 #: Passages and postings scored at a time.
-BATCH, POSTINGS = 512, 4_000_000
+BATCH, POSTINGS = 512, 500_000
 MATCHES = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
 
 
@@ -71,6 +72,7 @@ class Index:
     block_at: np.ndarray
     block_id: np.ndarray
     block_max: np.ndarray
+    block_key: np.ndarray
     item_at: np.ndarray
     item_id: np.ndarray
     impact: np.ndarray
@@ -124,7 +126,7 @@ def build(items: list[tuple]) -> Index:
     longest = int(sizes.max()) if n else 1
     most = np.zeros(len(vocabulary))
     np.maximum.at(most, term, impact)
-    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], vocabulary, essential, at(term[starts]), block[starts], best, at(term), item, impact, most_rest, most, max(128, 2 * longest))
+    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], vocabulary, essential, at(term[starts]), block[starts], best, term[starts] * blocks + block[starts], at(term), item, impact, most_rest, most, max(128, 2 * longest))
 
 
 def _expand(at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,16 +169,26 @@ def retrieve(index: Index, ids: np.ndarray, step: int) -> list[tuple[int, int, f
         aside = upto + spare < least
         set_aside = np.zeros(high - low)
         np.maximum.at(set_aside, passage[aside], upto[aside])
+        aside_at = np.searchsorted(passage[aside], np.arange(high - low + 1))
+        aside_term = term[aside]
         passage, term = passage[~aside], term[~aside]
         # as many whole passages at a time as POSTINGS allows
         group = np.cumsum(size[term]) // POSTINGS
         edges = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) & (passage[1:] != passage[:-1])]) if len(term) else []
         for i, j in zip(edges, [*edges[1:], len(term)]):
             entry, owner = _expand(index.block_at, term[i:j])
-            cell, at = np.unique(passage[i:j][owner] * blocks + index.block_id[entry], return_inverse=True)
-            bound = np.bincount(at, weights=index.block_max[entry], minlength=len(cell))
-            p_of, k_of = cell // blocks, cell % blocks
-            for c in np.flatnonzero(bound + set_aside[p_of] + index.rest[k_of] >= least):
+            cell = passage[i:j][owner] * blocks + index.block_id[entry]
+            if (high - low) * blocks <= POSTINGS:
+                bound = np.bincount(cell, weights=index.block_max[entry])
+                cell = np.flatnonzero(bound)
+                bound = bound[cell]
+            else:
+                cell, at = np.unique(cell, return_inverse=True)
+                bound = np.bincount(at, weights=index.block_max[entry])
+            near = np.flatnonzero(bound + set_aside[cell // blocks] + index.rest[cell % blocks] >= least)
+            p_of, k_of, bound = cell[near] // blocks, cell[near] % blocks, bound[near]
+            bound += _probed(index, aside_term, aside_at, p_of, k_of)
+            for c in np.flatnonzero(bound + index.rest[k_of] >= least):
                 p, k = int(p_of[c]), int(k_of[c])
                 own = ids[(low + p) * step : (low + p + 2) * step]
                 entry, _ = _expand(index.item_at, np.unique(own[own >= 0]))
@@ -186,6 +198,15 @@ def retrieve(index: Index, ids: np.ndarray, step: int) -> list[tuple[int, int, f
     return out
 
 
+def _probed(index: Index, term: np.ndarray, at: np.ndarray, passage: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """What the terms that each passage has set aside (from at[p] on) can give in its block."""
+    n = at[passage + 1] - at[passage]
+    row = np.repeat(np.arange(len(passage)), n)
+    asked = term[np.arange(len(row)) + np.repeat(at[passage] - np.cumsum(n) + n, n)] * len(index.rest) + block[row]
+    place = np.minimum(np.searchsorted(index.block_key, asked), len(index.block_key) - 1)
+    return np.bincount(row, weights=index.block_max[place] * (index.block_key[place] == asked), minlength=len(passage))
+
+
 def shingles(tokens: list[str]) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))} if tokens else set()
 
