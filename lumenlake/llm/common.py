@@ -81,20 +81,25 @@ def discard(*tables: DataFrame) -> None:
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def part_of(rid: Column) -> Column:
-    """The task that numbered a row, from its monotonically_increasing_id."""
-    return F.shiftright(rid, 33).cast("int")
+def _parts(spark: SparkSession, n: int) -> Callable[[Column], Column]:
+    """The part of a row by its monotonically_increasing_id: numbers whose buckets, of n, are all different, dealt
+    in turn to the tasks that numbered the rows."""
+    spread = spark.range(32 * n).select(F.col("id").cast("int").alias("v"))
+    first = dict(spread.groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("b")).agg(F.min("v")).collect())  # n rows
+    numbers = F.expr(f"array({', '.join(str(first.get(b, b)) for b in range(n))})")
+    return lambda rid: F.get(numbers, (F.shiftright(rid, 33) % n).cast("int"))
 
 
 def stored_in_parts(df: DataFrame, label: str) -> DataFrame:
-    """Like stored(), for rows with a monotonically_increasing_id `rid`: adds part_of(rid) as `part` and
-    keeps the table bucketed by it, one file a task, without a shuffle. beside() joins it in place."""
+    """Like stored(), for rows with a monotonically_increasing_id `rid`: adds the column `part` and keeps the table
+    bucketed by it, one file a task, without a shuffle. beside() joins it in place."""
     spark = df.sparkSession
     path, name = _place(spark, label), f"lumenlake_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.withColumn("part", part_of(F.col("rid"))).write.option("compression", "zstd").bucketBy(n, "part").option("path", path).saveAsTable(name)
+    part = _parts(spark, n)
+    df.withColumn("part", part(F.col("rid"))).write.option("compression", "zstd").bucketBy(n, "part").option("path", path).saveAsTable(name)
     out = spark.table(name)
-    out._lies_at, out._named, out._parts = path, name, n
+    out._lies_at, out._named, out._n, out._part = path, name, n, part
     if _USED:
         _USED[-1].append(out)
     return out
@@ -104,7 +109,7 @@ def beside(rows: DataFrame, found: DataFrame, how: str, label: str, then: Callab
     """then(rows of stored_in_parts joined by rid with aggregates of found), stored. Only found is shuffled, to
     where the rows lie."""
     spark = rows.sparkSession
-    dealt = found.withColumn("part", part_of(F.col("rid"))).repartition(rows._parts, "part")
+    dealt = found.withColumn("part", rows._part(F.col("rid"))).repartition(rows._n, "part")
     each = dealt.groupBy("part", "rid").agg(*[c.alias(k) for k, c in gathered.items()])
     flag = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(flag)
