@@ -1,9 +1,10 @@
 r"""Licences of files: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Everything is Spark SQL expressions. Each sentence of a whole text that has a licence word is
-compared with every template: terms are runs of [a-z0-9.+-] in lower case, a term's presence
-weighs its inverse frequency among the templates, and a term of no template weighs as much as
-the rarest, so that prose about licences stays far from all templates. A file's own licence is
+compared with every template: terms are runs of [a-z0-9.+-] in lower case, and a term weighs the
+number of times it occurs times its inverse frequency among the templates. Each occurrence of a term of no
+template counts as a term of its own that weighs as much as the rarest, so that prose about licences stays far
+from all templates. A file's own licence is
 the template of its best sentence, if the cosine reaches Settings.own. Before that come exact forms, which
 score 1: an SPDX line (the first identifier of its expression, also one without a template), then the
 standard headers and licence-file texts of MARKS, looked for in the whole text without line breaks,
@@ -16,13 +17,15 @@ that has one. Directories, not files, are joined: each distinct directory is exp
 ancestors, so a directory with a third of all files costs a row an ancestor.
 
 Edge cases: null texts have no licence of their own; null paths are the root; repeated rows are
-each answered; equal scores go to the first template by name; an empty table gives an empty result.
+each answered; equal scores go to the first template by name; other columns come back as they were, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -92,8 +95,8 @@ class Settings:
     file: float = 0.8
 
 
-def terms(text: str) -> set[str]:
-    return set(re.findall(TERM, text.lower()))
+def terms(text: str) -> Counter[str]:
+    return Counter(re.findall(TERM, text.lower()))
 
 
 def weights() -> tuple[dict[str, float], float]:
@@ -121,19 +124,27 @@ def best(text: Column) -> Column:
     """struct<score, name> of an exact form, else of the best template over all sentences of a text; null if none
     has a licence word."""
     square, other = weights()
-    table = F.create_map(*[x for w, s in square.items() for x in (F.lit(w), F.lit(s))])
-    weight = lambda t: F.coalesce(F.element_at(table, t), F.lit(other))
-    total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, t: a + weight(t))
+    row = lambda f: F.array(*[F.lit(float(f(w))) for w in square])
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
     def scored(sentence):
-        found = F.array_distinct(F.regexp_extract_all(sentence, F.lit(TERM), F.lit(0)))
-        norm = total(found)
-        each = []
-        for name, template in TEMPLATES:
-            own = sorted(terms(template))
-            dot = total(F.array_intersect(found, F.array(*map(F.lit, own))))
-            each.append(F.struct(F.round(-dot / F.sqrt(norm * F.lit(sum(square[w] for w in own))), 9).alias("score"), F.lit(name).alias("name")))
-        return F.array_min(F.array(*each))
+        found = F.regexp_extract_all(sentence, F.lit(TERM), F.lit(0))
+
+        def best_of(x):
+            often, n = x["often"], x["n"]
+            own = F.aggregate(often, F.lit(0.0), lambda s, k: s + k)
+            norm = total(F.transform(often, lambda k: k * k), row(lambda w: square[w])) + (n - own) * F.lit(other)
+            each = []
+            for name, template in TEMPLATES:
+                held = terms(template)
+                size = sum(k * k * square[w] for w, k in sorted(held.items()))
+                dot = total(often, row(lambda w: held[w] * square[w]))  # noqa: B023
+                each.append(F.struct(F.round(-dot / F.sqrt(norm * F.lit(size)), 9).alias("score"), F.lit(name).alias("name")))
+            return F.array_min(F.array(*each))
+
+        # how often each term of the templates occurs
+        counted = F.transform(F.array(found), lambda f: F.struct(F.transform(F.array(*map(F.lit, square)), lambda w: (F.size(f) - F.size(F.array_remove(f, w))).cast("double")).alias("often"), F.size(f).alias("n")))
+        return F.get(F.transform(counted, best_of), F.lit(0))
 
     # a dot ends a sentence only before white space, so version numbers stay whole
     sentences = F.filter(F.split(F.lower(text), r"\n|(?<=[.!?])\s+", -1), lambda s: s.rlike(CUE))
@@ -153,22 +164,27 @@ def ancestors(dir_: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(parts, 1, n - i), "/"))
 
 
+OUT = ("licence", "score", "origin", "licence_dir")
+
+
 def licences(files: DataFrame, named: bool = True, settings: Settings = Settings()) -> DataFrame:
-    """Adds licence, score, origin (own, inherited, none) and licence_dir to files (path, text, ...).
-    named: licence files are known by their names; else by their text."""
-    keep = [c for c in files.columns if c != "text"]
-    rows = files.withColumns({"_best": best(F.col("text")), "_dir": directory(F.col("path"))}).drop("text")
-    own = F.when(F.col("_best.score") >= settings.own, F.col("_best.name"))
-    rows = rows.withColumns({"_own": own, "_file": F.coalesce(F.col("path").rlike(NAMES) if named else F.col("_best.score") >= settings.file, F.lit(False))})
-    votes = rows.where("_file AND _own IS NOT NULL").groupBy("_dir", "_own").agg(F.count("*").alias("n"))
-    first = F.row_number().over(W.partitionBy("_dir").orderBy(F.desc("n"), "_own"))  # at most one row a template
-    licensed = votes.withColumn("r", first).where("r = 1").select(F.col("_dir").alias("_at"), F.col("_own").alias("_given"))
-    dirs = rows.select("_dir").distinct()
-    up = dirs.select("_dir", F.posexplode(ancestors(F.col("_dir"))).alias("_far", "_at"))
-    near = up.join(licensed, "_at").groupBy("_dir").agg(F.min(F.struct("_far", "_at", "_given")).alias("_near"))
-    out = rows.join(near, "_dir", "left")
-    origin = F.when(F.col("_own").isNotNull(), "own").when(F.col("_near").isNotNull(), "inherited").otherwise("none")
-    return out.select(*keep, F.coalesce("_own", "_near._given").alias("licence"), F.coalesce("_best.score", F.lit(0.0)).alias("score"), origin.alias("origin"), F.when(F.col("_own").isNull(), F.col("_near._at")).alias("licence_dir"))
+    """Adds licence, score, origin (own, inherited, none) and licence_dir to files (path, text, ...), in place of columns
+    that have these names. named: licence files are known by their names; else by their text."""
+    keep = [c for c in files.columns if c != "text" and c.lower() not in OUT]
+    rows = files.select(F.struct(*[files[c] for c in keep]).alias("row"), files["path"], best(files["text"]).alias("best"), directory(files["path"]).alias("dir"))
+    own = F.when(F.col("best.score") >= settings.own, F.col("best.name"))
+    file = F.col("path").rlike(NAMES) if named else F.col("best.score") >= settings.file
+    rows = rows.withColumns({"own": own, "file": F.coalesce(file, F.lit(False))})
+    votes = rows.where("file AND own IS NOT NULL").groupBy("dir", "own").agg(F.count("*").alias("n"))
+    first = F.row_number().over(W.partitionBy("dir").orderBy(F.desc("n"), "own"))  # at most one row a template
+    licensed = votes.withColumn("r", first).where("r = 1").select(F.col("dir").alias("at"), F.col("own").alias("given"))
+    dirs = rows.select("dir").distinct()
+    up = dirs.select("dir", F.posexplode(ancestors(F.col("dir"))).alias("far", "at"))
+    near = up.join(licensed, "at").groupBy("dir").agg(F.min(F.struct("far", "at", "given")).alias("near"))
+    out = rows.join(near, "dir", "left")
+    origin = F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
+    back = [F.col("row").getField(c).alias(c) for c in keep]
+    return out.select(*back, F.coalesce("own", "near.given").alias("licence"), F.coalesce("best.score", F.lit(0.0)).alias("score"), origin.alias("origin"), F.when(F.col("own").isNull(), F.col("near.at")).alias("licence_dir"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:

@@ -108,14 +108,14 @@ WITH templates AS (SELECT * FROM (VALUES ('Apache-2.0', 'Licensed under the Apac
   ('GPL-2.0', 'This work is licensed under the GNU General Public License, version 2'), ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3'),
   ('LGPL-3.0', 'This work is licensed under the GNU Lesser General Public License, version 3'), ('MIT', 'Released under the MIT License'),
   ('MPL-2.0', 'This file is subject to the terms of the Mozilla Public License, version 2.0'), ('Unlicense', 'Released under the Unlicense into the public domain')) AS t(name, t)),
-tt AS (SELECT DISTINCT name, unnest(regexp_extract_all(lower(t), '[a-z0-9+-]+(?:[.][0-9]+)*')) AS term FROM templates),
+tt AS (SELECT name, term, count(*) AS often FROM (SELECT name, unnest(regexp_extract_all(lower(t), '[a-z0-9+-]+(?:[.][0-9]+)*')) AS term FROM templates) GROUP BY ALL),
 idf AS (SELECT term, pow(1 + ln(14.0 / (1 + count(*))), 2) AS s FROM tt GROUP BY term),
-size AS (SELECT name, sum(s) AS size FROM tt JOIN idf USING (term) GROUP BY name),
+size AS (SELECT name, sum(often * often * s) AS size FROM tt JOIN idf USING (term) GROUP BY name),
 files AS (SELECT doc_id, text, CASE WHEN doc_id % 100 = 0 THEN source || '/' || doc_id ELSE source || '/' || lang || '/' || doc_id END AS path, CASE WHEN doc_id % 100 = 0 THEN source ELSE source || '/' || lang END AS dir FROM documents),
 lines AS (SELECT doc_id, row_number() OVER () AS line, l FROM (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS l FROM files) WHERE regexp_matches(l, 'licen[cs]|copyright|spdx')),
-lt AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(l, '[a-z0-9+-]+(?:[.][0-9]+)*')) AS term FROM lines),
-norm AS (SELECT line, sum(coalesce(s, pow(1 + ln(14.0 / 2), 2))) AS norm FROM lt LEFT JOIN idf USING (term) GROUP BY line),
-dots AS (SELECT doc_id, line, name, sum(s) AS dot FROM lt JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
+lt AS (SELECT doc_id, line, term, count(*) AS often FROM (SELECT doc_id, line, unnest(regexp_extract_all(l, '[a-z0-9+-]+(?:[.][0-9]+)*')) AS term FROM lines) GROUP BY ALL),
+norm AS (SELECT line, sum(CASE WHEN s IS NULL THEN lt.often * pow(1 + ln(14.0 / 2), 2) ELSE lt.often * lt.often * s END) AS norm FROM lt LEFT JOIN idf USING (term) GROUP BY line),
+dots AS (SELECT doc_id, line, name, sum(lt.often * tt.often * s) AS dot FROM lt JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
 best AS (SELECT doc_id, name, round(dot / sqrt(norm * size), 9) AS score FROM dots JOIN norm USING (line) JOIN size USING (name) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / sqrt(norm * size), 9) DESC, name) = 1),
 own AS (SELECT f.*, coalesce(score, 0) AS score, CASE WHEN score >= 0.6 THEN name END AS own FROM files f LEFT JOIN best USING (doc_id)),
 dirs AS (SELECT dir, own AS given FROM own WHERE score >= 0.8 GROUP BY dir, own QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, own) = 1),

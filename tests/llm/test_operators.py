@@ -131,8 +131,12 @@ def test_licence_cosine(spark):
     df = spark.createDataFrame([(x,) for x in lines], "text string").select("text", licences.best(F.col("text")).alias("b"))
     for r in df.collect():
         mine = licences.terms(r.text)
-        cos = lambda t: sum(square[w] for w in mine & licences.terms(t)) / (sum(square.get(w, other) for w in mine) * sum(square[w] for w in licences.terms(t))) ** 0.5
-        assert r.b.score == pytest.approx(max(cos(t) for _, t in licences.TEMPLATES), abs=1e-8)
+        norm = sum(k * k * square[w] if w in square else k * other for w, k in mine.items())
+        cos = lambda t: sum(k * t[w] * square[w] for w, k in mine.items() if w in t) / (norm * sum(k * k * square[w] for w, k in t.items())) ** 0.5
+        assert r.b.score == pytest.approx(max(cos(licences.terms(t)) for _, t in licences.TEMPLATES), abs=1e-8)
+    named = spark.createDataFrame([("a/LICENSE", "Released under the MIT License", 1, "x", {"k": 1}), ("a/b", "code", 2, "y", None)], "path string, text string, dir long, best string, `row` map<string,int>")
+    out = licences.licences(named.withColumn("score", F.lit("mine")))
+    assert sorted((r.path, r.dir, r.best, r.licence, r.score) for r in out.collect()) == [("a/LICENSE", 1, "x", "MIT", 1.0), ("a/b", 2, "y", "MIT", 0.0)]
 
 
 # 3
