@@ -97,6 +97,17 @@ def test_encoder_equals_tokenizer():
         assert np.array(encoder.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes() == encoder.ids(s), repr(s)
 
 
+def test_other_tokenizer_files():
+    """A file with other rules is used as it is: its own ids, not those of this one's short way."""
+    from pathlib import Path
+
+    assert packing.Encoder(packing.Settings().path()).short
+    other = Path(packing.Settings().path()).with_name("byte_bpe_50k.json")
+    encoder = packing.Encoder(str(other))
+    for s in ("Some  text, with\nlines and Caps", "x", " it's"):
+        assert encoder.ids(s) == np.array(encoder.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_nnls():
     draw = np.random.default_rng(0)
     for _ in range(5):
@@ -240,6 +251,26 @@ def test_toxicity(spark, sf_dir, docs, odd, empty):
     assert kept == {r.doc_id for r in out if r.score < 0.7}
 
 
+def test_toxicity_scores_by_definition(spark, sf_dir, docs):
+    """sigmoid(b + sum of weights + sum of products of all pairs of factors), summed pair by pair."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    text = dict(texts(docs))
+    for r in toxicity.score(docs, model).collect():
+        held = sorted({place[h] for h in toxicity.hashes_of(text[r.doc_id], model.bits, {}) if h in place})
+        z = model.bias + sum(model.w[i] for i in held) + sum(float(model.v[i] @ model.v[j]) for n, i in enumerate(held) for j in held[:n])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
+def test_labels_with_nulls_and_several(spark, docs):
+    """Null labels and ids teach nothing; of several labels of one document the largest counts."""
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    plain = [(i, int(i % 3 == 0)) for i in ids]
+    messy = plain + [(i, 0) for i in ids if i % 6 == 0] + [(i, None) for i in ids] + [(None, 1), (None, None)]
+    fitted = [toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (plain, messy)]
+    assert (fitted[0].terms == fitted[1].terms).all() and fitted[0].bias == fitted[1].bias and (fitted[0].w == fitted[1].w).all()
+
+
 def test_factorization_machine_learns_a_pair():
     """Neither term alone is toxic; both together are: no linear weights can say that."""
     draw = np.random.default_rng(2)
