@@ -31,6 +31,8 @@ from lumenlake.llm.common import fold, mapped, stored, values
 TERM = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
 PREFIX = 4
+#: Documents whose terms are held at a time.
+ROWS = 128
 
 
 @dataclass(frozen=True)
@@ -97,14 +99,18 @@ def hashes_of(text: str | None, bits: int, cache: dict) -> list[int]:
 def _terms(bits: int, batches):
     cache: dict = {}
     for batch in batches:
-        yield [batch.column(0), [sorted(hashes_of(t, bits, cache)) for t in values(batch.column(1))]]
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield [part.column(0), [np.sort(np.array(hashes_of(t, bits, cache), np.int32)) for t in values(part.column(1))]]
 
 
 def _selected(chosen: np.ndarray, batches):
     """The rows with the chosen terms only; chosen is sorted."""
     for batch in batches:
-        rows = [np.asarray(x.values) for x in batch.column(1)]
-        yield [batch.column(0), [r[np.isin(r, chosen, assume_unique=True)] for r in rows], *batch.columns[2:]]
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            rows = [np.asarray(x.values) for x in part.column(1)]
+            yield [part.column(0), [r[np.isin(r, chosen, assume_unique=True)] for r in rows], *part.columns[2:]]
 
 
 def _scores(model: Machine, batches):
