@@ -17,6 +17,10 @@ from pyspark.sql.types import StructType
 #: Where this library lies, for Python workers that start elsewhere.
 _ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: dict[str, str] = {}
+#: Python workers live on between stages: these make them give freed memory back to the system.
+_FREEING = {"MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Bytes of a row group of stored tables, which each writing task holds in memory.
+_GROUP = 32 << 20
 #: The tables stored by each settled() that is at work.
 _USED: list[list[DataFrame]] = []
 
@@ -52,7 +56,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     the application's id; discard() deletes what is used up, the rest may go when it has ended."""
     spark = df.sparkSession
     path = _place(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", _GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lies_at = path
     if _USED:
@@ -97,7 +101,7 @@ def stored_in_parts(df: DataFrame, label: str) -> DataFrame:
     path, name = _place(spark, label), f"lumenlake_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = _parts(spark, n)
-    df.withColumn("part", part(F.col("rid"))).write.option("compression", "zstd").bucketBy(n, "part").option("path", path).saveAsTable(name)
+    df.withColumn("part", part(F.col("rid"))).write.option("compression", "zstd").option("parquet.block.size", _GROUP).bucketBy(n, "part").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._lies_at, out._named, out._n, out._part = path, name, n, part
     if _USED:
@@ -127,6 +131,7 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[li
     env = df.sparkSession.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [_ROOT, env.get("PYTHONPATH")]))
+        env.update({k: v for k, v in _FREEING.items() if k not in env})
 
     def run(batches):
         for columns in rows(batches):
