@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 _ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: dict[str, str] = {}
 #: Python workers live on between stages: these make them give freed memory back to the system.
-_FREEING = {"MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+_FREEING = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of a row group of stored tables, which each writing task holds in memory.
 _GROUP = 32 << 20
 #: The tables stored by each settled() that is at work.
