@@ -4,9 +4,11 @@ One pass counts, for every whole text, words and what the rules look at. Each ru
 millionths. Its distribution for each language and source is kept in a log-linear sketch: a
 value keeps its seven leading bits, and the sketch is the count of each kept value, so sketches
 of any two parts of the corpus merge by adding, in any order, to the same sketch, and quantiles
-are within 1/64 of their value. A rule rejects what lies beyond the upper fence
-q75 + spread x (q75 - q25) + slack of its language and source; groups with fewer than
-Settings.least documents use their language's merged sketch, small languages the whole corpus'.
+are within 1/64 of their value. Sketches are of the documents that pass the base rules. A rule rejects
+what lies above the fence high + max(spread x (high - low), floor) of its language and source, where high and
+low are two quantiles of the sketch; the floor acts only where these two are (nearly) one. A rule of both
+sides also rejects what lies below low - max(spread x (high - low), floor). Groups with fewer than
+Settings.least such documents use their language's merged sketch, small languages the whole corpus'.
 
 Only the sketches are shuffled (a few hundred rows for a group, combined before the shuffle), so
 a source with a third of all rows weighs no more than another.
@@ -39,26 +41,30 @@ COUNTS = "doc_id long, lang string, source string, n_words long, word_chars long
 
 @dataclass(frozen=True)
 class Rule:
-    """numerator / denominator, in millionths, at most the fence."""
+    """numerator / denominator, in millionths, within the fences. low and high are percentiles."""
 
     numerator: str
     denominator: str
-    slack: int
+    spread: int
+    floor: int
+    low: int = 25
+    high: int = 75
+    both: bool = False
 
 
-#: The adaptive rules. slack keeps a fence off a distribution that is all but constant.
+#: The adaptive rules. Repeats have most of their mass at 0, so their spread is taken further up.
 RULES = {
-    "symbols": Rule("n_symbols", "word_chars", 30_000),
-    "other": Rule("n_other", "word_chars", 100_000),
-    "upper": Rule("n_upper", "word_chars", 120_000),
-    "repeats": Rule("n_repeat_words", "n_words", 400_000),
-    "length": Rule("word_chars", "n_words", 3_000_000),
+    "symbols": Rule("n_symbols", "word_chars", 6, 10_000),
+    "other": Rule("n_other", "word_chars", 12, 10_000),
+    "upper": Rule("n_upper", "word_chars", 6, 10_000),
+    "repeats": Rule("n_repeat_words", "n_words", 12, 100_000, 50, 90),
+    "length": Rule("word_chars", "n_words", 6, 500_000, both=True),
 }
+FENCES = [n for k, r in RULES.items() for n in ([f"{k}_min"] if r.both else []) + [f"{k}_max"]]
 
 
 @dataclass(frozen=True)
 class Settings:
-    spread: float = 3.0
     least: int = 200
 
 
@@ -153,32 +159,35 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """lang, source, level and a column <rule>_max for each group with enough documents."""
+    """lang, source, level and the columns FENCES for each group with enough documents."""
     group = ["level", "lang", "source", "rule"]
     w = W.partitionBy(*group)
     running = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("at")), "total": F.sum("n").over(w)})
-    quantile = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("at")))
-    found = running.groupBy(*group).agg(quantile(0.25).alias("q25"), quantile(0.75).alias("q75"), F.max("total").alias("total"))
-    slack = F.create_map(*[x for k, r in RULES.items() for x in (F.lit(k), F.lit(r.slack))])
-    fence = F.col("q75") + settings.spread * (F.col("q75") - F.col("q25")) + F.element_at(slack, F.col("rule"))
-    found = found.where((F.col("level") == 2) | (F.col("total") >= settings.least)).withColumn("fence", fence)
-    return found.groupBy("level", "lang", "source").agg(*[F.max(F.when(F.col("rule") == k, F.col("fence"))).alias(f"{k}_max") for k in RULES])
+    of = lambda name: F.element_at(F.create_map(*[x for k, r in RULES.items() for x in (F.lit(k), F.lit(getattr(r, name)))]), F.col("rule"))
+    quantile = lambda name: F.min(F.when(100 * F.col("upto") >= of(name) * F.col("total"), F.col("at"))).alias(name)
+    found = running.groupBy(*group).agg(quantile("low"), quantile("high"), F.max("total").alias("total"))
+    away = F.greatest(of("spread") * (F.col("high") - F.col("low")), of("floor"))
+    found = found.where((F.col("level") == 2) | (F.col("total") >= settings.least)).withColumns({"min": F.col("low") - away, "max": F.col("high") + away})
+    one = lambda name: F.max(F.when(F.col("rule") == name[:-4], F.col(name[-3:]))).alias(name)
+    return found.groupBy("level", "lang", "source").agg(*[one(n) for n in FENCES])
 
 
 def quality(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Counts, base_failed and kept for every row of docs, with the fences that applied."""
     rows = stored(measured(docs), "quality")
-    found = stored(fences(sketches(rows), settings), "fences")
-    names = [f"{k}_max" for k in RULES]
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    found = stored(fences(sketches(rows.where(~failed)), settings), "fences")
+    names = FENCES
     level = lambda k: found.where(F.col("level") == k)
     fine = level(0).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[F.col(n).alias(f"f_{n}") for n in names])
     mid = level(1).select(F.col("lang").alias("m_lang"), *[F.col(n).alias(f"m_{n}") for n in names])
-    top = level(2).select(*names).first()  # one row, none for an empty table
+    top = level(2).select(*names).first()  # one row, none where no document passes the base rules
     joined = rows.join(fine, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     joined = joined.join(mid, F.col("lang").eqNullSafe(F.col("m_lang")), "left")
-    joined = joined.withColumns({n: F.coalesce(f"f_{n}", f"m_{n}", F.lit(top[n] if top else None).cast("double")) for n in names})
-    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    joined = joined.withColumns({n: F.coalesce(f"f_{n}", f"m_{n}", F.lit(top[n] if top else None).cast("long")) for n in names})
     good = ~failed
     for k, rule in RULES.items():
         good = good & (value(rule) <= F.col(f"{k}_max"))
+        if rule.both:
+            good = good & (value(rule) >= F.col(f"{k}_min"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), good.alias("kept"))

@@ -86,15 +86,16 @@ lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id,
 c AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
   coalesce(covered.n, 0) AS n_repeat_words, length(regexp_replace(array_to_string(ws, ''), '[\p{L}\p{Nl}\p{No}]', '', 'g')) AS n_other, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper
   FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
-v AS (SELECT doc_id, lang, source, rule, CASE WHEN den > 0 THEN num * 1000000 // den ELSE 0 END AS v, slack FROM (
-  SELECT doc_id, lang, source, unnest([{'rule': 'symbols', 'num': n_symbols, 'den': word_chars, 'slack': 30000}, {'rule': 'other', 'num': n_other, 'den': word_chars, 'slack': 100000},
-    {'rule': 'upper', 'num': n_upper, 'den': word_chars, 'slack': 120000}, {'rule': 'repeats', 'num': n_repeat_words, 'den': n_words, 'slack': 400000}, {'rule': 'length', 'num': word_chars, 'den': n_words, 'slack': 3000000}], recursive := true) FROM c)),
-k AS (SELECT *, v - v % CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS low FROM v),
-s AS (SELECT 0 AS level, lang, source, rule, low, slack, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 1, lang, NULL, rule, low, slack, count(*) FROM k GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, rule, low, slack, count(*) FROM k GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM s),
-q AS (SELECT level, lang, source, rule, max(total) AS total, min(low) FILTER (upto >= 0.25 * total) AS q25, min(low) FILTER (upto >= 0.75 * total) AS q75, max(slack) AS slack FROM r GROUP BY level, lang, source, rule),
-f AS (SELECT level, lang, source, rule, q75 + 3 * (q75 - q25) + slack AS fence FROM q WHERE level = 2 OR total >= 200),
-j AS (SELECT v.doc_id, bool_and(v.v <= coalesce(a.fence, b.fence, o.fence)) AS good FROM v
+v AS (SELECT doc_id, lang, source, failed, rule, CASE WHEN den > 0 THEN num * 1000000 // den ELSE 0 END AS v FROM (
+  SELECT doc_id, lang, source, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, unnest([{'rule': 'symbols', 'num': n_symbols, 'den': word_chars}, {'rule': 'other', 'num': n_other, 'den': word_chars},
+    {'rule': 'upper', 'num': n_upper, 'den': word_chars}, {'rule': 'repeats', 'num': n_repeat_words, 'den': n_words}, {'rule': 'length', 'num': word_chars, 'den': n_words}], recursive := true) FROM c)),
+rules AS (SELECT * FROM (VALUES ('symbols', 6, 10000, 25, 75, false), ('other', 12, 10000, 25, 75, false), ('upper', 6, 10000, 25, 75, false), ('repeats', 12, 100000, 50, 90, false), ('length', 6, 500000, 25, 75, true)) AS t(rule, spread, least, lo, hi, both_sides)),
+k AS (SELECT *, v - v % CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS bin_at FROM v WHERE NOT failed),
+s AS (SELECT 0 AS level, lang, source, rule, bin_at, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 1, lang, NULL, rule, bin_at, count(*) FROM k GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, rule, bin_at, count(*) FROM k GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin_at) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM s JOIN rules USING (rule)),
+q AS (SELECT level, lang, source, rule, both_sides, spread, least, max(total) AS total, min(bin_at) FILTER (100 * upto >= lo * total) AS low, min(bin_at) FILTER (100 * upto >= hi * total) AS high FROM r GROUP BY ALL),
+f AS (SELECT level, lang, source, rule, high + greatest(spread * (high - low), least) AS top, CASE WHEN both_sides THEN low - greatest(spread * (high - low), least) ELSE 0 END AS bottom FROM q WHERE level = 2 OR total >= 200),
+j AS (SELECT v.doc_id, bool_and(v.v BETWEEN coalesce(a.bottom, b.bottom, o.bottom) AND coalesce(a.top, b.top, o.top)) AS good FROM v
   LEFT JOIN f a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM v.lang AND a.source IS NOT DISTINCT FROM v.source AND a.rule = v.rule
   LEFT JOIN f b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM v.lang AND b.rule = v.rule LEFT JOIN f o ON o.level = 2 AND o.rule = v.rule GROUP BY v.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,

@@ -233,7 +233,27 @@ def test_sketches_merge_and_bound_quantiles(spark):
     assert sketch.groupBy("level").agg(F.sum("n").alias("n")).where("n <> 5000").count() == 0
     fence = quality.fences(sketch).where("level = 2").first()["symbols_max"]
     q = np.quantile(values, [0.25, 0.75])
-    assert fence == pytest.approx(q[1] + 3 * (q[1] - q[0]) + 30_000, rel=0.06)
+    assert fence == pytest.approx(q[1] + 6 * (q[1] - q[0]), rel=0.06)
+
+
+def test_fences_follow_the_sketches(spark):
+    """The same value is kept in a source where it is common and rejected in one where it is not; the floor acts in a
+    constant source only; documents that fail the base rules are in no sketch; words too short are rejected too."""
+    rng = random.Random(4)
+
+    def text(size, marks):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(size - 1, size + 1))) for _ in range(100)]
+        for i in rng.sample(range(100), marks):
+            words[i] = words[i][:-1] + "#"
+        return " ".join(words)
+
+    rows = [(i, text(6, rng.randint(5, 15)), "en", "code") for i in range(300)] + [(1000 + i, text(6, 0), "en", "prose") for i in range(300)]
+    rows += [(5000, text(6, 14), "en", "code"), (5001, text(6, 14), "en", "prose"), (5002, text(6, 4), "en", "prose"), (5003, text(2, 0), "en", "prose")]
+    rows += [(9000 + i, "# " * 60, "en", "prose") for i in range(2000)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(300)) and all(got[1000 + i] for i in range(300))
+    assert got[5000] and not got[5001] and got[5002] and not got[5003]
+    assert not any(got[9000 + i] for i in range(2000))
 
 
 # 5
