@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenlake.llm import decontaminate, langid, licences, packing, pii, quality, repeats, simhash, toxicity, urls
+from lumenlake.llm import decontaminate, divergence, jaccard, langid, licences, packing, pii, quality, repeats, simhash, spelling, toxicity, urls
 from lumenlake.llm.common import read
 
 QUERIES: dict = {}
@@ -64,6 +64,21 @@ def op7_repeats(spark, sf_dir):
     return repeats.without_repeats(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling(spark, sf_dir):
+    return spelling.spellings(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_divergence(spark, sf_dir):
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_jaccard(spark, sf_dir):
+    return jaccard.jaccard(read(spark, sf_dir, "documents"))
+
+
 #: The rules of the query, as SQL: longest first.
 ORACLES["op6_url_filter"] = r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -124,3 +139,22 @@ up AS (SELECT dir, 0 AS far, dir AS at_dir FROM own UNION SELECT dir, 1, CASE WH
 near AS (SELECT up.dir, at_dir, given FROM up JOIN dirs ON dirs.dir = at_dir QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY far) = 1)
 SELECT doc_id, path, coalesce(own, given) AS licence, score, CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN own IS NULL THEN at_dir END AS licence_dir FROM own LEFT JOIN near USING (dir)
 """
+
+#: Shares over all kept terms of every group, all pairs term by term, and the ranks.
+ORACLES["op12_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+o AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+dt AS (SELECT r, lang, source, term, count(*) AS n FROM o GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS lang_n FROM dt GROUP BY lang, term HAVING count(*) >= 10),
+langs AS (SELECT lang, count(*) AS V, sum(lang_n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, sum(n) AS n FROM dt JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, k.lang_n, CAST(coalesce(o.n, 0) AS HUGEINT) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+tot AS (SELECT lang, source, sum(n) AS N FROM dense GROUP BY ALL),
+p AS (SELECT dense.lang, dense.source, term, dense.n, CAST(1 + (1000000000 * (dense.n + 2)) // (tot.N + 2 * V) AS BIGINT) AS p, CAST(1 + (1000000000 * (CAST(lang_n AS HUGEINT) + 2)) // (total + 2 * V) AS BIGINT) AS q FROM dense JOIN tot USING (lang, source) JOIN langs USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+allpairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM allpairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
