@@ -18,9 +18,10 @@ a pair, both have the segment left out (else they would differ in more than H),
 index their one-deletion neighbourhoods.
 
 Verification is of the shingles themselves, of whole texts, which are fetched for sets in candidates only. First each
-set is compared with one other, the one it meets in most segments as the first of a key, and components are made; then
-only candidates of different components are compared, and of those only such whose 256-bit parities allow H differences
-(each difference flips one bit, so more flipped bits than H are a proof). Sets of exactly equal shingles are one set throughout,
+set is compared with one other, the leader that it meets in most segments, and components are made; then
+only candidates of different components are, and of those only such whose 256-bit parities allow H differences
+(each difference flips one bit, so more flipped bits than H are a proof): of each set and key one, and when the components of
+these are made, all that are left. Sets of exactly equal shingles are one set throughout,
 and those of up to 8 shingles have no other partner.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing: component_id is their own
@@ -49,6 +50,8 @@ from lumenlake.llm.simhash import components
 SHINGLE = 3
 #: The smallest set that can be linked with another one: 9 of 10.
 LEAST = 9
+#: Sets of a key that meet in one place, and comparisons that are made at a time.
+HOT, STRIP = 4096, 1 << 19
 #: Bits of the filter that tells which texts to fetch: 16 for each text, at most so many.
 FETCH_BITS = 1 << 27
 
@@ -272,9 +275,9 @@ def _tid():
 
 def _shared(rows: DataFrame) -> DataFrame:
     """rows (key, rid, asks, holds and more) of the keys that two sets or more have, of which one asks and another holds:
-    with met, how many, and low, the first of them."""
-    keys = rows.groupBy("key").agg(F.count("*").alias("met"), F.min("rid").alias("low"), F.bool_or("asks").alias("any_asks"), F.bool_or("holds").alias("any_holds"))
-    return rows.join(keys.where("met > 1 AND any_asks AND any_holds").select("key", "met", "low"), "key")
+    with met, how many."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("met"), F.bool_or("asks").alias("any_asks"), F.bool_or("holds").alias("any_holds"))
+    return rows.join(keys.where("met > 1 AND any_asks AND any_holds").select("key", "met"), "key")
 
 
 def _exchanged(rows: DataFrame, sets: DataFrame, texts: _Texts, settings: Settings) -> DataFrame | None:
@@ -317,32 +320,87 @@ def _exchanged(rows: DataFrame, sets: DataFrame, texts: _Texts, settings: Settin
     wanted = wanted.groupBy("rid").agg(*[F.max(F.when(F.col("below") == b, F.col("wanted"))).alias(c) for b, c in ((0, "own"), (1, "lower"))])
     fetched = texts.of(members)
     near = mapped(fetched.join(wanted, "rid", "left").select("rid", "text", "own", "lower"), _neighbours, "key long, rid long, asks boolean, holds boolean")
-    return stored(_shared(plain.unionByName(near)).select("key", "rid", "asks", "holds", "low"), "exchanged")
+    return stored(_shared(plain.unionByName(near)).select("key", "rid", "asks", "holds", "met"), "exchanged")
 
 
 def _first_pairs(met: DataFrame) -> DataFrame:
-    """For each set the first of a key that it meets in most keys."""
-    tally = met.where("rid <> low").groupBy("rid", "low").agg(F.count("*").alias("keys"))
-    return tally.groupBy(F.col("rid").alias("b")).agg(F.max_by("low", F.struct("keys", "low")).alias("a")).select("a", "b")
+    """For each set the leader that it meets in most keys. A key's leader is its set that meets most others in all its
+    keys: of a family of edited copies the one that they are copies of, if it is there."""
+    score = met.groupBy("rid").agg(F.sum("met").alias("score"))
+    lead = met.join(score, "rid").groupBy("key").agg(F.max(F.struct("score", "rid"))["rid"].alias("lead"))
+    tally = met.join(lead, "key").where("rid <> lead").groupBy("rid", "lead").agg(F.count("*").alias("keys"))
+    return tally.groupBy(F.col("rid").alias("b")).agg(F.max_by("lead", F.struct("keys", "lead")).alias("a")).select("a", "b")
 
 
-def _other_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates of different components, each once: of a key the rows that are not all of one component,
-    each with those of every component after its own, so that none is made within a component."""
+def _meeting(each: bool):
+    """Candidate pairs within keys, whose rows come together and sorted; each: all of them, else of each set one. Columns:
+    key, p, q, part, rid, root, n, asks, holds and the four words of parities; rows of part p meet those of part q."""
+
+    def candidates(batches):
+        kept = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            kept = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
+            if len(kept[0]) < 4096:
+                continue
+            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in kept[:3]], axis=0))
+            if len(last):
+                yield from found([c[: last[-1] + 1] for c in kept])
+                kept = [c[last[-1] + 1 :] for c in kept]
+        if kept is not None and len(kept[0]):
+            yield from found(kept)
+
+    def found(columns):
+        key, p, q, part, rid, root, n, asks, holds, *words = columns
+        words = [w.view(np.uint64) for w in words]
+        start = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)])
+        size = np.diff(np.r_[start, len(key)])
+
+        def good(i, j):
+            """Which of the rows i and j may be linked and lie in different components; the larger asks, of
+            equal sizes either."""
+            x, y = n[i], n[j]
+            roles = ((x >= y) & asks[i] & holds[j]) | ((y >= x) & asks[j] & holds[i])
+            some = roles & (root[i] != root[j]) & (9 * np.maximum(x, y) <= 10 * np.minimum(x, y))
+            differ = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+            return some & (differ <= (x + y) // 19)
+
+        two = start[(size == 2) & (p[start] == q[start])]
+        two = two[good(two, two + 1)]
+        pairs = [(rid[two], rid[two + 1])]
+        for s, m in zip(start.tolist(), size.tolist()):
+            if m == 1 or m == 2 and p[s] == q[s]:
+                continue
+            at = np.arange(s, s + m)
+            left, right = (at, at) if p[s] == q[s] else (at[part[s : s + m] == p[s]], at[part[s : s + m] == q[s]])
+            step = max(1, STRIP // max(1, len(right)))
+            for k in range(0, len(left), step):
+                i = left[k : k + step]
+                near = good(i[:, None], right[None, :])
+                if p[s] == q[s]:
+                    near &= i[:, None] < right[None, :]
+                if not each:
+                    near &= near.cumsum(axis=1) == 1
+                x, y = np.nonzero(near)
+                pairs.append((rid[i[x]], rid[right[y]]))
+        a, b = (np.concatenate(c) for c in zip(*pairs))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        yield [pairs[0], pairs[1]]
+
+    return candidates
+
+
+def _other_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame, each: bool) -> DataFrame:
+    """Candidates of different components, each once; with each unset at most one of each set and key. A key of more
+    than HOT sets is dealt to parts, and each pair of parts is met by itself."""
     named = met.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("key", "rid", "asks", "holds", F.coalesce("root", "rid").alias("root"))
-    kinds = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    mixed = stored(named.join(kinds, "key", "left_semi"), "mixed")
+    kinds = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("x <> y").select("key", "parts")
     about = sets.select("rid", "n", *[f"s{j}" for j in range(4)])
-    rows = mixed.join(about, "rid")
-    a, b = (rows.select("key", F.col("root").alias(f"{c}_root"), *[F.col(x).alias(f"{c}_{x}") for x in ("rid", "asks", "holds", "n", "s0", "s1", "s2", "s3")]) for c in "ab")
-    reach = mixed.select("key", "root").distinct().withColumnRenamed("root", "b_root")
-    to = a.join(reach, "key").where("a_root < b_root")
-    differ = sum((F.bit_count(F.col(f"a_s{j}").bitwiseXOR(F.col(f"b_s{j}"))) for j in range(4)), F.lit(0))
-    low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    # the larger asks; of equal sizes either
-    roles = ((F.col("a_n") >= F.col("b_n")) & F.col("a_asks") & F.col("b_holds")) | ((F.col("b_n") >= F.col("a_n")) & F.col("b_asks") & F.col("a_holds"))
-    good = roles & (9 * high <= 10 * low) & (differ <= F.floor((F.col("a_n") + F.col("b_n")) / 19))
-    return to.join(b, ["key", "b_root"]).where(good).select(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b")).distinct()
+    rows = named.join(kinds, "key").join(about, "rid").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rid", "root", "n", "asks", "holds", "s0", "s1", "s2", "s3")
+    dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return mapped(dealt, _meeting(each), "a long, b long").distinct()
 
 
 def jaccard(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -359,10 +417,12 @@ def jaccard(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     if (exchanged := _exchanged(met, sets, texts, settings or Settings())) is not None:
         discard(met)
         met = exchanged
-    first = texts.links(_first_pairs(met))
-    roots = components(first)
-    second = texts.links(_other_pairs(met, sets, roots))
-    roots = components(first.unionByName(second))
+    links = texts.links(_first_pairs(met))
+    for each in (False, True):
+        more = texts.links(_other_pairs(met, sets, components(links), each))
+        used, links = links, stored(links.unionByName(more), "links")
+        discard(used, more)
+    roots = components(links)
     lows = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"))
     nodes = lows.join(sets.select("sig", "rid"), "sig", "left").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
     nodes = nodes.select("sig", "low", F.coalesce("root", "rid").alias("root"))  # null: a set too small to be linked
@@ -371,5 +431,5 @@ def jaccard(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     full = rows.where("n > 0").select("doc_id", "n", "sig").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = stored(full.unionByName(none), "jaccard")
-    discard(rows, sets, met, first, second)
+    discard(rows, sets, met, links)
     return out

@@ -226,10 +226,11 @@ def test_jaccard(docs, odd, empty):
     assert same_classes(empty) == []
 
 
-@pytest.mark.parametrize("settings", [None, jaccard.Settings(costly=2, weight=0.0)])
-def test_families_near_the_threshold(spark, settings):
+@pytest.mark.parametrize("settings, hot", [(None, 4096), (None, 4), (jaccard.Settings(costly=2, weight=0.0), 4096)])
+def test_families_near_the_threshold(spark, monkeypatch, settings, hot):
     """Families of texts with few to many edits, over a common passage that makes segments equal, with and without
-    exchanges for one-deletion neighbourhoods."""
+    exchanges for one-deletion neighbourhoods and with keys that are cut."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
     draw = random.Random(8)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows = []
