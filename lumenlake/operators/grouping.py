@@ -1,22 +1,19 @@
 """Greedy first-claim grouping, near-duplicate pairs, suppression and one-to-one matching.
 
 First-claim grouping in order: an item is an anchor if no earlier anchor is linked to it, and any
-other item belongs to its earliest linked anchor. anchors() does this for any number of items in
-rounds over a table of links: an item whose earlier linked items are all decided and no anchors
-becomes one; an item linked to an earlier anchor becomes a member. Each round is written to the
-checkpoint folder. Where groups are bounded by what they lie in (the boxes of one image), they are
-short arrays and a fold over each does it.
+other item belongs to its earliest linked anchor (claims.anchors(), over the links of neighbours.py). Where groups are
+bounded by what they lie in (the boxes of one image), they are short arrays and a fold over each does it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlake.functions.boxes import containment, iou
+from lumenlake.operators.claims import anchors
+from lumenlake.operators.neighbours import code_pairs, vector_pairs
 from lumenlake.sources.store import kept, released
 
 SAME_PHOTO_BITS = 6
@@ -38,89 +35,44 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(good, bits).otherwise(F.raise_error("a perceptual hash has 16 hex digits").cast("int"))
 
 
+def code_of(hash_: Column) -> Column:
+    """The 64 bits of a hash of 16 hex digits as a long; anything else is an error."""
+    part = lambda at: F.conv(F.substring(hash_, at, 8), 16, 10).cast("long")
+    bad = F.raise_error("a perceptual hash has 16 hex digits").cast("long")
+    return F.when(hash_.rlike("^[0-9a-fA-F]{16}$"), F.shiftleft(part(1), 32).bitwiseOR(part(9))).otherwise(bad)
+
+
+def near_hashes(hashes: DataFrame, bits: int = SAME_PHOTO_BITS) -> DataFrame:
+    """x, y, bits: pairs of different hashes (column hash) within so many bits, each once. Copies are one hash."""
+    found = code_pairs(hashes.select(code_of(F.col("hash")).alias("code")), bits)
+    named = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    x, y = named("x"), named("y")
+    return found.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), "bits")
+
+
 def hash_pairs(rows: DataFrame, bits: int = SAME_PHOTO_BITS) -> DataFrame:
-    """a, b, bits: pairs of rows (seq, hash) within so many bits, a before b. The 64 bits are cut into
-    bits + 1 bands; a pair within bits agrees on at least one, so only equal bands are joined. Equal
-    hashes are joined as one, so copies cost a row each and not a pair each in the band join."""
-    bands = bits + 1
-    if bands > 16:
-        raise ValueError("at most 15 bits: a band needs a hex digit")
-    kinds = rows.groupBy("hash").agg(F.min("seq").alias("first"))
-    cut = [round(16 * k / bands) for k in range(bands + 1)]
-    keys = F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("hash", cut[k] + 1, cut[k + 1] - cut[k])) for k in range(bands)]))
-    left = kinds.select(F.col("hash").alias("x"), keys.alias("key"))
-    right = kinds.select(F.col("hash").alias("y"), keys.alias("key"))
-    near = left.join(right, "key").where((F.col("x") < F.col("y")) & (hamming(F.col("x"), F.col("y")) <= bits)).select("x", "y").distinct()
-    linked = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(kinds.select(F.col("hash").alias("x"), F.col("hash").alias("y")))
+    """a, b, bits: pairs of rows (seq, hash) within so many bits, a before b, those of equal hashes too: as many
+    as there are. near_hashes() has each pair of hashes once and leaves copies to their hash."""
+    rows = rows.select("seq", F.lower("hash").alias("hash"))
+    near = near_hashes(rows, bits)
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "bits"))
+    both = both.unionByName(rows.select(F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).cast("long").alias("bits")).distinct())
     a = rows.select(F.col("seq").alias("a"), F.col("hash").alias("x"))
     b = rows.select(F.col("seq").alias("b"), F.col("hash").alias("y"))
-    return a.join(linked, "x").join(b, "y").where("a < b").select("a", "b", hamming(F.col("x"), F.col("y")).alias("bits"))
-
-
-#: Vectors of a block, and rows of a block that are multiplied at a time.
-VECTORS, STRIP = 8192, 1024
-
-
-def vector_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """a, b, score: pairs of rows (seq, vector) of at least the threshold, a before b, by blocks of
-    matrix products. Rows are dealt to blocks of
-    about VECTORS; each pair of blocks is one task's work, in strips, so the work is quadratic, each vector is
-    copied once for each block, and the memory is bounded. Scores are of double precision."""
-    n = rows.count()
-    blocks = max(1, -(-n // VECTORS))
-    dealt = rows.select("seq", "vector", F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int").alias("block"))
-    left = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    tagged = left.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "seq", "vector")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        seq = table.column("seq").to_numpy()
-        block = table.column("block").to_numpy()
-        vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(seq), -1)
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for at in range(0, len(x), STRIP):
-            part = x[at : at + STRIP]
-            scores = vectors[part] @ vectors[y].T
-            i, j = np.nonzero(scores >= threshold)
-            a, b, s = seq[part[i]], seq[y[j]], scores[i, j]
-            keep = a < b if p == q else a != b
-            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[keep]))
-        low, high, s = (np.concatenate(c) for c in zip(*found))
-        return pa.table({"a": low, "b": high, "score": s})
-
-    return tagged.groupBy("p", "q").applyInArrow(pairs, "a long, b long, score double")
-
-
-def anchors(items: DataFrame, links: DataFrame) -> DataFrame:
-    """seq, anchor of every item (seq) by links (a, b), a before b in the claiming order."""
-    edges = kept(links.select("a", "b").distinct(), "links")
-    state = kept(items.select("seq", F.lit(None).cast("long").alias("anchor")), "state")
-    while True:
-        open_ = state.where("anchor IS NULL").select(F.col("seq").alias("b"))
-        if not open_.limit(1).count():
-            released(edges)
-            return state
-        before = edges.join(open_, "b", "left_semi").join(state.select(F.col("seq").alias("a"), F.col("anchor").alias("of_a")), "a")
-        seen = before.groupBy("b").agg(
-            F.min(F.when(F.col("of_a") == F.col("a"), F.col("a"))).alias("claim"),
-            F.min(F.when(F.col("of_a").isNull(), F.col("a"))).alias("undecided"),
-        )
-        joined = state.join(seen, state.seq == seen.b, "left")
-        # an earlier item still undecided might claim first
-        decided = F.when(F.col("undecided").isNull(), F.coalesce("claim", "seq")).when(F.col("claim") < F.col("undecided"), F.col("claim"))
-        used, state = state, kept(joined.select("seq", F.coalesce("anchor", decided).alias("anchor")), "state")
-        released(used)
+    return a.join(both, "x").join(b, "y").where("a < b").select("a", "b", F.col("bits").cast("int").alias("bits"))
 
 
 def near_duplicate_groups(photos: DataFrame, bits: int = SAME_PHOTO_BITS) -> DataFrame:
     """id, anchor_id, size of photos in groups of two or more; the earliest captured claims first, ties
     by id. Only the first photo of each distinct hash takes part in the claiming: later copies see the
     same anchors before it, so they join the same one, or it if it is one."""
-    ranked = kept(photos.where("perceptual_hash IS NOT NULL").select("id", F.struct("captured_utc", "id").alias("o"), F.col("perceptual_hash").alias("hash")), "ranked")
+    ranked = kept(photos.where("perceptual_hash IS NOT NULL").select("id", F.struct("captured_utc", "id").alias("o"), F.lower("perceptual_hash").alias("hash")), "ranked")
     rows = numbered(ranked)
     kinds = kept(rows.groupBy("hash").agg(F.min("seq").alias("seq")), "kinds")
-    claimed = anchors(kinds, hash_pairs(kinds.select("seq", "hash"), bits)).join(kinds, "seq").select("hash", "anchor")
+    near = near_hashes(kinds, bits)
+    at = lambda c: kinds.select(F.col("hash").alias(c), F.col("seq").alias(f"{c}_seq"))
+    links = near.join(at("x"), "x").join(at("y"), "y").select(F.least("x_seq", "y_seq").alias("a"), F.greatest("x_seq", "y_seq").alias("b"))
+    claimed = anchors(kinds, links).join(kinds, "seq").select("hash", "anchor")
     groups = rows.select("seq", "hash").join(claimed, "hash").select("seq", "anchor")
     size = groups.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1")
     named = rows.select("seq", "id")
@@ -161,8 +113,9 @@ def people_groups(faces: DataFrame, threshold: float, most: int | None = None, l
     members = groups.join(info, "seq")
     size = members.groupBy("anchor").agg(F.count("*").alias("n_faces"), F.count_distinct("photo_id").alias("n_photos"))
     first = info.withColumnsRenamed({"seq": "anchor", "id": "anchor_id", "rank": "a_rank", "confidence": "a_confidence"}).drop("photo_id")
-    keys = {"photos": [F.desc("n_photos"), F.desc("a_rank"), F.asc("anchor_id")], "newest": [F.desc("captured_utc"), F.desc("anchor_id")], "oldest": [F.asc("captured_utc"), F.asc("anchor_id")], "confidence": [F.desc("a_confidence"), F.asc("anchor_id")]}[order]
-    placed = size.join(first, "anchor").withColumn("place", F.row_number().over(W.orderBy(*keys)))  # a row a group
+    time = lambda sign: F.struct(F.col("captured_utc").isNull() if sign < 0 else F.col("captured_utc").isNotNull(), sign * F.unix_micros("captured_utc"), sign * F.col("anchor_id"))  # noqa: E731  nulls last, or first
+    keys = {"photos": lambda: F.struct(-F.col("n_photos"), -F.col("a_rank"), "anchor_id"), "newest": lambda: time(-1), "oldest": lambda: time(1), "confidence": lambda: F.struct(-F.col("a_confidence"), "anchor_id")}[order]()
+    placed = numbered(size.join(first, "anchor").withColumn("o", keys)).withColumn("place", (F.col("seq") + 1).cast("int"))
     return members.select("anchor", F.col("id").alias("face_id")).join(placed.select("anchor", "anchor_id", "n_faces", "n_photos", "place"), "anchor").drop("anchor")
 
 

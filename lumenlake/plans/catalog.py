@@ -439,6 +439,11 @@ def vector_pairs(spark, sf_dir):
     return grouping.vector_pairs(units(spark, sf_dir).withColumnRenamed("photo_id", "seq"), 0.4).select("a", "b")
 
 
+@query(PAIRS + "SELECT a, b FROM near")
+def vector_pairs_in_cells(spark, sf_dir):
+    return grouping.vector_pairs(units(spark, sf_dir).withColumnRenamed("photo_id", "seq"), 0.4, cells=12).select("a", "b")
+
+
 @query(PAIRS.replace("WITH u AS", "WITH RECURSIVE u AS") + """, walk(i, anchors) AS (SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE b = i + 1 AND list_contains(anchors, a)) THEN anchors ELSE list_append(anchors, i + 1) END FROM walk WHERE i + 1 < (SELECT count(*) FROM e)),
 k AS (SELECT unnest(anchors) AS a FROM walk WHERE i = (SELECT max(i) FROM walk))
@@ -464,11 +469,7 @@ def hash_pairs(spark, sf_dir):
 
 
 def kind_pairs(photos: DataFrame) -> DataFrame:
-    kinds = photos.select(F.col("perceptual_hash").alias("hash")).distinct()
-    rows = kinds.withColumn("seq", F.row_number().over(W.orderBy("hash")).cast("long"))  # distinct hashes of the fixture
-    named = rows.select("seq", "hash")
-    out = grouping.hash_pairs(rows).join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
-    return out.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("bits").cast("long").alias("bits"))
+    return grouping.near_hashes(photos.select(F.col("perceptual_hash").alias("hash"))).select(F.col("x").alias("a"), F.col("y").alias("b"), "bits")
 
 
 @query(HASHED.replace("WITH h", "WITH RECURSIVE h") + f""", r AS (SELECT id, x, row_number() OVER (ORDER BY t, id) AS i FROM h),
