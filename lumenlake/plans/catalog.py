@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from datetime import time as clock
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from lumenlake.functions import boxes, fuzzy, text
 from lumenlake.functions.schedule import Schedule
 from lumenlake.operators import edits, facets, faces, fulltext, grouping, jobs, places, vectors
+from lumenlake.operators.vector_index import VectorIndex
 from lumenlake.plans import fixtures, search
 from lumenlake.plans.fixtures import ctes
 from lumenlake.plans.query import Catalog, Order, Query, filtered, order_columns, run
 from lumenlake.session import table
 from lumenlake.sources import ingest, store
+from lumenlake.sources.store import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -346,6 +349,33 @@ def vector_hub(spark, sf_dir):
     return vectors.search(calibrated, vector_of(rows, 40), 40).select("photo_id", F.round("score", 5).alias("score"), F.round("z", 4).alias("z"))
 
 
+def index_of(rows: DataFrame, cells: int = 12) -> VectorIndex:
+    """A new index in the shared folder, of two batches."""
+    spark = rows.sparkSession
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/vectors-{uuid.uuid4().hex}"
+    index = VectorIndex.build(rows.where("photo_id % 3 > 0").select("photo_id", "vector"), root, cells)
+    index.append(rows.where("photo_id % 3 = 0").select("photo_id", "vector"))
+    return index
+
+
+INDEXED = "round(s, 5) AS score, round((s - (SELECT avg(s) FROM s)) / (SELECT stddev_pop(s) FROM s), 4) AS z FROM s"
+
+
+@query(UNIT + f""", s AS (SELECT e.vec_id AS photo_id, list_dot_product(e.v, q.v) AS s FROM e, (SELECT v FROM e WHERE vec_id = 0) q)
+SELECT photo_id, {INDEXED} WHERE s >= 0.18 ORDER BY s.s DESC, photo_id LIMIT 40""")
+def vector_index_topk(spark, sf_dir):
+    rows = units(spark, sf_dir)
+    return index_of(rows).search(vector_of(rows, 0), 40).select("photo_id", F.round("score", 5).alias("score"), F.round("z", 4).alias("z"))
+
+
+@query(HUB + f"SELECT photo_id, {INDEXED} ORDER BY s.s DESC, photo_id LIMIT 40")
+def vector_index_hub(spark, sf_dir):
+    rows = units(spark, sf_dir)
+    bank = [[float(x) for x in r["vector"]] for r in rows.where("photo_id < 32").orderBy("photo_id").collect()]  # 32 phrases
+    found = index_of(rows).search(vector_of(rows, 40), 40, vectors.bank_mean(bank, 64))
+    return found.select("photo_id", F.round("score", 5).alias("score"), F.round("z", 4).alias("z"))
+
+
 @query(UNIT + "SELECT e.vec_id AS photo_id, round(list_dot_product(e.v, q.v), 5) AS score FROM e, (SELECT v FROM e WHERE vec_id = 7) q WHERE e.vec_id <> 7 AND list_dot_product(e.v, q.v) >= 0 ORDER BY list_dot_product(e.v, q.v) DESC, photo_id LIMIT 24")
 def similar_to(spark, sf_dir):
     return vectors.similar_to(units(spark, sf_dir), 7).select("photo_id", F.round("score", 5).alias("score"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import fuzzy
 from lumenlake.operators import vectors
+from lumenlake.operators.vector_index import VectorIndex
 from lumenlake.plans.query import Catalog, Query, filtered, order_columns, page, row_predicates
 from lumenlake.sources.store import kept
 
@@ -35,6 +36,17 @@ class Result:
     used_semantic: bool = False
 
 
+@dataclass(frozen=True)
+class Calibrated:
+    """A stored vector index with the mean of a reference bank, in place of a table of embeddings."""
+
+    index: VectorIndex
+    mean: list[float] | None = None
+
+    def search(self, query: list[float], limit: int) -> DataFrame:
+        return self.index.search(query, limit, self.mean)
+
+
 def words(text: str) -> list[str]:
     return [w for w in re.split(r"[ \t,;.\"']", text) if len(w) >= 2]
 
@@ -45,10 +57,11 @@ def _ranked(catalog: Catalog, q: Query, weight: float, reason: int, base: int) -
     return found.select("id", i.alias("i")).select("id", (weight / (1 + FALL * F.col("i"))).alias("score"), F.lit(reason).alias("reasons"), (F.col("i") + base).alias("seen"))
 
 
-def semantic_hits(catalog: Catalog, q: Query, embeddings: DataFrame, vector: list[float], strict: bool = False) -> DataFrame:
+def semantic_hits(catalog: Catalog, q: Query, embeddings: DataFrame | Calibrated, vector: list[float], strict: bool = False) -> DataFrame:
     """The nearest rows of two deviations or more that pass the recheck. strict rechecks every
     predicate; else city, country, folder, object, tags and collection are let through."""
-    near = vectors.search(embeddings, vector, NEAREST).where(F.col("z") >= LEAST_Z)
+    near = embeddings.search(vector, NEAREST) if isinstance(embeddings, Calibrated) else vectors.search(embeddings, vector, NEAREST)
+    near = near.where(F.col("z") >= LEAST_Z)
     if strict:
         photos = filtered(catalog, replace(q, text=None))
     else:
@@ -61,7 +74,7 @@ def semantic_hits(catalog: Catalog, q: Query, embeddings: DataFrame, vector: lis
     return hits.select(F.col("photo_id").alias("id"), (SEMANTIC_WEIGHT * z).alias("score"), F.lit(SEMANTIC).alias("reasons"), seen.alias("seen"))
 
 
-def search(catalog: Catalog, q: Query, embeddings: DataFrame | None = None, vector: list[float] | None = None, vocabulary: DataFrame | None = None, strict: bool = False) -> Result:
+def search(catalog: Catalog, q: Query, embeddings: DataFrame | Calibrated | None = None, vector: list[float] | None = None, vocabulary: DataFrame | None = None, strict: bool = False) -> Result:
     if not (q.text and q.text.strip()):
         found = page(filtered(catalog, q), order_columns(q.order), q.limit, q.offset)
         position = F.row_number().over(W.orderBy(*order_columns(q.order)))
