@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 from datetime import time as clock
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import boxes, fuzzy, text
 from lumenlake.functions.schedule import Schedule
 from lumenlake.operators import edits, facets, faces, fulltext, grouping, jobs, places, vectors
+from lumenlake.operators.text_index import index_photos
 from lumenlake.operators.vector_index import VectorIndex
 from lumenlake.plans import fixtures, search
 from lumenlake.plans.fixtures import ctes
@@ -75,6 +77,20 @@ browse("browse_object", Query(object=" Boat ", limit=5000), "EXISTS (SELECT 1 FR
 browse("browse_collection", Query(collection_id=3, limit=5000), "EXISTS (SELECT 1 FROM members m WHERE m.photo_id = photos.id AND m.collection_id = 3)", tables=("photos", "members"))
 browse("browse_tags_all", Query(tags=("view", "Click "), limit=5000), "EXISTS (SELECT 1 FROM tags t WHERE t.photo_id = photos.id AND t.tag = 'view') AND EXISTS (SELECT 1 FROM tags t WHERE t.photo_id = photos.id AND t.tag = 'click')", tables=("photos", "tags"))
 browse("browse_text", Query(text="red BOAT, numero 1", limit=5000), "id % 3 = 0 AND regexp_matches(concat_ws(' ', ai_caption, ai_description, file_name, camera_make, camera_model, place_city, place_country), '(^|[^a-z0-9A-Z])1')")
+
+
+@query(ORACLES["browse_text"])
+def browse_text_indexed(spark, sf_dir):
+    """browse_text through an index of two segments, the second with documents of the first again."""
+    catalog = fixtures.catalog(spark, sf_dir)
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/text-{uuid.uuid4().hex}"
+    index = index_photos(catalog.photos, catalog.tags, root)
+    some = fulltext.documents(catalog.photos, catalog.tags).where("id % 50 = 0")
+    index.update(some)
+    q = Query(text="red BOAT, numero 1", limit=5000)
+    return placed(run(replace(catalog, text_index=index), q), order_columns(q.order))
+
+
 browse("browse_nothing", Query(text="boat &", limit=5000), "false")
 browse("browse_page", Query(limit=70, offset=35), "true")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.text import nocase
 from lumenlake.operators import fulltext
+from lumenlake.operators.text_index import TextIndex
 
 
 class Order(Enum):
@@ -75,12 +76,14 @@ class Query:
 
 @dataclass(frozen=True)
 class Catalog:
-    """The tables that a query may touch; those it does not ask for can be absent."""
+    """The tables that a query may touch; those it does not ask for can be absent. With a text index, text is looked
+    up there; without one it is searched in the photos as they are read."""
 
     photos: DataFrame
     tags: DataFrame | None = None
     segments: DataFrame | None = None
     members: DataFrame | None = None
+    text_index: TextIndex | None = None
 
 
 def row_predicates(q: Query, semantic: bool = False) -> list[Column]:
@@ -126,7 +129,7 @@ def filtered(catalog: Catalog, q: Query) -> DataFrame:
     for p in row_predicates(q):
         out = out.where(p)
     if q.text and q.text.strip():
-        out = fulltext.matching(out, catalog.tags, q.text)
+        out = fulltext.matching(out, catalog.tags, q.text) if catalog.text_index is None else out.join(catalog.text_index.lookup(q.text), "id", "left_semi")
     if q.object and q.object.strip():
         wanted = q.object.strip().lower()
         hits = catalog.segments.where(F.coalesce("user_label", "label") == wanted).select(F.col("photo_id").alias("id"))

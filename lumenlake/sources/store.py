@@ -6,6 +6,7 @@ import posixpath
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +80,8 @@ class ObjectStore:
             stream.close()
 
     def write(self, key: str, data: bytes, only_new: bool = False) -> bool:
-        """Written aside and renamed, so a reader never sees a part. only_new: false if it is there."""
+        """Written aside and put into place whole, so a reader never sees a part. only_new: false if it is there; of
+        several writers one wins, where renaming does not replace (HDFS) or files can be linked (local ones)."""
         path = self._path(safe_key(key))
         if only_new and self._fs.exists(path):
             return False
@@ -91,11 +93,22 @@ class ObjectStore:
             stream.close()
         if not only_new:
             self._fs.delete(path, False)
-        done = self._fs.rename(aside, path)
-        if not done:
+        done = self._linked(aside, path) if only_new and self._fs.getScheme() == "file" else self._fs.rename(aside, path)
+        if self._fs.exists(aside):
             self._fs.delete(aside, False)
         return bool(done)
 
+    def _linked(self, aside, path) -> bool:
+        """Whether a local file's second name could be made: never over one that is there."""
+        at = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            self._jvm.java.nio.file.Files.createLink(at(path), at(aside))
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        return True
+
     def delete(self, key: str) -> None:
         self._fs.delete(self._path(safe_key(key)), False)
 
