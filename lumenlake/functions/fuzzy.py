@@ -11,6 +11,8 @@ from pyspark.sql.types import IntegerType
 
 #: Weights and bounds of suggestions.
 CONTAINS, CLOSE, TRIGRAM_FLOOR, TRIGRAM_WEIGHT = 0.80, 0.70, 0.42, 0.65
+#: Cells of a row of the edit tables that are held together.
+CELLS = 1 << 18
 SEPARATORS = r"[-_ .,/\\()]+"
 
 
@@ -25,22 +27,26 @@ def distances(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray
         return m
     letters = lambda words, size: np.array([x.ljust(size, "\0") for x in words], f"<U{size}").view(np.uint32).reshape(len(words), size)
     rows, columns = max(int(m.max()), 1), max(int(n.max()), 1)
-    x, y = letters(a, rows), letters(b, columns)
-    place = np.arange(columns + 1)
-    outside = place > n[:, None]  # columns that a pair's shorter word does not have
-    table = np.zeros((rows + 1, columns + 1, len(a)), np.int64)
-    table[:, 0], table[0] = np.arange(rows + 1)[:, None], place[:, None]
+    x, y = letters(a, rows).T, letters(b, columns).T
+    outside = np.arange(columns + 1)[:, None] > n  # columns that a pair's shorter word does not have
+    far = np.iinfo(np.int32).max
+    start = np.repeat(np.arange(columns + 1, dtype=np.int32)[:, None], len(a), axis=1)
+    above, top = start, start  # the rows one and two above
+    whole = start[n, np.arange(len(a))].astype(np.int64)
     beyond = np.zeros(len(a), bool)
     for i in range(1, rows + 1):
+        row = np.empty_like(start)
+        row[0] = i
         for j in range(1, columns + 1):
-            differ = x[:, i - 1] != y[:, j - 1]
-            best = np.minimum(table[i - 1, j - 1] + differ, 1 + np.minimum(table[i - 1, j], table[i, j - 1]))
+            best = np.minimum(above[j - 1] + (x[i - 1] != y[j - 1]), 1 + np.minimum(above[j], row[j - 1]))
             if i > 1 and j > 1:
-                swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
-                best = np.where(swapped, np.minimum(best, table[i - 2, j - 2] + 1), best)
-            table[i, j] = best
-        beyond |= (i <= m) & (np.where(outside, np.iinfo(np.int64).max, table[i].T).min(axis=1) > most)
-    whole = table[m, n, np.arange(len(a))]
+                swapped = (x[i - 1] == y[j - 2]) & (x[i - 2] == y[j - 1])
+                best = np.where(swapped, np.minimum(best, top[j - 2] + 1), best)
+            row[j] = best
+        beyond |= (i <= m) & (np.where(outside, far, row).min(axis=0) > most)
+        done = np.flatnonzero(m == i)
+        whole[done] = row[n[done], done]
+        above, top = row, above
     cut = ((m > 0) & (n > 0) & beyond) | (np.abs(m - n) > most)
     return np.where(np.array([p == q for p, q in zip(a, b)]), 0, np.where(cut, most + 1, whole))
 
@@ -58,8 +64,18 @@ def budget_of(query: Column) -> Column:
 
 @F.pandas_udf(IntegerType())
 def _distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
-    step = 2048  # pairs whose tables are held together
-    return pd.Series(np.concatenate([distances(a[i : i + step].tolist(), b[i : i + step].tolist(), most[i : i + step].to_numpy()) for i in range(0, max(len(a), 1), step)]))
+    # pairs go shortest first, as many at a time as CELLS allows for the longest of them
+    size = np.maximum(a.str.len().to_numpy(), b.str.len().to_numpy()) + 1
+    order = np.argsort(size, kind="stable")
+    out, at = np.zeros(len(a), np.int64), 0
+    while at < len(order):
+        upto = at + 1
+        while upto < len(order) and (upto + 1 - at) * size[order[upto]] <= CELLS:
+            upto += 1
+        own = order[at:upto]
+        out[own] = distances(a.iloc[own].tolist(), b.iloc[own].tolist(), most.iloc[own].to_numpy())
+        at = upto
+    return pd.Series(out)
 
 
 def is_close(query: Column, candidate: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import boxes, fuzzy, text
 from lumenlake.functions.schedule import Schedule
 from lumenlake.operators import edits, facets, faces, fulltext, grouping, jobs, places, vectors
+from lumenlake.operators.term_index import TermIndex
 from lumenlake.operators.text_index import index_photos
 from lumenlake.operators.vector_index import VectorIndex
 from lumenlake.plans import fixtures, search
@@ -286,9 +287,20 @@ def fuzzy_correct(spark, sf_dir):
     return fuzzy.correct(asked, terms(spark, sf_dir)).select("query", "term", F.round("score", 6).alias("score"), "rank")
 
 
-def suggestion(name: str, typed: str):
+def term_index(spark, sf_dir) -> TermIndex:
+    return TermIndex.build(terms(spark, sf_dir), f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/terms-{uuid.uuid4().hex}")
+
+
+@query(ORACLES["fuzzy_correct"])
+def fuzzy_correct_indexed(spark, sf_dir):
+    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, TYPED))).alias("query"))
+    return term_index(spark, sf_dir).correct(asked).select("query", "term", F.round("score", 6).alias("score"), "rank")
+
+
+def suggestion(name: str, typed: str, indexed: bool = False):
     def f(spark, sf_dir):
-        return fuzzy.suggest(typed, terms(spark, sf_dir)).select("term", F.round("score", 6).alias("score"))
+        found = term_index(spark, sf_dir).suggest(typed) if indexed else fuzzy.suggest(typed, terms(spark, sf_dir))
+        return found.select("term", F.round("score", 6).alias("score"))
 
     f.__name__ = name
     query(VOCABULARY + f""", scored AS (SELECT term, CASE WHEN starts_with(term, query) THEN 1 - 0.001 * least(length(term), 100) WHEN contains(term, query) THEN 0.8
@@ -299,6 +311,7 @@ def suggestion(name: str, typed: str):
 suggestion("suggest_prefix", "wi")
 suggestion("suggest_close", "wigdet")
 suggestion("suggest_contained", "ation")
+suggestion("suggest_indexed", "widgte", indexed=True)
 
 
 @query("SELECT name FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)")

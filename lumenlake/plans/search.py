@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import fuzzy
 from lumenlake.operators import vectors
+from lumenlake.operators.term_index import TermIndex
 from lumenlake.operators.vector_index import VectorIndex
 from lumenlake.plans.query import Catalog, Query, filtered, order_columns, page, row_predicates
 from lumenlake.sources.store import kept
@@ -74,7 +75,7 @@ def semantic_hits(catalog: Catalog, q: Query, embeddings: DataFrame | Calibrated
     return hits.select(F.col("photo_id").alias("id"), (SEMANTIC_WEIGHT * z).alias("score"), F.lit(SEMANTIC).alias("reasons"), seen.alias("seen"))
 
 
-def search(catalog: Catalog, q: Query, embeddings: DataFrame | Calibrated | None = None, vector: list[float] | None = None, vocabulary: DataFrame | None = None, strict: bool = False) -> Result:
+def search(catalog: Catalog, q: Query, embeddings: DataFrame | Calibrated | None = None, vector: list[float] | None = None, vocabulary: DataFrame | TermIndex | None = None, strict: bool = False) -> Result:
     if not (q.text and q.text.strip()):
         found = page(filtered(catalog, q), order_columns(q.order), q.limit, q.offset)
         position = F.row_number().over(W.orderBy(*order_columns(q.order)))
@@ -90,7 +91,7 @@ def search(catalog: Catalog, q: Query, embeddings: DataFrame | Calibrated | None
         parts.append(semantic)
     elif vocabulary is not None and parts[0].limit(FEW_EXACT).count() < FEW_EXACT:
         asked = catalog.photos.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in words(q.text)] or [F.lit("")])).alias("query")).distinct()
-        found = fuzzy.correct(asked, vocabulary).collect()  # three for each typed word
+        found = (vocabulary.correct(asked) if isinstance(vocabulary, TermIndex) else fuzzy.correct(asked, vocabulary)).collect()  # three for each typed word
         order = {w: i for i, w in enumerate(words(q.text))}
         for n, r in enumerate(sorted(found, key=lambda r: (order[r["query"]], r["rank"]))):
             corrections.append((r["query"], r["term"]))
