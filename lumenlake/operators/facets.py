@@ -47,11 +47,34 @@ def objects(segments: DataFrame) -> DataFrame:
     return facet(segments, F.coalesce("user_label", "label"), "object", 40, "photo_id")
 
 
+def _photo_sets() -> list[tuple[str, Column, int | None]]:
+    """Facets of the photo table: name, value, most values."""
+    return [
+        ("folder", F.nullif("source_folder", F.lit("")), None), ("camera", F.col("camera_model"), None), ("year", F.date_format("captured_utc", "yyyy"), None),
+        ("city", F.nullif("place_city", F.lit("")), 40), ("country", F.col("place_country"), 40),
+    ]
+
+
+def photo_facets(photos: DataFrame) -> DataFrame:
+    """facet, value, n of all facets of photos in one scan: grouping sets, then the first of each set that has a limit,
+    which each task finds for its own rows first."""
+    sets = _photo_sets()
+    names = [n for n, _, _ in sets]
+    told = photos.select(*[c.alias(n) for n, c, _ in sets]).groupingSets([[n] for n in names], *names)
+    facet_ = F.coalesce(*[F.when(F.grouping(n) == 0, F.lit(n)) for n in names])
+    counts = told.agg(facet_.alias("facet"), F.count("*").alias("n")).select("facet", F.coalesce(*names).alias("value"), "n").where("value IS NOT NULL")
+    limits = {n: most for n, _, most in sets if most}
+    rank = F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    first = counts.where(F.col("facet").isin(*limits)).withColumn("rank", rank).where(F.col("rank") <= max(limits.values()))
+    first = first.where(F.coalesce(*[F.when(F.col("facet") == n, F.col("rank") <= most) for n, most in limits.items()])).drop("rank")
+    return counts.where(~F.col("facet").isin(*limits)).unionByName(first)
+
+
 def all_facets(photos: DataFrame, tags: DataFrame, segments: DataFrame) -> DataFrame:
-    out = folders(photos)
-    for other in (cameras(photos), years(photos), tag_facet(tags), cities(photos), countries(photos), objects(segments)):
-        out = out.unionByName(other)
-    return out
+    """facet, value, n: a scan a table. In order of the facets, each commonest first (years last first)."""
+    out = photo_facets(photos).unionByName(tag_facet(tags)).unionByName(objects(segments))
+    names = F.array(*map(F.lit, ("folder", "camera", "year", "tag", "city", "country", "object")))
+    return out.orderBy(F.array_position(names, F.col("facet")), F.when(F.col("facet") == "year", F.col("value")).desc(), F.desc("n"), "value")
 
 
 def months(photos: DataFrame) -> DataFrame:

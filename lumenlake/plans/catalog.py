@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import boxes, fuzzy, text
 from lumenlake.functions.schedule import Schedule
 from lumenlake.operators import edits, facets, faces, fulltext, grouping, jobs, places, vectors
+from lumenlake.operators.job_table import JobTable
 from lumenlake.operators.term_index import TermIndex
 from lumenlake.operators.text_index import index_photos
 from lumenlake.operators.vector_index import VectorIndex
@@ -23,6 +24,7 @@ from lumenlake.plans.fixtures import ctes
 from lumenlake.plans.query import Catalog, Order, Query, filtered, order_columns, run
 from lumenlake.session import table
 from lumenlake.sources import ingest, store
+from lumenlake.sources.keyed import KeyedTable
 from lumenlake.sources.store import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -691,6 +693,18 @@ def queue_claim(spark, sf_dir):
     return jobs_out(jobs.claim(all_, now, 12))
 
 
+@query(ORACLES["queue_claim"])
+def queue_claim_versions(spark, sf_dir):
+    """The same twelve claimed by two drivers in turn, from a stored queue."""
+    all_, now = queue(spark, sf_dir)
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/jobs-{uuid.uuid4().hex}"
+    one = JobTable.create(all_, root, 16)
+    one.claim(now, 5)
+    # a photo with a running stage has no other runnable one, so the rest of the twelve are next
+    JobTable(spark, root).claim(now, 7)
+    return jobs_out(one.read())
+
+
 @query(ctes("jobs") + """SELECT photo_id, stage, CAST(ord AS BIGINT) AS ord, CASE photo_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE state END AS state,
   CASE photo_id % 4 WHEN 0 THEN 'new' ELSE model END AS model, CAST(CASE photo_id % 4 WHEN 0 THEN 0 WHEN 1 THEN attempts + 1 ELSE attempts END AS BIGINT) AS attempts,
   CASE photo_id % 4 WHEN 0 THEN NULL WHEN 3 THEN error ELSE repeat('x', 500) END AS error FROM jobs""")
@@ -807,6 +821,17 @@ def upsert_photos(spark, sf_dir):
     return edits.upsert_photos(docs.where("id < 100").select("id", "content_hash"), incoming).select("content_hash", "id")
 
 
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 40 = 7 THEN 'new' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 40 <> 9 UNION ALL SELECT o_orderkey + 10000000, 'added', 0 FROM orders WHERE o_orderkey % 100 = 0")
+def keyed_changes(spark, sf_dir):
+    """Orders as a stored table: rows replaced, added and deleted in the buckets that they are in."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    stored = KeyedTable.create(orders, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/orders-{uuid.uuid4().hex}", ["id"], 8)
+    stored.upsert(orders.where("id % 40 = 7").withColumn("status", F.lit("new")))
+    stored.upsert(orders.where("id % 100 = 0").select((F.col("id") + 10_000_000).alias("id"), F.lit("added").alias("status"), F.lit(0.0).alias("price")))
+    stored.delete(orders.where("id % 40 = 9"))
+    return stored.read()
+
+
 @query(ctes("photos") + "SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE state END AS BIGINT) AS state, CASE WHEN id % 6 = 0 THEN 'm2' END AS model, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS revision FROM photos")
 def set_state(spark, sf_dir):
     photos = fixtures.table(spark, sf_dir, "photos")
