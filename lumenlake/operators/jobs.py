@@ -13,7 +13,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.sources.store import cache_get, cache_put, kept
+from lumenlake.sources.store import cache_get, cache_put, kept, released
 
 #: Stages in order, states, limits.
 STAGES = ("describe", "segment", "faces", "embed")
@@ -151,12 +151,14 @@ def run_stage(jobs: DataFrame, photos: DataFrame, cache: DataFrame, stage: str,
     outcome (reused, computed, skipped, failed). Without a handler or model the rows are skipped; a
     cached payload is reused; what is computed goes into the cache."""
     ready = kept(runnable(jobs).where(F.col("stage") == stage).join(photos.select(F.col("id").alias("photo_id"), "content_hash"), "photo_id").select("photo_id", "content_hash"), "ready")
+    used = [ready]
     text = lambda v: F.lit(v).cast("string")
     if handler is None or handler.model is None:
         results = ready.select("photo_id", "content_hash", text(None).alias("payload"), text("skipped").alias("outcome"), text("no model").alias("error"))
     else:
         asked = ready.withColumns({"stage": F.lit(stage), "model": F.lit(handler.model)})
         looked = kept(cache_get(asked, cache), "looked")
+        used.append(looked)
         hits = looked.where("payload IS NOT NULL").select("photo_id", "content_hash", "payload", text("reused").alias("outcome"), text(None).alias("error"))
         made = handler.execute(looked.where("payload IS NULL").select("photo_id", "content_hash")).join(ready, "photo_id")
         outcome = F.when(F.col("error").isNotNull(), "failed").when(F.col("payload").isNull(), "skipped").otherwise("computed")
@@ -166,18 +168,27 @@ def run_stage(jobs: DataFrame, photos: DataFrame, cache: DataFrame, stage: str,
     done = F.when(F.col("outcome").isin("reused", "computed"), "done").otherwise(F.col("outcome"))
     outcomes = results.select("photo_id", F.lit(stage).alias("stage"), done.alias("outcome"), text(model).alias("model"), "error")
     new = results.where("outcome = 'computed'").dropDuplicates(["content_hash"]).select("content_hash", F.lit(stage).alias("stage"), text(model).alias("model"), "payload", now.alias("created_at"))
-    return kept(apply_outcomes(jobs, outcomes, now), "jobs"), kept(cache_put(cache, new), "cache"), results.select("photo_id", "payload", "outcome")
-
-
-def drain(jobs: DataFrame, photos: DataFrame, cache: DataFrame, handlers: dict[str, Handler], now: Column, passes: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Runs the stages in order until nothing is runnable, at most so many passes."""
-    for _ in range(passes):
+    out = kept(apply_outcomes(jobs, outcomes, now), "jobs"), kept(cache_put(cache, new), "cache")
+    released(*used)
+    told = results.select("photo_id", "payload", "outcome")
+    told._lies_at = results._lies_at  # for released()
+    return *out, told
+
+
+def drain(jobs: DataFrame, photos: DataFrame, cache: DataFrame, handlers: dict[str, Handler], now: Column) -> tuple[DataFrame, DataFrame]:
+    """Runs the stages in order until nothing is runnable, or a pass has changed nothing."""
+    before = None
+    first = (jobs, cache)
+    while True:
+        seen = jobs.agg(F.count("*"), F.sum(F.xxhash64("photo_id", "stage", "state", "attempts", "model") % 1_000_000_007)).first()
         open_ = {r["stage"] for r in runnable(jobs).select("stage").distinct().collect()}  # at most four names
-        if not open_:
-            break
+        if not open_ or seen == before:
+            return jobs, cache
+        before = seen
         for stage in (s for s in STAGES if s in open_):
-            jobs, cache, _ = run_stage(jobs, photos, cache, stage, handlers.get(stage), now)
-    return jobs, cache
+            old = [t for t in (jobs, cache) if not any(t is f for f in first)]
+            jobs, cache, results = run_stage(jobs, photos, cache, stage, handlers.get(stage), now)
+            released(results, *old)
 
 
 def utc(now: datetime) -> Column:

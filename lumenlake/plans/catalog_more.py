@@ -226,6 +226,16 @@ def reset_faces(spark, sf_dir):
     return edits.reset_faces(rows_of(spark, sf_dir, "faces"), swept(rows_of(spark, sf_dir, "photos")))[0].select("id", "photo_id")
 
 
+@query(ctes("photos") + "SELECT id AS photo_id, 'm1' AS model FROM photos WHERE id % 2 = 0")
+def reset_faces_then_sweep(spark, sf_dir):
+    """After a reset no photo counts as swept, whatever it was before, until it is swept again."""
+    photos = rows_of(spark, sf_dir, "photos")
+    faces_, sweeps = edits.reset_faces(rows_of(spark, sf_dir, "faces"), swept(photos))
+    new = photos.where("id % 2 = 0").select(F.col("id").alias("photo_id"), F.lit("m1").alias("model"), F.expr(NOW).alias("swept_utc"))
+    pending = lookups.pending_faces(photos, sweeps, "m1", None)
+    return edits.mark_swept(sweeps, new).join(pending.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").select("photo_id", "model")
+
+
 @query(ctes("faces") + "SELECT photo_id, 'person' AS tag, max(confidence) AS confidence FROM faces GROUP BY 1")
 def face_tags(spark, sf_dir):
     return edits.face_tags(rows_of(spark, sf_dir, "faces")).select("photo_id", "tag", "confidence")
@@ -520,6 +530,42 @@ def tiff(k: int) -> bytes:
     return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(entries)) + b"".join(entries) + struct.pack("<I", 0) + extra + b"\0" * 64
 
 
+def gps_tiff(k: int) -> bytes:
+    """A TIFF with a GPS directory that depends on k; k = 0 has the zeros that cameras write for no fix."""
+    rational = lambda *v: b"".join(struct.pack("<II", n, d) for n, d in v)
+    lat, lon = ((0, 1),) * 3, ((0, 1),) * 3
+    if k:
+        lat, lon = ((10 * k, 1), (7 * k, 1), (100 * k + 25, 100)), ((20 * k, 1), (30, 1), (9, 4))
+    at = 8 + 2 + 12 + 4
+    data = at + 2 + 12 * 6 + 4
+    values = rational(*lat) + rational(*lon) + rational((50 * k + 1, 2))
+    rows = [(1, 2, 2, b"S\0" if k % 2 else b"N\0"), (2, 5, 3, struct.pack("<I", data)), (3, 2, 2, b"W\0" if k % 3 == 1 else b"E\0"), (4, 5, 3, struct.pack("<I", data + 24)), (5, 1, 1, bytes([k % 2])), (6, 5, 1, struct.pack("<I", data + 48))]
+    gps = struct.pack("<H", len(rows)) + b"".join(struct.pack("<HHI", tag, kind, n) + v.ljust(4, b"\0") for tag, kind, n, v in rows) + struct.pack("<I", 0)
+    return b"II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHII", 0x8825, 4, 1, at) + struct.pack("<I", 0) + gps + values
+
+
+def as_jpeg(tiff_: bytes) -> bytes:
+    """A JPEG header with an application segment before the EXIF one."""
+    exif = b"Exif\0\0" + tiff_
+    return b"\xff\xd8\xff\xe0\x00\x10JFIF\0" + b"\0" * 9 + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xda\x00\x02"
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 5 AS k FROM pages)
+SELECT 'g' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 2 = 0 THEN '.tif' ELSE '.jpg' END AS file_name,
+  CASE WHEN k > 0 THEN round((10 * k + 7 * k / 60.0 + (100 * k + 25) / 100.0 / 3600.0) * CASE WHEN k % 2 = 1 THEN -1 ELSE 1 END, 9) END AS latitude,
+  CASE WHEN k > 0 THEN round((20 * k + 30 / 60.0 + 9 / 4.0 / 3600.0) * CASE WHEN k % 3 = 1 THEN -1 ELSE 1 END, 9) END AS longitude,
+  (50 * k + 1) / 2.0 * CASE WHEN k % 2 = 1 THEN -1 ELSE 1 END AS altitude FROM p""")
+def import_gps(spark, sf_dir):
+    """Every page as a TIFF or a JPEG with a GPS directory before its html."""
+    k = (F.col("page_id") % 5).cast("int")
+    heads = lambda form: F.get(F.array(*[F.lit(form(gps_tiff(i))) for i in range(5)]), k)
+    even = F.col("page_id") % 2 == 0
+    pages = table(spark, sf_dir, "pages").withColumn("content", F.concat(F.when(even, heads(lambda t: t)).otherwise(heads(as_jpeg)), F.encode(F.col("html"), "UTF-8")))
+    path = F.concat(F.lit("/in/g"), F.col("page_id").cast("string"), F.when(even, ".tif").otherwise(".jpg"))
+    rows = ingest.photo_rows(pages.select(path.alias("path"), F.expr(NOW).alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content"))
+    return rows.select("file_name", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "altitude")
+
+
 def files(spark, sf_dir) -> DataFrame:
     """Every page as a file: its html after the header of one of seven small images, or, one in eight, by itself."""
     k = (F.col("page_id") % 7).cast("int")

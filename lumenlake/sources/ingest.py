@@ -1,7 +1,7 @@
 """From image files to photo rows: discovery, content hash, EXIF, derived fields, outcomes.
 
-Files come from Spark's binaryFile source; hash and fields are expressions, and only the EXIF block is
-read in Python, by Arrow batches. Pixels are not decoded here: a decoder is a function given by the
+Files come from Spark's binaryFile source; hash and fields are expressions, and only the EXIF block (cut out by
+an expression) is read in Python, by Arrow batches. Pixels are not decoded here: a decoder is a function given by the
 caller from (photo path, content) to width, height and a perceptual hash; without one the header
 decides whether a file is readable.
 """
@@ -26,6 +26,8 @@ MIME = {
     ".tiff": "image/tiff", ".bmp": "image/bmp", ".gif": "image/gif", ".heic": "image/heic", ".heif": "image/heif",
 }
 OLDEST_YEAR = 1826
+#: Segments of a JPEG that are walked; all but its image data, of which there are a few hundred at most (255 of a colour profile).
+SEGMENTS = 1024
 ZERO_HASH = "0" * 16
 EXIF = "struct<make:string,model:string,lens:string,iso:int,f_number:double,exposure_seconds:double,focal_length_mm:double,latitude:double,longitude:double,altitude:double,original:string,digitized:string,plain:string,orientation:int,keywords:string,rating:int,rating_percent:int>"
 _FIELDS = [f.split(":")[0] for f in EXIF[7:-1].split(",")]
@@ -78,6 +80,14 @@ def _jpeg_exif(data: bytes) -> bytes | None:
     return None
 
 
+def parse_tiff(block: bytes | None) -> dict:
+    """The tags in an EXIF block; {} if there are none."""
+    try:
+        return _read_tiff(block) if block else {}
+    except (struct.error, IndexError, ValueError, OverflowError):
+        return {}
+
+
 def _read_tiff(t: bytes) -> dict:
     e = "<" if t[:2] == b"II" else ">"
     # sizes and formats of the TIFF field types that EXIF uses
@@ -122,18 +132,40 @@ def _read_tiff(t: bytes) -> dict:
     }
 
 
-def with_exif(files: DataFrame) -> DataFrame:
-    """Adds exif (null fields where there is none); content stays."""
+def exif_block(content: Column) -> Column:
+    """The bytes that EXIF lies in: a JPEG's APP1 segment, which the walk from segment to segment finds in place, or a whole
+    TIFF, whose directories lie anywhere; null for other files. So of a JPEG 64 KB at most go on, not the image."""
+    part = lambda at, n: F.substring(content, at, F.lit(n) if isinstance(n, int) else n)  # noqa: E731  places from 1
+    number = lambda at: F.conv(F.hex(part(at, 2)), 16, 10).cast("int")
+    state = lambda at, size, done: F.struct(at.cast("int").alias("at"), size.cast("int").alias("size"), done.alias("done"))
+
+    def step(s, _):
+        at = s["at"]
+        mark, size = F.hex(part(at, 2)), number(at + 2)
+        ends = (at + 3 > F.length(content)) | ~mark.startswith("FF") | (mark == "FFDA")
+        mine = (mark == "FFE1") & (F.hex(part(at + 4, 6)) == "457869660000")
+        return F.when(s["done"], s).when(ends, state(F.lit(0), F.lit(0), F.lit(True))).when(mine, state(at + 10, size - 8, F.lit(True))).otherwise(state(at + 2 + size, F.lit(0), F.lit(False)))
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), state(F.lit(3), F.lit(0), F.lit(False)), step)
+    head = F.hex(F.substring(content, 1, 4))
+    jpeg = F.transform(F.array(walk), lambda w: F.when(w["done"] & (w["at"] > 0), F.substring(content, w["at"], w["size"])))[0]
+    return F.when(head.isin("49492A00", "4D4D002A"), content).when(head.startswith("FFD8"), jpeg)
+
+
+def with_exif(files: DataFrame, block: str = "block") -> DataFrame:
+    """Adds exif (null fields where there is none) from a column that exif_block() made, in its place."""
 
     def read(batches):
         kind = pa.struct([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[f.split(":")[1]]) for n, f in zip(_FIELDS, EXIF[7:-1].split(","))])
         for batch in batches:
-            found = [parse_exif(c or b"") for c in batch.column(batch.schema.get_field_index("content")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([{n: f.get(n) for n in _FIELDS} for f in found], kind)], [*batch.schema.names, "exif"])
+            at = batch.schema.get_field_index(block)
+            found = [parse_tiff(x.as_py()) for x in batch.column(at)]  # one file at a time
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array([{n: f.get(n) for n in _FIELDS} for f in found], kind)], [*(batch.schema.names[i] for i in rest), "exif"])
 
     from pyspark.sql.types import StructType
 
-    return files.mapInArrow(read, StructType([*files.schema.fields, *StructType.fromDDL(f"exif {EXIF}").fields]))
+    return files.mapInArrow(read, StructType([*(f for f in files.schema.fields if f.name != block), *StructType.fromDDL(f"exif {EXIF}").fields]))
 
 
 def capture_time(exif: Column, now: Column) -> Column:
@@ -166,16 +198,17 @@ def photo_rows(files: DataFrame, now: datetime | None = None) -> DataFrame:
     """Rows for upsert_photos, with seq, and tags (an array) from the file's keywords. A file that
     cannot be read is a row too: state unreadable, a hash of zeros, no keys."""
     at = F.lit(now or datetime.now(timezone.utc).replace(tzinfo=None))
-    rows = with_exif(files.select("path", "modificationTime", "length", "content"))
-    exif, ok = F.col("exif"), readable(F.col("content"))
+    # hash, header and EXIF block are taken of the content where it is read; the content itself goes no further
+    content = F.col("content")
+    rows = with_exif(files.select("path", "modificationTime", "length", F.sha2(content, 256).alias("content_hash"), readable(content).alias("ok"), exif_block(content).alias("block")))
+    exif, ok, hashed = F.col("exif"), F.col("ok"), F.col("content_hash")
     taken = capture_time(exif, at)
-    hashed = F.sha2("content", 256)
     stars = rating(exif)
     name = F.regexp_extract("path", r"[^/\\]+$", 0)
     place = F.regexp_extract("path", r"^(.*)[/\\][^/\\]+$", 1)
     null = lambda t: F.lit(None).cast(t)
     return rows.select(
-        F.xxhash64("path").alias("seq"), hashed.alias("content_hash"), F.when(ok, null("string")).otherwise(ZERO_HASH).alias("perceptual_hash"), F.col("path").alias("original_path"),
+        F.xxhash64("path").alias("seq"), hashed, F.when(ok, null("string")).otherwise(ZERO_HASH).alias("perceptual_hash"), F.col("path").alias("original_path"),
         name.alias("file_name"), place.alias("source_folder"), mime_type(F.col("path")).alias("mime_type"), F.col("length").alias("file_size"),
         F.date_trunc("millisecond", F.coalesce(taken, F.col("modificationTime"))).alias("captured_utc"), F.col("modificationTime").alias("file_modified_utc"), at.alias("indexed_utc"),
         taken.isNotNull().alias("capture_exact"), clean(exif["make"]).alias("camera_make"), clean(exif["model"]).alias("camera_model"), clean(exif["lens"]).alias("lens"),
