@@ -83,11 +83,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rolling(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each substring of the given size, by doubling."""
+def rolling(data: np.ndarray, size: int, base: np.uint64 = _M1) -> np.ndarray:
+    """A hash of each substring of the given size, by doubling; hashes of different bases are independent."""
     n = len(data) - size + 1
-    table = mix(np.arange(1, 257, dtype=np.uint64) * _M1)
-    power, factor, width = table[data], _M1, 1
+    table = mix(np.arange(1, 257, dtype=np.uint64) * base)
+    power, factor, width = table[data], base, 1
     done, out = 0, None
     left = size
     while left:
@@ -143,11 +143,11 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def within(data: np.ndarray) -> np.ndarray:
-    """The windows of a short text that occur in it more than once."""
+    """The windows of a short text that occur in it more than once: equal by 128 bits, two hashes of different bases."""
     with np.errstate(over="ignore"):
-        h = mix(rolling(data, LENGTH))
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
+        h, g = mix(rolling(data, LENGTH)), rolling(data, LENGTH, _M3)
+    order = np.lexsort([g, h])
+    same = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
     twice = np.zeros(len(h), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
