@@ -609,7 +609,7 @@ def test_registered_queries(spark, sf_dir):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 14)}
     for name in (n for n in names if re.match(r"op\d+_", n)):
         assert names[name](spark, sf_dir).columns
 
