@@ -18,7 +18,7 @@ from lumenlake.functions import boxes, text
 from lumenlake.functions.schedule import Schedule
 from lumenlake.operators import edits, fulltext, grouping, jobs, lookups, models, vectors
 from lumenlake.plans import fixtures, search, service
-from lumenlake.plans.catalog import IOU, JOBS_OUT, NOW, TAGS_OUT, UNIT, WAITS, jobs_out, placed, query, queue, tag_table, tags_out, units
+from lumenlake.plans.catalog import IOU, JOBS_OUT, NOW, ORACLES, TAGS_OUT, UNIT, WAITS, jobs_out, placed, query, queue, tag_table, tags_out, units
 from lumenlake.plans.fixtures import ctes
 from lumenlake.plans.query import Order, Query, count, evaluate_smart_folder, order_columns
 from lumenlake.session import table
@@ -504,6 +504,19 @@ def queue_tick(spark, sf_dir):
     return spark.createDataFrame([(h, owner.tick(datetime(2024, 1, 20, h))) for h in range(24)], "hour long, ran boolean")
 
 
+@query(ORACLES["queue_drain"])
+def queue_tick_jobs(spark, sf_dir):
+    """The service's tick over all jobs: nothing while the schedule is closed, all that can be reached once it is open."""
+    all_, _ = queue(spark, sf_dir)
+    cache = spark.createDataFrame([], "content_hash string, stage string, model string, payload string, created_at timestamp")
+    photos = rows_of(spark, sf_dir, "photos")
+    owner = service.QueueService(fixtures.catalog(spark, sf_dir), all_, cache, swept(photos), {}, Schedule("window", clock(22), clock(6)))
+    if owner.tick(datetime(2024, 1, 20, 12)) or owner.jobs is not all_:
+        raise AssertionError("a closed schedule ran something")
+    owner.tick(datetime(2024, 1, 20, 23))
+    return jobs_out(owner.jobs)
+
+
 # ingest
 
 
