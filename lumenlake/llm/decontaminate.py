@@ -16,8 +16,10 @@ again with their maxima in the block. The items of what then remains are scored
 memory, at most about POSTINGS at a time. Everything at or above the threshold is retrieved, then verified: four fifths of the
 item's five-word shingles stand in the passage, half of the question's, and half of the answer's words.
 
-An index holds at most MAX_WORDS words, counted on the executors; more items than that are dealt by a hash to
-several indexes, each with its own frequencies, and the corpus is read once for each. Nothing is shuffled.
+An index holds about MAX_WORDS words, counted on the executors; more items than that are dealt by a hash to
+several indexes, and the corpus is read once for each. All of them weigh words by the same statistics, those of all items
+(Whole), and cut the same passages, so the number of indexes changes no score and no match. Only the words of items are
+shuffled, and only where there are several indexes. Items are kept as numbers of words.
 
 Edge cases: null or empty texts match nothing; items without words are ignored, shorter ones than
 a shingle must occur whole; null ids come back as null; repeated rows and items are each matched.
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import mapped, values
+from lumenlake.llm.common import discard, mapped, stored, values
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -44,7 +46,8 @@ OVERLAP = 0.8
 QUESTION, ANSWER = 0.5, 0.5
 SHINGLE = 5
 BLOCK = 8
-MAX_WORDS = 20_000_000
+#: Words of an index: under 60 bytes each in a worker, and some 110 bytes for each different one.
+MAX_WORDS = 4_000_000
 #: Passages and postings scored at a time.
 BATCH, POSTINGS = 512, 500_000
 MATCHES = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
@@ -65,8 +68,9 @@ class Index:
     """CSR lists by term: blocks with their maxima (essential terms), and items with impacts (all)."""
 
     ids: list
-    questions: list[list[str]]
-    answers: list[list[str]]
+    tokens: np.ndarray
+    token_at: np.ndarray
+    answer_at: np.ndarray
     vocabulary: dict[str, int]
     essential: np.ndarray
     block_at: np.ndarray
@@ -81,8 +85,19 @@ class Index:
     window: int
 
 
-def build(items: list[tuple]) -> Index:
-    """Index of (item_id, question, answer) rows."""
+@dataclass(frozen=True)
+class Whole:
+    """Statistics over the items of all indexes: how many have words, their mean and largest number of words, and
+    in how many each word of this index occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
+def build(items: list[tuple], whole: Whole | None = None) -> Index:
+    """Index of (item_id, question, answer) rows; whole: statistics of all items, where these are a part of them."""
     rows = [(i, q, a) for i, q, a in ((i, words(q), words(a)) for i, q, a in items) if q or a]
     rows.sort(key=lambda r: (len(r[1]) + len(r[2]), str(r[0])))
     n = len(rows)
@@ -98,13 +113,18 @@ def build(items: list[tuple]) -> Index:
         item += [k] * len(found)
         tf += found.values()
     term, item, tf = np.array(term, np.int64), np.array(item, np.int64), np.array(tf, float)
-    df = np.bincount(term, minlength=len(vocabulary)).astype(float)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * sizes / max(sizes.mean() if n else 1.0, 1.0))
+    if whole is None:
+        df, total = np.bincount(term, minlength=len(vocabulary)).astype(float), n
+        mean, longest = (float(sizes.mean()), int(sizes.max())) if n else (1.0, 1)
+    else:
+        df = np.array([whole.df[w] for w in vocabulary], float)
+        total, mean, longest = whole.n, whole.mean, whole.longest
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+    norm = K1 * (1 - B + B * sizes / max(mean, 1.0))
     raw = idf[term] * tf * (K1 + 1) / (tf + norm[item]) if n else np.zeros(0)
     own = np.bincount(item, weights=raw, minlength=n)
     impact = raw / own[item] if n else raw
-    essential = df <= max(2, n / 20)
+    essential = df <= max(2, total / 20)
     # an item whose frequent words alone could reach the threshold makes them essential too
     while n:
         rest = np.bincount(item, weights=impact * ~essential[term], minlength=n)
@@ -123,10 +143,12 @@ def build(items: list[tuple]) -> Index:
     most_rest = np.zeros(blocks)
     np.maximum.at(most_rest, np.arange(n) // BLOCK, rest)
     at = lambda t: np.searchsorted(t, np.arange(len(vocabulary) + 1))
-    longest = int(sizes.max()) if n else 1
     most = np.zeros(len(vocabulary))
     np.maximum.at(most, term, impact)
-    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], vocabulary, essential, at(term[starts]), block[starts], best, term[starts] * blocks + block[starts], at(term), item, impact, most_rest, most, max(128, 2 * longest))
+    tokens = np.fromiter((vocabulary[w] for _, q, a in rows for w in q + a), np.int32, int(sizes.sum()))
+    token_at = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    answer_at = token_at[:-1] + np.array([len(q) for _, q, _ in rows], np.int64)
+    return Index([r[0] for r in rows], tokens, token_at, answer_at, vocabulary, essential, at(term[starts]), block[starts], best, term[starts] * blocks + block[starts], at(term), item.astype(np.int32), impact, most_rest, most, max(128, 2 * longest))
 
 
 def _expand(at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,13 +229,15 @@ def _probed(index: Index, term: np.ndarray, at: np.ndarray, passage: np.ndarray,
     return np.bincount(row, weights=index.block_max[place] * (index.block_key[place] == asked), minlength=len(passage))
 
 
-def shingles(tokens: list[str]) -> set[tuple[str, ...]]:
+def shingles(tokens: list[int]) -> set[tuple[int, ...]]:
     return {tuple(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))} if tokens else set()
 
 
-def verify(index: Index, item: int, passage: list[str]) -> tuple[bool, float, float]:
-    """Whether the passage holds the item; overlap of the question's shingles and of the answer's words."""
-    q, a = index.questions[item], index.answers[item]
+def verify(index: Index, item: int, passage: list[int]) -> tuple[bool, float, float]:
+    """Whether the passage, words as numbers (-1: in no item), holds the item; overlap of the question's shingles and
+    of the answer's words."""
+    q = index.tokens[index.token_at[item] : index.answer_at[item]].tolist()
+    a = index.tokens[index.answer_at[item] : index.token_at[item + 1]].tolist()
     whole = shingles(q + a)
     there = shingles(passage)
     for n in {len(next(iter(whole))), min(SHINGLE, len(q) or SHINGLE)} - {SHINGLE}:
@@ -235,7 +259,7 @@ def matches(index: Index, text: str | None) -> dict[int, tuple[float, float, flo
     ids = np.array([get(w, -1) for w in tokens], np.int64)
     step = index.window // 2
     for p, item, score in retrieve(index, ids, step):
-        ok, question, answer = verify(index, item, tokens[p * step : (p + 2) * step])
+        ok, question, answer = verify(index, item, ids[p * step : (p + 2) * step].tolist())
         if ok:
             best = found.get(item, (0.0, 0.0, 0.0, 0))
             found[item] = max((score, question, answer), best[:3]) + (best[3] + 1,)
@@ -256,16 +280,36 @@ def _clean(shared, batches):
         yield batch.filter(pa.array([not matches(index, t) for t in texts], pa.bool_())).columns
 
 
+def _item_words(batches):
+    """Distinct words of each item that has any, with its number of words on the first of them."""
+    for batch in batches:
+        part, word, size = [], [], []
+        for p, *each in zip(*(values(c) for c in batch.columns)):
+            own = [w for text in (each if len(each) == 2 else split_item(each[0])) for w in words(text)]
+            found = dict.fromkeys(own)
+            part += [p] * len(found)
+            word += found
+            size += [len(own) if i == 0 else None for i in range(len(found))]
+        yield [part, word, size]
+
+
 def indexes(items: DataFrame, most: int = MAX_WORDS) -> Iterator[Index]:
     """Indexes of at most about `most` words each. items: item_id and text, or item_id, question and answer."""
     columns = ["question", "answer"] if "question" in items.columns else ["text"]
     count = sum((F.coalesce(F.size(F.regexp_extract_all(F.col(c), F.lit(r"(?U)\w+"), F.lit(0))), F.lit(0)) for c in columns), F.lit(0))
     n = items.agg(F.sum(count.cast("long"))).first()[0] or 0
-    parts = -(-n // most) if n <= most else -(-5 * n // (4 * most))
-    part = F.pmod(F.xxhash64(*columns), F.lit(max(parts, 1)))
-    for p in range(max(parts, 1)):
-        rows = [tuple(r) for r in items.where(part == p).select("item_id", *columns).collect()]
-        yield build(rows if len(columns) == 2 else [(i, *split_item(t)) for i, t in rows])
+    parts = max(1, -(-n // most) if n <= most else -(-5 * n // (4 * most)))
+    dealt = items.select("item_id", *columns, F.pmod(F.xxhash64(*columns), F.lit(parts)).alias("part"))
+    if parts > 1:
+        found = stored(mapped(dealt.select("part", *columns), _item_words, "part long, word string, size long"), "item-words")
+        total, mean, longest = found.agg(F.count("size"), F.avg("size"), F.max("size")).first()
+        df = stored(found.groupBy("word").agg(F.count("*").alias("df")), "item-words-df")
+    for p in range(parts):
+        rows = [tuple(r) for r in dealt.where(F.col("part") == p).select("item_id", *columns).collect()]
+        own = dict(df.join(found.where(F.col("part") == p).select("word").distinct(), "word").collect()) if parts > 1 else {}
+        yield build(rows if len(columns) == 2 else [(i, *split_item(t)) for i, t in rows], Whole(total, mean, longest, own) if parts > 1 else None)
+    if parts > 1:
+        discard(found, df)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, most: int = MAX_WORDS) -> DataFrame:

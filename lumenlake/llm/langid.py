@@ -12,11 +12,11 @@ whatever the partitioning. The shortest code names the language.
 Bytes that no training text holds share one class: they cost the same everywhere.
 
 Training uses a bounded sample: about Settings.per_language documents of each language, chosen
-by a hash of id and text; their n-grams are counted on the executors. The table, which is broadcast, has at
-most Settings.table_bytes: where many languages with many different bytes need more, the trees are pruned,
-that is, the contexts of two and of three bytes that were seen least get the code lengths of the next shorter context.
-More than Settings.grams counted n-grams are refused (lower per_language): they grow with the sample, not
-with the corpus.
+by a hash of id and text; their n-grams are counted on the executors, where those of a language are put into one row of
+eight bytes an n-gram. These rows are broadcast, so what is broadcast grows with the sample (languages times
+per_language), not with the corpus. Where the code lengths of all pairs fit into Settings.table_bytes they are tabulated
+for all languages at once (Trees); else each language keeps its sorted n-grams, and the different n-grams of some
+megabytes of text are looked up in them (Sorted). Both give the same lengths, to the last unit; nothing is pruned or refused.
 
 Edge cases: a null or empty text, or one without a letter, is `und` with score 0; rows with a
 null lang or id are scored and never trained on; nothing to learn from makes every row `und`;
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,6 @@ class Settings:
     per_language: int = 1500
     seed: int = 11
     table_bytes: int = 256 << 20
-    grams: int = 40_000_000
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,93 @@ class Trees:
         return total
 
 
+#: A byte in a code of n-grams; START stands before a text's first byte and is in no language's n-grams.
+BITS, START = 9, 256
+
+
+class Sorted:
+    """The same code lengths from each language's sorted n-grams. grams: for each language its four-byte strings, as
+    numbers in order, and how often each was seen."""
+
+    def __init__(self, languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]]):
+        self.languages, self.grams, self._orders = languages, grams, None
+
+    def __getstate__(self):
+        return self.languages, self.grams, None  # what follows from the n-grams is made again where it is used
+
+    def __setstate__(self, state):
+        self.languages, self.grams, self._orders = state
+
+    def _of(self, k: int) -> list[tuple]:
+        """For contexts of 0 to 3 bytes: codes seen with their counts, contexts with their totals and distinct bytes."""
+        if self._orders is None:
+            self._orders = [None] * len(self.languages)
+        if self._orders[k] is None:
+            gram, n = (x.astype(np.int64) for x in self.grams[k])
+            wide = sum((gram >> 8 * i & 255) << BITS * i for i in range(ORDER + 1))
+            self._orders[k] = []
+            for order in range(ORDER + 1):
+                code, at = np.unique(wide & (1 << BITS * (order + 1)) - 1, return_inverse=True)
+                seen = np.bincount(at, weights=n, minlength=len(code))
+                context, at, distinct = np.unique(code >> BITS, return_inverse=True, return_counts=True)
+                self._orders[k].append((code, seen, context, np.bincount(at, weights=seen, minlength=len(context)), distinct))
+        return self._orders[k]
+
+    def _costs(self, levels: list[tuple], k: int) -> np.ndarray:
+        """Cost in language k of each code of the longest order. levels: codes of each order, and the place of each in the order below."""
+        p = np.full(1, 1 / 256)
+        for (code, below), (known, seen, contexts, total, distinct) in zip(levels, self._of(k)):
+            lower = p[below]
+            if not len(known):
+                p = lower
+                continue
+            n, context = _found(known, code, seen), code >> BITS
+            whole, several = _found(contexts, context, total), _found(contexts, context, distinct)
+            all_ = np.maximum(whole + several, 1)
+            p = np.where(whole > 0, np.where(n > 0, n / all_, lower * several / all_), lower)
+        return np.minimum(np.rint(-np.log2(p) * UNIT), 65535).astype(np.int64)
+
+    def _levels(self, code: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+        code, at = np.unique(code, return_inverse=True)
+        levels = [code]
+        for order in range(ORDER - 1, -1, -1):
+            levels.insert(0, np.unique(levels[0] & (1 << BITS * (order + 1)) - 1))
+        below = [np.zeros(len(levels[0]), np.int64)]
+        for order in range(1, ORDER + 1):
+            below.append(np.searchsorted(levels[order - 1], levels[order] & (1 << BITS * order) - 1))
+        return list(zip(levels, below)), at
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Code lengths, texts x languages, in 1/256 bit."""
+        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        pieces = ((i, t[max(at - ORDER, 0) : at + CHUNK], at) for i, t in enumerate(texts) for at in range(0, len(t), CHUNK))
+        owner, codes, size = [], [], 0
+        for i, piece, at in pieces:
+            b = np.r_[np.full(0 if at else ORDER, START), np.frombuffer(piece, np.uint8)].astype(np.int64)  # of a later piece three bytes are its context
+            codes.append(b[:-3] << 3 * BITS | b[1:-2] << 2 * BITS | b[2:-1] << BITS | b[3:])
+            owner.append(i)
+            size += len(codes[-1])
+            if size >= CHUNK:
+                self._add(out, owner, codes)
+                owner, codes, size = [], [], 0
+        self._add(out, owner, codes)
+        return out
+
+    def _add(self, out: np.ndarray, owner: list[int], codes: list[np.ndarray]) -> None:
+        if not codes:
+            return
+        levels, at = self._levels(np.concatenate(codes))
+        starts = np.cumsum([0, *map(len, codes[:-1])])
+        for k in range(len(self.languages)):
+            np.add.at(out[:, k], owner, np.add.reduceat(self._costs(levels, k)[at], starts))
+
+
+def _found(known: np.ndarray, asked: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of each code that is known, else 0."""
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[at] == asked, value[at], 0)
+
+
 def _grams(batches):
     """Counts of the four-byte strings of each language: (lang, gram, n)."""
     for batch in batches:
@@ -135,52 +222,58 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Trees:
     for lang, n in sorted(counts.items()):
         limit = F.when(F.col("lang") == lang, int(min(1.0, settings.per_language / n) * 1_000_000)).otherwise(limit)
     grams = mapped(known.select("lang", "text", "doc_id").where(share < limit).select("lang", "text"), _grams, "lang string, gram long, n long")
-    summed = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    if summed.count() > settings.grams:
-        raise ValueError(f"more than {settings.grams} n-grams in the sample; lower per_language")
-    seen = summed.toArrow()
-    discard(summed)
-    return build(sorted(counts), np.array(seen.column(0).to_pylist(), dtype=object), seen.column(1).to_numpy(), seen.column(2).to_numpy(), settings.table_bytes)
-
-
-def _most(code: np.ndarray, n: np.ndarray, few: int) -> np.ndarray:
-    """The distinct codes in order, or, if there are more than few, those seen most."""
-    codes, at = np.unique(code, return_inverse=True)
-    if len(codes) > few:
-        codes = np.sort(codes[np.argsort(-np.bincount(at, weights=n), kind="stable")[:few]])
-    return codes
-
-
-def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, table_bytes: int = Settings.table_bytes) -> Trees:
+    summed = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = stored(summed.groupBy("lang").applyInArrow(_packed, "lang string, gram binary, n binary"), "grams")
+    seen = {r["lang"]: (np.frombuffer(r["gram"], np.uint32), np.frombuffer(r["n"], np.uint32)) for r in rows.toLocalIterator()}
+    discard(rows)
+    none = (np.zeros(0, np.uint32),) * 2
+    return build(sorted(counts), [seen.get(x, none) for x in sorted(counts)], settings.table_bytes)
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """One row for the n-grams of a language, in order. There are at most as many as bytes in its sampled texts."""
+    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+    order = np.argsort(gram)
+    both = (gram[order].astype(np.uint32).tobytes(), np.minimum(n[order], 2**32 - 1).astype(np.uint32).tobytes())
+    return pa.table({"lang": table.column("lang").slice(0, 1), "gram": pa.array([both[0]], pa.binary()), "n": pa.array([both[1]], pa.binary())})
+
+
+def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], table_bytes: int = Settings.table_bytes) -> Trees | Sorted:
+    """Tables of the code lengths, if they fit; grams: for each language its four-byte strings in order, and their counts."""
+    used = np.zeros(256, bool)
+    contexts = np.zeros(0, np.uint32)
+    for gram, _ in grams:
+        for shift in (24, 16, 8, 0):
+            used[gram >> shift & 255] = True
+        contexts = np.union1d(contexts, gram >> 8)
+    size = int(used.sum()) + 1
+    if 2 * (len(contexts) + size * size + size) * size * len(languages) + 4 * size**3 > table_bytes:
+        return Sorted(languages, grams)
+    return tabulate(languages, grams, used)
+
+
+def tabulate(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], used: np.ndarray) -> Trees:
     """Tabulates the code lengths. The counts of shorter contexts are sums over the longer ones."""
-    digits = np.stack([gram >> s & 255 for s in (24, 16, 8, 0)]).astype(np.int64) if len(gram) else np.zeros((4, 0), np.int64)
-    used = np.unique(digits)
     classes = np.zeros(256, np.int16)
-    classes[used] = np.arange(1, len(used) + 1)
-    size = len(used) + 1
-    a, b, c, d = classes[digits].astype(np.int64)
-    pair, context = b * size + c, (a * size + b) * size + c
-    room = max(table_bytes // (2 * size * max(len(languages), 1)) - size, 0)
-    pairs = np.arange(size * size) if size * size <= room // 2 else _most(pair, n, room // 2)
-    seen = _most(context, n, room - len(pairs))
+    classes[used] = np.arange(1, used.sum() + 1)
+    size = int(used.sum()) + 1
+    each = []
+    for gram, n in grams:
+        a, b, c, d = (classes[gram >> s & 255].astype(np.int64) for s in (24, 16, 8, 0))
+        each.append((c, b * size + c, (a * size + b) * size + c, d, n.astype(np.float64)))
+    seen = np.unique(np.concatenate([np.zeros(0, np.int64), *[x[2] for x in each]]))
     # rows of the table: contexts of three bytes, of two, of one
-    of_pair = np.arange(size * size, dtype=np.int32) % size + len(seen) + len(pairs)
-    of_pair[pairs] = len(seen) + np.arange(len(pairs))
-    contexts = np.tile(of_pair, size)
+    contexts = np.tile(np.arange(size * size, dtype=np.int32) + len(seen), size)
     contexts[seen] = np.arange(len(seen))
-    table = np.zeros((len(seen) + len(pairs) + size, size, len(languages)), np.uint16)
-    for k, name in enumerate(languages):
-        own = lang == name
-        w = n[own].astype(np.float64)
+    table = np.zeros((len(seen) + size * size + size, size, len(languages)), np.uint16)
+    for k, (c, pair, context, d, w) in enumerate(each):
         orders = [np.full((1, size), 1 / 256)]
-        for key, rows in ((np.zeros(own.sum(), np.int64), 1), (c[own], size), (pair[own], size * size)):
+        for key, rows in ((np.zeros(len(c), np.int64), 1), (c, size), (pair, size * size)):
             lower = orders[-1]
-            orders.append(_blend(np.bincount(key * size + d[own], weights=w, minlength=rows * size).reshape(rows, size), np.tile(lower, (rows // len(lower), 1))))
-        long = np.flatnonzero(np.isin(context[own], seen))
-        row = np.searchsorted(seen, context[own][long])
-        counts = np.bincount(row * size + d[own][long], weights=w[long], minlength=len(seen) * size).reshape(len(seen), size)
+            orders.append(_blend(np.bincount(key * size + d, weights=w, minlength=rows * size).reshape(rows, size), np.tile(lower, (rows // len(lower), 1))))
+        counts = np.bincount(np.searchsorted(seen, context) * size + d, weights=w, minlength=len(seen) * size).reshape(len(seen), size)
         full = _blend(counts, orders[3][seen % (size * size)])
-        table[:, :, k] = np.minimum(np.rint(-np.log2(np.concatenate([full, orders[3][pairs], orders[2]])) * UNIT), 65535)
+        table[:, :, k] = np.minimum(np.rint(-np.log2(np.concatenate([full, orders[3], orders[2]])) * UNIT), 65535)
     return Trees(languages, classes, contexts, table)
 
 
@@ -193,7 +286,7 @@ def _blend(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total > 0, out, lower)
 
 
-def predict(model: Trees, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def predict(model: Trees | Sorted, texts: list[str | None]) -> tuple[list[str], list[float]]:
     lettered = [t is not None and any(map(str.isalpha, t)) and bool(model.languages) for t in texts]
     lengths = model.lengths([t.encode("utf-8", "surrogatepass") for t, ok in zip(texts, lettered) if ok])
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -208,9 +301,13 @@ def predict(model: Trees, texts: list[str | None]) -> tuple[list[str], list[floa
 def _predictions(shared, batches):
     model = shared.value
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield [part.column(0), *predict(model, part.column(1).to_pylist())]
+        texts, size, at = [], 0, 0
+        for i, t in enumerate(values(batch.column(1))):
+            texts.append(t)
+            size += len(t or "")
+            if size >= CHUNK or i + 1 == batch.num_rows:
+                yield [batch.column(0).slice(at, len(texts)), *predict(model, texts)]
+                texts, size, at = [], 0, i + 1
 
 
 def languages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

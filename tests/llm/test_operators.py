@@ -168,6 +168,30 @@ def test_decontamination(spark, sf_dir, docs, odd, empty):
     assert decontaminate.without_contaminated(docs, items, few).count() == kept.count()
 
 
+def test_several_indexes_are_one(spark):
+    """Items that passages hold in part: scores, overlaps and numbers of passages are those of a single index."""
+    draw = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    some = lambda n: draw.choices(vocabulary, weights=[1 / (i + 1) for i in range(300)], k=n)
+    items = [(i, some(draw.randint(6, 90)), some(draw.randint(1, 6))) for i in range(120)]
+    texts_ = []
+    for d in range(150):
+        tokens = some(draw.randint(0, 500))
+        for _ in range(2):
+            _, q, a = items[draw.randrange(120)]
+            q = [w if draw.random() > 0.04 else "changed" for w in q]
+            at = draw.randint(0, len(tokens))
+            tokens[at:at] = q + a
+        texts_.append((d, " ".join(tokens)))
+    docs = spark.createDataFrame(texts_, "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(q), " ".join(a)) for i, q, a in items] + [(500, None, None), (501, "", "")], "item_id long, question string, answer string")
+    rows = lambda most: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap, r.n_passages) for r in decontaminate.contaminated(docs, table, most).collect())
+    one = rows(10**6)
+    assert any(decontaminate.THRESHOLD <= r[2] < 0.97 for r in one)
+    assert len(list(decontaminate.indexes(table, 600))) > 6
+    assert rows(600) == one == rows(2000)
+
+
 def test_overlaps_decide():
     """A passage must hold most of the item, half of its question and half of its answer's words."""
     question, answer = "which river runs through the old town of the northern province where the copper bridge stands", "the winding green water"
@@ -409,6 +433,13 @@ def test_run_length_index():
 # 8
 
 
+def counted(texts):
+    """A language's four-byte strings in order, and their counts."""
+    found = Counter(t[i : i + 4] for t in texts for i in range(len(t) - 3))
+    order = sorted(found)
+    return np.array([int.from_bytes(g, "big") for g in order], np.uint32), np.array([found[g] for g in order], np.uint32)
+
+
 def test_language_code_lengths():
     """The tables give what walking the context trees byte by byte gives."""
     train = {"a": [b"abracadabra abracadabra", b"banana band"], "b": [b"xyzzy abba", b"zzz"]}
@@ -416,7 +447,8 @@ def test_language_code_lengths():
     for lang, ts in train.items():
         grams = Counter(t[i : i + 4] for t in ts for i in range(len(t) - 3))
         rows += [(lang, int.from_bytes(g, "big"), n) for g, n in grams.items()]
-    model = langid.build(["a", "b"], np.array([r[0] for r in rows], object), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+    grams = [counted(train[x]) for x in "ab"]
+    model = langid.build(["a", "b"], grams)
 
     def walk(lang, text):
         grams = {int(g).to_bytes(4, "big"): n for x, g, n in rows if x == lang}
@@ -446,23 +478,41 @@ def test_language_code_lengths():
     got = model.lengths(probes)
     assert np.abs(got - np.array([[walk(x, t) for x in "ab"] for t in probes])).max() <= max(map(len, probes))
     assert (model.lengths([probes[4]] * 3) == got[4]).all() and (model._long(probes[4]) == got[4]).all()
+    assert isinstance(model, langid.Trees) and (langid.Sorted(["a", "b"], grams).lengths(probes) == got).all()
 
 
-def test_pruned_trees_fit_their_bound():
-    """Many languages with many bytes: the table stays within its bound and still tells them apart."""
+@pytest.fixture(scope="module")
+def many_languages():
+    """200 languages with alphabets of their own among all bytes, and texts of each."""
     draw = np.random.default_rng(2)
-    names = [f"l{i:02d}" for i in range(12)]
-    letters = {x: draw.permutation(np.arange(33, 250))[:60] for x in names}
+    names = [f"l{i:03d}" for i in range(200)]
+    letters = {x: draw.permutation(np.arange(1, 256))[:60] for x in names}
     make = lambda x, k: bytes(letters[x][(draw.integers(0, 60, k) * draw.random(k)).astype(int)].astype(np.uint8))
-    lang, gram, n = [], [], []
-    for x in names:
-        b = np.frombuffer(make(x, 20_000), np.uint8).astype(np.int64)
-        g, k = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_counts=True)
-        lang, gram, n = lang + [x] * len(g), np.r_[gram, g], np.r_[n, k]
-    for bound in (4 << 20, 64 << 20):
-        model = langid.build(names, np.array(lang, object), np.asarray(gram, np.int64), np.asarray(n, np.int64), bound)
-        assert model.table.nbytes <= bound
-        assert [names[i] for i in model.lengths([make(x, 400) for x in names]).argmin(axis=1)] == names
+    return names, make, [counted([make(x, 10_000)]) for x in names]
+
+
+def test_many_languages_lose_nothing(many_languages):
+    """Where tables of all languages are too large, sorted n-grams give the same lengths, and every language is told."""
+    names, make, grams = many_languages
+    sorted_ = langid.build(names, grams)
+    assert isinstance(sorted_, langid.Sorted)
+    assert sum(g.nbytes + n.nbytes for g, n in sorted_.grams) < 32 << 20
+    texts = [make(x, 150) for x in names]
+    got = sorted_.lengths(texts)
+    assert [names[i] for i in got.argmin(axis=1)] == names
+    few = langid.build(names[:2], grams[:2], 1 << 40)
+    assert isinstance(few, langid.Trees)
+    # a language's lengths do not depend on which others there are, nor on the form
+    assert (few.lengths(texts[:20]) == got[:20, :2]).all()
+    long = (texts[0] + texts[7] + b"\0\xff") * 7000
+    assert len(long) > 2 * langid.CHUNK
+    assert (few.lengths([b"", long, b"ab"]) == langid.Sorted(names[:2], grams[:2]).lengths([b"", long, b"ab"])).all()
+
+
+def test_language_forms_agree_on_documents(docs):
+    """Predictions and scores are the same by tables and by sorted n-grams."""
+    by = lambda n: key((r.doc_id, r.held_out, r.lang_pred, r.score) for r in langid.languages(docs, langid.Settings(table_bytes=n)).collect())
+    assert by(256 << 20) == by(0)
 
 
 def test_languages(docs, odd, empty):
