@@ -241,11 +241,10 @@ def _packed(table: pa.Table) -> pa.Table:
 def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], table_bytes: int = Settings.table_bytes) -> Trees | Sorted:
     """Tables of the code lengths, if they fit; grams: for each language its four-byte strings in order, and their counts."""
     used = np.zeros(256, bool)
-    contexts = np.zeros(0, np.uint32)
     for gram, _ in grams:
         for shift in (24, 16, 8, 0):
             used[gram >> shift & 255] = True
-        contexts = np.union1d(contexts, gram >> 8)
+    contexts = np.unique(np.concatenate([np.zeros(0, np.uint32), *[np.unique(gram >> 8) for gram, _ in grams]]))
     size = int(used.sum()) + 1
     if 2 * (len(contexts) + size * size + size) * size * len(languages) + 4 * size**3 > table_bytes:
         return Sorted(languages, grams)
