@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenlake.llm.common import stored
+
 #: The notices to recognise, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -174,7 +176,8 @@ def licences(files: DataFrame, named: bool = True, settings: Settings = Settings
     rows = files.select(F.struct(*[files[c] for c in keep]).alias("row"), files["path"], best(files["text"]).alias("best"), directory(files["path"]).alias("dir"))
     own = F.when(F.col("best.score") >= settings.own, F.col("best.name"))
     file = F.col("path").rlike(NAMES) if named else F.col("best.score") >= settings.file
-    rows = rows.withColumns({"own": own, "file": F.coalesce(file, F.lit(False))})
+    # the votes and the result read the scores of each text from where they were written once
+    rows = stored(rows.withColumns({"own": own, "file": F.coalesce(file, F.lit(False))}), "licences")
     votes = rows.where("file AND own IS NOT NULL").groupBy("dir", "own").agg(F.count("*").alias("n"))
     first = F.row_number().over(W.partitionBy("dir").orderBy(F.desc("n"), "own"))  # at most one row a template
     licensed = votes.withColumn("r", first).where("r = 1").select(F.col("dir").alias("at"), F.col("own").alias("given"))
