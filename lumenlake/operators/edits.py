@@ -15,6 +15,8 @@ from lumenlake.schema import AI, COMPLETE, USER
 
 MAX_LABEL = 60
 KEEP_NAME, KEEP_LABEL = 0.6, 0.5
+#: Numbers of incoming rows that meet their album's first together.
+BLOCK = 1 << 16
 
 
 def upsert_photos(photos: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -189,8 +191,13 @@ def add_to_collection(members: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming: collection_id, photo_id, seq. Known photos are left alone, but their places count: the
     next position goes up for them too."""
     base = members.groupBy("collection_id").agg((F.max("position") + 1).alias("base"))
-    placed = incoming.withColumn("_n", F.row_number().over(W.partitionBy("collection_id").orderBy("seq")) - 1).join(base, "collection_id", "left")
-    placed = placed.withColumn("position", (F.coalesce("base", F.lit(0)) + F.col("_n")).cast("int"))
+    # numbers over all albums in their order, less the album's first; joined by blocks of numbers, as one album may take most of the rows
+    counted = numbered(incoming.select("collection_id", "photo_id", F.struct("collection_id", "seq", "photo_id").alias("o")), "_n").drop("o")
+    block = lambda n: F.floor(F.col(n) / BLOCK)
+    first = counted.groupBy(F.col("collection_id").alias("_c")).agg(F.min("_n").alias("_first"), F.max("_n").alias("_last")).join(base, F.col("_c") == F.col("collection_id"), "left")
+    first = first.select("_c", "_first", "base", F.explode(F.sequence(block("_first"), block("_last"))).alias("_b"))
+    placed = counted.join(first, F.col("collection_id").eqNullSafe(F.col("_c")) & (block("_n") == F.col("_b")))
+    placed = placed.withColumn("position", (F.coalesce("base", F.lit(0)) + F.col("_n") - F.col("_first")).cast("int"))
     first = placed.groupBy("collection_id", "photo_id").agg(F.min("position").alias("position"))
     new = first.join(members.select("collection_id", "photo_id"), ["collection_id", "photo_id"], "left_anti")
     return members.unionByName(new.select(*members.columns))
