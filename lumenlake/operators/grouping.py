@@ -7,6 +7,8 @@ bounded by what they lie in (the boxes of one image), they are short arrays and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,9 +24,13 @@ SAME_PHOTO_BITS = 6
 def difference_hash(samples: Column) -> Column:
     """16 hex digits from 9 x 8 grey values, row by row: a bit is set where a value exceeds its right
     neighbour, first bit highest."""
-    bit = lambda i: (F.get(samples, F.floor(i / 8).cast("int") * 9 + i % 8) > F.get(samples, F.floor(i / 8).cast("int") * 9 + i % 8 + 1)).cast("long")
-    half = lambda a: F.lower(F.lpad(F.hex(F.aggregate(F.sequence(F.lit(a), F.lit(a + 31)), F.lit(0).cast("long"), lambda h, i: h * 2 + bit(i))), 8, "0"))
-    return F.when(F.size(samples) == 72, F.concat(half(0), half(32)))
+
+    def digits(s):  # a row's samples are made once: s stands for their array wherever a bit asks for two of them
+        bit = lambda i: (F.get(s, F.lit(i // 8 * 9 + i % 8)) > F.get(s, F.lit(i // 8 * 9 + i % 8 + 1))).cast("long")
+        byte = lambda a: reduce(lambda x, y: x + y, (bit(a + k) * (128 >> k) for k in range(8)))
+        return F.when(F.size(s) == 72, F.concat(*[F.lower(F.lpad(F.hex(byte(a)), 2, "0")) for a in range(0, 64, 8)]))
+
+    return F.get(F.transform(F.array(samples), digits), F.lit(0))
 
 
 def hamming(a: Column, b: Column) -> Column:
