@@ -31,7 +31,9 @@ def _marks() -> tuple[str, str]:
 
 def folded(c: Column | str) -> Column:
     """Lower case without diacritics."""
-    return F.regexp_replace(F.translate(F.lower(c), *_marks()), r"\p{Mn}+", "")
+    c = F.col(c) if isinstance(c, str) else c
+    plain = F.octet_length(c) == F.length(c)  # ASCII has no marks
+    return F.when(plain, F.lower(c)).otherwise(F.regexp_replace(F.translate(F.lower(c), *_marks()), r"\p{Mn}+", ""))
 
 
 def tokens(c: Column | str) -> Column:

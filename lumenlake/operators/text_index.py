@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +33,24 @@ POSTINGS = "token string, id long, col string, pos array<int>"
 
 
 def postings(docs: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """token, id, col, pos of documents (id and text columns)."""
+    """token, id, col, pos of documents (id and text columns), made within each document."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("t")) for c in columns])).alias("x")
-    words = docs.select("id", each).select("id", "x.col", F.posexplode("x.t").alias("at", "token"))
-    return words.groupBy("token", "id", "col").agg(F.sort_array(F.collect_list("at")).alias("pos"))
+    words = docs.select("id", each).select("id", "x.col", F.explode(_by_token(F.col("x.t"))).alias("w"))
+    return words.select("w.token", "id", "col", "w.pos")
+
+
+def _by_token(found: Column) -> Column:
+    """An array of tokens as one of each token with its positions, by sorting where any repeats; _once() keeps what a step before has made."""
+    placed = F.sort_array(F.transform(found, lambda t, i: F.struct(t.alias("token"), i.alias("at"))))
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["token"] != x["token"]), i)), lambda i: i.isNotNull())
+    part = lambda s, b, i, k: F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i)
+    told = lambda s, b: F.transform(b, lambda i, k: F.struct(F.get(s, i)["token"].alias("token"), part(s, b, i, k)["at"].alias("pos")))
+    single = F.transform(found, lambda t, i: F.struct(t.alias("token"), F.array(i).alias("pos")))
+    return F.when(F.size(F.array_distinct(found)) == F.size(found), single).otherwise(_once(placed, lambda s: _once(begins(s), lambda b: told(s, b))))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 class TextIndex:
@@ -106,7 +121,7 @@ class TextIndex:
     def update(self, docs: DataFrame, gone: DataFrame | None = None) -> None:
         """Indexes new and changed documents; ids in gone are taken out. Documents must be given whole."""
         ids = docs.select("id") if gone is None else docs.select("id").unionByName(gone.select("id"))
-        new = self._write(postings(docs, self.columns), ids)
+        new = self._write(postings(docs.repartition("id"), self.columns), ids)  # few large files of rows make many words
         self._commit(lambda now: [*now, new])
         self._merge()
 
