@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 TAU = 0.618033988749895
 
 
+def sides(a: Column, b: Column) -> tuple[Column, Column]:
+    """Width and height of what two boxes share; not above 0 where they share nothing."""
+    return F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]), F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
+
+
 def intersection(a: Column, b: Column) -> Column:
-    w = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])
-    h = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
+    w, h = sides(a, b)
     return F.when((w > 0) & (h > 0), w * h).otherwise(0.0)
 
 
@@ -19,10 +23,16 @@ def area(a: Column) -> Column:
 
 
 def iou(a: Column, b: Column) -> Column:
-    """Intersection over union; 0 without a union."""
-    both = intersection(a, b)
-    union = area(a) + area(b) - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+    """Intersection over union; 0 without a union. The sides are made once: written out wherever they are used,
+    the expression is too large to be compiled."""
+
+    def ratio(t):
+        both = F.when((t["w"] > 0) & (t["h"] > 0), t["w"] * t["h"]).otherwise(0.0)
+        union = t["areas"] - both
+        return F.when(union > 0, both / union).otherwise(0.0)
+
+    w, h = sides(a, b)
+    return F.get(F.transform(F.array(F.struct(w.alias("w"), h.alias("h"), (area(a) + area(b)).alias("areas"))), ratio), F.lit(0))
 
 
 def containment(face: Column, segment: Column) -> Column:
