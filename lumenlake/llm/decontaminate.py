@@ -28,9 +28,10 @@ a shingle must occur whole; null ids come back as null; repeated rows and items
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ BLOCK = 8
 MAX_WORDS = 4_000_000
 #: Passages and postings scored at a time.
 BATCH, POSTINGS = 512, 500_000
+#: Words of texts, with the empty places between them, that are looked up together.
+LAID = 1 << 18
 MATCHES = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
 
 
@@ -158,9 +161,9 @@ def _expand(at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) + np.repeat(at[terms] - np.cumsum(size) + size, size), owner
 
 
-def retrieve(index: Index, ids: np.ndarray, step: int) -> list[tuple[int, int, float]]:
+def retrieve(index: Index, ids: np.ndarray, step: int, valid: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """(passage, item, score) of all at the threshold or above. ids: term of each word, -1 for none;
-    passage p has the words from p * step to p * step + 2 * step."""
+    passage p has the words from p * step to p * step + 2 * step. valid: which passages are looked at, if not all."""
     passages = max(1, -(-len(ids) // step) - 1)
     blocks, least = len(index.rest), THRESHOLD - 1e-9
     out: list[tuple[int, int, float]] = []
@@ -180,6 +183,10 @@ def retrieve(index: Index, ids: np.ndarray, step: int) -> list[tuple[int, int, f
         pair = np.concatenate([half, half - 1])
         term = np.concatenate([ids[here], ids[here]])
         inside = (pair >= low) & (pair < high)
+        if valid is not None:
+            inside[inside] = valid[pair[inside]]
+        if not inside.any():
+            continue
         code = np.unique((pair[inside] - low) * len(index.vocabulary) + term[inside])
         passage, term = code // len(index.vocabulary), code % len(index.vocabulary)
         # the pivot of each passage: its longest lists that cannot reach the threshold together
@@ -251,25 +258,50 @@ def verify(index: Index, item: int, passage: list[int]) -> tuple[bool, float, fl
 
 def matches(index: Index, text: str | None) -> dict[int, tuple[float, float, float, int]]:
     """Verified items of a whole text: best score, question and answer overlap, passages."""
-    tokens = words(text)
-    found: dict[int, tuple[float, float, float, int]] = {}
-    if not tokens or not index.ids:
+    return next(matches_of(index, [text]))
+
+
+def matches_of(index: Index, texts: Iterable[str | None]) -> Iterator[dict[int, tuple[float, float, float, int]]]:
+    """matches() of each text. Texts of about BATCH passages, or LAID words, are looked up together."""
+    get, step = index.vocabulary.get, index.window // 2
+    held: list[np.ndarray] = []
+    halves = 0
+    for text in texts:
+        tokens = words(text) if index.ids else []
+        held.append(np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens)))
+        halves += -(-len(tokens) // step) + 1
+        if halves >= BATCH or halves * step >= LAID:
+            yield from _together(index, held, step)
+            held, halves = [], 0
+    yield from _together(index, held, step)
+
+
+def _together(index: Index, held: list[np.ndarray], step: int) -> list[dict[int, tuple[float, float, float, int]]]:
+    """Texts are laid out one after the other, each in whole halves of passages and one empty half; passages that
+    reach into that one are not looked at, unless the text has no other."""
+    found: list[dict] = [{} for _ in held]
+    size = np.array([-(-len(ids) // step) for ids in held], np.int64)
+    at = np.cumsum(size + 1) - size - 1
+    if not size.any():
         return found
-    get = index.vocabulary.get
-    ids = np.array([get(w, -1) for w in tokens], np.int64)
-    step = index.window // 2
-    for p, item, score in retrieve(index, ids, step):
-        ok, question, answer = verify(index, item, ids[p * step : (p + 2) * step].tolist())
+    laid, valid = np.full(int((size + 1).sum()) * step, -1, np.int64), np.zeros(int((size + 1).sum()), bool)
+    for ids, a, n in zip(held, at.tolist(), size.tolist()):
+        laid[a * step : a * step + len(ids)] = ids
+        valid[a : a + max(n - 1, min(n, 1))] = True
+    for p, item, score in retrieve(index, laid, step, valid):
+        k = int(np.searchsorted(at, p, "right")) - 1
+        p -= int(at[k])
+        ok, question, answer = verify(index, item, held[k][p * step : (p + 2) * step].tolist())
         if ok:
-            best = found.get(item, (0.0, 0.0, 0.0, 0))
-            found[item] = max((score, question, answer), best[:3]) + (best[3] + 1,)
+            best = found[k].get(item, (0.0, 0.0, 0.0, 0))
+            found[k][item] = max((score, question, answer), best[:3]) + (best[3] + 1,)
     return found
 
 
 def _matched(shared, batches):
     index = shared.value
     for batch in batches:
-        out = [(d, index.ids[i], *x) for d, t in zip(values(batch.column(0)), values(batch.column(1))) for i, x in sorted(matches(index, t).items())]
+        out = [(d, index.ids[i], *x) for d, m in zip(values(batch.column(0)), matches_of(index, values(batch.column(1)))) for i, x in sorted(m.items())]
         yield [list(x) for x in zip(*out)] if out else [[]] * 6
 
 
@@ -277,7 +309,7 @@ def _clean(shared, batches):
     index = shared.value
     for batch in batches:
         texts = values(batch.column(batch.schema.get_field_index("text")))
-        yield batch.filter(pa.array([not matches(index, t) for t in texts], pa.bool_())).columns
+        yield batch.filter(pa.array([not m for m in matches_of(index, texts)], pa.bool_())).columns
 
 
 def _item_words(batches):
