@@ -1,7 +1,8 @@
 """First-claim grouping of any number of items: in order, an item that no earlier anchor is linked to is an anchor, any
 other belongs to its earliest linked anchor.
 
-Only linked items matter to each other, so the links are first parted into connected components, and each component is
+Where links are many, items that have no earlier links are told first, and what they claim, until few links are left to
+decide on. Only linked items matter to each other, so the links are then parted into connected components, and each component is
 folded in order by one task that reads its links sorted and remembers which of its items are no anchors. Few links in all
 are one fold. A component of more than FOLD items is taken in ranges of FOLD numbers: what anchors of earlier
 ranges claim is a join, the rest of a range is a fold, so there are as many rounds as ranges, whatever the chains are.
@@ -9,6 +10,8 @@ ranges claim is a join, the rest of a range is a fold, so there are as many roun
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.sources.store import kept, released
 
-#: Items of a component (and links in all) that one task folds.
+#: Items of a component (and links in all) that one task folds; more links are thinned out first.
 FOLD = 1_000_000
 
 
@@ -67,6 +70,26 @@ def _fold(links: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_folded, "seq long, anchor long")
 
 
+def _thinned(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The links that are still to be decided on, and the items (b) that are claimed, in stored tables; no tables if the first
+    round decides on less than half of the links, as in chains. An item without earlier links is an anchor and what it is linked to
+    is claimed, which takes the links of both away; where links are many, most go in a few rounds."""
+    left, hits, n = edges, [], edges.count()
+    while n > FOLD:
+        later = left.select(F.col("b").alias("a")).distinct()
+        hit = kept(left.join(later, "a", "left_anti").select("b").distinct(), "hit")
+        more = kept(left.join(hit.select(F.col("b").alias("a")), "a", "left_anti").join(hit, "b", "left_anti").select("a", "b"), "left")
+        m = more.count()
+        if 2 * m > n:
+            released(hit, more)
+            break
+        if hits:
+            released(left)
+        left, n = more, m
+        hits.append(hit)
+    return left, hits
+
+
 def members(links: DataFrame) -> DataFrame:
     """seq, anchor of the claimed items by links (a, b), a before b in order; all others are anchors. Stored."""
     edges = kept(links.select("a", "b").distinct(), "links")
@@ -74,6 +97,13 @@ def members(links: DataFrame) -> DataFrame:
         out = kept(_fold(edges.withColumn("root", F.lit(0))), "members")
         released(edges)
         return out
+    thin, hits = _thinned(edges)
+    if hits:
+        own = members(thin)
+        claimed = reduce(DataFrame.unionByName, [*hits, own.select(F.col("seq").alias("b"))]).select(F.col("b").alias("a"))
+        out = kept(edges.join(claimed, "a", "left_anti").groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("anchor")), "members")
+        released(edges, thin, own, *hits)
+        return out
     nodes = components(edges)
     rooted = kept(edges.join(nodes.withColumnRenamed("node", "a"), "a").select("root", "a", "b"), "rooted")
     giant = kept(nodes.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > FOLD).select("root"), "giant")
