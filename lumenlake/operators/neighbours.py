@@ -16,7 +16,7 @@ own, so no task holds more than two parts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, comb
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.sources.store import kept, released
 
-#: Codes of a key and vectors of a cell that meet in one place; comparisons that are made at a time.
+#: Codes of a key and vectors of a cell that meet in one place; comparisons, or products with pivots, that are made at a time.
 CODES, VECTORS, STRIP = 8192, 4096, 1 << 20
 #: Pivots at most; angles are compared with this slack, for rounding.
 PIVOTS, SLACK = 4096, 1e-6
@@ -141,15 +141,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def strips(n: int, pivots: np.ndarray) -> Iterator[slice]:
+    """n rows, so many at a time that their products with all pivots are STRIP numbers at most."""
+    step = max(1, STRIP // max(1, len(pivots)))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the nearest pivot of each vector, and the angle to it."""
+    cell, angle = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    for own in strips(len(vectors), pivots):
+        products = vectors[own] @ pivots.T
+        cell[own] = products.argmax(axis=1)
+        angle[own] = _angles(products[np.arange(len(products)), cell[own]])
+    return cell, angle
+
+
 def in_cells(rows: DataFrame, pivots: np.ndarray, *more: str) -> DataFrame:
     """rows (vector and more) with the cell of the nearest pivot and the angle to it."""
 
     def dealt(batches):
         for batch in batches:
-            v = _matrix(batch.column(0))
-            products = v @ pivots.T
-            cell = products.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(_angles(products[np.arange(len(v)), cell]))], [*batch.schema.names, "cell", "angle"])
+            cell, angle = nearest(_matrix(batch.column(0)), pivots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], [*batch.schema.names, "cell", "angle"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("vector", *more))
     return rows.select("vector", *more).mapInArrow(dealt, f"{kinds}, cell long, angle double")
@@ -190,14 +204,17 @@ def _vector_pairs(rows: DataFrame, threshold: float, cells: int | None):
 
         def visiting(batches):
             for batch in batches:
-                v, own, angle = _matrix(batch.column(0)), np.asarray(batch.column(2)), np.asarray(batch.column(3))
-                far = _angles(v @ pivots.T)
-                goes = (far <= radius + reach) & (far <= angle[:, None] + 2 * reach) & (np.arange(len(pivots)) > own[:, None])
-                goes[np.arange(len(v)), own] = True
-                row, cell = np.nonzero(goes)
-                for at in range(0, len(row), 2048):
-                    i = row[at : at + 2048]
-                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(i)), batch.column(0).take(pa.array(i)), pa.array(cell[at : at + 2048]), pa.array(own[i] == cell[at : at + 2048])], ["seq", "vector", "cell", "home"])
+                whole, home, angles = _matrix(batch.column(0)), np.asarray(batch.column(2)), np.asarray(batch.column(3))
+                for some in strips(len(whole), pivots):
+                    v, own, angle = whole[some], home[some], angles[some]
+                    far = _angles(v @ pivots.T)
+                    goes = (far <= radius + reach) & (far <= angle[:, None] + 2 * reach) & (np.arange(len(pivots)) > own[:, None])
+                    goes[np.arange(len(v)), own] = True
+                    row, cell = np.nonzero(goes)
+                    for at in range(0, len(row), 2048):
+                        i = row[at : at + 2048]
+                        taken = pa.array(i + some.start)
+                        yield pa.RecordBatch.from_arrays([batch.column(1).take(taken), batch.column(0).take(taken), pa.array(cell[at : at + 2048]), pa.array(own[i] == cell[at : at + 2048])], ["seq", "vector", "cell", "home"])
 
         visits = lives.select("vector", "seq", "cell", "angle").mapInArrow(visiting, f"seq {rows.schema['seq'].dataType.simpleString()}, vector {rows.schema['vector'].dataType.simpleString()}, cell long, home boolean")
     size = visits.groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
